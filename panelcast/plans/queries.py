@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelcast.operators.clean import clean_sales
 from panelcast.operators.features import add_features
 from panelcast.plans import sql_fixtures as S
 from panelcast.plans.catalog import register
@@ -69,3 +70,32 @@ def q_features_by_nation(spark, sf):
 @register("features_event_daily", S.features_sql(S.EVENT_VALUE_DAILY, ["series_key"]), FEATURE_ROUND)
 def q_features_event_daily(spark, sf):
     return add_features(fx.event_value_daily(spark, sf), ["series_key"])
+
+
+# ── cleaning (B-01…B-04, C-01…C-13) ─────────────────────────────────────────
+
+CLEAN_ROUND: dict[str, int] = {}
+
+
+def cleaned_daily(spark, sf):
+    return clean_sales(fx.dirty_daily_by_brand(spark, sf), ["series_key"], seq="seq")
+
+
+@register("clean_dirty_daily", S.CLEAN_DIRTY_DAILY, CLEAN_ROUND)
+def q_clean_dirty_daily(spark, sf):
+    """Role detection, parsing, coercion, drop, fills and IQR capping."""
+    return cleaned_daily(spark, sf)[0]
+
+
+@register("clean_log_dirty_daily", S.CLEAN_LOG_DIRTY_DAILY)
+def q_clean_log_dirty_daily(spark, sf):
+    """C-12 validation log for the same table."""
+    return cleaned_daily(spark, sf)[1]
+
+
+@register("features_clean_daily",
+          S.features_sql(S.CLEAN_DIRTY_DAILY, ["series_key"], ("seq",)),
+          {**FEATURE_ROUND, "rolling_mean_3": 7, "rolling_mean_6": 7})
+def q_features_clean_daily(spark, sf):
+    """Cleaned daily panel → features (the reference's step 1 end to end)."""
+    return add_features(cleaned_daily(spark, sf)[0], ["series_key"])

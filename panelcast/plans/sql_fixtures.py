@@ -80,10 +80,15 @@ FROM events
 """
 
 
-def features_sql(panel_sql: str, keys: list[str]) -> str:
-    """Feature table (D-01…D-09, back-fill parity) over a panel SELECT."""
+def features_sql(panel_sql: str, keys: list[str], extra: tuple[str, ...] = ()) -> str:
+    """Feature table (D-01…D-09, back-fill parity) over a panel SELECT.
+
+    ``extra`` columns pass through and join the order (``seq``).
+    """
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     k = "".join(f"{c}, " for c in keys)
+    order = ", ".join(("date",) + tuple(extra))
+    x = "".join(f"{c}, " for c in extra)
     return f"""
 WITH panel AS ({panel_sql}),
 f0 AS (
@@ -96,8 +101,8 @@ f0 AS (
     (revenue - lag(revenue, 1) OVER w) / NULLIF(lag(revenue, 1) OVER w, 0) * 100 AS gr,
     CASE WHEN max(price) OVER ({part}) > 0 THEN revenue / (price + 1e-9) END AS prr,
     max(price) OVER ({part}) AS max_price
-  FROM panel WINDOW w AS ({part} ORDER BY date))
-SELECT {k}date, revenue,
+  FROM panel WINDOW w AS ({part} ORDER BY {order}))
+SELECT {k}date, {x}revenue,
   coalesce(first_value(units_sold IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS units_sold,
   coalesce(first_value(price IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS price,
   CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
@@ -116,5 +121,75 @@ SELECT {k}date, revenue,
        coalesce(first_value(prr IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0)
   END AS price_revenue_ratio,
   row_idx
-FROM f0 WINDOW w2 AS ({part} ORDER BY date)
+FROM f0 WINDOW w2 AS ({part} ORDER BY {order})
+"""
+
+
+def quantile_sql(lst: str, q: float) -> str:
+    """Linear-interpolated quantile of a sorted, null-free DuckDB list.
+
+    Written as (h - p)·a + (p - l)·b, one IEEE-identical form of the
+    interpolation, so both engines agree to the last bit.
+    """
+    n = f"len({lst})"
+    pos = f"(({n} - 1) * CAST({q} AS DOUBLE))"
+    lo, hi = f"CAST(floor({pos}) AS BIGINT)", f"CAST(ceil({pos}) AS BIGINT)"
+    a, b = f"{lst}[{lo} + 1]", f"{lst}[{hi} + 1]"
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN {lo} = {hi} OR {a} = {b} THEN {a} "
+            f"ELSE ({hi} - {pos}) * {a} + ({pos} - {lo}) * {b} END)")
+
+
+def sorted_list_sql(expr: str, cond: str) -> str:
+    return f"list_sort(list({expr}) FILTER (WHERE {cond} AND {expr} IS NOT NULL))"
+
+
+_CLEAN_STAGE = """
+WITH raw AS (""" + DIRTY_DAILY_BY_BRAND + """),
+p AS (
+  SELECT series_key, seq, CAST(try_strptime(order_day, '%Y-%m-%d') AS DATE) AS date,
+         TRY_CAST(gross_sales AS DOUBLE) AS revenue, TRY_CAST(qty_sold AS DOUBLE) AS units_raw
+  FROM raw),
+p2 AS (
+  SELECT *, CASE WHEN units_raw > 0 THEN revenue / units_raw END AS price_raw,
+         (date IS NULL OR revenue IS NULL) AS dropped
+  FROM p),
+lists AS (
+  SELECT series_key,
+         """ + sorted_list_sql("revenue", "NOT dropped") + """ AS rl,
+         """ + sorted_list_sql("units_raw", "NOT dropped") + """ AS ul,
+         """ + sorted_list_sql("price_raw", "NOT dropped") + """ AS pl
+  FROM p2 GROUP BY series_key),
+stats AS (
+  SELECT series_key, """ + quantile_sql("rl", 0.25) + """ AS q1, """ + quantile_sql("rl", 0.75) + """ AS q3,
+         """ + quantile_sql("ul", 0.5) + """ AS u_med, """ + quantile_sql("pl", 0.5) + """ AS p_med
+  FROM lists),
+s AS (
+  SELECT p2.*, q1, q3,
+    coalesce(last_value(CASE WHEN NOT dropped THEN units_raw END IGNORE NULLS) OVER ws, u_med) AS units_sold,
+    coalesce(last_value(CASE WHEN NOT dropped THEN price_raw END IGNORE NULLS) OVER ws, p_med) AS price
+  FROM p2 JOIN stats USING (series_key)
+  WINDOW ws AS (PARTITION BY series_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s2 AS (
+  SELECT *, q3 + 3.0 * (q3 - q1) AS hi, greatest(0.0, q1 - 3.0 * (q3 - q1)) AS lo FROM s)
+"""
+
+CLEAN_DIRTY_DAILY = _CLEAN_STAGE + """
+SELECT series_key, date, greatest(lo, least(hi, revenue)) AS revenue, units_sold, price, seq
+FROM s2 WHERE NOT dropped
+"""
+
+CLEAN_LOG_DIRTY_DAILY = _CLEAN_STAGE + """,
+c AS (
+  SELECT count(*) AS n_raw, count(*) FILTER (WHERE dropped) AS n_removed,
+         count(*) FILTER (WHERE NOT dropped AND (revenue < lo OR revenue > hi)) AS n_out
+  FROM s2),
+m AS (
+  SELECT 0 AS i, 'info' AS type, printf('Loaded %d rows and %d columns.', n_raw, 5) AS msg, true AS keep FROM c
+  UNION ALL SELECT 1, 'success', 'Date column "order_day" parsed successfully.', true FROM c
+  UNION ALL SELECT 2, 'success', 'Units column: "qty_sold".', true FROM c
+  UNION ALL SELECT 3, 'info', 'Price derived from Revenue / Units_Sold.', true FROM c
+  UNION ALL SELECT 4, 'warning', printf('Removed %d rows with missing Date or Revenue.', n_removed), n_removed > 0 FROM c
+  UNION ALL SELECT 5, 'warning', printf('Capped %d revenue outliers using 3×IQR rule.', n_out), n_out > 0 FROM c
+  UNION ALL SELECT 6, 'success', printf('Cleaning complete. %d clean rows ready.', n_raw - n_removed), true FROM c)
+SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS seq, type, msg FROM m WHERE keep
 """
