@@ -44,3 +44,23 @@ def backfill(col: str | Column, w_desc: WindowSpec) -> Column:
 def nan_to_null(c: Column) -> Column:
     """Spark keeps NaN apart from NULL; the data model has NULL only."""
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
+def exact_sum(col: str | Column, scale: int = 4, over: WindowSpec | None = None) -> Column:
+    """Sum of money as an exact decimal, returned as DOUBLE.
+
+    Independent of partitioning and task order (a double sum is not), so
+    reruns after executor loss give the same bits.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    s = F.sum(c.cast(f"decimal(18,{scale})"))
+    return (s.over(over) if over is not None else s).cast("double")
+
+
+def exact_avg(col: str | Column, scale: int = 4) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return exact_sum(c, scale) / F.count(c)
+
+
+def keyed(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k) for k in keys]

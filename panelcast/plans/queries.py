@@ -99,3 +99,20 @@ def q_clean_log_dirty_daily(spark, sf):
 def q_features_clean_daily(spark, sf):
     """Cleaned daily panel → features (the reference's step 1 end to end)."""
     return add_features(cleaned_daily(spark, sf)[0], ["series_key"])
+
+
+# ── previews (A-06, A-07) ───────────────────────────────────────────────────
+
+
+@register("raw_preview", f"SELECT * FROM ({S.DIRTY_DAILY_BY_BRAND}) ORDER BY series_key, seq LIMIT 10")
+def q_raw_preview(spark, sf):
+    """First 10 raw rows in original order (a distributed top-k, not a collect)."""
+    return fx.dirty_daily_by_brand(spark, sf).orderBy("series_key", "seq").limit(10)
+
+
+@register("feature_preview",
+          f"SELECT * FROM ({S.features_sql(S.SALES_BY_BRAND, ['series_key'])}) "
+          "ORDER BY series_key, date LIMIT 12", FEATURE_ROUND)
+def q_feature_preview(spark, sf):
+    return add_features(fx.sales_by_brand(spark, sf), ["series_key"]) \
+        .orderBy("series_key", "date").limit(12)

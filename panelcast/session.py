@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # because ``getOrCreate`` keeps an existing session as it is.
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
