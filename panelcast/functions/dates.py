@@ -17,7 +17,8 @@ DATE_FORMATS = [
 
 
 def parse_with(col: Column, fmt: str) -> Column:
-    return F.to_date(F.try_to_timestamp(col.cast("string"), F.lit(fmt)))
+    """Parse text with one format to a zone-free day (midnight)."""
+    return F.to_date(F.try_to_timestamp(col.cast("string"), F.lit(fmt))).cast("timestamp_ntz")
 
 
 def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> list[Column]:
@@ -28,4 +29,4 @@ def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> l
 
 def add_months(date: Column, n: Column | int) -> Column:
     """date + n months with end-of-month clamping (Jan 31 + 1 → Feb 28/29)."""
-    return F.add_months(date, n if isinstance(n, Column) else F.lit(n))
+    return F.add_months(date, n if isinstance(n, Column) else F.lit(n)).cast("timestamp_ntz")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from panelcast.functions.dates import DATE_FORMATS, failures_per_format, parse_with
+from panelcast.functions.dates import DATE_FORMATS, add_months, failures_per_format, parse_with
 from panelcast.functions.roles import resolve_roles
 from panelcast.operators.common import nan_to_null
 
@@ -62,7 +62,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
                 formats: Sequence[str] = DATE_FORMATS) -> tuple[DataFrame, DataFrame]:
     """Return ``(clean, log)``.
 
-    ``clean``: ``keys…, date DATE, revenue, units_sold, price DOUBLE, seq``.
+    ``clean``: ``keys…, date TIMESTAMP_NTZ, revenue, units_sold, price DOUBLE, seq``.
     ``log``: ``(seq INT, type, msg)`` in reference order, totals over all series.
     ``seq`` names the original row order (needed for the forward fill); when
     absent, ``monotonically_increasing_id`` is used, which follows file order
@@ -91,7 +91,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         msgs.append((MSG_NO_DATE, F.lit(dcol), true))
     date_ok = False
     if dcol is not None and isinstance(df.schema[dcol].dataType, _DATE_TYPES):
-        date_expr, date_ok = F.to_date(F.col(dcol)), True
+        date_expr, date_ok = F.to_date(F.col(dcol)).cast("timestamp_ntz"), True
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
         fmt = choose_date_format(df, dcol, formats)
         if fmt is not None:
@@ -101,10 +101,10 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     else:
         msgs.append((MSG_DATE_BAD, F.lit(str(dcol)), true))
         if on_bad_dates == "regenerate":
-            date_expr = F.add_months(F.lit(REGENERATED_START).cast("date"),
-                                     (F.row_number().over(by_seq) - 1).cast("int"))
+            date_expr = add_months(F.lit(REGENERATED_START).cast("date"),
+                                   (F.row_number().over(by_seq) - 1).cast("int"))
         else:
-            date_expr = F.lit(None).cast("date")
+            date_expr = F.lit(None).cast("timestamp_ntz")
 
     # Revenue, units, price (C-03…C-05)
     rcol = roles["revenue"]

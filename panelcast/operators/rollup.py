@@ -11,10 +11,12 @@ GRAINS = ("day", "week", "month", "quarter", "year")
 
 
 def period_start(date: Column, grain: str) -> Column:
+    """Start of the period as a zone-free timestamp (midnight)."""
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}")
     d = F.to_date(date)
-    return d if grain == "day" else F.trunc(d, grain)
+    d = d if grain == "day" else F.trunc(d, grain)
+    return d.cast("timestamp_ntz")
 
 
 def rollup_periods(facts: DataFrame, keys: Sequence[str] = (), *, date: str = "date",

@@ -7,7 +7,7 @@ yields the same columns as the Spark builder of the same name.
 SALES_BY_BRAND = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
-  SELECT p_brand AS series_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+  SELECT p_brand AS series_key, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
          CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -17,7 +17,7 @@ FROM (
 SALES_TOTAL = """
 SELECT date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
-  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+  SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
          CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem GROUP BY 1)
@@ -26,7 +26,7 @@ FROM (
 SALES_BY_NATION = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
-  SELECT n_name AS series_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+  SELECT n_name AS series_key, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
          CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -38,7 +38,7 @@ FROM (
 ORDERS_BY_PRIORITY = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
-  SELECT o_orderpriority AS series_key, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
+  SELECT o_orderpriority AS series_key, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS date,
          CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
   FROM orders GROUP BY 1, 2)
 """
@@ -46,7 +46,7 @@ FROM (
 EVENT_VALUE_DAILY = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
-  SELECT event_type AS series_key, CAST(ts AS DATE) AS date,
+  SELECT event_type AS series_key, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date,
          CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
   FROM events GROUP BY 1, 2)
 """
@@ -63,7 +63,7 @@ SELECT series_key,
             ELSE CAST(CAST(units_sold AS BIGINT) AS VARCHAR) END AS qty_sold,
        CAST(day_no AS BIGINT) AS seq
 FROM (
-  SELECT p_brand AS series_key, CAST(l_shipdate AS DATE) AS date,
+  SELECT p_brand AS series_key, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS date,
          date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS day_no,
          CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
@@ -146,7 +146,7 @@ def sorted_list_sql(expr: str, cond: str) -> str:
 _CLEAN_STAGE = """
 WITH raw AS (""" + DIRTY_DAILY_BY_BRAND + """),
 p AS (
-  SELECT series_key, seq, CAST(try_strptime(order_day, '%Y-%m-%d') AS DATE) AS date,
+  SELECT series_key, seq, CAST(try_strptime(order_day, '%Y-%m-%d') AS TIMESTAMP) AS date,
          TRY_CAST(gross_sales AS DOUBLE) AS revenue, TRY_CAST(qty_sold AS DOUBLE) AS units_raw
   FROM raw),
 p2 AS (
