@@ -8,12 +8,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats tried, in order, for string date columns (month-first before
-# day-first, as pandas defaults to dayfirst=False).
+# day-first, as pandas defaults to dayfirst=False), each with the text shape
+# it can parse. The shape test is a cheap guard: the parser, which is slow on
+# text it rejects, only runs on rows of the right shape.
 DATE_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
     "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyyMMdd",
     "yyyy-MM", "MMM yyyy", "MMMM yyyy", "dd MMM yyyy", "MMM dd, yyyy",
 ]
+_D = r"\d"
+FORMAT_SHAPES = {
+    "yyyy-MM-dd": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}$",
+    "yyyy-MM-dd HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}} {_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}T{_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
+    "yyyy/MM/dd": rf"^{_D}{{4}}/{_D}{{1,2}}/{_D}{{1,2}}$",
+    "MM/dd/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
+    "dd/MM/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
+    "MM-dd-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
+    "dd-MM-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
+    "yyyyMMdd": rf"^{_D}{{8}}$",
+    "yyyy-MM": rf"^{_D}{{4}}-{_D}{{1,2}}$",
+    "MMM yyyy": rf"^[A-Za-z]{{3}} {_D}{{4}}$",
+    "MMMM yyyy": rf"^[A-Za-z]+ {_D}{{4}}$",
+    "dd MMM yyyy": rf"^{_D}{{1,2}} [A-Za-z]{{3}} {_D}{{4}}$",
+    "MMM dd, yyyy": rf"^[A-Za-z]{{3}} {_D}{{1,2}}, {_D}{{4}}$",
+}
 
 
 def parse_with(col: Column, fmt: str) -> Column:
@@ -22,9 +41,20 @@ def parse_with(col: Column, fmt: str) -> Column:
 
 
 def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> list[Column]:
-    """Per format: rows whose raw value is present but does not parse."""
-    return [F.count_if(col.isNotNull() & parse_with(col, f).isNull()).alias(f"_bad_{i}")
-            for i, f in enumerate(formats)]
+    """Per format: rows whose raw value is present but does not parse.
+
+    ``Or`` evaluates left to right, so a row of the wrong shape counts as a
+    failure without reaching the parser.
+    """
+    text = F.trim(col.cast("string"))
+    out = []
+    for i, f in enumerate(formats):
+        shape = FORMAT_SHAPES.get(f)
+        bad = parse_with(col, f).isNull()
+        if shape:
+            bad = ~text.rlike(shape) | bad
+        out.append(F.count_if(col.isNotNull() & bad).alias(f"_bad_{i}"))
+    return out
 
 
 def add_months(date: Column, n: Column | int) -> Column:

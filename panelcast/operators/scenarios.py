@@ -96,3 +96,13 @@ def best_scenario(impacts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(F.col("impact").desc(), "scenario_id")
     return impacts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def save_scenarios(impacts: DataFrame, path: str) -> None:
+    """K-06: append scenario results to a table (parquet) in the shared store."""
+    impacts.write.mode("append").parquet(path)
+
+
+def list_scenarios(spark, path: str) -> DataFrame:
+    """K-06: the saved scenarios, in saving order per series."""
+    return spark.read.parquet(path)

@@ -67,6 +67,9 @@ def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[s
         if method == "linear" and name in (LINEAR, RIDGE):
             raw = I.linear_attribution(fitted.coefficients.toArray().tolist(), data,
                                        training.feature_cols)
+        elif method == "shapley":
+            raw = I.shapley_importance(I.shapley_sampling(
+                fitted, data, training.feature_cols, id_cols=[*keys, "date"]))
         else:
             raw = I.permutation_importance(fitted, data, training.feature_cols,
                                            id_cols=[*keys, "date"])

@@ -71,6 +71,13 @@ def q_importance_linear_by_brand(spark, sf):
                                     model="Linear Regression", method="linear")
 
 
+@register("importance_shapley_by_brand")
+def q_importance_shapley_by_brand(spark, sf):
+    """I-03 → I-08: Shapley-sampling importance of the forest over all training rows."""
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS,
+                                    model="Random Forest", method="shapley")
+
+
 @register("insights_by_brand")
 def q_insights_by_brand(spark, sf):
     """J-01…J-07 for the best model."""

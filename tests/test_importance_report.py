@@ -122,3 +122,34 @@ def test_activity_stream_counts(spark, sf_small):
     total = fx.activity_events(spark, sf_small).count()
     # Windows still open at the watermark are not emitted in append mode.
     assert 0 < got.agg(F.sum("total_events")).first()[0] <= total
+
+
+def test_shapley_sampling_is_additive_for_linear(spark, trained):
+    feats, tr = trained
+    data = assemble(feats, ["series_key"], tr.feature_cols).filter(~F.col("is_test"))
+    model = tr.fitted[LINEAR]
+    bg = I.background_sample(data, ["series_key", "date"], size=1)
+    rows = data.orderBy("series_key", "date").limit(7)
+    att = I.shapley_sampling(model, rows, tr.feature_cols, id_cols=["series_key", "date"],
+                             samples=3, background=bg).toPandas()
+    coef = model.coefficients.toArray()
+    x = {int(r["_rid"]): np.array(r["f"].toArray()) for r in rows.select(
+        F.xxhash64("series_key", "date", F.lit(42)).alias("_rid"), F.col("features").alias("f")).collect()}
+    b = np.array(bg[0])
+    for _, r in att.iterrows():
+        j = tr.feature_cols.index(r["feature"])
+        want = coef[j] * (x[int(r["row_id"])][j] - b[j])
+        assert r["shap"] == pytest.approx(want, rel=1e-6, abs=1e-6 * max(1.0, abs(want)))
+    assert len(att) == 7 * len(tr.feature_cols)
+    imp = I.normalise(I.shapley_importance(spark.createDataFrame(att)), top_k=99).toPandas()
+    assert imp["importance"].sum() == pytest.approx(100.0, abs=0.1)
+
+
+def test_save_and_list_scenarios(spark):
+    from panelcast.operators.scenarios import list_scenarios, save_scenarios
+    path = os.path.join(tempfile.mkdtemp(prefix="panelcast-scen-"), "saved")
+    df = spark.createDataFrame([(1, 10, -10, 20, 5.0)],
+                               "scenario_id int, price_pct int, units_pct int, mkt_pct int, impact double")
+    save_scenarios(df, path)
+    save_scenarios(df, path)
+    assert list_scenarios(spark, path).count() == 2
