@@ -70,7 +70,7 @@ def _label_stats(rows: list, keep) -> tuple[int, float]:
 
 def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = MODEL_NAMES,
                  cv: bool = True, include_es: bool = True, parallelism: int = DEFAULT_PARALLELISM,
-                 fast: bool = False) -> TrainResult:
+                 fast: bool = False, cv_mode: str = "kfold") -> TrainResult:
     """Fit every model on the training split, cross-validate, rank.
 
     ``metrics``: one row per model with hold-out RMSE/MAE/R², CV means and
@@ -78,7 +78,13 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     ``predictions``: hold-out rows ``(keys…, date, model, actual, predicted)``.
     Both are checkpointed to the shared checkpoint folder, so later use does
     not refit or re-read the sources.
+
+    ``cv_mode="kfold"`` is the reference's contiguous K-fold (earlier folds
+    are scored by models that saw later periods); ``"expanding"`` scores
+    fold f with a model trained on folds before f only.
     """
+    if cv_mode not in ("kfold", "expanding"):
+        raise ValueError("cv_mode must be 'kfold' or 'expanding'")
     keys = list(keys)
     spark = features.sparkSession
     ensure_checkpoint_dir(spark)
@@ -94,6 +100,9 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     data.count()  # materialise once, before the fits share it
     folds = sorted({r["fold"] for r in stats if r["fold"] is not None}) if cv else []
+    if cv_mode == "expanding":
+        folds = [f for f in folds if f >= 1]
+    expanding = cv_mode == "expanding"
 
     tasks = [(m, f) for m in models for f in folds] + [(m, None) for m in models]
 
@@ -102,6 +111,9 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
         if fold is None:
             train = data.filter(~F.col("is_test"))
             n, sd = _label_stats(stats, lambda r: not r["is_test"])
+        elif expanding:
+            train = data.filter(F.col("fold") < fold)
+            n, sd = _label_stats(stats, lambda r: r["fold"] is not None and r["fold"] < fold)
         else:
             train = data.filter(F.col("fold").isNotNull() & (F.col("fold") != fold))
             n, sd = _label_stats(stats, lambda r: r["fold"] is not None and r["fold"] != fold)
@@ -151,7 +163,7 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
 
 def series_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Hold-out RMSE/MAE/R² per (model, series): the band width per series."""
-    return pooled_metrics(predictions, by=["model", *keys])
+    return pooled_metrics(predictions, by=["model", *keys], few_groups=False)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -141,3 +141,10 @@ def test_scenario_identity_and_rounding(spark):
 def test_lever_grid_size(spark):
     n = spark.range(1).select(F.size(K.lever_grid(5)).alias("n")).first()["n"]
     assert n == 21 * 21 * 27
+
+
+def test_expanding_cv_uses_past_folds_only(spark, sf_small):
+    feats = add_features(fx.sales_by_brand(spark, sf_small), ["series_key"])
+    r = train_models(feats, ["series_key"], models=[LINEAR], include_es=False, cv_mode="expanding")
+    row = r.metrics.first()
+    assert row["cv_splits"] == 4 and row["cv_rmse_mean"] > 0
