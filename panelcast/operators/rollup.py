@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.common import exact_sum
+
 GRAINS = ("day", "week", "month", "quarter", "year")
 
 
@@ -28,16 +30,16 @@ def rollup_periods(facts: DataFrame, keys: Sequence[str] = (), *, date: str = "d
     all fact rows is reduced inside every map task before the shuffle, so the
     shuffle carries at most one row per (task, key, period).
 
-    ``money_scale`` sums revenue as exact fixed-point decimals with that many
-    places (4 holds a 2-dp price times a 2-dp discount exactly), so the total
-    does not depend on partitioning, task order or retries; ``None`` sums
-    doubles.
+    ``money_scale`` sums revenue exactly in fixed point with that many places
+    (4 holds a 2-dp price times a 2-dp discount), so the total does not
+    depend on partitioning, task order or retries (see ``exact_sum``);
+    ``None`` sums doubles.
     """
     keys = list(keys)
     if money_scale is None:
         rev_sum = F.sum(F.col(revenue).cast("double"))
     else:
-        rev_sum = F.sum(F.col(revenue).cast(f"decimal(18,{money_scale})")).cast("double")
+        rev_sum = exact_sum(F.col(revenue).cast("double"), money_scale)
     aggs = [rev_sum.alias("revenue")]
     if units:
         aggs.append(F.sum(F.col(units).cast("double")).alias("units_sold"))

@@ -15,7 +15,7 @@ from panelcast.sources import fixtures as fx
 
 KEYS = ["series_key"]
 FEAT = S.features_sql(S.SALES_BY_BRAND, KEYS)
-EXACT_SUM = "CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE)"
+EXACT_SUM = S.money_sum("revenue")
 EXACT_AVG = f"({EXACT_SUM} / count(revenue))"
 
 

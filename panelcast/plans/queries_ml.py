@@ -90,7 +90,7 @@ def q_insights_by_brand(spark, sf):
 # ── report sections (H) ─────────────────────────────────────────────────────
 
 FEAT = S.features_sql(S.SALES_BY_BRAND, KEYS)
-EXACT_SUM = "CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE)"
+EXACT_SUM = S.money_sum("revenue")
 
 
 def _m2(x: str) -> str:

@@ -4,11 +4,17 @@ Used only by the oracle side of the catalog. Each constant is a SELECT that
 yields the same columns as the Spark builder of the same name.
 """
 
+def money_sum(expr: str) -> str:
+    """Fixed-point money sum: whole units plus a 4-place remainder, as in ``exact_sum``."""
+    return (f"(CAST(sum(floor({expr})) AS DOUBLE) + "
+            f"CAST(sum(round((({expr}) - floor({expr})) * 10000.0)) AS DOUBLE) / 10000.0)")
+
+
 SALES_BY_BRAND = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
   SELECT p_brand AS series_key, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
-         CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         """ + money_sum("l_extendedprice * (1 - l_discount)") + """ AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2)
@@ -18,7 +24,7 @@ SALES_TOTAL = """
 SELECT date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
   SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
-         CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         """ + money_sum("l_extendedprice * (1 - l_discount)") + """ AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem GROUP BY 1)
 """
@@ -27,7 +33,7 @@ SALES_BY_NATION = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
   SELECT n_name AS series_key, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date,
-         CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         """ + money_sum("l_extendedprice * (1 - l_discount)") + """ AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        JOIN customer ON o_custkey = c_custkey
@@ -39,7 +45,7 @@ ORDERS_BY_PRIORITY = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
   SELECT o_orderpriority AS series_key, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS date,
-         CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
+         """ + money_sum("o_totalprice") + """ AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
   FROM orders GROUP BY 1, 2)
 """
 
@@ -47,7 +53,7 @@ EVENT_VALUE_DAILY = """
 SELECT series_key, date, revenue, units_sold, revenue / NULLIF(units_sold, 0) AS price
 FROM (
   SELECT event_type AS series_key, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date,
-         CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
+         """ + money_sum("value") + """ AS revenue, CAST(count(*) AS DOUBLE) AS units_sold
   FROM events GROUP BY 1, 2)
 """
 
@@ -65,7 +71,7 @@ SELECT series_key,
 FROM (
   SELECT p_brand AS series_key, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS date,
          date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS day_no,
-         CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         """ + money_sum("l_extendedprice * (1 - l_discount)") + """ AS revenue,
          CAST(sum(l_quantity) AS DOUBLE) AS units_sold
   FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2, 3)
