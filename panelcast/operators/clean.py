@@ -57,6 +57,15 @@ def choose_date_format(df: DataFrame, col: str, formats: Sequence[str] = DATE_FO
     return None
 
 
+def date_format_index(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Index of the first format that parses every present value, as a lazy
+    scalar subquery (NULL when none does). Spark runs it once per query."""
+    counts = df.agg(*failures_per_format(F.col(col), formats))
+    first_ok = F.coalesce(*[F.when(F.col(f"_bad_{i}") == 0, F.lit(i)) for i in range(len(formats))],
+                          F.lit(None).cast("int"))
+    return counts.select(first_ok.alias("fmt")).scalar()
+
+
 def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None = None,
                 seq: str | None = None, on_bad_dates: str = "regenerate",
                 formats: Sequence[str] = DATE_FORMATS) -> tuple[DataFrame, DataFrame]:
@@ -85,26 +94,33 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     by_seq = Window.partitionBy(*keys).orderBy(seq)
     whole = Window.partitionBy(*keys)
 
-    # Date (C-01, C-02)
+    # Date (C-01, C-02). A text column is parsed with the first format that
+    # parses all of it (a lazy scalar subquery); otherwise dates are regenerated.
     dcol = roles["date"]
     if roles["date_how"] == "fallback":
         msgs.append((MSG_NO_DATE, F.lit(dcol), true))
-    date_ok = False
+    if on_bad_dates == "regenerate":
+        fallback = add_months(F.lit(REGENERATED_START).cast("date"),
+                              (F.row_number().over(by_seq) - 1).cast("int"))
+    else:
+        fallback = F.lit(None).cast("timestamp_ntz")
     if dcol is not None and isinstance(df.schema[dcol].dataType, _DATE_TYPES):
-        date_expr, date_ok = F.to_date(F.col(dcol)).cast("timestamp_ntz"), True
+        date_expr, date_ok = F.to_date(F.col(dcol)).cast("timestamp_ntz"), F.lit(True)
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
-        fmt = choose_date_format(df, dcol, formats)
-        if fmt is not None:
-            date_expr, date_ok = parse_with(F.col(dcol), fmt), True
-    if date_ok:
-        msgs.append((MSG_DATE_OK, F.lit(dcol), true))
+        # The subquery is referenced once, as a column; the CASE reads the column.
+        df = df.withColumn("_fmt", date_format_index(df, dcol, formats))
+        date_expr = fallback
+        for i in reversed(range(len(formats))):
+            date_expr = F.when(F.col("_fmt") == i, parse_with(F.col(dcol), formats[i])) \
+                .otherwise(date_expr)
+        date_ok = None
     else:
-        msgs.append((MSG_DATE_BAD, F.lit(str(dcol)), true))
-        if on_bad_dates == "regenerate":
-            date_expr = add_months(F.lit(REGENERATED_START).cast("date"),
-                                   (F.row_number().over(by_seq) - 1).cast("int"))
-        else:
-            date_expr = F.lit(None).cast("timestamp_ntz")
+        date_expr, date_ok = fallback, F.lit(False)
+    dynamic_date = date_ok is None
+    if dynamic_date:  # decided by the scalar, read back in the log aggregate
+        date_ok = F.col("date_ok")
+    msgs.append((MSG_DATE_OK, F.lit(dcol), date_ok))
+    msgs.append((MSG_DATE_BAD, F.lit(str(dcol)), ~date_ok))
 
     # Revenue, units, price (C-03…C-05)
     rcol = roles["revenue"]
@@ -126,7 +142,8 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
 
     # Canonical projection (C-06); dropped rows flagged, not removed (C-07).
     proj = df.select(*keys, date_expr.alias("date"), revenue.alias("revenue"),
-                     units.alias("units_sold"), price.alias("price"), F.col(seq).alias("seq"))
+                     units.alias("units_sold"), price.alias("price"), F.col(seq).alias("seq"),
+                     (F.col("_fmt") if dynamic_date else F.lit(None).cast("int")).alias("_fmt"))
     proj = proj.withColumn("_dropped", F.col("date").isNull() | F.col("revenue").isNull())
     kept = ~F.col("_dropped")
 
@@ -154,7 +171,10 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     # Validation log (C-12): one aggregate, then one row per message.
     counts = stage.agg(F.count(F.lit(1)).alias("n_raw"),
                        F.count_if(F.col("_dropped")).alias("n_removed"),
-                       F.count_if(F.col("_outlier")).alias("n_outliers"))
+                       F.count_if(F.col("_outlier")).alias("n_outliers"),
+                       F.max("_fmt").alias("_fmt"))
+    # An empty table parses trivially.
+    counts = counts.withColumn("date_ok", F.col("_fmt").isNotNull() | (F.col("n_raw") == 0))
     n_raw, n_removed, n_out = F.col("n_raw"), F.col("n_removed"), F.col("n_outliers")
     ordered = [(MSG_LOADED, [n_raw, F.lit(n_cols)], true)]
     ordered += [(m, [a] if a is not None else [], k) for m, a, k in msgs]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.features import FEATURE_COLUMNS
 from panelcast.operators.models import MODEL_NAMES, build
-from panelcast.operators.smoothing import es_metrics, es_predictions, leaderboard, pooled_metrics
+from panelcast.operators.smoothing import ES_NAME, es_predictions, leaderboard, pooled_metrics
 from panelcast.operators.splits import with_splits
 from panelcast.session import ensure_checkpoint_dir
 
@@ -123,7 +123,16 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         fitted_all = dict(pool.map(fit, tasks))
 
-    frames = []
+    # Hold-out predictions of every model (and the smoother) are computed once
+    # and checkpointed; all hold-out metrics are read from that checkpoint.
+    hold = [fitted_all[(m, None)].transform(data.filter("is_test")).select(
+        *keys, "date", F.lit(m).alias("model"), F.col("revenue").alias("actual"),
+        F.col("prediction").alias("predicted")) for m in models]
+    if include_es:
+        hold.append(es_predictions(features, keys))
+    predictions = _union(hold).checkpoint(eager=True)
+    hold_metrics = pooled_metrics(predictions, by=["model"])
+
     if folds:
         cv_preds = [fitted_all[(m, f)].transform(data.filter(F.col("fold") == f)).select(
             F.lit(m).alias("model"), F.lit(f).alias("fold"),
@@ -135,27 +144,25 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
             F.avg("mae").alias("cv_mae_mean"), F.stddev_pop("mae").alias("cv_mae_std"),
             F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
             F.count(F.lit(1)).cast("int").alias("cv_splits"))
-    hold = [fitted_all[(m, None)].transform(data.filter("is_test")).select(
-        *keys, "date", F.lit(m).alias("model"), F.col("revenue").alias("actual"),
-        F.col("prediction").alias("predicted")) for m in models]
-    predictions = _union(hold)
-    hold_metrics = pooled_metrics(predictions, by=["model"])
-    if folds:
-        ml = hold_metrics.join(cv_summary, "model")
+        joined = hold_metrics.join(F.broadcast(cv_summary), "model", "left")
     else:
-        ml = hold_metrics.select("*", *[F.col(a).alias(b) for a, b in (
-            ("rmse", "cv_rmse_mean"), ("mae", "cv_mae_mean"), ("r2", "cv_r2_mean"))],
-            *[F.lit(0.0).alias(c) for c in ("cv_rmse_std", "cv_mae_std", "cv_r2_std")],
-            F.lit(0).alias("cv_splits"))
-    ml = ml.select(F.col("model").alias("name"), "rmse", "mae", "r2", "cv_rmse_mean", "cv_rmse_std",
-                   "cv_mae_mean", "cv_mae_std", "cv_r2_mean", "cv_r2_std", "cv_splits",
-                   F.lit(False).alias("is_ts"), "n_test")
-    frames.append(ml)
-    if include_es:
-        frames.append(es_metrics(features, keys))
-        predictions = predictions.unionByName(es_predictions(features, keys))
-    metrics = leaderboard(_union(frames)).checkpoint(eager=True)
-    predictions = predictions.checkpoint(eager=True)
+        joined = hold_metrics.select("*", *[F.lit(None).cast("double").alias(c) for c in (
+            "cv_rmse_mean", "cv_rmse_std", "cv_mae_mean", "cv_mae_std", "cv_r2_mean", "cv_r2_std")],
+            F.lit(None).cast("int").alias("cv_splits"))
+    # M-14: models without CV (the smoother, or cv=False) copy the hold-out
+    # metrics into the CV fields, with zero spread and zero splits.
+    no_cv = F.col("cv_splits").isNull()
+    ml = joined.select(
+        F.col("model").alias("name"), "rmse", "mae", "r2",
+        F.when(no_cv, F.col("rmse")).otherwise(F.col("cv_rmse_mean")).alias("cv_rmse_mean"),
+        F.when(no_cv, F.lit(0.0)).otherwise(F.col("cv_rmse_std")).alias("cv_rmse_std"),
+        F.when(no_cv, F.col("mae")).otherwise(F.col("cv_mae_mean")).alias("cv_mae_mean"),
+        F.when(no_cv, F.lit(0.0)).otherwise(F.col("cv_mae_std")).alias("cv_mae_std"),
+        F.when(no_cv, F.col("r2")).otherwise(F.col("cv_r2_mean")).alias("cv_r2_mean"),
+        F.when(no_cv, F.lit(0.0)).otherwise(F.col("cv_r2_std")).alias("cv_r2_std"),
+        F.coalesce(F.col("cv_splits"), F.lit(0)).alias("cv_splits"),
+        (F.col("model") == ES_NAME).alias("is_ts"), "n_test")
+    metrics = leaderboard(ml).checkpoint(eager=True)
     data.unpersist()
     fitted = {m: fitted_all[(m, None)] for m in models}
     return TrainResult(metrics=metrics, predictions=predictions, fitted=fitted, feature_cols=cols)
@@ -163,7 +170,7 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
 
 def series_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Hold-out RMSE/MAE/R² per (model, series): the band width per series."""
-    return pooled_metrics(predictions, by=["model", *keys], few_groups=False)
+    return pooled_metrics(predictions, by=["model", *keys])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+LOCAL_DRIVER_MEMORY = "16g"
+
 # Settings a local run needs; on a cluster the submitter's settings win
 # because ``getOrCreate`` keeps an existing session as it is.
 LOCAL_DEFAULTS = {
@@ -25,6 +27,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode runs every task in the driver JVM; its default 1 GB
+            # heap makes GC dominate. Only applies when this call starts the JVM.
+            builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
