@@ -206,3 +206,20 @@ def q_html_text(spark, sf):
     """H-05 over every page: tags, non-ASCII and outer whitespace removed."""
     from panelcast.sources.tables import table
     return table(spark, sf, "pages").select("page_id", "url", T.clean_text("html").alias("text"))
+
+
+@register("activity_log_roundtrip", f"""
+SELECT strftime(ts, '%d %b %Y  %H:%M:%S') AS timestamp, username, name, action, role,
+       strptime(strftime(ts, '%d %b %Y  %H:%M:%S'), '%d %b %Y  %H:%M:%S') AS ts
+FROM ({ACT})""")
+def q_activity_log_roundtrip(spark, sf):
+    """A-04 then A-03: append the log as JSON lines under the shared checkpoint
+    folder, read it back with the explicit schema (timestamps at 1 s)."""
+    import os
+    import uuid
+
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources.activity_log import append_activity, read_activity_log
+    path = os.path.join(ensure_checkpoint_dir(spark), "activity_log", uuid.uuid4().hex)
+    append_activity(fx.activity_events(spark, sf), path)
+    return read_activity_log(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
