@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.forecast import money
@@ -29,6 +29,24 @@ REC_MAYBE = "Increase marketing spend or improve conversion rates."
 REC_NO = "Reconsider the target or plan significant pricing/volume changes."
 
 
+def with_default_target(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """T-01 as window columns on the forecast itself: ``target`` = 1.1 × the
+    series' mean forecast, ``is_check_step`` marks its last step. One pass
+    over the forecast, no join back."""
+    keys = list(keys)
+    series = Window.partitionBy(*keys)
+    return forecast.withColumns({
+        "target": F.avg("forecast").over(series) * DEFAULT_TARGET_FACTOR,
+        "is_check_step": F.col("step") == F.max("step").over(series)})
+
+
+def check_default_targets(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """T-01…T-05 with the default target of each series."""
+    keys = list(keys)
+    staged = with_default_target(forecast, keys).filter("is_check_step")
+    return _verdicts(staged, keys)
+
+
 def default_targets(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """T-01: 1.1 × mean forecast, checked at the last step."""
     keys = list(keys)
@@ -40,7 +58,10 @@ def default_targets(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def check_targets(forecast: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """T-02…T-05 for each target row; ``forecast`` must carry ``last_actual``."""
     keys = list(keys)
-    j = targets.join(forecast, keys + ["step"])
+    return _verdicts(targets.join(forecast, keys + ["step"]), keys)
+
+
+def _verdicts(j: DataFrame, keys: list[str]) -> DataFrame:
     t, fv, uv = F.col("target"), F.col("forecast"), F.col("upper")
     verdict = F.when(t <= fv, "YES").when(t <= uv, "MAYBE").otherwise("NO")
     v = F.col("verdict")
@@ -60,13 +81,17 @@ def check_targets(forecast: DataFrame, targets: DataFrame, keys: Sequence[str] =
     ).withColumn("required_growth", F.col("_g") * 100).drop("_g")
 
 
-def target_per_period(forecast: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """T-06: every step against each series' target (join on keys only)."""
+def target_per_period(forecast: DataFrame, targets: DataFrame | None = None,
+                      keys: Sequence[str] = ()) -> DataFrame:
+    """T-06: every step against its series' target (a join on keys for a
+    target table; the default target needs no join)."""
     keys = list(keys)
-    tg = targets.select(*keys, "target")
-    return forecast.join(tg, keys).select(
-        *keys, "step", "date", "forecast", "target",
-        (F.col("forecast") >= F.col("target")).alias("meets_target"))
+    if targets is None:
+        staged = with_default_target(forecast, keys)
+    else:
+        staged = forecast.join(targets.select(*keys, "target"), keys)
+    return staged.select(*keys, "step", "date", "forecast", "target",
+                         (F.col("forecast") >= F.col("target")).alias("meets_target"))
 
 
 def first_meeting_step(per_period: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

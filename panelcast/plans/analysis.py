@@ -84,7 +84,7 @@ def run(panel: DataFrame, keys: Sequence[str] = (), horizon: int = G.DEFAULT_HOR
     training = train_models(features, keys, models=models, cv=cv, fast=fast)
     best = training.best_name()
     fc = best_forecast(features, training, keys, horizon)
-    tg = T.check_targets(fc, T.default_targets(fc, keys), keys)
+    tg = T.check_default_targets(fc, keys)
     sc = K.impact(K.simulate(fc, K.lever_grid(scenario_step), keys), keys)
     imp = best_importance(features, training, keys)
     ins = insights(imp, training.metrics.filter("is_best"), features)

@@ -116,3 +116,19 @@ def q_raw_preview(spark, sf):
 def q_feature_preview(spark, sf):
     return add_features(fx.sales_by_brand(spark, sf), ["series_key"]) \
         .orderBy("series_key", "date").limit(12)
+
+
+@register("clean_from_csv", S.CLEAN_DIRTY_DAILY, CLEAN_ROUND)
+def q_clean_from_csv(spark, sf):
+    """A-01 then C: the raw table written as CSV (header) under the shared
+    checkpoint folder, scanned with schema inference, then cleaned."""
+    import os
+    import uuid
+
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources.tables import read_sales_file
+    path = os.path.join(ensure_checkpoint_dir(spark), "sales_csv", uuid.uuid4().hex)
+    fx.dirty_daily_by_brand(spark, sf).write.option("header", True).csv(path)
+    raw = read_sales_file(spark, path, fmt="csv")
+    clean = clean_sales(raw, ["series_key"], seq="seq")[0]
+    return clean.withColumn("seq", F.col("seq").cast("bigint"))

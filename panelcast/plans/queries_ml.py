@@ -138,7 +138,7 @@ UNION ALL SELECT series_key, 6, 'Check Period', 'Month ' || CAST(step AS VARCHAR
 def q_report_target_section(spark, sf):
     """H-07: target feasibility section."""
     fc = brand_es_forecast(spark, sf)
-    return H.target_section(T.check_targets(fc, T.default_targets(fc, KEYS), KEYS), KEYS)
+    return H.target_section(T.check_default_targets(fc, KEYS), KEYS)
 
 
 @register("report_model_section")
@@ -172,3 +172,17 @@ def q_pipeline_summary_es(spark, sf):
 
 
 __all__ = ["add_features", "F"]
+
+
+@register("report_lines_by_brand")
+def q_report_lines_by_brand(spark, sf):
+    """H-02: the text report (summary, forecast, importance sections) as ordered lines."""
+    from panelcast.sources.sinks import report_lines
+    t = trained(spark, sf)
+    feats = brand_features(spark, sf)
+    return report_lines({
+        "summary": H.summary_section(fx.sales_by_brand(spark, sf), KEYS),
+        "models": H.model_section(t.metrics),
+        "forecast": H.forecast_section(analysis.best_forecast(feats, t, KEYS), KEYS),
+        "importance": H.importance_section(analysis.best_importance(feats, t, KEYS)),
+    })

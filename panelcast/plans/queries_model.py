@@ -167,8 +167,7 @@ SELECT series_key, step, 'Month ' || CAST(step AS VARCHAR) AS period, target, fo
 FROM v""", {"target": 4, "margin_pct": 6, "shortfall": 4, "required_growth": 6})
 def q_target_check(spark, sf):
     """T-01…T-05: default target (1.1 × mean forecast) at the last step."""
-    fc = brand_es_forecast(spark, sf)
-    return T.check_targets(fc, T.default_targets(fc, KEYS), KEYS)
+    return T.check_default_targets(brand_es_forecast(spark, sf), KEYS)
 
 
 @register("target_per_period", f"""WITH {TARGET_CTE}
@@ -176,8 +175,7 @@ SELECT fc.series_key, fc.step, fc.date, fc.forecast, tg.target, fc.forecast >= t
 FROM fc JOIN tg USING (series_key)""", {"target": 4})
 def q_target_per_period(spark, sf):
     """T-06: each step against the target."""
-    fc = brand_es_forecast(spark, sf)
-    return T.target_per_period(fc, T.default_targets(fc, KEYS), KEYS)
+    return T.target_per_period(brand_es_forecast(spark, sf), None, KEYS)
 
 
 GRID_STEP = 10

@@ -33,3 +33,22 @@ def test_analysis_run_fast(spark, sf_small):
     assert res.targets.count() > 0 and res.scenarios.count() > 0
     assert res.importance.count() > 0 and res.insights.count() > 0
     assert set(res.sections) == {"summary", "models", "cleaned", "forecast", "importance"}
+
+
+def test_synthetic_sales_shape_and_cleaning(spark):
+    from panelcast.sources.synthetic import synthetic_sales
+    raw = synthetic_sales(spark, n_series=3, n_periods=36)
+    assert raw.count() == 108
+    clean, log = clean_sales(raw, ["series_key"], seq="seq")
+    assert clean.count() == 108
+    msgs = [r["msg"] for r in log.orderBy("seq").collect()]
+    assert msgs[1] == 'Date column "Date" parsed successfully.'
+    assert 'Price column: "Price".' in msgs
+    det = synthetic_sales(spark, n_series=1, n_periods=12, noise=False).orderBy("seq").toPandas()
+    # Deterministic variant: seasonal × trend × mid noise, price fixed at 48.
+    import datetime
+    import math
+    i = 5
+    month = (datetime.date(2022, 1, 1) + datetime.timedelta(days=30 * i)).month
+    units = int(1600 * (1 + 0.35 * math.sin((month - 3) * math.pi / 6)) * (1 + 0.012 * i) * 1.0)
+    assert det["Units_Sold"].iloc[i] == units and det["Price"].iloc[i] == 48.0
