@@ -186,3 +186,10 @@ def q_report_lines_by_brand(spark, sf):
         "forecast": H.forecast_section(analysis.best_forecast(feats, t, KEYS), KEYS),
         "importance": H.importance_section(analysis.best_importance(feats, t, KEYS)),
     })
+
+
+@register("model_series_metrics")
+def q_model_series_metrics(spark, sf):
+    """M-12 per (model, brand): the hold-out errors that set each forecast band."""
+    from panelcast.operators.training import series_metrics
+    return series_metrics(trained(spark, sf).predictions, KEYS)

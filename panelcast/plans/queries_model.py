@@ -18,8 +18,9 @@ KEYS = ["series_key"]
 FEAT = S.features_sql(S.SALES_BY_BRAND, KEYS)
 D = "AS DOUBLE)"
 
-SPLITS_CTE = f"""
-f AS ({FEAT}),
+def splits_cte(feat: str) -> str:
+    return f"""
+f AS ({feat}),
 s AS (SELECT *, CAST(count(*) OVER (PARTITION BY series_key) AS INTEGER) AS n_rows FROM f),
 s2 AS (SELECT *, CAST(greatest(floor(n_rows * CAST(0.8 {D}), n_rows - 6) AS INTEGER) AS split_idx,
               CASE WHEN n_rows >= 20 THEN 5 ELSE 3 END AS k FROM s),
@@ -31,7 +32,9 @@ s3 AS (
          END AS INTEGER) AS fold
   FROM s2)"""
 
-ES_CTE = SPLITS_CTE + f""",
+
+def es_cte(feat: str) -> str:
+    return splits_cte(feat) + f""",
 es AS (
   SELECT *,
     sum(CASE WHEN NOT is_test THEN revenue * ((CASE WHEN row_idx = 0 THEN CAST(1.0 {D} ELSE CAST(0.3 {D} END)
@@ -49,9 +52,11 @@ state AS (
          1 - sum(err * err) / NULLIF(sum(CASE WHEN is_test THEN pow(revenue - test_mean, 2) END), 0) AS r2
   FROM es2 GROUP BY series_key)"""
 
+
 STATE_ROUND = {"last_smooth": 4, "growth": 9, "rmse": 4, "mae": 4, "r2": 6}
 
-FC_CTE = ES_CTE + f""",
+def fc_cte(feat: str) -> str:
+    return es_cte(feat) + f""",
 fc0 AS (
   SELECT series_key, last_actual, rmse, step,
          CAST(last_date + to_months(step) AS TIMESTAMP) AS date,
@@ -64,6 +69,11 @@ fc AS (
   FROM fc0)"""
 
 
+SPLITS_CTE = splits_cte(FEAT)
+ES_CTE = es_cte(FEAT)
+FC_CTE = fc_cte(FEAT)
+
+
 def brand_features(spark, sf):
     return add_features(fx.sales_by_brand(spark, sf), KEYS)
 
@@ -141,7 +151,8 @@ def q_forecast_table(spark, sf):
     return G.forecast_table(brand_es_forecast(spark, sf), KEYS)
 
 
-TARGET_CTE = FC_CTE + f""",
+def target_cte(feat: str) -> str:
+    return fc_cte(feat) + f""",
 tg AS (SELECT series_key, max(step) AS step, avg(forecast) * CAST(1.1 {D} AS target
        FROM fc GROUP BY series_key),
 j AS (SELECT tg.target, fc.* FROM tg JOIN fc USING (series_key, step)),
@@ -149,7 +160,10 @@ v AS (SELECT *, CASE WHEN target <= forecast THEN 'YES' WHEN target <= upper THE
                      ELSE 'NO' END AS verdict FROM j)"""
 
 
-@register("target_check", f"""WITH {TARGET_CTE}
+TARGET_CTE = target_cte(FEAT)
+
+
+TARGET_SELECT = f"""
 SELECT series_key, step, 'Month ' || CAST(step AS VARCHAR) AS period, target, forecast, lower, upper,
   verdict,
   CASE verdict WHEN 'YES' THEN '{T.VERDICT_YES}' WHEN 'MAYBE' THEN '{T.VERDICT_MAYBE}'
@@ -164,7 +178,11 @@ SELECT series_key, step, 'Month ' || CAST(step AS VARCHAR) AS period, target, fo
   CASE verdict WHEN 'YES' THEN '{T.REC_YES}' WHEN 'MAYBE' THEN '{T.REC_MAYBE}'
        ELSE '{T.REC_NO}' END AS recommendation,
   (target - last_actual) / NULLIF(last_actual, 0) * 100 AS required_growth
-FROM v""", {"target": 4, "margin_pct": 6, "shortfall": 4, "required_growth": 6})
+FROM v"""
+TARGET_ROUND = {"target": 4, "margin_pct": 6, "shortfall": 4, "required_growth": 6}
+
+
+@register("target_check", f"WITH {TARGET_CTE} {TARGET_SELECT}", TARGET_ROUND)
 def q_target_check(spark, sf):
     """T-01…T-05: default target (1.1 × mean forecast) at the last step."""
     return T.check_default_targets(brand_es_forecast(spark, sf), KEYS)
@@ -180,7 +198,8 @@ def q_target_per_period(spark, sf):
 
 GRID_STEP = 10
 
-SCEN_CTE = FC_CTE + f""",
+def scen_cte(feat: str) -> str:
+    return fc_cte(feat) + f""",
 grid AS (
   SELECT CAST(row_number() OVER (ORDER BY p, u, m) AS INTEGER) AS scenario_id,
          CAST(p AS INTEGER) AS price_pct, CAST(u AS INTEGER) AS units_pct, CAST(m AS INTEGER) AS mkt_pct
@@ -198,6 +217,9 @@ imp AS (
 imp2 AS (
   SELECT *, impact / NULLIF(base_total, 0) * 100 AS impact_pct FROM imp)"""
 
+
+SCEN_CTE = scen_cte(FEAT)
+
 IMPACT_ROUND = {"base_total": 2, "impact": 2, "impact_pct": 6}
 NOTE_SQL = """
   CASE WHEN abs(price_pct) > 5 AND abs(units_pct) > 5
@@ -220,11 +242,14 @@ def q_scenario_impacts(spark, sf):
     return brand_impacts(spark, sf)
 
 
-@register("scenario_best", f"""WITH {SCEN_CTE},
+BEST_SELECT = f""",
 r AS (SELECT *, {NOTE_SQL},
              row_number() OVER (PARTITION BY series_key ORDER BY impact DESC, scenario_id) AS rk
       FROM imp2)
-SELECT * EXCLUDE (rk) FROM r WHERE rk = 1""", IMPACT_ROUND)
+SELECT * EXCLUDE (rk) FROM r WHERE rk = 1"""
+
+
+@register("scenario_best", f"WITH {SCEN_CTE}{BEST_SELECT}", IMPACT_ROUND)
 def q_scenario_best(spark, sf):
     """K-07: best lever setting per brand."""
     return K.best_scenario(brand_impacts(spark, sf), KEYS)
@@ -241,3 +266,32 @@ def q_scenario_detail(spark, sf):
     d = K.simulate(fc, K.lever_grid(GRID_STEP), KEYS)
     return d.filter((F.col("price_pct") == 10) & (F.col("units_pct") == -10) &
                     (F.col("mkt_pct") == 20)).drop("date")
+
+
+# ── the same operators on the other panels ──────────────────────────────────
+
+OTHER_PANELS = {
+    "by_priority": (S.ORDERS_BY_PRIORITY, fx.orders_by_priority),
+    "by_nation": (S.SALES_BY_NATION, fx.sales_by_nation),
+    "event_daily": (S.EVENT_VALUE_DAILY, fx.event_value_daily),
+}
+
+
+def _register_panel(suffix: str, panel_sql: str, build) -> None:
+    feat = S.features_sql(panel_sql, KEYS)
+
+    def forecast(spark, sf):
+        return G.es_forecast(es_fit(add_features(build(spark, sf), KEYS), KEYS), KEYS)
+
+    register(f"es_state_{suffix}", f"WITH {es_cte(feat)} SELECT * FROM state", STATE_ROUND)(
+        lambda spark, sf: es_fit(add_features(build(spark, sf), KEYS), KEYS))
+    register(f"es_forecast_{suffix}", f"WITH {fc_cte(feat)} SELECT * FROM fc")(forecast)
+    register(f"target_check_{suffix}", f"WITH {target_cte(feat)} {TARGET_SELECT}", TARGET_ROUND)(
+        lambda spark, sf: T.check_default_targets(forecast(spark, sf), KEYS))
+    register(f"scenario_best_{suffix}", f"WITH {scen_cte(feat)}{BEST_SELECT}", IMPACT_ROUND)(
+        lambda spark, sf: K.best_scenario(
+            K.impact(K.simulate(forecast(spark, sf), K.lever_grid(GRID_STEP), KEYS), KEYS), KEYS))
+
+
+for _suffix, (_sql, _build) in OTHER_PANELS.items():
+    _register_panel(_suffix, _sql, _build)
