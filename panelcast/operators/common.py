@@ -69,6 +69,3 @@ def exact_avg(col: str | Column, scale: int = 4) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return exact_sum(c, scale) / F.count(c)
 
-
-def keyed(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in keys]

@@ -8,11 +8,8 @@ the memo holds no long lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelcast.operators import report as H
 from panelcast.operators import targets as T
-from panelcast.operators.features import add_features
 from panelcast.operators.insights import insights
 from panelcast.operators.smoothing import es_metrics, leaderboard
 from panelcast.operators.training import train_models
@@ -171,8 +168,6 @@ def q_pipeline_summary_es(spark, sf):
     return H.pipeline_summary(feats, leaderboard(es_metrics(feats, KEYS)), brand_es_forecast(spark, sf))
 
 
-__all__ = ["add_features", "F"]
-
 
 @register("report_lines_by_brand")
 def q_report_lines_by_brand(spark, sf):
