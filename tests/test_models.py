@@ -148,3 +148,18 @@ def test_expanding_cv_uses_past_folds_only(spark, sf_small):
     r = train_models(feats, ["series_key"], models=[LINEAR], include_es=False, cv_mode="expanding")
     row = r.metrics.first()
     assert row["cv_splits"] == 4 and row["cv_rmse_mean"] > 0
+
+
+@pytest.mark.parametrize("name", ["es_forecast_by_brand", "scenario_best", "target_check"])
+def test_partition_invariance_of_decisions(spark, sf_small, name):
+    import __spark_entry__ as E
+    q = E.queries()[name]
+    results = []
+    for parts in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            df = q(spark, sf_small).toPandas()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        results.append(df.sort_values(list(df.columns)).reset_index(drop=True))
+    pd.testing.assert_frame_equal(results[0], results[1])
