@@ -90,7 +90,7 @@ def target_section(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return checks.select(*keys, F.inline(rows))
 
 
-def pipeline_summary(data: DataFrame, metrics: DataFrame, forecast: DataFrame) -> DataFrame:
+def run_summary(data: DataFrame, metrics: DataFrame, forecast: DataFrame) -> DataFrame:
     """H-06: data points, best model's first word, its R², forecast total.
 
     Three one-row aggregates are unioned as tagged values and reduced once.

@@ -144,15 +144,15 @@ def q_report_model_section(spark, sf):
     return H.model_section(trained(spark, sf).metrics)
 
 
-@register("pipeline_summary")
-def q_pipeline_summary(spark, sf):
+@register("run_summary")
+def q_run_summary(spark, sf):
     """H-06: data points, best model, R², forecast total."""
     t = trained(spark, sf)
     feats = brand_features(spark, sf)
-    return H.pipeline_summary(feats, t.metrics, analysis.best_forecast(feats, t, KEYS))
+    return H.run_summary(feats, t.metrics, analysis.best_forecast(feats, t, KEYS))
 
 
-@register("pipeline_summary_es", f"""WITH {FC_CTE},
+@register("run_summary_es", f"""WITH {FC_CTE},
 p AS (SELECT revenue AS actual, level AS predicted, avg(revenue) OVER () AS m FROM es2 WHERE is_test),
 r2 AS (SELECT 1 - sum(pow(actual - predicted, 2)) / NULLIF(sum(pow(actual - m, 2)), 0) AS r2 FROM p),
 pts AS (SELECT count(*) AS n FROM f),
@@ -162,10 +162,10 @@ SELECT n AS data_points, 'Exp.' AS best_model, r2 AS model_r2, t AS forecast_tot
        replace(format('{{:,.3f}}', r2), ',', '') AS model_r2_text,
        '$' || replace(format('{{:,.1f}}', t / 1000), ',', '') || 'k' AS forecast_total_text
 FROM pts, r2, tot""", {"model_r2": 6, "forecast_total": 2})
-def q_pipeline_summary_es(spark, sf):
-    """H-06 with the smoothing model as the pipeline's model."""
+def q_run_summary_es(spark, sf):
+    """H-06 with the smoothing model as the chosen model."""
     feats = brand_features(spark, sf)
-    return H.pipeline_summary(feats, leaderboard(es_metrics(feats, KEYS)), brand_es_forecast(spark, sf))
+    return H.run_summary(feats, leaderboard(es_metrics(feats, KEYS)), brand_es_forecast(spark, sf))
 
 
 
