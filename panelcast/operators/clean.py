@@ -19,6 +19,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 from panelcast.functions.dates import DATE_FORMATS, add_months, failures_per_format, parse_with
 from panelcast.functions.roles import resolve_roles
+from panelcast.operators import chunked
 from panelcast.operators.common import nan_to_null
 
 REGENERATED_START = "2022-01-01"
@@ -68,7 +69,8 @@ def date_format_index(df: DataFrame, col: str, formats: Sequence[str] = DATE_FOR
 
 def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None = None,
                 seq: str | None = None, on_bad_dates: str = "regenerate",
-                formats: Sequence[str] = DATE_FORMATS) -> tuple[DataFrame, DataFrame]:
+                formats: Sequence[str] = DATE_FORMATS,
+                chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(clean, log)``.
 
     ``clean``: ``keys…, date TIMESTAMP_NTZ, revenue, units_sold, price DOUBLE, seq``.
@@ -76,6 +78,13 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     ``seq`` names the original row order (needed for the forward fill); when
     absent, ``monotonically_increasing_id`` is used, which follows file order
     only as far as the input partitions do.
+
+    ``chunk_rows`` switches the per-series scans (forward fill, regenerated
+    positions, medians, IQR quantiles) to the chunked operators of
+    ``panelcast.operators.chunked``: a series is then split over tasks in
+    chunks of that many ``seq`` positions instead of being one window
+    partition. Results are identical; use it for raw series too long for
+    one task.
     """
     if on_bad_dates not in ("regenerate", "null"):
         raise ValueError("on_bad_dates must be 'regenerate' or 'null'")
@@ -88,6 +97,10 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
             df = df.withColumn("seq", F.monotonically_increasing_id())
             seq = "seq"
     roles = resolve_roles(df, overrides, exclude=keys + [seq])
+    user_keys = list(keys)
+    if chunk_rows and not keys:   # one series: a constant key for the per-series tables
+        df = df.withColumn("_series", F.lit(0))
+        keys = ["_series"]
     msgs: list[tuple[tuple[str, str], Column | None, Column]] = []  # (msg, arg, keep)
     true = F.lit(True)
 
@@ -100,8 +113,12 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     if roles["date_how"] == "fallback":
         msgs.append((MSG_NO_DATE, F.lit(dcol), true))
     if on_bad_dates == "regenerate":
-        fallback = add_months(F.lit(REGENERATED_START).cast("date"),
-                              (F.row_number().over(by_seq) - 1).cast("int"))
+        if chunk_rows:
+            df = chunked.row_numbers(df, keys, seq, chunk_rows, name="_rn")
+            position = F.col("_rn")
+        else:
+            position = F.row_number().over(by_seq)
+        fallback = add_months(F.lit(REGENERATED_START).cast("date"), (position - 1).cast("int"))
     else:
         fallback = F.lit(None).cast("timestamp_ntz")
     if dcol is not None and isinstance(df.schema[dcol].dataType, _DATE_TYPES):
@@ -150,14 +167,18 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     def masked(c: str) -> Column:
         return F.when(kept, F.col(c))
 
-    # Forward fill in original order, then the series median (C-08, C-09).
-    ffill_w = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = {c: F.coalesce(F.last(masked(c), ignorenulls=True).over(ffill_w),
-                            F.median(masked(c)).over(whole))
-              for c in ("units_sold", "price")}
-    # IQR fences (C-10) and cap (C-11).
-    q = F.percentile(masked("revenue"), F.array(F.lit(0.25), F.lit(0.75))).over(whole)
-    stage = proj.withColumns({**filled, "_q": q})
+    if chunk_rows:
+        stage = _chunked_fills(proj, keys, chunk_rows, kept)
+    else:
+        # Forward fill in original order, then the series median (C-08, C-09).
+        ffill_w = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = {c: F.coalesce(F.last(masked(c), ignorenulls=True).over(ffill_w),
+                                F.median(masked(c)).over(whole))
+                  for c in ("units_sold", "price")}
+        # IQR fences (C-10).
+        q = F.percentile(masked("revenue"), F.array(F.lit(0.25), F.lit(0.75))).over(whole)
+        stage = proj.withColumns({**filled, "_q": q})
+    # Cap (C-11).
     iqr = F.col("_q")[1] - F.col("_q")[0]
     hi = F.col("_q")[1] + IQR_MULTIPLIER * iqr
     lo = F.greatest(F.lit(0.0), F.col("_q")[0] - IQR_MULTIPLIER * iqr)
@@ -166,7 +187,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         "_outlier": kept & ((rev < lo) | (rev > hi)),
         "revenue": F.greatest(lo, F.least(hi, rev)),
     })
-    clean = stage.filter(kept).select(*keys, "date", "revenue", "units_sold", "price", "seq")
+    clean = stage.filter(kept).select(*user_keys, "date", "revenue", "units_sold", "price", "seq")
 
     # Validation log (C-12): one aggregate, then one row per message.
     counts = stage.agg(F.count(F.lit(1)).alias("n_raw"),
@@ -189,3 +210,19 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
            .filter("_keep").drop("_keep")
            .withColumn("seq", F.row_number().over(Window.orderBy("seq")).cast("int")))
     return clean, log
+
+
+def _chunked_fills(proj: DataFrame, keys: list[str], chunk_rows: int, kept: Column) -> DataFrame:
+    """C-08…C-10 with the chunked operators: exact, no series in one task."""
+    m = proj.withColumns({"_mu": F.when(kept, F.col("units_sold")),
+                          "_mp": F.when(kept, F.col("price")),
+                          "_mr": F.when(kept, F.col("revenue"))})
+    ff = chunked.forward_fill(m, ["_mu", "_mp"], keys, "seq", chunk_rows)
+    stats = chunked.quantiles(m, keys, [("_mu", 0.5, "_med_u"), ("_mp", 0.5, "_med_p"),
+                                        ("_mr", 0.25, "_q1"), ("_mr", 0.75, "_q3")])
+    out = ff.join(stats, keys, "left")
+    return out.withColumns({
+        "units_sold": F.coalesce(F.col("_mu"), F.col("_med_u")),
+        "price": F.coalesce(F.col("_mp"), F.col("_med_p")),
+        "_q": F.array(F.col("_q1"), F.col("_q3")),
+    }).drop("_mu", "_mp", "_mr", "_med_u", "_med_p", "_q1", "_q3")

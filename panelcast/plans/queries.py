@@ -132,3 +132,18 @@ def q_clean_from_csv(spark, sf):
     raw = read_sales_file(spark, path, fmt="csv")
     clean = clean_sales(raw, ["series_key"], seq="seq")[0]
     return clean.withColumn("seq", F.col("seq").cast("bigint"))
+
+
+def cleaned_daily_chunked(spark, sf):
+    return clean_sales(fx.dirty_daily_by_brand(spark, sf), ["series_key"], seq="seq", chunk_rows=64)
+
+
+@register("clean_dirty_daily_chunked", S.CLEAN_DIRTY_DAILY, CLEAN_ROUND)
+def q_clean_dirty_daily_chunked(spark, sf):
+    """C-01…C-13 with every series split into chunks of 64 positions (same result)."""
+    return cleaned_daily_chunked(spark, sf)[0]
+
+
+@register("clean_log_dirty_daily_chunked", S.CLEAN_LOG_DIRTY_DAILY)
+def q_clean_log_dirty_daily_chunked(spark, sf):
+    return cleaned_daily_chunked(spark, sf)[1]
