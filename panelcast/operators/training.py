@@ -85,6 +85,8 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     """
     if cv_mode not in ("kfold", "expanding"):
         raise ValueError("cv_mode must be 'kfold' or 'expanding'")
+    if not models and not include_es:
+        raise ValueError("nothing to train: give models or include_es=True")
     keys = list(keys)
     spark = features.sparkSession
     ensure_checkpoint_dir(spark)
@@ -133,7 +135,7 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     predictions = _union(hold).checkpoint(eager=True)
     hold_metrics = pooled_metrics(predictions, by=["model"])
 
-    if folds:
+    if folds and models:
         cv_preds = [fitted_all[(m, f)].transform(data.filter(F.col("fold") == f)).select(
             F.lit(m).alias("model"), F.lit(f).alias("fold"),
             F.col("revenue").alias("actual"), F.col("prediction").alias("predicted"))

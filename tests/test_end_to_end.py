@@ -52,3 +52,17 @@ def test_synthetic_sales_shape_and_cleaning(spark):
     month = (datetime.date(2022, 1, 1) + datetime.timedelta(days=30 * i)).month
     units = int(1600 * (1 + 0.35 * math.sin((month - 3) * math.pi / 6)) * (1 + 0.012 * i) * 1.0)
     assert det["Units_Sold"].iloc[i] == units and det["Price"].iloc[i] == 48.0
+
+
+def test_smoothing_only_training_and_heuristic_importance(spark, sf_small):
+    from panelcast.operators.features import add_features
+    from panelcast.operators.smoothing import ES_NAME
+    from panelcast.operators.training import train_models
+    feats = add_features(fx.sales_by_brand(spark, sf_small), ["series_key"])
+    tr = train_models(feats, ["series_key"], models=[])
+    assert tr.best_name() == ES_NAME and tr.metrics.count() == 1
+    imp = analysis.best_importance(feats, tr, ["series_key"]).toPandas()
+    assert imp["feature"].iloc[0] == "Lag Revenue (1mo)"
+    assert imp["importance"].sum() == 100.0
+    fc = analysis.best_forecast(feats, tr, ["series_key"], horizon=2)
+    assert fc.count() == 2 * feats.select("series_key").distinct().count()
