@@ -163,3 +163,16 @@ def test_partition_invariance_of_decisions(spark, sf_small, name):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
         results.append(df.sort_values(list(df.columns)).reset_index(drop=True))
     pd.testing.assert_frame_equal(results[0], results[1])
+
+
+def test_saved_scenarios_attach_after_size_check(spark):
+    fc = spark.createDataFrame([("A", 1, 100.0), ("A", 2, 200.0)], "k string, step int, forecast double") \
+        .withColumn("date", F.lit(None).cast("timestamp_ntz"))
+    saved = spark.createDataFrame([(7, 10, 0, 0), (8, 0, 0, 40)],
+                                  "scenario_id int, price_pct int, units_pct int, mkt_pct int")
+    imp = K.impact(K.simulate(fc, K.scenarios_array(saved), ["k"]), ["k"]) \
+        .orderBy("scenario_id").toPandas()
+    assert imp["scenario_total"].tolist() == [330, 342]          # ×1.1 and ×1.14
+    assert imp["note"].iloc[1].startswith("Marketing +40%")
+    with pytest.raises(ValueError):
+        K.scenarios_array(saved, max_rows=1)
