@@ -1,8 +1,8 @@
 """Catalog entries for model-dependent steps (rows-only checks) and report
 sections (SQL-checked where the inputs are the smoothing path).
 
-Training all models is the expensive step; it is memoised per (session,
-data folder). Its metrics and hold-out predictions are checkpointed, so
+Training all models is the expensive step; it is memoised per (Spark
+application, data folder). Its metrics and hold-out predictions are checkpointed, so
 the memo holds no long lineage.
 """
 
@@ -24,7 +24,8 @@ _TRAINED: dict = {}
 
 
 def trained(spark, sf):
-    key = (id(spark), sf)
+    # Keyed by the application, so a later session never sees another's frames.
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         _TRAINED[key] = train_models(brand_features(spark, sf), KEYS)
     return _TRAINED[key]
