@@ -21,6 +21,7 @@ from panelcast.functions.dates import DATE_FORMATS, add_months, failures_per_for
 from panelcast.functions.roles import resolve_roles
 from panelcast.operators import chunked
 from panelcast.operators.common import nan_to_null
+from panelcast.session import ensure_checkpoint_dir
 
 REGENERATED_START = "2022-01-01"
 IQR_MULTIPLIER = 3.0
@@ -84,7 +85,8 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     ``panelcast.operators.chunked``: a series is then split over tasks in
     chunks of that many ``seq`` positions instead of being one window
     partition. Results are identical; use it for raw series too long for
-    one task.
+    one task. In this mode the projected rows are checkpointed once (an eager
+    write to the shared checkpoint folder) because several passes read them.
     """
     if on_bad_dates not in ("regenerate", "null"):
         raise ValueError("on_bad_dates must be 'regenerate' or 'null'")
@@ -168,6 +170,10 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         return F.when(kept, F.col(c))
 
     if chunk_rows:
+        # The chunked scans read the projected rows several times: write them
+        # once to the shared checkpoint folder instead of recomputing the input.
+        ensure_checkpoint_dir(proj.sparkSession)
+        proj = proj.checkpoint(eager=True)
         stage = _chunked_fills(proj, keys, chunk_rows, kept)
     else:
         # Forward fill in original order, then the series median (C-08, C-09).
