@@ -75,3 +75,13 @@ def test_panel_chunked_equals_plain(spark, sf_small):
     cols = ["series_key", "seq"]
     pd.testing.assert_frame_equal(a.orderBy(*cols).toPandas(), b.orderBy(*cols).toPandas())
     pd.testing.assert_frame_equal(la.orderBy("seq").toPandas(), lb.orderBy("seq").toPandas())
+
+
+def test_quantile_fallback_when_bracket_misses(spark, gappy, monkeypatch):
+    _, df = gappy
+    monkeypatch.setattr(C, "BRACKET_MARGIN", 0)      # no margin: brackets can miss the ranks
+    specs = [("v", 0.5, "med"), ("v", 0.25, "q1"), ("v", 0.75, "q3")]
+    got = C.quantiles(df, ["k"], specs, accuracy=5).orderBy("k").toPandas()
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for _, q, n in specs]) \
+        .orderBy("k").toPandas()
+    pd.testing.assert_frame_equal(got, want)
