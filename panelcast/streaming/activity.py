@@ -36,9 +36,17 @@ def windowed_counts(log: DataFrame, window: str = "1 hour", watermark: str = "1
 
 
 def start_counts(spark: SparkSession, source: str, sink: str, name: str = "activity_counts",
-                 **kw) -> StreamingQuery:
-    """Run ``windowed_counts`` from JSON files in ``source`` to parquet in ``sink``."""
+                 available_now: bool = False, **kw) -> StreamingQuery:
+    """Run ``windowed_counts`` from JSON files in ``source`` to parquet in ``sink``.
+
+    The stream's checkpoint lives under the shared checkpoint folder, so a
+    restarted driver resumes where it stopped. ``available_now`` processes
+    what is there and stops (a bounded catch-up run).
+    """
     ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    return (windowed_counts(read_log_stream(spark, source), **kw)
-            .writeStream.outputMode("append").format("parquet")
-            .option("path", sink).option("checkpointLocation", ckpt).start())
+    writer = (windowed_counts(read_log_stream(spark, source), **kw)
+              .writeStream.outputMode("append").format("parquet")
+              .option("path", sink).option("checkpointLocation", ckpt))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
