@@ -43,3 +43,30 @@ def word_dedup(rows, length=13):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def near_components(rows, words=5, percent=75):
+    sets = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    root = {d: d for d, _ in rows if d is not None}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    seen = set()
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holders[x] if j > i}:
+            both = len(s & sets[j])
+            if rows[i][0] is not None and rows[j][0] is not None and 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(rows[i][0]), find(rows[j][0])))
+                root[b] = a
+        seen.add(i)
+    return [(d, len(s), None if d is None else find(d), d is None or find(d) == d) for (d, _), s in zip(rows, sets)]
