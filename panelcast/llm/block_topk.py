@@ -13,6 +13,7 @@ equi-join on the group, so a task holds one group and one query block at a time.
 Vectors that are null or hold null or non-finite components take no part, and
 neither do null ids. Shorter vectors count as 0 in the terms they lack. Rows that
 repeat id and vector count once; a query never gets a row with its own id.
+Weights are cut off at 2**40 in size.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 BLOCK = 256
 GROUP = 8 * BLOCK
 QUERIES = 256
+#: Weights beyond this are cut off to it.
+CLAMP = 1 << 40
 #: Sums below this are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -140,7 +143,7 @@ def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return (x.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.coalesce(finite, F.lit(False)))
-            .select("vec_id", F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("v")))
+            .select("vec_id", F.transform("e", lambda c: F.floor(F.greatest(F.lit(-float(CLAMP)), F.least(F.lit(float(CLAMP)), c * scale))).cast("long")).alias("v")))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:

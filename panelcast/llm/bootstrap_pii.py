@@ -177,6 +177,13 @@ def bootstrap(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def find_private(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs(doc_id, text)``."""
+    kinds = F.array(*(F.lit(k) for k in KINDS))
+    text = F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string")))
+    return private_spans(docs).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(text, ",").alias("spans"))
+
+
+def private_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), counts, base_sha256 and the sorted spans (start, kind, stop) of every row."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.mapInArrow(extract, f"doc_id {kind}, mark long, " + ", ".join(f"n_{k} long" for k in KINDS)
@@ -185,12 +192,32 @@ def find_private(docs: DataFrame) -> DataFrame:
     edges = near.select(F.explode("patterns").alias("pattern"), "value", "kind")
     patterns, found = bootstrap(edges)
     open_near = near.where("kind < 0").drop("kind").withColumn("pattern", F.explode("patterns"))
-    kinds = F.array(*(F.lit(k) for k in KINDS))
     more = (open_near.join(patterns.select("pattern", "kind"), "pattern").join(found.select("value", "kind"), ["value", "kind"])
             .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")))
     same = F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("r.mark").eqNullSafe(F.col("x.mark"))
-    base = F.transform(F.filter("mentions", lambda m: m["kind"] >= 0), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
-    spans = F.transform(F.sort_array(F.array_union(base, F.coalesce("more", F.array().cast("array<struct<start:long,kind:int,stop:long>>")))),
-                        lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string")))
+    base = F.transform(F.filter("mentions", lambda m: m["kind"] >= 0),
+                       lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
+    none = F.array().cast("array<struct<start:long,kind:int,stop:long>>")
     return (rows.alias("r").join(more.alias("x"), same, "left")
-            .select("r.doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(spans, ",").alias("spans")))
+            .select("r.doc_id", "r.mark", *(f"n_{k}" for k in KINDS), "base_sha256",
+                    F.sort_array(F.array_union(base, F.coalesce("more", none))).alias("spans")))
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs(doc_id, text, ...)``, each span replaced by its kind in brackets."""
+    spans = written(private_spans(docs.select("doc_id", F.col(text).alias("text"))).where(F.size("spans") > 0)
+                    .select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"]))
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.xxhash64(f"d.{text}").eqNullSafe(F.col("s.mark"))
+    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc, s):
+        between = F.substr(F.col(f"d.{text}"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        fresh = F.struct(F.concat(acc["out"], between, F.get(tags, s["kind"])).alias("out"), s["stop"].alias("at"))
+        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+        return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
+
+    clean = F.aggregate(F.col("s.spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(f"d.{text}"), (acc["at"] + 1).cast("int"))))
+    columns = [F.when(F.col("s.spans").isNotNull(), clean).otherwise(F.col(f"d.{c}")).alias(c) if c == text else F.col(f"d.`{c}`")
+               for c in docs.columns]
+    return docs.alias("d").join(spans.alias("s"), same, "left").select(*columns)

@@ -110,7 +110,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {r.lang: np.array(r.p, np.float64) for r in rows}
 
 
-def predict(models: dict[str, np.ndarray]):
+def predict(models: dict[str, np.ndarray], keep_text: bool = False):
     langs = list(models)
     table = np.stack([models[x] for x in langs]) if langs else np.zeros((0, DIMS))
     table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
@@ -136,7 +136,7 @@ def predict(models: dict[str, np.ndarray]):
                 for i in ok.tolist():
                     pred[i] = langs[best[i]]
                 score[ok] = np.clip(cos[ok, best[ok]], 0, 1)
-            names = [n for n in batch.schema.names if n != "text"]
+            names = [n for n in batch.schema.names if keep_text or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred), pa.array(score)],
                                              [*names, "lang_pred", "score"])
     return run
@@ -147,6 +147,14 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
+def with_language(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All rows and columns of ``docs(doc_id, text, lang, ...)`` with the predicted language and its score."""
+    train = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    done = docs.mapInArrow(predict(prototypes(train), keep_text=True), ", ".join([*kinds, "_lang_pred string, _lang_score double"]))
+    return done.withColumnsRenamed({"_lang_pred": pred, "_lang_score": score})
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows outside the held-out fold."""
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), held_out().alias("held_out"))

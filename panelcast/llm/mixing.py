@@ -19,7 +19,7 @@ bucket first, then row by row in the one bucket where the prefix ends.
 
 Null levels are branches of their own. Texts without tokens give nothing. Rows
 that repeat a ``doc_id`` are ordered by tokens and text. Weights of 0 and below
-give nothing. Other columns pass through.
+give nothing. Other columns pass through; input columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -97,30 +97,29 @@ def mix(docs: DataFrame, levels: list[str], weights: list[Column], budget: Colum
     ``weights`` gives each level's weight as an integer column, a function of the levels.
     """
     leaves = written(budgets(docs, levels, weights, budget, epochs)
-                     .withColumn("n_epochs", F.expr("budget div supply")).withColumn("rest", F.expr("budget % supply"))
-                     .select(*levels, "n_epochs", "rest"))
+                     .withColumn("_epochs", F.expr("budget div supply")).withColumn("_rest", F.expr("budget % supply"))
+                     .select(*levels, "_epochs", "_rest"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_epochs", "n_prefix", "n_taken")]
     placed = docs.alias("d").join(leaves.alias("l"), _same("d", "l", levels), "left").select(
-        "d.*", "l.n_epochs", "l.rest",
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("l.n_epochs").cast("string"), F.col("d.doc_id").cast("string"))).alias("_order"))
+        *columns, "l._epochs", "l._rest",
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("l._epochs").cast("string"), F.col("d.doc_id").cast("string"))).alias("_order"))
     placed = placed.withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    held = placed.where("rest > 0").groupBy(*levels, "rest", "_bucket").agg(F.sum("n_tokens").alias("tokens"))
+    held = placed.where("_rest > 0").groupBy(*levels, "_rest", "_bucket").agg(F.sum("n_tokens").alias("tokens"))
     run = Window.partitionBy(*levels).orderBy("_bucket")
-    edge = (held.withColumn("through", F.sum("tokens").over(run)).where("through >= rest")
-            .groupBy(*levels).agg(F.min(F.struct("_bucket", F.col("through") - F.col("tokens"))).alias("e"))
-            .select(*levels, F.col("e._bucket").alias("last"), F.col("e.col2").alias("base")))
+    edge = (held.withColumn("through", F.sum("tokens").over(run)).where("through >= _rest")
+            .groupBy(*levels).agg(F.min(F.struct("_bucket", (F.col("through") - F.col("tokens")).alias("base"))).alias("e"))
+            .select(*levels, F.col("e._bucket").alias("_last"), F.col("e.base").alias("_base")))
     edge = written(edge)
-    known = placed.alias("d").join(edge.alias("e"), _same("d", "e", levels), "left").select("d.*", "e.last", "e.base")
-    inside = F.coalesce(F.col("_bucket") == F.col("last"), F.lit(False))
-    whole = known.where(~inside).withColumn("n_prefix", F.when(F.col("_bucket") < F.col("last"), F.col("n_tokens")).otherwise(0))
+    known = placed.alias("d").join(edge.alias("e"), _same("d", "e", levels), "left").select("d.*", "e._last", "e._base")
+    inside = F.coalesce(F.col("_bucket") == F.col("_last"), F.lit(False))
+    whole = known.where(~inside).withColumn("n_prefix", F.when(F.col("_bucket") < F.col("_last"), F.col("n_tokens")).otherwise(0).cast("long"))
     within = Window.partitionBy(*levels).orderBy("_order", "n_tokens", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     cut = known.where(inside).withColumn("n_prefix", F.least(F.col("n_tokens"), F.greatest(F.lit(0), (
-        F.col("rest") - F.col("base") - F.coalesce(F.sum("n_tokens").over(within), F.lit(0))))))
-    columns = docs.columns
-    both = whole.withColumn("n_prefix", F.col("n_prefix").cast("long")).unionByName(
-        cut.withColumn("n_prefix", F.col("n_prefix").cast("long")))
-    passes = F.when(F.col("n_tokens") > 0, F.coalesce("n_epochs", F.lit(0))).otherwise(0).cast("long")
-    return both.select(*columns, passes.alias("n_epochs"), "n_prefix").withColumn(
-        "n_taken", F.col("n_epochs") * F.col("n_tokens") + F.col("n_prefix"))
+        F.col("_rest") - F.col("_base") - F.coalesce(F.sum("n_tokens").over(within), F.lit(0))))).cast("long"))
+    both = whole.unionByName(cut)
+    passes = F.when(F.col("n_tokens") > 0, F.coalesce("_epochs", F.lit(0))).otherwise(0).cast("long")
+    return both.withColumn("n_epochs", passes).withColumn(
+        "n_taken", F.col("n_epochs") * F.col("n_tokens") + F.col("n_prefix")).drop("_epochs", "_rest", "_order", "_bucket", "_last", "_base")
 
 
 def token_count(text: str = "text") -> Column:

@@ -71,6 +71,24 @@ def windows_of(items: DataFrame, span: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs(doc_id, text)``."""
+    result, docs, same_row = covered_words(docs, items, span, k)
+    counted = docs.select("doc_id", "mark", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    return (counted.alias("d").join(result.alias("r"), same_row, "left")
+            .select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark window."""
+    hit = written(covered_words(docs.select("doc_id", "text"), items, span, k)[0].select("doc_id", "mark"))
+    same_row = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("r.mark"))
+    return docs.alias("d").join(hit.alias("r"), same_row, "left_anti")
+
+
+def covered_words(docs: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame, Column]:
+    """(doc_id, mark, n_hit, items) of the rows with windows; the rows with their marks; how both join."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     windows = written(windows_of(items.select("item_id", "text"), span))
     prints = written(items.where("text IS NOT NULL").select(F.explode(fingerprints(normal("text"), k, span)).alias("f"))
@@ -111,9 +129,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5)
         F.collect_set(F.struct("at", "len")), lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))
     result = exact.groupBy("doc_id", "mark").agg(
         covered.cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    counted = docs.select("doc_id", "mark", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
-    return (counted.alias("d").join(result.alias("r"), same_row, "left")
-            .select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
-            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")))
+    return result, docs, same_row
