@@ -9,35 +9,36 @@ from pyspark.sql import functions as F
 
 # Formats tried, in order, for string date columns (month-first before
 # day-first, as pandas defaults to dayfirst=False), each with the text shape
-# it can parse. The shape test is a cheap guard: the parser, which is slow on
+# it can parse. One letter per field takes one digit or two; parts in brackets
+# may be missing. The shape test is a cheap guard: the parser, which is slow on
 # text it rejects, only runs on rows of the right shape.
-DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-    "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyyMMdd",
-    "yyyy-MM", "MMM yyyy", "MMMM yyyy", "dd MMM yyyy", "MMM dd, yyyy",
-]
 _D = r"\d"
+_DAY = rf"{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}"
+_TIME = rf"{_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}}(\.{_D}{{1,6}})?)?"
+_ZONE = r"(Z|[+-]\d{2}:\d{2})?"
+_SLASH = rf"{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}"
 FORMAT_SHAPES = {
-    "yyyy-MM-dd": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}$",
-    "yyyy-MM-dd HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}} {_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
-    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}T{_D}{{1,2}}:{_D}{{2}}:{_D}{{2}}$",
-    "yyyy/MM/dd": rf"^{_D}{{4}}/{_D}{{1,2}}/{_D}{{1,2}}$",
-    "MM/dd/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
-    "dd/MM/yyyy": rf"^{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}$",
-    "MM-dd-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
-    "dd-MM-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
+    "yyyy-M-d": rf"^{_DAY}$",
+    "yyyy-M-d H:mm[:ss][.SSSSSS][XXX]": rf"^{_DAY} {_TIME}{_ZONE}$",
+    "yyyy-M-d'T'H:mm[:ss][.SSSSSS][XXX]": rf"^{_DAY}T{_TIME}{_ZONE}$",
+    "yyyy/M/d[ H:mm[:ss]]": rf"^{_D}{{4}}/{_D}{{1,2}}/{_D}{{1,2}}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
+    "M/d/yyyy[ H:mm[:ss]]": rf"^{_SLASH}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
+    "d/M/yyyy[ H:mm[:ss]]": rf"^{_SLASH}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
+    "M-d-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
+    "d-M-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
     "yyyyMMdd": rf"^{_D}{{8}}$",
-    "yyyy-MM": rf"^{_D}{{4}}-{_D}{{1,2}}$",
+    "yyyy-M": rf"^{_D}{{4}}-{_D}{{1,2}}$",
     "MMM yyyy": rf"^[A-Za-z]{{3}} {_D}{{4}}$",
     "MMMM yyyy": rf"^[A-Za-z]+ {_D}{{4}}$",
-    "dd MMM yyyy": rf"^{_D}{{1,2}} [A-Za-z]{{3}} {_D}{{4}}$",
-    "MMM dd, yyyy": rf"^[A-Za-z]{{3}} {_D}{{1,2}}, {_D}{{4}}$",
+    "d MMM yyyy": rf"^{_D}{{1,2}} [A-Za-z]{{3}} {_D}{{4}}$",
+    "MMM d, yyyy": rf"^[A-Za-z]{{3}} {_D}{{1,2}}, {_D}{{4}}$",
 }
+DATE_FORMATS = list(FORMAT_SHAPES)
 
 
 def parse_with(col: Column, fmt: str) -> Column:
-    """Parse text with one format to a zone-free day (midnight)."""
-    return F.to_date(F.try_to_timestamp(col.cast("string"), F.lit(fmt))).cast("timestamp_ntz")
+    """Parse text with one format to a zone-free timestamp (in the session's zone)."""
+    return F.try_to_timestamp(F.trim(col.cast("string")), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> list[Column]:
@@ -60,3 +61,14 @@ def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> l
 def add_months(date: Column, n: Column | int) -> Column:
     """date + n months with end-of-month clamping (Jan 31 + 1 → Feb 28/29)."""
     return F.add_months(date, n if isinstance(n, Column) else F.lit(n)).cast("timestamp_ntz")
+
+
+def add_periods(date: Column, n: Column | int, grain: str = "month") -> Column:
+    """date + n periods; months, quarters and years clamp to the month's end."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    months = {"month": 1, "quarter": 3, "year": 12}
+    if grain in months:
+        return add_months(date, n * months[grain])
+    if grain not in ("day", "week"):
+        raise ValueError("grain must be day, week, month, quarter or year")
+    return F.date_add(date, n * (7 if grain == "week" else 1)).cast("timestamp_ntz")

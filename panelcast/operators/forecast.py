@@ -12,13 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.dates import add_months
+from panelcast.functions.dates import add_periods
 
 # Band multiplier and its widening per step.
 Z_BAND = 1.28
 BAND_WIDENING = 0.08
 DEFAULT_HORIZON = 6
-MAX_HORIZON = 12
 
 
 def band(forecast: Column, rmse: Column, step: Column, z: float = Z_BAND) -> tuple[Column, Column]:
@@ -44,14 +43,15 @@ def finish(rows: DataFrame, keys: Sequence[str], z: float = Z_BAND) -> DataFrame
 
 def es_forecast(state: DataFrame, keys: Sequence[str] = (), horizon: int = DEFAULT_HORIZON,
                 z: float = Z_BAND, noise_seed: int | None = None,
-                keep: Sequence[str] = ("last_actual",)) -> DataFrame:
+                keep: Sequence[str] = ("last_actual",), grain: str = "month") -> DataFrame:
     """G-02, G-07: level·(1+g)^i for i = 1…H from ``es_fit`` state.
 
     ``noise_seed`` adds N(0, 0.15·rmse) per step as the reference does
-    (its noise is unseeded; ours is seeded and off by default).
+    (its noise is unseeded; ours is seeded and off by default). ``grain`` is the
+    distance of the forecast dates (day, week, month, quarter or year).
     """
-    if not 1 <= horizon <= MAX_HORIZON:
-        raise ValueError(f"horizon must be in 1..{MAX_HORIZON}")
+    if horizon < 1:
+        raise ValueError("horizon must be at least 1")
     keys = list(keys)
     g = F.coalesce(F.col("growth"), F.lit(0.0))
     rows = state.select(*keys, *keep, "last_date", "last_smooth", "rmse", g.alias("_g"),
@@ -59,7 +59,7 @@ def es_forecast(state: DataFrame, keys: Sequence[str] = (), horizon: int = DEFAU
     value = F.col("last_smooth") * F.pow(1 + F.col("_g"), F.col("step").cast("double"))
     if noise_seed is not None:
         value = value + F.randn(noise_seed) * F.col("rmse") * 0.15
-    rows = rows.select(*keys, "step", add_months(F.col("last_date"), F.col("step")).alias("date"),
+    rows = rows.select(*keys, "step", add_periods(F.col("last_date"), F.col("step"), grain).alias("date"),
                        value.alias("_value"), F.col("rmse").alias("_rmse"), *keep)
     return finish(rows, keys, z)
 

@@ -1,22 +1,25 @@
 """I-01…I-11: feature attribution for a fitted model, as Spark jobs.
 
-Permutation importance (the reference's default path) scores
-rows × features × repeats in one ``transform``. A column is permuted by a
-cyclic shift over a hash order *inside buckets of bounded size*, so no
-window partition grows with the data and a hot series cannot land in one
-task. Linear attribution is one aggregate. Names and the time-series
-heuristic are small fixed tables.
+Permutation importance scores rows × features × repeats in one
+``transform``. A repeat permutes the rows by a cyclic shift over their hash
+order; positions in it are dense numbers from per-chunk counts and their
+prefix sums, so each row meets its donor in one equi-join, no task holds the
+whole training set, and the permutation is the same at every size and
+partitioning. The features are fanned out only after that join. Sampled
+Shapley values draw their background rows in the same way from the whole
+training split. Linear attribution is one aggregate.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import ensure_checkpoint_dir
+
 # Heuristic weights (percent) used for the smoothing model.
 TS_HEURISTIC = [
     ("lag_1", 30.0), ("rolling_mean_3", 22.0), ("lag_2", 15.0), ("month_sin", 12.0),
@@ -41,7 +44,8 @@ FRIENDLY_NAMES = {
 }
 PERMUTATION_REPEATS = 10
 SEED = 42
-BUCKET_ROWS = 100_000
+#: Chunks of the hash order (a power of two): a chunk is one window partition.
+CHUNKS = 4096
 TOP_K = 10
 
 METHOD_PERMUTATION = "Permutation importance"
@@ -72,50 +76,75 @@ def uniform_importance(spark: SparkSession, feature_cols: Sequence[str]) -> Data
         .withColumn("method", F.lit(METHOD_UNIFORM))
 
 
-def _r2(actual: Column, predicted: Column, mean: Column) -> tuple[Column, Column]:
-    return F.sum((actual - predicted) ** 2), F.sum((actual - mean) ** 2)
+def _r2(actual: Column, predicted: Column, mean: Column) -> Column:
+    sse, sst = F.sum((actual - predicted) ** 2), F.sum((actual - mean) ** 2)
+    return 1 - F.try_divide(sse, sst)
+
+
+def donors(rows: DataFrame, repeats: int, seed: int, chunks: int = CHUNKS) -> DataFrame:
+    """``rows(_rid, _x, …)`` once per repeat ``_r``, with the vector ``_d`` of another row.
+
+    In repeat r the rows are ordered by a hash of (_rid, r, seed); a row's donor is
+    the one before it, the first row's is the last.
+    """
+    h = F.xxhash64("_rid", "_r", F.lit(seed))
+    x = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")).withColumns({
+        "_h": h, "_chunk": F.pmod(F.shiftright(h, 40), F.lit(chunks))})
+    counts = x.groupBy("_r", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    family = Window.partitionBy("_r")
+    before = family.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_r", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(family).alias("_all"))
+    local = F.row_number().over(Window.partitionBy("_r", "_chunk").orderBy("_h", "_rid")) - 1
+    placed = x.withColumn("_pos", local).join(offsets, ["_r", "_chunk"]).withColumn("_pos", F.col("_pos") + F.col("_off"))
+    giving = placed.select(F.col("_r").alias("_gr"), F.col("_x").alias("_d"),
+                           F.pmod(F.col("_pos") + 1, F.col("_all")).alias("_gpos"))
+    joined = placed.join(giving, (F.col("_r") == F.col("_gr")) & (F.col("_pos") == F.col("_gpos")))
+    return joined.drop("_h", "_chunk", "_off", "_all", "_pos", "_gr", "_gpos")
+
+
+def _rows(data: DataFrame, id_cols: Sequence[str], *more: Column) -> DataFrame:
+    return data.select(F.struct(*[F.col(c) for c in id_cols]).alias("_rid"), vector_to_array("features").alias("_x"), *more)
 
 
 def permutation_importance(model, data: DataFrame, feature_cols: Sequence[str],
                            label: str = "revenue", repeats: int = PERMUTATION_REPEATS,
-                           seed: int = SEED, id_cols: Sequence[str] = ("date",),
-                           bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                           seed: int = SEED, id_cols: Sequence[str] = ("date",)) -> DataFrame:
     """I-06: |mean R² drop| per feature when that feature is shuffled.
 
     ``data`` holds the assembled ``features`` vector, ``label`` and
-    ``id_cols`` that identify a row (hashed into a stable row id).
+    ``id_cols`` that identify a row. It is written once to the shared
+    checkpoint folder, as three jobs read it.
     """
     d = len(feature_cols)
-    rid = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    n, ybar = data.agg(F.count(F.lit(1)), F.avg(label)).first()
-    base = data.select(rid.alias("_rid"), F.col(label).alias("_y"),
-                       vector_to_array("features").alias("_x"),
-                       F.lit(ybar).cast("double").alias("_ybar"))
-    buckets = max(1, math.ceil(n / bucket_rows))
-    combos = F.explode(F.sequence(F.lit(0), F.lit(d * repeats - 1)))
-    x = base.select("*", combos.alias("_c")).withColumns({
-        "_j": (F.col("_c") / repeats).cast("int"), "_r": F.col("_c") % repeats})
-    x = x.withColumns({
-        "_h": F.xxhash64("_rid", "_j", "_r", F.lit(seed)),
-        "_b": F.pmod(F.xxhash64("_rid", "_j", "_r", F.lit(seed + 1)), F.lit(buckets)),
-        "_v": F.element_at("_x", F.col("_j") + 1)})
-    w = Window.partitionBy("_j", "_r", "_b").orderBy("_h", "_rid")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    donor = F.coalesce(F.lag("_v", 1).over(w), F.last("_v").over(whole))
-    x = x.withColumn("_d", donor)
-    shuffled = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.col("_d")).otherwise(v))
+    ensure_checkpoint_dir(data.sparkSession)
+    base = _rows(data, id_cols, F.col(label).alias("_y")).checkpoint(eager=True)
+    ybar = base.agg(F.avg("_y")).first()[0]
+    scored = model.transform(base.withColumn("features", array_to_vector("_x")))
+    base_r2 = scored.agg(_r2(F.col("_y"), F.col("prediction"), F.lit(ybar).cast("double"))).first()[0]
+    x = donors(base, repeats, seed).select("*", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("_j"))
+    shuffled = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.element_at("_d", i + 1)).otherwise(v))
     scored = model.transform(x.withColumn("features", array_to_vector(shuffled)))
-    sse, sst = _r2(F.col("_y"), F.col("prediction"), F.col("_ybar"))
-    per_rep = scored.groupBy("_j", "_r").agg((1 - F.try_divide(sse, sst)).alias("r2"))
-    base_scored = model.transform(base.withColumn("features", array_to_vector("_x")))
-    bsse, bsst = _r2(F.col("_y"), F.col("prediction"), F.col("_ybar"))
-    base_r2 = base_scored.agg((1 - F.try_divide(bsse, bsst)).alias("r2")).first()[0]
+    per_rep = scored.groupBy("_j", "_r").agg(
+        _r2(F.col("_y"), F.col("prediction"), F.lit(ybar).cast("double")).alias("r2"))
     names = F.array(*[F.lit(c) for c in feature_cols])
     return per_rep.groupBy("_j").agg(F.avg(F.lit(base_r2) - F.col("r2")).alias("drop")).select(
         F.element_at(names, F.col("_j") + 1).alias("feature"),
         F.abs("drop").alias("importance"), F.lit(METHOD_PERMUTATION).alias("method"))
 
 
+def linear_rows(coefficients: Sequence[float], data: DataFrame, feature_cols: Sequence[str],
+                id_cols: Sequence[str] = ("date",)) -> DataFrame:
+    """I-10 of a linear model: (id_cols…, feature, shap) with βⱼ·(xⱼ − x̄ⱼ) for every row."""
+    x = vector_to_array("features")
+    m = data.agg(*[F.avg(F.element_at(x, j + 1)).alias(f"m{j}") for j in range(len(feature_cols))]).first()
+    parts = [F.struct(F.lit(c).alias("feature"), (F.lit(float(b)) * (F.element_at("_x", j + 1) - F.lit(float(m[j])))).alias("shap"))
+             for j, (c, b) in enumerate(zip(feature_cols, coefficients))] if m[0] is not None else []
+    if not parts:
+        return data.select(*id_cols, F.lit("").alias("feature"), F.lit(0.0).alias("shap")).limit(0)
+    return data.select(*id_cols, x.alias("_x")).select(*id_cols, F.inline(F.array(*parts)))
+
+
 def linear_attribution(coefficients: Sequence[float], data: DataFrame,
                        feature_cols: Sequence[str]) -> DataFrame:
     """I-04: mean |βⱼ·(xⱼ − x̄ⱼ)| — exact Shapley values of a linear model
@@ -151,62 +180,44 @@ def top_drivers(importance: DataFrame, k: int = 3) -> DataFrame:
 
 
 METHOD_SHAPLEY = "Shapley sampling"
-BACKGROUND_ROWS = 100
-SHAPLEY_SAMPLES = 20
-
-
-def background_sample(data: DataFrame, id_cols: Sequence[str], size: int = BACKGROUND_ROWS,
-                      seed: int = SEED) -> list[list[float]]:
-    """I-02: ``size`` rows in a seeded hash order (a distributed top-k), as vectors."""
-    rows = (data.select(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)).alias("_h"),
-                        vector_to_array("features").alias("_x"))
-            .orderBy("_h").limit(size).collect())
-    return [list(r["_x"]) for r in rows]
+SHAPLEY_SAMPLES = 50
 
 
 def shapley_sampling(model, data: DataFrame, feature_cols: Sequence[str],
                      id_cols: Sequence[str] = ("date",), samples: int = SHAPLEY_SAMPLES,
-                     background: list[list[float]] | None = None, seed: int = SEED) -> DataFrame:
-    """I-03/I-05/I-10: per-row Shapley values by permutation sampling.
-
-    For each explained row, ``samples`` pairs (background row, feature
-    order) are drawn from a seeded hash; along each order the row's values
-    replace the background's one feature at a time, the model scores the
-    d+1 mixed vectors and the successive differences are that feature's
-    contributions (Štrumbelj & Kononenko, 2014). The background (≤100 rows)
-    rides along as a literal array, so there is no join; the only window
-    is over the d+1 steps of one sample.
-
-    Returns ``(row_id, feature, shap)``; contributions of a row add up to
+                     seed: int = SEED) -> DataFrame:
+    """I-02/I-03/I-05/I-10: per-row Shapley values by permutation sampling.
+
+    For each row, ``samples`` pairs (background row, feature order) are
+    drawn: the background is another row of ``data`` (``donors``), the order
+    follows a seeded hash. Along an order the row's values replace the
+    background's one feature at a time, the model scores the d+1 mixed vectors
+    and the successive differences are the features' contributions
+    (Štrumbelj & Kononenko, 2014). The vector after k replacements adds its
+    prediction to the k-th feature and takes it from the (k+1)-th, so a
+    map-side combined sum per (row, feature) replaces a window over the steps.
+
+    Returns ``(id_cols…, feature, shap)``; contributions of a row add up to
     its prediction minus the mean prediction over its sampled backgrounds.
     """
     d = len(feature_cols)
-    bg = background if background is not None else background_sample(data, id_cols, seed=seed)
-    nb = len(bg)
-    bg_lit = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in bg])
-    rid = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)).alias("_rid")
-    rows = data.select(rid, vector_to_array("features").alias("_x"))
-    s = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"))
-    s = s.withColumns({
-        "_b": F.element_at(bg_lit, (F.pmod(F.xxhash64("_rid", "_s", F.lit(seed)), F.lit(nb)) + 1)
-                           .cast("int")),
-        "_order": F.transform(F.array_sort(F.transform(
-            F.sequence(F.lit(0), F.lit(d - 1)),
-            lambda j: F.struct(F.xxhash64("_rid", "_s", j, F.lit(seed + 7)).alias("h"),
-                               j.alias("j")))), lambda t: t["j"])})
-    k = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
+    ensure_checkpoint_dir(data.sparkSession)
+    base = _rows(data, id_cols).checkpoint(eager=True)
+    order = F.transform(F.array_sort(F.transform(
+        F.sequence(F.lit(0), F.lit(d - 1)),
+        lambda j: F.struct(F.xxhash64("_rid", "_r", j, F.lit(seed + 7)).alias("h"), j.alias("j")))), lambda t: t["j"])
+    k = donors(base, samples, seed).withColumn("_order", order).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
     # Feature j comes from the row when it is among the first k of the order.
     mixed = F.transform("_x", lambda v, j: F.when(
-        F.array_position("_order", j) <= F.col("_k"), v).otherwise(F.element_at("_b", j + 1)))
+        F.array_position("_order", j) <= F.col("_k"), v).otherwise(F.element_at("_d", j + 1)))
     scored = model.transform(k.withColumn("features", array_to_vector(mixed)))
-    w = Window.partitionBy("_rid", "_s").orderBy("_k")
-    steps = scored.select("_rid", "_s", "_k", "_order",
-                          (F.col("prediction") - F.lag("prediction", 1).over(w)).alias("_delta"))
-    contrib = steps.filter(F.col("_k") >= 1).select(
-        "_rid", F.element_at("_order", F.col("_k")).alias("_j"), "_delta")
+    gives = F.filter(F.array(F.struct(F.get("_order", F.col("_k") - 1).alias("j"), F.col("prediction").alias("v")),
+                             F.struct(F.get("_order", F.col("_k")).alias("j"), (-F.col("prediction")).alias("v"))),
+                     lambda g: g["j"].isNotNull())
     names = F.array(*[F.lit(c) for c in feature_cols])
-    return contrib.groupBy("_rid", "_j").agg(F.avg("_delta").alias("shap")).select(
-        F.col("_rid").alias("row_id"), F.element_at(names, F.col("_j") + 1).alias("feature"), "shap")
+    return (scored.select("_rid", F.inline(gives)).groupBy("_rid", "j").agg((F.sum("v") / samples).alias("shap"))
+            .select("_rid.*", F.element_at(names, F.col("j") + 1).alias("feature"), "shap"))
 
 
 def shapley_importance(attributions: DataFrame) -> DataFrame:

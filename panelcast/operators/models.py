@@ -90,8 +90,8 @@ def ridge_reg_param(alpha: float, label_std: float, n: int) -> float:
 
 
 def build(name: str, dim: int, label_std: float, n_train: int, features: str = "features",
-          label: str = "revenue", fast: bool = False) -> Estimator:
-    """One unfitted estimator by reference name; ``fast`` shrinks tree counts for tests."""
+          label: str = "revenue", trees: int = FOREST_TREES, iterations: int = BOOST_ITERS) -> Estimator:
+    """One unfitted estimator by its name."""
     if name == LINEAR:
         return LinearRegression(featuresCol=features, labelCol=label, solver="normal", regParam=0.0)
     if name == RIDGE:
@@ -100,12 +100,12 @@ def build(name: str, dim: int, label_std: float, n_train: int, features: str = "
                                 regParam=ridge_reg_param(RIDGE_ALPHA, label_std, n_train))
     if name == FOREST:
         return RandomForestRegressor(featuresCol=features, labelCol=label,
-                                     numTrees=10 if fast else FOREST_TREES, maxDepth=FOREST_DEPTH,
+                                     numTrees=trees, maxDepth=FOREST_DEPTH,
                                      minInstancesPerNode=FOREST_MIN_LEAF,
                                      featureSubsetStrategy="all", seed=SEED)
     if name == BOOSTING:
         return GBTRegressor(featuresCol=features, labelCol=label,
-                            maxIter=10 if fast else BOOST_ITERS, maxDepth=BOOST_DEPTH,
+                            maxIter=iterations, maxDepth=BOOST_DEPTH,
                             stepSize=BOOST_RATE, seed=SEED)
     if name == RBF:
         return Pipeline(stages=[

@@ -18,9 +18,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.dates import add_months
+from panelcast.functions.dates import add_periods
 from panelcast.operators.common import order_cols
-from panelcast.operators.forecast import DEFAULT_HORIZON, MAX_HORIZON, Z_BAND, finish
+from panelcast.operators.forecast import DEFAULT_HORIZON, Z_BAND, finish
 from panelcast.session import ensure_checkpoint_dir
 
 # History length kept, and per-step drift of units and price.
@@ -87,17 +87,20 @@ def initial_state(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def recursive_forecast(features: DataFrame, model, feature_cols: Sequence[str],
                        rmse: DataFrame, keys: Sequence[str] = (), horizon: int = DEFAULT_HORIZON,
-                       z: float = Z_BAND, checkpoint_every: int = 3) -> DataFrame:
+                       z: float = Z_BAND, checkpoint_every: int = 3, grain: str = "month") -> DataFrame:
     """Forecast ``horizon`` steps per series with a fitted MLlib model.
 
     ``rmse`` is ``(keys…, rmse)``: the hold-out error that sets each band.
     """
-    if not 1 <= horizon <= MAX_HORIZON:
-        raise ValueError(f"horizon must be in 1..{MAX_HORIZON}")
+    if horizon < 1:
+        raise ValueError("horizon must be at least 1")
     keys = list(keys)
     ensure_checkpoint_dir(features.sparkSession)
     if keys:
-        state = initial_state(features, keys).join(rmse.select(*keys, "rmse"), keys)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}"))
+        state = initial_state(features, keys).alias("s").join(rmse.alias("e"), same).select("s.*", "e.rmse")
     else:  # one series: the error is a single number
         state = initial_state(features, keys).withColumn(
             "rmse", F.lit(rmse.select("rmse").first()[0]).cast("double"))
@@ -105,7 +108,7 @@ def recursive_forecast(features: DataFrame, model, feature_cols: Sequence[str],
     carry = [*keys, "last_date", "last_units", "last_price", "last_actual", "rmse"]
     assembler = VectorAssembler(inputCols=[f"_x_{c}" for c in feature_cols], outputCol="features")
     for i in range(1, horizon + 1):
-        feats = step_features(F.col("h"), add_months(F.col("last_date"), i), i,
+        feats = step_features(F.col("h"), add_periods(F.col("last_date"), i, grain), i,
                               F.col("last_units"), F.col("last_price"))
         x = state.withColumns({f"_x_{c}": F.coalesce(feats[c].cast("double"), F.lit(0.0))
                                for c in feature_cols})
@@ -118,6 +121,6 @@ def recursive_forecast(features: DataFrame, model, feature_cols: Sequence[str],
     rows = state.select(*keys, "last_date", "last_actual", "rmse",
                         F.posexplode("preds").alias("pos", "_value"))
     rows = rows.select(*keys, (F.col("pos") + 1).alias("step"),
-                       add_months(F.col("last_date"), F.col("pos") + 1).alias("date"),
+                       add_periods(F.col("last_date"), F.col("pos") + 1, grain).alias("date"),
                        "_value", F.col("rmse").alias("_rmse"), "last_actual")
     return finish(rows, keys, z)

@@ -1,11 +1,11 @@
 """K-01…K-07: price, volume and marketing scenarios over a forecast.
 
 Scenarios are lever settings ``(scenario_id, price_pct, units_pct,
-mkt_pct)``. A grid is generated in the plan from its ranges with
-``sequence``/``explode`` (its size is fixed by the parameters), and each
-forecast row is expanded by the grid as a literal array; no join is made.
-A scenario table (e.g. saved scenarios) is turned into the same array
-after a size check.
+mkt_pct)``. A grid is an array expression built from its ranges (its size is
+fixed by the parameters); saved scenarios are a table keyed by series and
+reach the forecast by an equi-join. Totals of a grid are computed per (series,
+setting) from the array of the series' few forecast steps, so no row is made
+per step.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ UNITS_RANGE = (-50, 50)
 MKT_RANGE = (-30, 100)
 LEVER_NOTE_CUT = 5
 MKT_NOTE_CUT = 20
-MAX_SCENARIOS = 100_000
+# Texts of the impact notes; the oracle reads them too.
+NOTE_BOTH = "Price %+d%% and volume %+d%% together change revenue by %+.1f%%."
+NOTE_MARKETING = "Marketing %+d%% lifts revenue by an estimated %+.1f%%."
+NOTE_PRICE = "Price %+d%% changes revenue by %+.1f%% if demand holds."
+NOTE_PLAIN = "Change against the forecast: %+.1f%%."
 
 
 def multiplier(p: Column, u: Column, m: Column) -> Column:
@@ -30,38 +34,44 @@ def multiplier(p: Column, u: Column, m: Column) -> Column:
     return (1 + p / 100.0) * (1 + u / 100.0) * (1 + m / 100.0 * MARKETING_ROMI)
 
 
-def lever_grid(step: int = 5, price=PRICE_RANGE, units=UNITS_RANGE, mkt=MKT_RANGE) -> Column:
-    """All lever settings on a grid, as an array<struct> expression (no data)."""
-    def seq(r):
+def lever_grid(price_step: int = 1, units_step: int = 1, mkt_step: int = 5,
+               price=PRICE_RANGE, units=UNITS_RANGE, mkt=MKT_RANGE) -> Column:
+    """All lever settings on a grid, each lever with its own step, as an array<struct> expression."""
+    def seq(r, step):
         return F.sequence(F.lit(r[0]), F.lit(r[1]), F.lit(step))
-    grid = F.flatten(F.transform(seq(price), lambda p: F.flatten(F.transform(
-        seq(units), lambda u: F.transform(
-            seq(mkt), lambda m: F.struct(p.alias("price_pct"), u.alias("units_pct"),
+    grid = F.flatten(F.transform(seq(price, price_step), lambda p: F.flatten(F.transform(
+        seq(units, units_step), lambda u: F.transform(
+            seq(mkt, mkt_step), lambda m: F.struct(p.alias("price_pct"), u.alias("units_pct"),
                                          m.alias("mkt_pct")))))))
     return F.transform(grid, lambda s, i: F.struct(
         (i + 1).alias("scenario_id"), s["price_pct"].alias("price_pct"),
         s["units_pct"].alias("units_pct"), s["mkt_pct"].alias("mkt_pct")))
 
 
-def scenarios_array(scenarios: DataFrame, max_rows: int = MAX_SCENARIOS) -> Column:
-    """A saved-scenario table as a literal array, after checking its size."""
-    n = scenarios.count()
-    if n > max_rows:
-        raise ValueError(f"{n} scenarios exceed the {max_rows} that are attached per row; "
-                         "split the table and run it in parts")
-    rows = scenarios.select("scenario_id", "price_pct", "units_pct", "mkt_pct").collect()
-    return F.array(*[F.struct(F.lit(r[0]).alias("scenario_id"), F.lit(r[1]).alias("price_pct"),
-                              F.lit(r[2]).alias("units_pct"), F.lit(r[3]).alias("mkt_pct"))
-                     for r in rows])
-
-
 def simulate(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
     """K-01, K-02, K-04: per-(series, scenario, step) revenue and flag."""
     keys = list(keys)
     x = forecast.select(*keys, "step", "date", F.col("forecast").alias("base"),
                         F.explode(grid).alias("s"))
-    x = x.select(*keys, "s.scenario_id", "s.price_pct", "s.units_pct", "s.mkt_pct",
-                 "step", "date", "base")
+    return _revenue(x.select(*keys, "s.scenario_id", "s.price_pct", "s.units_pct", "s.mkt_pct", "step", "date", "base"))
+
+
+def simulate_saved(forecast: DataFrame, scenarios: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """K-06: the same for a table of saved settings ``(keys…, scenario_id, price_pct, units_pct, mkt_pct)``.
+
+    Each series meets its own settings in an equi-join (null keys match); without
+    keys, every setting belongs to the one series."""
+    keys = list(keys)
+    levers = ["scenario_id", "price_pct", "units_pct", "mkt_pct"]
+    f, s = forecast.withColumn("_one", F.lit(1)).alias("f"), scenarios.withColumn("_one", F.lit(1)).alias("s")
+    same = F.lit(True)
+    for k in keys or ["_one"]:
+        same = same & F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return _revenue(f.join(s, same).select(*[f"f.{k}" for k in keys], *[f"s.{c}" for c in levers], "f.step", "f.date",
+                                           F.col("f.forecast").alias("base")))
+
+
+def _revenue(x: DataFrame) -> DataFrame:
     mult = multiplier(F.col("price_pct"), F.col("units_pct"), F.col("mkt_pct"))
     rev = F.bround(F.col("base") * mult, 0).cast("bigint")
     return x.withColumns({"scenario": rev}).withColumns({
@@ -69,6 +79,35 @@ def simulate(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Dat
         "better": F.col("scenario") >= F.col("base")})
 
 
+def impacts(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """K-03, K-05 of a whole grid: a series' steps become an array, then one row per setting."""
+    keys = list(keys)
+    x = _bases(forecast, keys).select("*", F.explode(grid).alias("s"))
+    m = multiplier(F.col("s.price_pct"), F.col("s.units_pct"), F.col("s.mkt_pct"))
+    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
+    return _noted(x.select(*keys, "s.*", "base_total", total.alias("scenario_total"))
+                  .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
+
+
+def best_of(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """K-07 of a whole grid: a map-side combined maximum, whatever the grid's size (ties → lowest id)."""
+    keys = list(keys)
+    x = _bases(forecast, keys).select("*", F.explode(grid).alias("s"))
+    m = multiplier(F.col("s.price_pct"), F.col("s.units_pct"), F.col("s.mkt_pct"))
+    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
+    best = F.max(F.struct(F.col("total"), (-F.col("s.scenario_id")).alias("_o"), F.col("s")))
+    top = x.select(*keys, "base_total", "s", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("b"))
+    return _noted(top.select(*keys, "b.s.*", "base_total", F.col("b.total").alias("scenario_total"))
+                  .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
+
+
+def _bases(forecast: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: its forecast steps (as many as the horizon) and their sum."""
+    return forecast.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "forecast"))), lambda s: s["forecast"]).alias("bases"),
+        F.sum("forecast").alias("base_total"))
+
+
 def impact(detail: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """K-03, K-05: totals, impact % and the narrative per (series, scenario)."""
     keys = list(keys)
@@ -76,17 +115,16 @@ def impact(detail: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.sum("base").alias("base_total"),
         F.sum("scenario").alias("scenario_total"),
         F.sum("diff").alias("impact"))
+    return _noted(a)
+
+
+def _noted(a: DataFrame) -> DataFrame:
     a = a.withColumn("impact_pct", F.try_divide(F.col("impact"), F.col("base_total")) * 100)
     p, u, m, pct = F.col("price_pct"), F.col("units_pct"), F.col("mkt_pct"), F.col("impact_pct")
-    text = (F.when((F.abs(p) > LEVER_NOTE_CUT) & (F.abs(u) > LEVER_NOTE_CUT),
-                   F.format_string("Combined price (%+d%%) + volume (%+d%%) -> net impact: %+.1f%%",
-                                   p, u, pct))
-            .when(m > MKT_NOTE_CUT,
-                  F.format_string("Marketing +%d%% -> estimated lift: %+.1f%% (35%% ROMI)", m, pct))
-            .when(F.abs(p) > LEVER_NOTE_CUT,
-                  F.format_string("Price %+d%% -> revenue impact: %+.1f%%. Monitor demand elasticity.",
-                                  p, pct))
-            .otherwise(F.format_string("Scenario impact: %+.1f%% vs baseline.", pct)))
+    text = (F.when((F.abs(p) > LEVER_NOTE_CUT) & (F.abs(u) > LEVER_NOTE_CUT), F.format_string(NOTE_BOTH, p, u, pct))
+            .when(m > MKT_NOTE_CUT, F.format_string(NOTE_MARKETING, m, pct))
+            .when(F.abs(p) > LEVER_NOTE_CUT, F.format_string(NOTE_PRICE, p, pct))
+            .otherwise(F.format_string(NOTE_PLAIN, pct)))
     return a.withColumns({"note": text,
                           "note_type": F.when(F.col("impact") >= 0, "success").otherwise("danger")})
 

@@ -2,7 +2,7 @@
 
 Targets are a table ``(keys…, step, target)``; the check is an equi-join
 on (keys, step) with the forecast, so any number of targets is checked in
-one pass. ``default_targets`` derives the reference's default per series.
+one pass. ``with_default_target`` derives the default per series.
 """
 
 from __future__ import annotations
@@ -47,14 +47,6 @@ def check_default_targets(forecast: DataFrame, keys: Sequence[str] = ()) -> Data
     return _verdicts(staged, keys)
 
 
-def default_targets(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """T-01: 1.1 × mean forecast, checked at the last step."""
-    keys = list(keys)
-    return forecast.groupBy(*keys).agg(
-        F.max("step").alias("step"),
-        (F.avg("forecast") * DEFAULT_TARGET_FACTOR).alias("target"))
-
-
 def check_targets(forecast: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """T-02…T-05 for each target row; ``forecast`` must carry ``last_actual``."""
     keys = list(keys)
@@ -83,21 +75,19 @@ def _verdicts(j: DataFrame, keys: list[str]) -> DataFrame:
 
 def target_per_period(forecast: DataFrame, targets: DataFrame | None = None,
                       keys: Sequence[str] = ()) -> DataFrame:
-    """T-06: every step against its series' target (a join on keys for a
-    target table; the default target needs no join)."""
+    """T-06: every step against its series' target: a join on keys, and on the
+    step where the targets have one; the default target needs no join."""
     keys = list(keys)
     if targets is None:
         staged = with_default_target(forecast, keys)
     else:
-        staged = forecast.join(targets.select(*keys, "target"), keys)
+        on = keys + (["step"] if "step" in targets.columns else [])
+        if on:
+            staged = forecast.join(targets.select(*on, "target"), on)
+        else:  # one series and one target for all its steps
+            rows = targets.select("target").limit(2).collect()
+            if len(rows) != 1:
+                raise ValueError("one series takes one target; give a step for several")
+            staged = forecast.withColumn("target", F.lit(rows[0][0]).cast("double"))
     return staged.select(*keys, "step", "date", "forecast", "target",
                          (F.col("forecast") >= F.col("target")).alias("meets_target"))
-
-
-def first_meeting_step(per_period: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Earliest step meeting the target per series (NULL if none)."""
-    keys = list(keys)
-    return per_period.groupBy(*keys).agg(
-        F.min(F.when(F.col("meets_target"), F.col("step"))).alias("first_step"))
-
-

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import FEATURE_COLUMNS
-from panelcast.operators.models import MODEL_NAMES, build
+from panelcast.operators.models import BOOST_ITERS, FOREST_TREES, MODEL_NAMES, build
 from panelcast.operators.smoothing import ES_NAME, es_predictions, leaderboard, pooled_metrics
 from panelcast.operators.splits import with_splits
 from panelcast.session import ensure_checkpoint_dir
 
-ROWS_PER_PARTITION = 500_000
+#: Partitions of the training data. Bagging is seeded per partition, so the number is the
+#: caller's and never follows from a row count or the session.
+PARTITIONS = 8
 DEFAULT_PARALLELISM = 6
 
 
@@ -70,7 +72,8 @@ def _label_stats(rows: list, keep) -> tuple[int, float]:
 
 def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = MODEL_NAMES,
                  cv: bool = True, include_es: bool = True, parallelism: int = DEFAULT_PARALLELISM,
-                 fast: bool = False, cv_mode: str = "kfold") -> TrainResult:
+                 cv_mode: str = "kfold", partitions: int = PARTITIONS, trees: int = FOREST_TREES,
+                 iterations: int = BOOST_ITERS) -> TrainResult:
     """Fit every model on the training split, cross-validate, rank.
 
     ``metrics``: one row per model with hold-out RMSE/MAE/R², CV means and
@@ -91,16 +94,16 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
     spark = features.sparkSession
     ensure_checkpoint_dir(spark)
     cols = feature_columns(features)
-    data = assemble(features, keys, cols)
+    # The panel is small and read by every fit: written once to the shared folder.
+    features = features.checkpoint(eager=True)
+    order = [*keys, "date"]
+    data = (assemble(features, keys, cols).repartition(partitions, *order).sortWithinPartitions(*order)
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
     # One small job: counts and label moments per (fold, is_test).
     stats = [r.asDict() for r in data.groupBy("fold", "is_test").agg(
         F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("s"),
         F.sum(F.col("revenue") ** 2).alias("ss")).collect()]
-    n_all = sum(r["n"] for r in stats)
-    n_parts = max(1, math.ceil(n_all / ROWS_PER_PARTITION))
-    data = data.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()  # materialise once, before the fits share it
     folds = sorted({r["fold"] for r in stats if r["fold"] is not None}) if cv else []
     if cv_mode == "expanding":
         folds = [f for f in folds if f >= 1]
@@ -119,7 +122,7 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
         else:
             train = data.filter(F.col("fold").isNotNull() & (F.col("fold") != fold))
             n, sd = _label_stats(stats, lambda r: r["fold"] is not None and r["fold"] != fold)
-        est = build(name, len(cols), sd, n, fast=fast)
+        est = build(name, len(cols), sd, n, trees=trees, iterations=iterations)
         return task, est.fit(train)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -146,7 +149,7 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
             F.avg("mae").alias("cv_mae_mean"), F.stddev_pop("mae").alias("cv_mae_std"),
             F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
             F.count(F.lit(1)).cast("int").alias("cv_splits"))
-        joined = hold_metrics.join(F.broadcast(cv_summary), "model", "left")
+        joined = hold_metrics.join(cv_summary, "model", "left")
     else:
         joined = hold_metrics.select("*", *[F.lit(None).cast("double").alias(c) for c in (
             "cv_rmse_mean", "cv_rmse_std", "cv_mae_mean", "cv_mae_std", "cv_r2_mean", "cv_r2_std")],

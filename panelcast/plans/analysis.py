@@ -8,9 +8,12 @@ predictions, recursive-forecast state).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ from panelcast.operators import scenarios as K
 from panelcast.operators import targets as T
 from panelcast.operators.features import add_features
 from panelcast.operators.insights import insights
-from panelcast.operators.models import LINEAR, MODEL_NAMES, RIDGE
+from panelcast.operators.models import BOOST_ITERS, FOREST_TREES, LINEAR, MODEL_NAMES, RIDGE
 from panelcast.operators.recursive import recursive_forecast
 from panelcast.operators.smoothing import ES_NAME, es_fit
+from panelcast.session import ensure_checkpoint_dir
 from panelcast.operators.training import TrainResult, assemble, series_metrics, train_models
 
 
@@ -54,8 +58,10 @@ def best_forecast(features: DataFrame, training: TrainResult, keys: Sequence[str
 
 
 def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[str] = (),
-                    model: str | None = None, method: str = "permutation") -> DataFrame:
-    """I-01/I-04/I-06 → I-08: normalised top-10 importance of the chosen model."""
+                    model: str | None = None, method: str = "permutation",
+                    samples: int = I.SHAPLEY_SAMPLES) -> DataFrame:
+    """I-01/I-04/I-06 → I-08: normalised top-10 importance of the chosen model; uniform
+    weights (I-07) if the model can't be scored."""
     keys = list(keys)
     name = model or training.best_name()
     spark = features.sparkSession
@@ -64,28 +70,35 @@ def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[s
     else:
         data = assemble(features, keys, training.feature_cols).filter(~F.col("is_test"))
         fitted = training.fitted[name]
-        if method == "linear" and name in (LINEAR, RIDGE):
-            raw = I.linear_attribution(fitted.coefficients.toArray().tolist(), data,
-                                       training.feature_cols)
-        elif method == "shapley":
-            raw = I.shapley_importance(I.shapley_sampling(
-                fitted, data, training.feature_cols, id_cols=[*keys, "date"]))
-        else:
-            raw = I.permutation_importance(fitted, data, training.feature_cols,
-                                           id_cols=[*keys, "date"])
+        try:
+            if method == "linear" and name in (LINEAR, RIDGE):
+                raw = I.linear_attribution(fitted.coefficients.toArray().tolist(), data,
+                                           training.feature_cols)
+            elif method == "shapley":
+                raw = I.shapley_importance(I.shapley_sampling(
+                    fitted, data, training.feature_cols, id_cols=[*keys, "date"], samples=samples))
+            else:
+                raw = I.permutation_importance(fitted, data, training.feature_cols,
+                                               id_cols=[*keys, "date"])
+            raw = raw.checkpoint(eager=True)  # one row per feature; a model that can't score fails here
+        except (PySparkException, Py4JJavaError) as e:
+            warnings.warn(f"{name} could not be scored, all features count alike: {e}", stacklevel=2)
+            raw = I.uniform_importance(spark, training.feature_cols)
     return I.normalise(raw)
 
 
 def run(panel: DataFrame, keys: Sequence[str] = (), horizon: int = G.DEFAULT_HORIZON,
-        models: Sequence[str] = MODEL_NAMES, cv: bool = True, fast: bool = False,
-        scenario_step: int = 10) -> Analysis:
+        models: Sequence[str] = MODEL_NAMES, cv: bool = True, trees: int = FOREST_TREES, iterations: int = BOOST_ITERS,
+        scenario_steps: tuple[int, int, int] = (5, 5, 10)) -> Analysis:
     keys = list(keys)
+    ensure_checkpoint_dir(panel.sparkSession)
+    panel = panel.checkpoint(eager=True)  # small; every section reads it
     features = add_features(panel, keys)
-    training = train_models(features, keys, models=models, cv=cv, fast=fast)
+    training = train_models(features, keys, models=models, cv=cv, trees=trees, iterations=iterations)
     best = training.best_name()
     fc = best_forecast(features, training, keys, horizon)
     tg = T.check_default_targets(fc, keys)
-    sc = K.impact(K.simulate(fc, K.lever_grid(scenario_step), keys), keys)
+    sc = K.impacts(fc, K.lever_grid(*scenario_steps), keys)
     imp = best_importance(features, training, keys)
     ins = insights(imp, training.metrics.filter("is_best"), features)
     sections = {

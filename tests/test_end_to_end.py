@@ -26,7 +26,7 @@ def test_csv_scan_then_clean(spark, sf_small):
 
 def test_analysis_run_fast(spark, sf_small):
     panel = fx.sales_by_brand(spark, sf_small)
-    res = analysis.run(panel, ["series_key"], horizon=3, models=[LINEAR, FOREST], fast=True)
+    res = analysis.run(panel, ["series_key"], horizon=3, models=[LINEAR, FOREST], trees=10)
     assert res.training.metrics.count() == 3
     assert res.forecast.count() == 3 * panel.select("series_key").distinct().count()
     assert res.forecast.filter(F.col("lower") > F.col("upper")).count() == 0

@@ -11,12 +11,13 @@ from panelcast.operators import importance as I
 from panelcast.operators import report as H
 from panelcast.operators.activity import activity_counts, activity_footer, activity_view
 from panelcast.operators.features import add_features
+from panelcast.operators import insights as J
 from panelcast.operators.insights import insights
 from panelcast.operators.models import LINEAR
 from panelcast.operators.training import assemble, train_models
 from panelcast.sources import fixtures as fx
 from panelcast.sources.activity_log import append_activity, read_activity_log
-from panelcast.sources.sinks import report_lines, write_report
+from panelcast.sources.sinks import TITLE, report_lines, write_report
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def test_permutation_importance_and_normalise(spark, trained):
     feats, tr = trained
     data = assemble(feats, ["series_key"], tr.feature_cols).filter(~F.col("is_test"))
     raw = I.permutation_importance(tr.fitted[LINEAR], data, tr.feature_cols, repeats=2,
-                                   id_cols=["series_key", "date"], bucket_rows=50)
+                                   id_cols=["series_key", "date"])
     assert raw.count() == len(tr.feature_cols)
     norm = I.normalise(raw).toPandas()
     assert len(norm) <= 10 and (norm["importance"] > 0).all()
@@ -65,12 +66,11 @@ def test_insights_rules(spark, trained):
         .withColumn("method", F.lit("Permutation importance"))
     got = insights(imp, tr.metrics.filter("is_best"), feats).orderBy("seq").toPandas()
     texts = " ".join(got["text"])
-    assert "Price is the strongest revenue driver at 20.0%" in texts
-    assert "Seasonality factors account for 15.0%" in texts
-    assert got.loc[got["text"].str.startswith("Price drives"), "type"].iloc[0] == "danger"
+    assert J.T_FIRST % ("Price", 20.0) in texts and J.T_SEASON % 15.0 in texts
+    assert got.loc[got["text"].str.startswith("Price holds"), "type"].iloc[0] == "danger"
     empty = imp.limit(0)
     e = insights(empty, tr.metrics.filter("is_best"), feats).toPandas()
-    assert e["text"].tolist() == ["Feature importance not available."]
+    assert e["text"].tolist() == [J.T_NONE]
 
 
 def test_report_sections_and_sinks(spark, sf_small, trained):
@@ -86,7 +86,7 @@ def test_report_sections_and_sinks(spark, sf_small, trained):
     assert back.count() == panel.count()
     lines = report_lines({"models": H.model_section(tr.metrics), "forecast": None}) \
         .orderBy("section_no", "line_no").toPandas()
-    assert lines["text"].iloc[0].startswith("=== REVENUE")
+    assert lines["text"].iloc[0] == TITLE
     assert lines["text"].iloc[1] == "--- MODEL EVALUATION ---"
 
 
@@ -124,27 +124,69 @@ def test_activity_stream_counts(spark, sf_small):
     assert 0 < got.agg(F.sum("total_events")).first()[0] <= total
 
 
-def test_shapley_sampling_is_additive_for_linear(spark, trained):
+def test_donors_are_one_cycle_at_any_partitioning(spark):
+    rows = spark.range(500).select(F.struct("id").alias("_rid"), F.array(F.col("id").cast("double")).alias("_x"))
+    got = [sorted((r._r, r._rid.id, int(r._d[0])) for r in I.donors(rows.repartition(n), 3, 42, chunks=c).collect())
+           for n, c in ((1, 16), (7, 16), (3, 4))]
+    assert got[0] == got[1] and len(got[0]) == len(got[2]) == 1500
+    for rep in range(3):
+        step = {a: b for r, a, b in got[0] if r == rep}
+        at, seen = 0, []
+        while at not in seen:
+            seen.append(at)
+            at = step[at]
+        assert len(seen) == 500
+
+
+def test_shapley_sampling_of_a_linear_model(spark, trained):
     feats, tr = trained
-    data = assemble(feats, ["series_key"], tr.feature_cols).filter(~F.col("is_test"))
+    data = assemble(feats, ["series_key"], tr.feature_cols).filter(~F.col("is_test")).orderBy("series_key", "date").limit(7)
     model = tr.fitted[LINEAR]
-    bg = I.background_sample(data, ["series_key", "date"], size=1)
-    rows = data.orderBy("series_key", "date").limit(7)
-    att = I.shapley_sampling(model, rows, tr.feature_cols, id_cols=["series_key", "date"],
-                             samples=3, background=bg).toPandas()
+    att = I.shapley_sampling(model, data, tr.feature_cols, id_cols=["series_key", "date"], samples=3).toPandas()
     coef = model.coefficients.toArray()
-    x = {int(r["_rid"]): np.array(r["f"].toArray()) for r in rows.select(
-        F.xxhash64("series_key", "date", F.lit(42)).alias("_rid"), F.col("features").alias("f")).collect()}
-    b = np.array(bg[0])
-    for _, r in att.iterrows():
-        j = tr.feature_cols.index(r["feature"])
-        want = coef[j] * (x[int(r["row_id"])][j] - b[j])
-        assert r["shap"] == pytest.approx(want, rel=1e-6, abs=1e-6 * max(1.0, abs(want)))
+    base = data.select(F.struct("series_key", "date").alias("_rid"), I.vector_to_array("features").alias("_x"))
+    want = {}
+    for r in I.donors(base, 3, 42).collect():
+        for j, c in enumerate(tr.feature_cols):
+            k = (r._rid.series_key, str(r._rid.date), c)
+            want[k] = want.get(k, 0) + coef[j] * (r._x[j] - r._d[j]) / 3
     assert len(att) == 7 * len(tr.feature_cols)
+    for _, r in att.iterrows():
+        w = want[r["series_key"], str(r["date"]), r["feature"]]
+        assert r["shap"] == pytest.approx(w, rel=1e-6, abs=1e-6 * max(1.0, abs(w)))
     imp = I.normalise(I.shapley_importance(spark.createDataFrame(att)), top_k=99).toPandas()
     assert imp["importance"].sum() == pytest.approx(100.0, abs=0.1)
 
 
+def test_uniform_weights_if_the_model_cannot_score(spark, trained):
+    from pyspark.ml.feature import SQLTransformer
+
+    from panelcast.plans import analysis
+    feats, tr = trained
+    broken = SQLTransformer(statement="SELECT *, raise_error('no') AS prediction FROM __THIS__")
+    tr = type(tr)(metrics=tr.metrics, predictions=tr.predictions, fitted={"Broken": broken}, feature_cols=tr.feature_cols)
+    with pytest.warns(UserWarning):
+        imp = analysis.best_importance(feats, tr, ["series_key"], model="Broken").toPandas()
+    assert set(imp["method"]) == {I.METHOD_UNIFORM} and imp["importance"].nunique() == 1
+
+
+def test_log_as_an_indented_array(spark, tmp_path):
+    import json
+    rows = [{"timestamp": "05 Jan 2024  10:00:00", "username": f"u{i}", "name": "n", "action": None if i == 1 else "Login", "role": "admin"} for i in range(3)]
+    (tmp_path / "log.json").write_text(json.dumps(rows, indent=2))
+    log = read_activity_log(spark, str(tmp_path / "log.json"))
+    assert log.count() == 3
+    assert [r.username for r in activity_view(log).collect()] == ["u2", "u1", "u0"]
+    (tmp_path / "lines.json").write_text(json.dumps(rows[0]) + "\nnot json\n" + json.dumps(rows[1]) + "\n")
+    assert [r.username for r in read_activity_log(spark, str(tmp_path / "lines.json")).orderBy("pos").collect()] == ["u0", "u1"]
+
+
+def test_report_lines_are_ordered_and_escaped(spark):
+    df = spark.createDataFrame([(3, 'a "b"'), (1, "x,y"), (2, "l1\nl2")], "step int, note string").repartition(3)
+    got = report_lines({"forecast": df}).orderBy("section_no", "line_no").toPandas()["text"].tolist()
+    assert got[2:] == ["step,note", '1,"x,y"', '2,"l1\nl2"', '3,"a ""b"""']
+
+
 def test_save_and_list_scenarios(spark):
     from panelcast.operators.scenarios import list_scenarios, save_scenarios
     path = os.path.join(tempfile.mkdtemp(prefix="panelcast-scen-"), "saved")

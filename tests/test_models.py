@@ -46,17 +46,13 @@ def test_short_series_has_no_fold(spark):
     assert got["fold"].isna().all()
 
 
-def test_smoothing_closed_form_equals_loop(spark):
+def test_smoothing_closed_form_equals_ewm(spark):
     values = [100.0, 120.0, 90.0, 130.0, 125.0, 140.0, 150.0, 135.0, 160.0, 170.0]
     st = es_fit(add_features(_series(spark, values), []), []).first()
     n = len(values)
     split = max(int(n * 0.8), n - 6)
-    train = pd.Series(values[:split])
-    s = train.iloc[0]
-    for v in train:
-        s = ALPHA * v + (1 - ALPHA) * s
+    s = pd.Series(values[:split]).ewm(alpha=ALPHA, adjust=False).mean().iloc[-1]
     assert st["last_smooth"] == pytest.approx(s, rel=1e-12)
-    assert st["last_smooth"] == pytest.approx(train.ewm(alpha=ALPHA, adjust=False).mean().iloc[-1])
     test = np.array(values[split:])
     assert st["rmse"] == pytest.approx(math.sqrt(np.mean((test - s) ** 2)))
     growth = pd.Series(values).pct_change().dropna().mean() * 0.65
@@ -81,37 +77,54 @@ def test_end_of_month_clamp(spark):
     assert str(got.date()) == "2024-02-29"
 
 
-def test_recursive_forecast_matches_brute_force(spark, sf_small):
+def _scorer(expression):
+    from pyspark.ml.feature import SQLTransformer
+    return SQLTransformer(statement=f"SELECT *, {expression} AS prediction FROM __THIS__")
+
+
+@pytest.mark.parametrize("expression, want", [
+    ("_x_lag_1 + 10", [50.0, 60.0, 70.0, 80.0]),                 # each step feeds the next
+    ("_x_lag_3", [20.0, 30.0, 40.0, 20.0]),                     # three steps back: forecasts come round
+    ("_x_rolling_mean_3 * 2", [60.0, 260 / 3, 1120 / 9, 4880 / 27]),
+    ("_x_units_sold", [1.005, 1.01, 1.015, 1.02]),              # units drift by half a percent a step
+    ("_x_price * 100", [100.2, 100.4, 100.6, 100.8]),
+    ("_x_lag_1 - 1000", [0.0, 0.0, 0.0, 0.0]),                  # never below zero
+    ("_x_month", [5.0, 6.0, 7.0, 8.0]),
+])
+def test_recursive_steps_by_hand(spark, expression, want):
+    feats = add_features(_series(spark, [10.0, 20.0, 30.0, 40.0]), [])
+    cols = ["lag_1", "lag_3", "rolling_mean_3", "units_sold", "price", "month"]
+    rmse = spark.createDataFrame([(0.0,)], "rmse double")
+    got = recursive_forecast(feats, _scorer(expression), cols, rmse, [], horizon=4).orderBy("step").toPandas()
+    assert got["forecast"].tolist() == pytest.approx(want, abs=0.006)
+
+
+def test_null_series_and_long_horizon(spark):
+    feats = add_features(_series(spark, [10.0, 20.0, 30.0]).withColumn("k", F.lit(None).cast("string")), ["k"])
+    rmse = spark.createDataFrame([(None, 1.0)], "k string, rmse double")
+    assert recursive_forecast(feats, _scorer("_x_lag_1"), ["lag_1"], rmse, ["k"], horizon=15).count() == 15
+    fc = G.es_forecast(es_fit(feats, ["k"]), ["k"], horizon=20, grain="day").orderBy("step").toPandas()
+    assert len(fc) == 20 and (fc["date"].diff().dropna() == pd.Timedelta(days=1)).all()
+    with pytest.raises(ValueError):
+        G.es_forecast(es_fit(feats, ["k"]), ["k"], horizon=0)
+
+
+def test_forest_does_not_depend_on_the_input_partitions(spark, sf_small):
+    from panelcast.operators.models import FOREST
     feats = add_features(fx.sales_by_brand(spark, sf_small), ["series_key"])
-    tr = train_models(feats, ["series_key"], models=[LINEAR], cv=False, include_es=False)
-    model = tr.fitted[LINEAR]
-    rmse = series_metrics(tr.predictions, ["series_key"])
-    got = recursive_forecast(feats, model, tr.feature_cols, rmse, ["series_key"], horizon=4) \
-        .orderBy("series_key", "step").toPandas()
-    coef, icpt = model.coefficients.toArray(), model.intercept
-    pdf = feats.orderBy("series_key", "date").toPandas()
-    rows = []
-    for key, g in pdf.groupby("series_key"):
-        revs = list(g["revenue"])
-        last = g.iloc[-1]
-        for i in range(1, 5):
-            d = pd.Timestamp(last["date"]) + pd.DateOffset(months=i)
-            row = {"month": d.month, "quarter": d.quarter, "year": d.year, "day_of_year": d.dayofyear,
-                   "month_sin": np.sin(2 * np.pi * d.month / 12),
-                   "month_cos": np.cos(2 * np.pi * d.month / 12),
-                   "lag_1": revs[-1], "lag_2": revs[-2] if len(revs) >= 2 else revs[-1],
-                   "lag_3": revs[-3] if len(revs) >= 3 else revs[-1],
-                   "rolling_mean_3": np.mean(revs[-3:]),
-                   "rolling_std_3": np.std(revs[-3:]) if len(revs) >= 3 else 0,
-                   "rolling_mean_6": np.mean(revs[-6:]),
-                   "units_sold": float(last["units_sold"]) * (1 + 0.005 * i),
-                   "price": float(last["price"]) * (1 + 0.002 * i)}
-            pred = max(0.0, float(np.dot(coef, [row[c] for c in tr.feature_cols]) + icpt))
-            revs.append(pred)
-            rows.append((key, i, round(pred, 2)))
-    want = pd.DataFrame(rows, columns=["series_key", "step", "forecast"])
-    np.testing.assert_allclose(got["forecast"].to_numpy(), want["forecast"].to_numpy(),
-                               rtol=1e-7, atol=0.011)
+    out = []
+    for parts in (1, 8):
+        r = train_models(feats.repartition(parts), ["series_key"], models=[FOREST], cv=False, include_es=False, trees=5)
+        out.append(r.predictions.orderBy("series_key", "date").toPandas())
+    pd.testing.assert_frame_equal(out[0], out[1])
+
+
+def test_one_target_for_one_series(spark):
+    fc = spark.createDataFrame([(1, 100.0), (2, 200.0)], "step int, forecast double").withColumn("date", F.lit(None).cast("timestamp_ntz"))
+    one = spark.createDataFrame([(150.0,)], "target double")
+    assert [r.meets_target for r in T.target_per_period(fc, one).orderBy("step").collect()] == [False, True]
+    each = spark.createDataFrame([(1, 90.0), (2, 300.0)], "step int, target double")
+    assert [r.meets_target for r in T.target_per_period(fc, each).orderBy("step").collect()] == [True, False]
 
 
 def test_target_verdict_monotone(spark):
@@ -135,11 +148,11 @@ def test_scenario_identity_and_rounding(spark):
     assert d["scenario"].tolist() == [100, 102]           # half-even, like numpy
     imp = K.impact(K.simulate(fc, grid, ["k"]), ["k"]).first()
     assert imp["impact"] == pytest.approx(0.0)
-    assert imp["note"] == "Scenario impact: +0.0% vs baseline."
+    assert imp["note"] == K.NOTE_PLAIN % 0.0
 
 
 def test_lever_grid_size(spark):
-    n = spark.range(1).select(F.size(K.lever_grid(5)).alias("n")).first()["n"]
+    n = spark.range(1).select(F.size(K.lever_grid(5, 5, 5)).alias("n")).first()["n"]
     assert n == 21 * 21 * 27
 
 
@@ -165,14 +178,23 @@ def test_partition_invariance_of_decisions(spark, sf_small, name):
     pd.testing.assert_frame_equal(results[0], results[1])
 
 
-def test_saved_scenarios_attach_after_size_check(spark):
-    fc = spark.createDataFrame([("A", 1, 100.0), ("A", 2, 200.0)], "k string, step int, forecast double") \
+def test_saved_scenarios_belong_to_their_series(spark):
+    fc = spark.createDataFrame([("A", 1, 100.0), ("A", 2, 200.0), (None, 1, 10.0)], "k string, step int, forecast double") \
         .withColumn("date", F.lit(None).cast("timestamp_ntz"))
-    saved = spark.createDataFrame([(7, 10, 0, 0), (8, 0, 0, 40)],
-                                  "scenario_id int, price_pct int, units_pct int, mkt_pct int")
-    imp = K.impact(K.simulate(fc, K.scenarios_array(saved), ["k"]), ["k"]) \
-        .orderBy("scenario_id").toPandas()
-    assert imp["scenario_total"].tolist() == [330, 342]          # ×1.1 and ×1.14
-    assert imp["note"].iloc[1].startswith("Marketing +40%")
-    with pytest.raises(ValueError):
-        K.scenarios_array(saved, max_rows=1)
+    saved = spark.createDataFrame([("A", 7, 10, 0, 0), ("A", 8, 0, 0, 40), (None, 9, 0, 100, 0)],
+                                  "k string, scenario_id int, price_pct int, units_pct int, mkt_pct int")
+    imp = K.impact(K.simulate_saved(fc, saved, ["k"]), ["k"]).orderBy("scenario_id").toPandas()
+    assert imp["scenario_total"].tolist() == [330, 342, 20]          # ×1.1, ×1.14 and ×2
+    assert imp["note"].iloc[1] == K.NOTE_MARKETING % (40, 14.0)
+    assert K.simulate_saved(fc.where("k = 'A'"), saved).count() == 6
+
+
+def test_grid_totals_equal_the_rows(spark):
+    fc = spark.createDataFrame([("A", 1, 100.5), ("A", 2, 201.25), ("B", 1, 3.5)], "k string, step int, forecast double") \
+        .withColumn("date", F.lit(None).cast("timestamp_ntz"))
+    grid = K.lever_grid(25, 50, 65)
+    cols = ["k", "scenario_id", "scenario_total", "note"]
+    rows = K.impact(K.simulate(fc, grid, ["k"]), ["k"])
+    assert sorted(map(tuple, K.impacts(fc, grid, ["k"]).select(cols).collect())) == sorted(map(tuple, rows.select(cols).collect()))
+    best = K.best_scenario(rows, ["k"]).select(cols)
+    assert sorted(map(tuple, K.best_of(fc, grid, ["k"]).select(cols).collect())) == sorted(map(tuple, best.collect()))
