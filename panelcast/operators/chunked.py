@@ -31,6 +31,16 @@ SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4          # bracket half-width in units of the sketch's rank error
 
 
+def join_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key is a series like any other; keys come from the left."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
+    more = [F.col(f"_r.{c}") for c in right.columns if c not in set(keys)] if how != "left_semi" else []
+    out = left.alias("_l").join(right.alias("_r"), same, how)
+    return out.select(*[F.col(f"_l.{c}") for c in left.columns], *more)
+
+
 def chunk_of(order: str, chunk_rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk_rows)).cast("long")
 
@@ -49,7 +59,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order:
         for i in range(len(cols))])
     local = Window.partitionBy(*keys, "_chunk").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = d.join(carry, [*keys, "_chunk"], "left")
+    out = join_series(d, carry, [*keys, "_chunk"], "left")
     out = out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(local), F.col(f"_carry{i}"))
                            for i, c in enumerate(cols)})
     return out.drop("_chunk", *[f"_carry{i}" for i in range(len(cols))])
@@ -65,7 +75,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int,
     offsets = counts.select(*keys, "_chunk",
                             F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    return d.join(offsets, [*keys, "_chunk"], "left") \
+    return join_series(d, offsets, [*keys, "_chunk"], "left") \
         .withColumn(name, F.col("_off") + local).drop("_chunk", "_off")
 
 
@@ -83,7 +93,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, flo
                  F.percentile_approx(c, F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))),
                                      accuracy).alias(f"_br{i}")]
     stats = df.groupBy(*keys).agg(*aggs)
-    joined = df.join(stats, keys)
+    joined = join_series(df, stats, keys)
     # One long row per (row, spec) that is below its bracket or inside it.
     tagged = F.array(*[F.struct(
         F.lit(i).alias("spec"), F.col(c).cast("double").alias("v"),
@@ -93,25 +103,28 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, flo
     long = joined.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.*") \
         .filter(F.col("v").isNotNull() & (F.col("below") | F.col("cand")))
     below = long.groupBy(*keys, "spec").agg(F.count_if("below").alias("_below"))
-    cand = long.filter("cand").withColumn(
-        "_r", F.row_number().over(Window.partitionBy(*keys, "spec").orderBy("v")) - 1)
+    # Equal values are counted first, so a value that half a series shares is one row here.
+    kinds = long.filter("cand").groupBy(*keys, "spec", "v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys, "spec").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cand = kinds.withColumn("_last", F.sum("_c").over(upto) - 1)
     n_of = F.element_at(F.array(*[F.col(f"_n{i}") for i in range(len(specs))]), F.col("spec") + 1)
     q_of = F.element_at(F.array(*[F.lit(float(q)) for _, q, _ in specs]), F.col("spec") + 1)
-    ranked = cand.join(below, [*keys, "spec"], "left").join(
-        stats.select(*keys, *[f"_n{i}" for i in range(len(specs))]), keys)
-    ranked = ranked.withColumns({"_g": F.col("_r") + F.coalesce(F.col("_below"), F.lit(0)),
+    ranked = join_series(join_series(cand, below, [*keys, "spec"], "left"),
+                         stats.select(*keys, *[f"_n{i}" for i in range(len(specs))]), keys)
+    ranked = ranked.withColumns({"_top": F.col("_last") + F.coalesce(F.col("_below"), F.lit(0)),
                                  "_pos": (n_of - 1).cast("double") * q_of})
+    ranked = ranked.withColumn("_low", F.col("_top") - F.col("_c") + 1)
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     picked = ranked.groupBy(*keys, "spec").agg(
-        F.max(F.when(F.col("_g") == lo, F.col("v"))).alias("_a"),
-        F.max(F.when(F.col("_g") == hi, F.col("v"))).alias("_b"),
+        F.max(F.when((F.col("_low") <= lo) & (lo <= F.col("_top")), F.col("v"))).alias("_a"),
+        F.max(F.when((F.col("_low") <= hi) & (hi <= F.col("_top")), F.col("v"))).alias("_b"),
         F.first("_pos").alias("_pos"))
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     a, b = F.col("_a"), F.col("_b")
     value = F.when((lo == hi) | (a == b), a).otherwise((hi - F.col("_pos")) * a + (F.col("_pos") - lo) * b)
     ok = F.when(lo == hi, a.isNotNull()).otherwise(a.isNotNull() & b.isNotNull())
     picked = picked.select(*keys, "spec", F.when(ok, value).alias("_val"), ok.alias("_ok"))
-    wide = stats.select(*keys).join(
+    wide = join_series(stats.select(*keys),
         picked.groupBy(*keys).agg(*[
             F.max(F.when(F.col("spec") == i, F.col("_val"))).alias(name)
             for i, (_, _, name) in enumerate(specs)],
@@ -121,9 +134,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, flo
     missed = F.lit(False)
     for i in range(len(specs)):
         missed = missed | (F.col(f"_n{i}") > 0) & ~F.coalesce(F.col(f"_ok{i}"), F.lit(False))
-    need = wide.join(stats, keys).filter(missed).select(*keys)
-    exact = df.join(need, keys, "left_semi").groupBy(*keys).agg(*[
+    need = join_series(wide, stats, keys).filter(missed).select(*keys)
+    exact = join_series(df, need, keys, "left_semi").groupBy(*keys).agg(*[
         F.percentile(c, F.lit(q)).alias(f"_x{i}") for i, (c, q, _) in enumerate(specs)])
-    out = wide.join(exact, keys, "left")
+    out = join_series(wide, exact, keys, "left")
     return out.select(*keys, *[F.coalesce(F.col(name), F.col(f"_x{i}")).alias(name)
                                for i, (_, _, name) in enumerate(specs)])

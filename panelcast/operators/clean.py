@@ -50,15 +50,6 @@ def _numeric(df: DataFrame, name: str | None) -> Column:
     return nan_to_null(F.col(name).try_cast("double"))
 
 
-def choose_date_format(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> str | None:
-    """First format that parses every present value of ``col`` (one aggregate job)."""
-    row = df.agg(*failures_per_format(F.col(col), formats)).first()
-    for i, f in enumerate(formats):
-        if row[i] == 0:
-            return f
-    return None
-
-
 def date_format_index(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Index of the first format that parses every present value, as a lazy
     scalar subquery (NULL when none does). Spark runs it once per query."""
@@ -124,7 +115,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     else:
         fallback = F.lit(None).cast("timestamp_ntz")
     if dcol is not None and isinstance(df.schema[dcol].dataType, _DATE_TYPES):
-        date_expr, date_ok = F.to_date(F.col(dcol)).cast("timestamp_ntz"), F.lit(True)
+        date_expr, date_ok = F.col(dcol).cast("timestamp_ntz"), F.lit(True)
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
         # The subquery is referenced once, as a column; the CASE reads the column.
         df = df.withColumn("_fmt", date_format_index(df, dcol, formats))
@@ -226,7 +217,7 @@ def _chunked_fills(proj: DataFrame, keys: list[str], chunk_rows: int, kept: Colu
     ff = chunked.forward_fill(m, ["_mu", "_mp"], keys, "seq", chunk_rows)
     stats = chunked.quantiles(m, keys, [("_mu", 0.5, "_med_u"), ("_mp", 0.5, "_med_p"),
                                         ("_mr", 0.25, "_q1"), ("_mr", 0.75, "_q3")])
-    out = ff.join(stats, keys, "left")
+    out = chunked.join_series(ff, stats, keys, "left")
     return out.withColumns({
         "units_sold": F.coalesce(F.col("_mu"), F.col("_med_u")),
         "price": F.coalesce(F.col("_mp"), F.col("_med_p")),

@@ -44,28 +44,3 @@ def backfill(col: str | Column, w_desc: WindowSpec) -> Column:
 def nan_to_null(c: Column) -> Column:
     """Spark keeps NaN apart from NULL; the data model has NULL only."""
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
-def exact_sum(col: str | Column, scale: int = 4, over: WindowSpec | None = None) -> Column:
-    """Order-independent sum of money, returned as DOUBLE.
-
-    Each amount is split into whole units (``floor``, a long) and a
-    fixed-point remainder with ``scale`` places (a long); both are summed
-    exactly as longs and combined once per group. The result does not depend
-    on partitioning, task order or retries after executor loss (a double sum
-    does), and it avoids per-row BigDecimal arithmetic. Amounts must have at
-    most ``scale`` decimal places (prices and discounts with 2 do).
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    whole = F.floor(c)
-    frac = F.rint((c - whole) * float(10 ** scale)).cast("long")
-    hi, lo = F.sum(whole), F.sum(frac)
-    if over is not None:
-        hi, lo = hi.over(over), lo.over(over)
-    return hi.cast("double") + lo.cast("double") / float(10 ** scale)
-
-
-def exact_avg(col: str | Column, scale: int = 4) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return exact_sum(c, scale) / F.count(c)
-

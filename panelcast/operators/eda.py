@@ -11,23 +11,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.common import exact_avg, exact_sum, order_cols
+from panelcast.operators.common import order_cols
 
 # Columns of the correlation matrix, in display order (fixed values).
 CORR_COLUMNS = ["revenue", "units_sold", "price", "growth_rate", "lag_1"]
 
 
+# Texts of the observations; the oracle reads them too.
+NOTE_PEAK = "Best month on average: %s."
+NOTE_GROWTH = "Mean change from one period to the next: %+.1f%% (%s)."
+TREND_UP, TREND_DOWN = "rising", "not rising"
+NOTE_SPREAD = "Spread of revenue around its mean: %.1f%%. %s"
+SPREAD_WIDE, SPREAD_NARROW = "Periods differ a lot.", "Periods are alike."
+
+
 def _summary_aggs(features: DataFrame) -> list:
     rev = F.col("revenue")
     has_growth = "growth_rate" in features.columns
     return [
         F.count(F.lit(1)).alias("n_periods"),
-        exact_sum(rev).alias("total_revenue"),
-        exact_avg(rev).alias("mean_revenue"),
+        F.sum(rev).alias("total_revenue"),
+        F.avg(rev).alias("mean_revenue"),
         F.max(rev).alias("peak_revenue"),
         F.min(rev).alias("min_revenue"),
         F.stddev_samp(rev).alias("std_revenue"),
-        (F.try_divide(F.stddev_pop(rev), exact_avg(rev)) * 100).alias("cv_pct"),
+        (F.try_divide(F.stddev_pop(rev), F.avg(rev)) * 100).alias("cv_pct"),
         (F.coalesce(F.avg("growth_rate"), F.lit(0.0)) if has_growth else F.lit(0.0)).alias("avg_growth"),
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
@@ -57,7 +65,7 @@ def seasonality(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     month = F.month("date")
     return (features.groupBy(*keys, month.alias("month"))
-            .agg(exact_avg("revenue").alias("avg_revenue"))
+            .agg(F.avg("revenue").alias("avg_revenue"))
             .withColumn("month_name", month_label(F.col("month"))))
 
 
@@ -103,7 +111,7 @@ def observations(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     by_month = Window.partitionBy(*keys, F.month("date"))
     staged = features.withColumns({
         "_month": F.month("date"),
-        "_mavg": exact_sum("revenue", over=by_month) / F.count(F.lit(1)).over(by_month)})
+        "_mavg": F.avg("revenue").over(by_month)})
     s = staged.groupBy(*keys).agg(
         *_summary_aggs(features),
         F.max_by(month_label(F.col("_month")),
@@ -111,15 +119,13 @@ def observations(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     g, cv = F.col("avg_growth"), F.col("cv_pct")
     notes = F.array(
         F.struct(F.lit(1).alias("seq"), F.lit("info").alias("type"),
-                 F.format_string("Peak revenue month: %s. Front-load inventory and campaigns "
-                                 "4-6 weeks prior.", F.col("peak_month")).alias("text")),
+                 F.format_string(NOTE_PEAK, F.col("peak_month")).alias("text")),
         F.struct(F.lit(2).alias("seq"), F.when(g > 0, "success").otherwise("danger").alias("type"),
-                 F.format_string("Average monthly growth: %+.1f%% - trend is %s.", g,
-                                 F.when(g > 0, "positive").otherwise("declining")).alias("text")),
+                 F.format_string(NOTE_GROWTH, g,
+                                 F.when(g > 0, TREND_UP).otherwise(TREND_DOWN)).alias("text")),
         F.struct(F.lit(3).alias("seq"), F.when(cv > 20, "warning").otherwise("success").alias("type"),
-                 F.format_string("Volatility CV = %.1f%%. %s", cv,
-                                 F.when(cv > 20, "High variance - consider demand-smoothing.")
-                                 .otherwise("Stable revenue stream.")).alias("text")),
+                 F.format_string(NOTE_SPREAD, cv,
+                                 F.when(cv > 20, SPREAD_WIDE).otherwise(SPREAD_NARROW)).alias("text")),
     )
     return s.select(*keys, F.inline(notes))
 

@@ -62,13 +62,15 @@ def add_features(panel: DataFrame, keys: Sequence[str] = (), fill: str = "bfill"
         F.when(F.max("price").over(whole_series(keys)) > 0,
                rev / (F.col("price") + RATIO_EPS)).alias("price_revenue_ratio"),
         (F.row_number().over(w) - 1).cast("int").alias("row_idx"),
+        lag1.alias("_base"),
     )
     if fill == "drop":
-        stage = stage.filter(F.col("row_idx") >= 3)
+        # Positions count the rows that stay: splits, folds and smoothing rely on them.
+        stage = stage.filter(F.col("row_idx") >= 3).withColumn("row_idx", F.col("row_idx") - 3)
         filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in
                   ("lag_1", "lag_2", "lag_3", "rolling_mean_3", "rolling_mean_6",
                    "growth_rate", "units_sold", "price")}
-        return stage.withColumns(filled)
+        return stage.withColumns(filled).drop("_base")
 
     # Head nulls sit in the first k rows, so the next non-null value is at most k
     # rows ahead: bounded frames over the same spec, no extra sort.
@@ -76,13 +78,14 @@ def add_features(panel: DataFrame, keys: Sequence[str] = (), fill: str = "bfill"
     ahead = {"lag_1": 1, "lag_2": 2, "lag_3": 3, "rolling_mean_3": 1, "rolling_mean_6": 1}
     filled = {c: F.coalesce(F.first(c, ignorenulls=True).over(w2.rowsBetween(0, k)), F.lit(0.0))
               for c, k in ahead.items()}
-    # Growth is null on row 0 (back-filled) and after a zero base; the
-    # reference keeps the latter as inf, so only row 0 is filled.
+    # Growth is null on row 0 and for 0 after 0 (both back-filled), and after a
+    # zero base otherwise: that has no finite value and stays null.
+    wd0 = series_window_desc(stage, keys)
+    undefined = (F.col("row_idx") == 0) | F.coalesce((F.col("_base") == 0) & (rev == 0), F.lit(False))
     filled["growth_rate"] = F.when(
-        F.col("row_idx") == 0,
-        F.coalesce(F.first("growth_rate", ignorenulls=True).over(w2.rowsBetween(0, 1)), F.lit(0.0))
+        F.col("growth_rate").isNull() & undefined, F.coalesce(backfill("growth_rate", wd0), F.lit(0.0))
     ).otherwise(F.col("growth_rate"))
-    stage = stage.withColumns(filled)
+    stage = stage.withColumns(filled).drop("_base")
     # Units, price and the ratio can hold nulls anywhere in raw panels.
     wd = series_window_desc(stage, keys)
     tail = {c: F.coalesce(backfill(c, wd), F.lit(0.0))

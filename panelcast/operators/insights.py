@@ -16,6 +16,19 @@ from panelcast.operators.forecast import money
 PRICE_HIGH, PRICE_DANGER = 10.0, 15.0
 R2_EXCELLENT, R2_GOOD = 0.9, 0.75
 ERROR_CONFIDENT = 10.0
+# Texts; the oracle reads them too.
+T_NONE = "There is no feature importance to report."
+T_METHOD = "Importance by %s: each feature's mean share in the predictions."
+T_FIRST = "%s matters most, with %.1f%% of the importance."
+T_SECOND = "%s comes second with %.1f%%; the first two make up %.1f%%."
+T_SEASON = "Calendar features hold %.1f%% of the importance, so peaks follow the season."
+T_MOMENTUM = "Past revenue (lags and rolling means) holds %.1f%%, so near-term forecasts lean on it."
+T_PRICE = "Price holds %.1f%% of the importance. %s"
+T_PRICE_HIGH = "Revenue reacts strongly to price; try changes on a small scale first."
+T_PRICE_LOW = "Revenue reacts little to price."
+T_QUALITY = "The model is %s (R2 %.3f); its hold-out error is %.1f%% of mean revenue.%s %s"
+T_CV = " Cross-validation gives an RMSE of %s +/- %s."
+T_SURE, T_UNSURE = "The forecast can be relied on.", "More data would help."
 SEASON_WORDS = "season|month|quarter"
 MOMENTUM_WORDS = "lag|rolling"
 
@@ -62,40 +75,22 @@ def insights(importance: DataFrame, best: DataFrame, features: DataFrame) -> Dat
     pct_err = F.when(c("avg") > 0, c("rmse") / c("avg") * 100).otherwise(F.lit(0.0))
     quality = F.when(c("r2") > R2_EXCELLENT, "excellent").when(c("r2") > R2_GOOD, "good") \
         .otherwise("moderate")
-    cv_note = F.when(c("cv_rmse") > 0, F.format_string(
-        " Cross-validated RMSE: %s +/- %s.", money(c("cv_rmse")), money(c("cv_std")))).otherwise("")
+    cv_note = F.when(c("cv_rmse") > 0, F.format_string(T_CV, money(c("cv_rmse")), money(c("cv_std")))).otherwise("")
     entries = [
-        (1, F.lit("warning"), F.lit("Feature importance not available."), c("n") == 0),
-        (2, F.lit("info"), F.format_string(
-            "Feature importance computed using %s - values represent each feature's average "
-            "contribution to revenue predictions.", c("method")),
+        (1, F.lit("warning"), F.lit(T_NONE), c("n") == 0),
+        (2, F.lit("info"), F.format_string(T_METHOD, c("method")),
          (c("n") > 0) & c("method").isNotNull()),
-        (3, F.lit("info"), F.format_string(
-            "%s is the strongest revenue driver at %.1f%% importance. Focus optimization efforts "
-            "here for maximum revenue impact.", c("f1"), c("i1")), c("n") > 0),
-        (4, F.lit("info"), F.format_string(
-            "%s is the second most influential factor (%.1f%%). Combined, the top 2 drivers "
-            "explain %.1f%% of revenue variance.", c("f2"), c("i2"), c("i1") + c("i2")),
+        (3, F.lit("info"), F.format_string(T_FIRST, c("f1"), c("i1")), c("n") > 0),
+        (4, F.lit("info"), F.format_string(T_SECOND, c("f2"), c("i2"), c("i1") + c("i2")),
          c("f2").isNotNull()),
-        (5, F.lit("warning"), F.format_string(
-            "Seasonality factors account for %.1f%% of revenue variance. Plan promotions and "
-            "inventory ahead of peak months.", c("season")), c("season").isNotNull()),
-        (6, F.lit("success"), F.format_string(
-            "Historical revenue patterns (lag & rolling features) contribute %.1f%% - strong "
-            "autocorrelation makes short-term forecasts reliable.", c("momentum")),
+        (5, F.lit("warning"), F.format_string(T_SEASON, c("season")), c("season").isNotNull()),
+        (6, F.lit("success"), F.format_string(T_MOMENTUM, c("momentum")),
          c("momentum").isNotNull()),
         (7, F.when(c("price") > PRICE_DANGER, "danger").otherwise("info"), F.format_string(
-            "Price drives %.1f%% of revenue variance. %s", c("price"),
-            F.when(c("price") > PRICE_HIGH,
-                   "High price sensitivity - even small pricing changes significantly affect "
-                   "revenue. Test price elasticity before major changes.")
-            .otherwise("Price has moderate influence - room for strategic price adjustments.")),
+            T_PRICE, c("price"), F.when(c("price") > PRICE_HIGH, T_PRICE_HIGH).otherwise(T_PRICE_LOW)),
          c("price").isNotNull()),
         (8, F.when(c("r2") > R2_GOOD, "success").otherwise("warning"), F.format_string(
-            "Model quality: %s (R2=%.3f). Hold-out forecast error: %.1f%% of mean revenue.%s %s",
-            quality, c("r2"), pct_err, cv_note,
-            F.when(pct_err < ERROR_CONFIDENT, "High confidence in forecasts.")
-            .otherwise("Consider collecting more data for better accuracy.")),
+            T_QUALITY, quality, c("r2"), pct_err, cv_note, F.when(pct_err < ERROR_CONFIDENT, T_SURE).otherwise(T_UNSURE)),
          c("n") > 0),
     ]
     arr = F.array(*[F.struct(F.lit(i).alias("seq"), t.alias("type"), x.alias("text"),

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.common import exact_avg, exact_sum
 
 
 def money2(c: Column) -> Column:
@@ -42,8 +41,8 @@ def summary_section(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     rev = F.col("revenue")
     a = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(rev).alias("total"), exact_avg(rev).alias("mean"),
-        F.max(rev).alias("max"), F.min(rev).alias("min"), F.stddev_samp(rev).alias("std"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(rev), 4).alias("total"), F.round(F.avg(rev), 4).alias("mean"),
+        F.round(F.max(rev), 4).alias("max"), F.round(F.min(rev), 4).alias("min"), F.stddev_samp(rev).alias("std"),
         F.min("date").alias("start"), F.max("date").alias("end"))
     values = [F.col("n").cast("string"), money2(F.col("total")), money2(F.col("mean")),
               money2(F.col("max")), money2(F.col("min")), money2(F.col("std")),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.common import exact_sum
+from panelcast.operators.common import nan_to_null
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 
@@ -23,26 +23,31 @@ def period_start(date: Column, grain: str) -> Column:
 
 def rollup_periods(facts: DataFrame, keys: Sequence[str] = (), *, date: str = "date",
                    revenue: str = "revenue", units: str | None = "units_sold",
-                   grain: str = "month", money_scale: int | None = 4) -> DataFrame:
+                   grain: str = "month", money_scale: int | None = None) -> DataFrame:
     """Sum revenue and units per (keys, period); price = revenue / units.
 
     A hash aggregate with map-side partial sums: a key that holds a third of
     all fact rows is reduced inside every map task before the shuffle, so the
     shuffle carries at most one row per (task, key, period).
 
-    ``money_scale`` sums revenue exactly in fixed point with that many places
-    (4 holds a 2-dp price times a 2-dp discount), so the total does not
-    depend on partitioning, task order or retries (see ``exact_sum``);
-    ``None`` sums doubles.
+    Amounts are summed as doubles; NaN counts as missing. With ``money_scale``,
+    the caller's promise that amounts have at most so many decimal places, they
+    are summed as whole numbers of the last place: the total then depends on
+    no order of rows. An amount that breaks the promise stops the job.
     """
     keys = list(keys)
+    amount = nan_to_null(F.col(revenue).cast("double"))
     if money_scale is None:
-        rev_sum = F.sum(F.col(revenue).cast("double"))
+        total = F.sum(amount)
     else:
-        rev_sum = exact_sum(F.col(revenue).cast("double"), money_scale)
-    aggs = [rev_sum.alias("revenue")]
+        unit = float(10 ** money_scale)
+        whole = F.rint(amount * unit)
+        fits = (F.abs(amount * unit - whole) <= 0.01) & (F.abs(whole) < 2.0 ** 53)
+        total = F.sum(F.when(fits | amount.isNull(), whole.cast("long")).otherwise(F.raise_error(
+            F.format_string("amount %s has more than %d decimal places", amount.cast("string"), F.lit(money_scale))))) / unit
+    aggs = [total.alias("revenue")]
     if units:
-        aggs.append(F.sum(F.col(units).cast("double")).alias("units_sold"))
+        aggs.append(F.sum(nan_to_null(F.col(units).cast("double"))).alias("units_sold"))
     out = (facts.groupBy(*keys, period_start(F.col(date), grain).alias("date"))
            .agg(*aggs))
     if units:

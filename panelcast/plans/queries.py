@@ -13,9 +13,11 @@ from panelcast.sources import fixtures as fx
 MONEY = 2
 RATIO = 6
 
-# Money sums are exact; IEEE-identical expressions need no rounding. Means
-# of up to 6 four-place values are rounded at 6 places (never a tie there),
-# irrational results (std, sin, cos) well inside their error.
+# Panel sums are whole numbers of the last decimal place on both sides, so
+# IEEE-identical expressions need no rounding. Other sums of doubles differ in
+# their last bits by the order of the rows; means of up to 6 four-place amounts
+# are rounded at 6 places (never a tie there), irrational results (std, sin,
+# cos) well inside their error.
 PANEL_ROUND: dict[str, int] = {}
 FEATURE_ROUND = {"month_sin": RATIO, "month_cos": RATIO, "rolling_mean_3": RATIO,
                  "rolling_mean_6": RATIO, "rolling_std_3": MONEY}
@@ -101,6 +103,38 @@ def q_features_clean_daily(spark, sf):
     return add_features(cleaned_daily(spark, sf)[0], ["series_key"])
 
 
+# ── date layouts (C-01) ─────────────────────────────────────────────────────
+
+
+def _cleaned_with_dates(spark, sf, fmt: str, with_time: bool):
+    """The raw table with its dates written in another layout, cleaned."""
+    raw = fx.dirty_daily_by_brand(spark, sf)
+    day = F.to_timestamp("order_day", "yyyy-MM-dd")
+    when = day + F.make_dt_interval(hours=(F.col("seq") % 24).cast("int")) if with_time else day
+    return clean_sales(raw.withColumn("order_day", F.date_format(when, fmt)), ["series_key"], seq="seq")[0]
+
+
+CLEAN_TIMED = f"SELECT * REPLACE (date + to_hours(CAST(seq % 24 AS INTEGER)) AS date) FROM ({S.CLEAN_DIRTY_DAILY})"
+
+
+@register("clean_dates_month_first", S.CLEAN_DIRTY_DAILY, CLEAN_ROUND)
+def q_clean_dates_month_first(spark, sf):
+    """Dates as 1/5/2024."""
+    return _cleaned_with_dates(spark, sf, "M/d/yyyy", False)
+
+
+@register("clean_dates_zoned", CLEAN_TIMED, CLEAN_ROUND)
+def q_clean_dates_zoned(spark, sf):
+    """Dates as 2024-01-05T10:00:00.000Z, the time kept."""
+    return _cleaned_with_dates(spark, sf, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", True)
+
+
+@register("clean_dates_timed", CLEAN_TIMED, CLEAN_ROUND)
+def q_clean_dates_timed(spark, sf):
+    """Dates as 2024-1-5 9:30:00, the time kept."""
+    return _cleaned_with_dates(spark, sf, "yyyy-M-d H:mm:ss", True)
+
+
 # ── previews (A-06, A-07) ───────────────────────────────────────────────────
 
 

@@ -15,8 +15,6 @@ from panelcast.sources import fixtures as fx
 
 KEYS = ["series_key"]
 FEAT = S.features_sql(S.SALES_BY_BRAND, KEYS)
-EXACT_SUM = S.money_sum("revenue")
-EXACT_AVG = f"({EXACT_SUM} / count(revenue))"
 
 
 def brand_features(spark, sf):
@@ -25,11 +23,12 @@ def brand_features(spark, sf):
 
 @register("eda_summary", f"""
 WITH f AS ({FEAT})
-SELECT series_key, count(*) AS n_periods, {EXACT_SUM} AS total_revenue, {EXACT_AVG} AS mean_revenue,
+SELECT series_key, count(*) AS n_periods, sum(revenue) AS total_revenue, avg(revenue) AS mean_revenue,
        max(revenue) AS peak_revenue, min(revenue) AS min_revenue, stddev_samp(revenue) AS std_revenue,
-       stddev_pop(revenue) / NULLIF({EXACT_AVG}, 0) * 100 AS cv_pct,
+       stddev_pop(revenue) / NULLIF(avg(revenue), 0) * 100 AS cv_pct,
        coalesce(avg(growth_rate), 0.0) AS avg_growth, min(date) AS start_date, max(date) AS end_date
-FROM f GROUP BY series_key""", {"std_revenue": 2, "cv_pct": 6, "avg_growth": 6})
+FROM f GROUP BY series_key""", {"total_revenue": 4, "mean_revenue": 2, "peak_revenue": 4, "min_revenue": 4, "std_revenue": 2,
+                                "cv_pct": 6, "avg_growth": 6})
 def q_eda_summary(spark, sf):
     """E-01…E-04, E-13: KPIs, peak/min, CV, average growth, report summary."""
     return eda.summary(brand_features(spark, sf), KEYS)
@@ -41,19 +40,19 @@ SELECT series_key, date, revenue,
        CASE WHEN count(*) OVER (PARTITION BY series_key) >= 3 THEN
             avg(revenue) OVER (PARTITION BY series_key ORDER BY date
                                ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS ma_3
-FROM f""", {"ma_3": 6})
+FROM f""", {"revenue": 4, "ma_3": 6})
 def q_eda_moving_average(spark, sf):
     """E-05: trailing 3-period mean."""
     return eda.moving_average(brand_features(spark, sf), KEYS)
 
 
 SEASON_SQL = f"""
-SELECT series_key, CAST(month(date) AS INTEGER) AS month, {EXACT_AVG} AS avg_revenue,
+SELECT series_key, CAST(month(date) AS INTEGER) AS month, avg(revenue) AS avg_revenue,
        strftime(make_date(2000, CAST(month(date) AS INTEGER), 1), '%b') AS month_name
 FROM f GROUP BY series_key, month(date)"""
 
 
-@register("eda_seasonality", f"WITH f AS ({FEAT}) {SEASON_SQL}")
+@register("eda_seasonality", f"WITH f AS ({FEAT}) {SEASON_SQL}", {"avg_revenue": 6})
 def q_eda_seasonality(spark, sf):
     """E-06: mean revenue by calendar month."""
     return eda.seasonality(brand_features(spark, sf), KEYS)
@@ -63,7 +62,7 @@ def q_eda_seasonality(spark, sf):
 WITH f AS ({FEAT}), s AS ({SEASON_SQL})
 SELECT series_key, first(month_name ORDER BY avg_revenue DESC, month ASC) AS peak_month,
        max(avg_revenue) AS peak_avg_revenue
-FROM s GROUP BY series_key""")
+FROM s GROUP BY series_key""", {"peak_avg_revenue": 6})
 def q_eda_peak_month(spark, sf):
     """E-07: best month per brand (earlier month on ties)."""
     return eda.peak_month(brand_features(spark, sf), KEYS)
@@ -98,21 +97,20 @@ WITH f AS ({FEAT}), s AS ({SEASON_SQL}),
 pk AS (SELECT series_key, first(month_name ORDER BY avg_revenue DESC, month ASC) AS peak_month
        FROM s GROUP BY series_key),
 k AS (SELECT series_key, coalesce(avg(growth_rate), 0.0) AS g,
-             stddev_pop(revenue) / NULLIF({EXACT_AVG}, 0) * 100 AS cv
+             stddev_pop(revenue) / NULLIF(avg(revenue), 0) * 100 AS cv
       FROM f GROUP BY series_key),
 j AS (SELECT * FROM k JOIN pk USING (series_key))
 SELECT series_key, 1 AS seq, 'info' AS type,
-       printf('Peak revenue month: %s. Front-load inventory and campaigns 4-6 weeks prior.', peak_month) AS text
+       printf('{eda.NOTE_PEAK}', peak_month) AS text
 FROM j
 UNION ALL
 SELECT series_key, 2, CASE WHEN g > 0 THEN 'success' ELSE 'danger' END,
-       printf('Average monthly growth: %+.1f%% - trend is %s.', g,
-              CASE WHEN g > 0 THEN 'positive' ELSE 'declining' END) FROM j
+       printf('{eda.NOTE_GROWTH}', g,
+              CASE WHEN g > 0 THEN '{eda.TREND_UP}' ELSE '{eda.TREND_DOWN}' END) FROM j
 UNION ALL
 SELECT series_key, 3, CASE WHEN cv > 20 THEN 'warning' ELSE 'success' END,
-       printf('Volatility CV = %.1f%%. %s', cv,
-              CASE WHEN cv > 20 THEN 'High variance - consider demand-smoothing.'
-                   ELSE 'Stable revenue stream.' END) FROM j""")
+       printf('{eda.NOTE_SPREAD}', cv,
+              CASE WHEN cv > 20 THEN '{eda.SPREAD_WIDE}' ELSE '{eda.SPREAD_NARROW}' END) FROM j""")
 def q_eda_observations(spark, sf):
     """E-10: peak month, growth sign and volatility notes."""
     return eda.observations(brand_features(spark, sf), KEYS)
@@ -222,4 +220,4 @@ def q_activity_log_roundtrip(spark, sf):
     from panelcast.sources.activity_log import append_activity, read_activity_log
     path = os.path.join(ensure_checkpoint_dir(spark), "activity_log", uuid.uuid4().hex)
     append_activity(fx.activity_events(spark, sf), path)
-    return read_activity_log(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return read_activity_log(spark, path).drop("pos").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

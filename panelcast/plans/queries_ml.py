@@ -8,15 +8,21 @@ the memo holds no long lineage.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import functions as F
+
+from panelcast.operators import importance as I
+from panelcast.operators import insights as J
 from panelcast.operators import report as H
 from panelcast.operators import targets as T
 from panelcast.operators.insights import insights
-from panelcast.operators.smoothing import es_metrics, leaderboard
-from panelcast.operators.training import train_models
+from panelcast.operators.recursive import recursive_forecast
+from panelcast.operators.smoothing import es_fit, es_metrics, leaderboard
+from panelcast.operators.training import assemble, train_models
 from panelcast.plans import analysis
 from panelcast.plans import sql_fixtures as S
 from panelcast.plans.catalog import register
-from panelcast.plans.queries_model import (FC_CTE, KEYS, TARGET_CTE, brand_es_forecast,
+from panelcast.plans.queries_model import (ES_CTE, FC_CTE, KEYS, TARGET_CTE, brand_es_forecast,
                                            brand_features)
 from panelcast.sources import fixtures as fx
 
@@ -85,10 +91,120 @@ def q_insights_by_brand(spark, sf):
     return insights(imp, t.metrics.filter("is_best"), feats)
 
 
-# ── report sections (H) ─────────────────────────────────────────────────────
+# ── the same operators where SQL can follow them ────────────────────────────
 
+# A stand-in for a fitted model: documented coefficients per feature.
+FIXED_COEFFICIENTS = {"lag_1": 0.4, "rolling_mean_3": 0.3, "lag_2": 0.1, "month_sin": 5000.0, "month_cos": -3000.0,
+                      "units_sold": 25.0, "price": -2.0, "quarter": 100.0}
+FIXED_INTERCEPT = 1000.0
 FEAT = S.features_sql(S.SALES_BY_BRAND, KEYS)
-EXACT_SUM = S.money_sum("revenue")
+_TRAIN_SQL = f"""{ES_CTE},
+tr AS (SELECT * FROM es2 WHERE NOT is_test),
+mu AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FIXED_COEFFICIENTS)} FROM tr),
+att AS ({' UNION ALL '.join(
+    f"SELECT series_key, date, '{c}' AS feature, CAST({b} AS DOUBLE) * ({c} - m_{c}) AS shap FROM tr, mu"
+    for c, b in FIXED_COEFFICIENTS.items())}),
+raw AS (SELECT feature, avg(abs(shap)) AS importance FROM att GROUP BY feature),
+pct AS (SELECT feature, round_even(importance / sum(importance) OVER () * 100, 2) AS importance FROM raw),
+nrm AS (SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, feature, importance
+        FROM pct WHERE importance > 0)"""
+
+
+def _friendly_sql(column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.FRIENDLY_NAMES.items()) + f" ELSE {column} END"
+
+
+def _train_rows(spark, sf):
+    return assemble(brand_features(spark, sf), KEYS, list(FIXED_COEFFICIENTS)).where(~F.col("is_test"))
+
+
+@register("row_attributions_by_brand", f"WITH {_TRAIN_SQL} SELECT series_key, date, feature, shap FROM att", {"shap": 3})
+def q_row_attributions_by_brand(spark, sf):
+    """I-10: the attribution of every training row, for fixed linear coefficients."""
+    return I.linear_rows(list(FIXED_COEFFICIENTS.values()), _train_rows(spark, sf), list(FIXED_COEFFICIENTS), [*KEYS, "date"])
+
+
+@register("importance_fixed_by_brand", f"""WITH {_TRAIN_SQL}
+SELECT {_friendly_sql('feature')} AS feature, importance, '{I.METHOD_LINEAR}' AS method, rank FROM nrm WHERE rank <= 10""")
+def q_importance_fixed_by_brand(spark, sf):
+    """I-04 → I-08, I-09 with fixed linear coefficients."""
+    return I.normalise(I.linear_attribution(list(FIXED_COEFFICIENTS.values()), _train_rows(spark, sf), list(FIXED_COEFFICIENTS)))
+
+
+@register("top_drivers_by_brand", f"""WITH {_TRAIN_SQL}
+SELECT {_friendly_sql('feature')} AS feature, importance, '{I.METHOD_LINEAR}' AS method, rank FROM nrm WHERE rank <= 3""")
+def q_top_drivers_by_brand(spark, sf):
+    """I-11: the three first drivers of that table."""
+    return I.top_drivers(q_importance_fixed_by_brand(spark, sf), 3)
+
+
+_ES_WEIGHTS = ", ".join(f"({i}, '{I.FRIENDLY_NAMES[f]}', {w})" for i, (f, w) in enumerate(I.TS_HEURISTIC, 1))
+
+
+@register("insights_es_by_brand", f"""WITH {ES_CTE},
+imp(rank, feature, importance) AS (VALUES {_ES_WEIGHTS}),
+p AS (SELECT revenue AS actual, level AS predicted, avg(revenue) OVER () AS m FROM es2 WHERE is_test),
+met AS (SELECT sqrt(avg(pow(actual - predicted, 2))) AS rmse,
+               1 - sum(pow(actual - predicted, 2)) / sum(pow(actual - m, 2)) AS r2 FROM p),
+e AS (SELECT rmse, r2, rmse / (SELECT avg(revenue) FROM f) * 100 AS err FROM met),
+season AS (SELECT sum(importance) AS v FROM imp WHERE regexp_matches(lower(feature), '{J.SEASON_WORDS}')),
+momentum AS (SELECT sum(importance) AS v FROM imp WHERE regexp_matches(lower(feature), '{J.MOMENTUM_WORDS}')),
+price AS (SELECT arg_min(importance, rank) AS v FROM imp WHERE contains(lower(feature), 'price'))
+SELECT 2 AS seq, 'info' AS type, printf('{J.T_METHOD.replace("'", "''")}', '{I.METHOD_HEURISTIC}') AS text
+UNION ALL SELECT 3, 'info', printf('{J.T_FIRST}', a.feature, a.importance::DOUBLE) FROM imp a WHERE rank = 1
+UNION ALL SELECT 4, 'info', printf('{J.T_SECOND}', b.feature, b.importance::DOUBLE, (a.importance + b.importance)::DOUBLE)
+  FROM imp a, imp b WHERE a.rank = 1 AND b.rank = 2
+UNION ALL SELECT 5, 'warning', printf('{J.T_SEASON}', v::DOUBLE) FROM season WHERE v IS NOT NULL
+UNION ALL SELECT 6, 'success', printf('{J.T_MOMENTUM}', v::DOUBLE) FROM momentum
+UNION ALL SELECT 7, CASE WHEN v > {J.PRICE_DANGER} THEN 'danger' ELSE 'info' END,
+  printf('{J.T_PRICE}', v::DOUBLE, CASE WHEN v > {J.PRICE_HIGH} THEN '{J.T_PRICE_HIGH}' ELSE '{J.T_PRICE_LOW}' END) FROM price
+UNION ALL SELECT 8, CASE WHEN r2 > {J.R2_GOOD} THEN 'success' ELSE 'warning' END,
+  printf('{J.T_QUALITY}', CASE WHEN r2 > {J.R2_EXCELLENT} THEN 'excellent' WHEN r2 > {J.R2_GOOD} THEN 'good' ELSE 'moderate' END,
+         r2, err, CASE WHEN rmse > 0 THEN printf('{J.T_CV}', '$' || format('{{:,.0f}}', rmse), '$0') ELSE '' END,
+         CASE WHEN err < {J.ERROR_CONFIDENT} THEN '{J.T_SURE}' ELSE '{J.T_UNSURE}' END) FROM e""")
+def q_insights_es_by_brand(spark, sf):
+    """I-01, I-09, J-02…J-07: the smoother's heuristic importance and metrics as texts."""
+    feats = brand_features(spark, sf)
+    raw = I.heuristic_importance(spark, [f for f, _ in I.TS_HEURISTIC])
+    return insights(I.normalise(raw), leaderboard(es_metrics(feats, KEYS)).filter("is_best"), feats)
+
+
+@register("insights_without_importance", f"SELECT 1 AS seq, 'warning' AS type, '{J.T_NONE}' AS text")
+def q_insights_without_importance(spark, sf):
+    """J-01: nothing to report on."""
+    feats = brand_features(spark, sf)
+    none = I.normalise(I.heuristic_importance(spark, ["lag_1"]).where("importance < 0"))
+    return insights(none, leaderboard(es_metrics(feats, KEYS)).filter("is_best"), feats)
+
+
+_STEP_INPUTS = {"lag_1": "h[-1]", "rolling_mean_3": "list_avg(h[-3:])", "lag_2": "coalesce(h[-2], h[-1])",
+                "month_sin": "sin(2 * pi() * month(d) / 12)", "month_cos": "cos(2 * pi() * month(d) / 12)",
+                "units_sold": "u * (1 + 0.005::DOUBLE * i)", "price": "pr * (1 + 0.002::DOUBLE * i)", "quarter": "quarter(d)"}
+_PREDICTION = " + ".join(f"{b}::DOUBLE * {_STEP_INPUTS[c]}" for c, b in FIXED_COEFFICIENTS.items())
+
+
+@register("recursive_forecast_fixed_by_brand", f"""WITH RECURSIVE {ES_CTE},
+st AS (SELECT series_key, last_date, last_actual, rmse, last_units_sold AS u, last_price AS pr, h FROM state
+       JOIN (SELECT series_key, list(revenue ORDER BY date) AS h FROM f GROUP BY series_key) USING (series_key)),
+rec AS (
+  SELECT *, 0 AS i, CAST(NULL AS DOUBLE) AS v FROM st
+  UNION ALL
+  SELECT * EXCLUDE (x, d) REPLACE (list_append(h, x) AS h, i AS i, x AS v) FROM (
+    SELECT *, greatest(0.0, {FIXED_INTERCEPT}::DOUBLE + {_PREDICTION}) AS x FROM (
+      SELECT * REPLACE (i + 1 AS i), CAST(last_date + to_months(i + 1) AS TIMESTAMP) AS d FROM rec WHERE i < 6)))
+SELECT series_key, i AS step, CAST(last_date + to_months(i) AS TIMESTAMP) AS date, round(v, 2) AS forecast,
+       round(greatest(0.0, v - half), 2) AS lower, round(greatest(0.0, v + half), 2) AS upper, last_actual
+FROM (SELECT *, rmse * 1.28::DOUBLE * (1 + 0.08::DOUBLE * (i - 1)) AS half FROM rec WHERE i > 0)""",
+          {"forecast": 1, "lower": 1, "upper": 1, "last_actual": 4})
+def q_recursive_forecast_fixed_by_brand(spark, sf):
+    """G-01, G-03…G-05: six recursive steps of a scorer with fixed coefficients."""
+    feats = brand_features(spark, sf)
+    terms = " + ".join(f"{b}D * _x_{c}" for c, b in FIXED_COEFFICIENTS.items())
+    model = SQLTransformer(statement=f"SELECT *, {FIXED_INTERCEPT}D + {terms} AS prediction FROM __THIS__")
+    return recursive_forecast(feats, model, list(FIXED_COEFFICIENTS), es_fit(feats, KEYS).select(*KEYS, "rmse"), KEYS, horizon=6)
+
+
+# ── report sections (H) ─────────────────────────────────────────────────────
 
 
 def _m2(x: str) -> str:
@@ -101,8 +217,8 @@ def _m0(x: str) -> str:
 
 @register("report_summary_by_brand", f"""
 WITH p AS ({S.SALES_BY_BRAND}),
-a AS (SELECT series_key, count(*) AS n, {EXACT_SUM} AS total, {EXACT_SUM} / count(revenue) AS mean,
-             max(revenue) AS mx, min(revenue) AS mn, stddev_samp(revenue) AS sd,
+a AS (SELECT series_key, count(*) AS n, round(sum(revenue), 4) AS total, round(avg(revenue), 4) AS mean,
+             round(max(revenue), 4) AS mx, round(min(revenue), 4) AS mn, stddev_samp(revenue) AS sd,
              min(date) AS st, max(date) AS en FROM p GROUP BY series_key)
 SELECT series_key, 1 AS line_no, 'Total Periods' AS label, CAST(n AS VARCHAR) AS value FROM a
 UNION ALL SELECT series_key, 2, 'Total Revenue', {_m2('total')} FROM a
@@ -172,13 +288,14 @@ def q_run_summary_es(spark, sf):
 
 @register("report_lines_by_brand")
 def q_report_lines_by_brand(spark, sf):
-    """H-02: the text report (summary, forecast, importance sections) as ordered lines."""
+    """H-02: the text report (summary, models, cleaned data, forecast, importance) as ordered lines."""
     from panelcast.sources.sinks import report_lines
     t = trained(spark, sf)
     feats = brand_features(spark, sf)
     return report_lines({
         "summary": H.summary_section(fx.sales_by_brand(spark, sf), KEYS),
         "models": H.model_section(t.metrics),
+        "cleaned": fx.sales_by_brand(spark, sf),
         "forecast": H.forecast_section(analysis.best_forecast(feats, t, KEYS), KEYS),
         "importance": H.importance_section(analysis.best_importance(feats, t, KEYS)),
     })

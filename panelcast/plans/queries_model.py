@@ -8,7 +8,8 @@ from panelcast.operators import forecast as G
 from panelcast.operators import scenarios as K
 from panelcast.operators import targets as T
 from panelcast.operators.features import add_features
-from panelcast.operators.smoothing import es_fit, es_metrics, leaderboard
+from panelcast.operators.report import model_section
+from panelcast.operators.smoothing import es_fit, es_metrics, es_predictions, leaderboard, pooled_metrics
 from panelcast.operators.splits import with_splits
 from panelcast.plans import sql_fixtures as S
 from panelcast.plans.catalog import register
@@ -53,7 +54,7 @@ state AS (
   FROM es2 GROUP BY series_key)"""
 
 
-STATE_ROUND = {"last_smooth": 4, "growth": 9, "rmse": 4, "mae": 4, "r2": 6}
+STATE_ROUND = {"last_actual": 4, "last_price": 6, "last_smooth": 4, "growth": 9, "rmse": 4, "mae": 4, "r2": 6}
 
 def fc_cte(feat: str) -> str:
     return es_cte(feat) + f""",
@@ -100,6 +101,24 @@ def q_es_state_by_brand(spark, sf):
     return brand_state(spark, sf)
 
 
+DROP_FEAT = S.features_drop_sql(S.SALES_BY_BRAND, KEYS)
+
+
+@register("splits_drop_by_brand", f"""WITH {splits_cte(DROP_FEAT)}
+SELECT series_key, date, row_idx, n_rows, split_idx, is_test, n_folds, fold FROM s3""")
+def q_splits_drop_by_brand(spark, sf):
+    """M-02, M-03 over features without the first three rows."""
+    feats = add_features(fx.sales_by_brand(spark, sf), KEYS, fill="drop")
+    return with_splits(feats, KEYS).select(
+        *KEYS, "date", "row_idx", "n_rows", "split_idx", "is_test", "n_folds", "fold")
+
+
+@register("es_state_drop_by_brand", f"WITH {es_cte(DROP_FEAT)} SELECT * FROM state", STATE_ROUND)
+def q_es_state_drop_by_brand(spark, sf):
+    """M-10…M-12 over features without the first three rows."""
+    return es_fit(add_features(fx.sales_by_brand(spark, sf), KEYS, fill="drop"), KEYS)
+
+
 @register("es_leaderboard", f"""WITH {ES_CTE},
 p AS (SELECT revenue AS actual, level AS predicted, avg(revenue) OVER () AS m FROM es2 WHERE is_test),
 mm AS (SELECT 'Exp. Smoothing (TS)' AS name, sqrt(avg(pow(actual - predicted, 2))) AS rmse,
@@ -115,7 +134,59 @@ def q_es_leaderboard(spark, sf):
     return leaderboard(es_metrics(brand_features(spark, sf), KEYS))
 
 
-@register("es_forecast_by_brand", f"WITH {FC_CTE} SELECT * FROM fc")
+BASELINES_SQL = f"""{ES_CTE},
+tail AS (SELECT series_key, last(revenue ORDER BY date) AS last_value, avg(revenue) AS mean_value
+         FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date DESC) AS back FROM es2 WHERE NOT is_test)
+         WHERE back <= 3 GROUP BY series_key),
+pr AS (
+  SELECT 'Exp. Smoothing (TS)' AS model, revenue AS actual, level AS predicted FROM es2 WHERE is_test
+  UNION ALL SELECT 'Last Value', revenue, last_value FROM es2 JOIN tail USING (series_key) WHERE is_test
+  UNION ALL SELECT 'Moving Average (3)', revenue, mean_value FROM es2 JOIN tail USING (series_key) WHERE is_test
+  UNION ALL SELECT 'Moving Average (copy)', revenue, mean_value FROM es2 JOIN tail USING (series_key) WHERE is_test),
+mm AS (SELECT model AS name, sqrt(avg(pow(actual - predicted, 2))) AS rmse, avg(abs(actual - predicted)) AS mae,
+              1 - sum(pow(actual - predicted, 2)) / NULLIF(var_pop(actual) * count(*), 0) AS r2, count(*) AS n_test
+       FROM pr GROUP BY model),
+lb AS (SELECT *, CASE name WHEN 'Last Value' THEN rmse / 2 ELSE rmse END AS cv_rmse_mean FROM mm),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY round(cv_rmse_mean, 6), name) AS INTEGER) AS rank,
+                  CAST(row_number() OVER (ORDER BY round(rmse, 6), name) AS INTEGER) AS rank_holdout FROM lb)"""
+
+
+def baseline_leaderboard(spark, sf):
+    """Four predictors that SQL can express, two of them tied; the cross-validated
+    error of one is set so that the two rankings differ."""
+    from pyspark.sql import Window
+    feats = brand_features(spark, sf)
+    staged = with_splits(feats, KEYS)
+    back = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("date")))
+    tail = (staged.where(~F.col("is_test")).withColumn("back", back).where("back <= 3").groupBy(*KEYS)
+            .agg(F.max_by("revenue", "date").alias("last_value"), F.avg("revenue").alias("mean_value")))
+    hold = staged.where("is_test").join(tail, KEYS)
+    names = [("Last Value", "last_value"), ("Moving Average (3)", "mean_value"), ("Moving Average (copy)", "mean_value")]
+    preds = es_predictions(feats, KEYS).select("model", "actual", "predicted")
+    for name, col in names:
+        preds = preds.unionByName(hold.select(F.lit(name).alias("model"), F.col("revenue").alias("actual"), F.col(col).alias("predicted")))
+    m = pooled_metrics(preds).withColumnRenamed("model", "name").withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "r2")})
+    return leaderboard(m.withColumn("cv_rmse_mean", F.when(F.col("name") == "Last Value", F.col("rmse") / 2).otherwise(F.col("rmse"))))
+
+
+@register("baseline_leaderboard", f"""WITH {BASELINES_SQL}
+SELECT *, rank = 1 AS is_best, rank_holdout = 1 AS is_best_holdout FROM ranked""",
+          {"rmse": 4, "mae": 4, "r2": 6, "cv_rmse_mean": 4})
+def q_baseline_leaderboard(spark, sf):
+    """M-12, M-15, M-16: both rankings, a tie broken by name, both best flags."""
+    return baseline_leaderboard(spark, sf)
+
+
+@register("report_baseline_models", f"""WITH {BASELINES_SQL}
+SELECT name AS model, replace(format('{{:,.2f}}', round(rmse, 6)), ',', '') AS rmse, replace(format('{{:,.2f}}', round(mae, 6)), ',', '') AS mae,
+       replace(format('{{:,.4f}}', round(r2, 6)), ',', '') AS r2, '$' || format('{{:,.0f}}', cv_rmse_mean) AS cv_rmse,
+       rank_holdout = 1 AS best_holdout FROM ranked""")
+def q_report_baseline_models(spark, sf):
+    """H-03 over that leaderboard."""
+    return model_section(baseline_leaderboard(spark, sf))
+
+
+@register("es_forecast_by_brand", f"WITH {FC_CTE} SELECT * FROM fc", {"last_actual": 4})
 def q_es_forecast_by_brand(spark, sf):
     """G-02…G-09: 6-month smoothing forecast with band per brand."""
     return brand_es_forecast(spark, sf)
@@ -125,7 +196,7 @@ def q_es_forecast_by_brand(spark, sf):
 SELECT series_key, sum(forecast) AS total_forecast, arg_min(forecast, step) AS next_forecast,
        arg_max(forecast, step) AS final_forecast, first(last_actual) AS last_actual,
        (arg_max(forecast, step) - first(last_actual)) / NULLIF(first(last_actual), 0) * 100 AS period_growth
-FROM fc GROUP BY series_key""", {"total_forecast": 2, "period_growth": 6})
+FROM fc GROUP BY series_key""", {"total_forecast": 2, "last_actual": 4, "period_growth": 6})
 def q_forecast_kpis(spark, sf):
     """G-10: total, next, final and period growth per brand."""
     return G.forecast_kpis(brand_es_forecast(spark, sf), KEYS)
@@ -136,7 +207,7 @@ SELECT series_key, 'history' AS kind, date, revenue AS value, 0 AS ord FROM f
 UNION ALL SELECT series_key, 'forecast', date, forecast, step FROM fc
 UNION ALL SELECT series_key, 'band', date, upper, step FROM fc
 UNION ALL SELECT series_key, 'band', date, lower,
-          CAST(2 * max(step) OVER (PARTITION BY series_key) + 1 - step AS INTEGER) FROM fc""")
+          CAST(2 * max(step) OVER (PARTITION BY series_key) + 1 - step AS INTEGER) FROM fc""", {"value": 4})
 def q_forecast_overlay(spark, sf):
     """G-11: history + forecast + closed band outline."""
     return G.overlay(brand_features(spark, sf), brand_es_forecast(spark, sf), KEYS)
@@ -196,15 +267,19 @@ def q_target_per_period(spark, sf):
     return T.target_per_period(brand_es_forecast(spark, sf), None, KEYS)
 
 
-GRID_STEP = 10
+# Price, volume and marketing steps: the sliders' own for the best setting,
+# coarser ones where every setting is a result row.
+FINE = (1, 1, 5)
+GRID = (5, 5, 10)
 
-def scen_cte(feat: str) -> str:
+
+def scen_cte(feat: str, steps: tuple = GRID) -> str:
     return fc_cte(feat) + f""",
 grid AS (
   SELECT CAST(row_number() OVER (ORDER BY p, u, m) AS INTEGER) AS scenario_id,
          CAST(p AS INTEGER) AS price_pct, CAST(u AS INTEGER) AS units_pct, CAST(m AS INTEGER) AS mkt_pct
-  FROM range(-50, 51, {GRID_STEP}) t1(p), range(-50, 51, {GRID_STEP}) t2(u),
-       range(-30, 101, {GRID_STEP}) t3(m)),
+  FROM range(-50, 51, {steps[0]}) t1(p), range(-50, 51, {steps[1]}) t2(u),
+       range(-30, 101, {steps[2]}) t3(m)),
 det AS (
   SELECT fc.series_key, g.scenario_id, g.price_pct, g.units_pct, g.mkt_pct, fc.step, fc.forecast AS base,
          CAST(round_even(fc.forecast * ((1 + g.price_pct / CAST(100.0 {D}) * (1 + g.units_pct / CAST(100.0 {D})
@@ -221,24 +296,22 @@ imp2 AS (
 SCEN_CTE = scen_cte(FEAT)
 
 IMPACT_ROUND = {"base_total": 2, "impact": 2, "impact_pct": 6}
-NOTE_SQL = """
+NOTE_SQL = f"""
   CASE WHEN abs(price_pct) > 5 AND abs(units_pct) > 5
-         THEN printf('Combined price (%+d%%) + volume (%+d%%) -> net impact: %+.1f%%', price_pct, units_pct, impact_pct)
-       WHEN mkt_pct > 20 THEN printf('Marketing +%d%% -> estimated lift: %+.1f%% (35%% ROMI)', mkt_pct, impact_pct)
-       WHEN abs(price_pct) > 5
-         THEN printf('Price %+d%% -> revenue impact: %+.1f%%. Monitor demand elasticity.', price_pct, impact_pct)
-       ELSE printf('Scenario impact: %+.1f%% vs baseline.', impact_pct) END AS note,
+         THEN printf('{K.NOTE_BOTH}', price_pct, units_pct, impact_pct)
+       WHEN mkt_pct > 20 THEN printf('{K.NOTE_MARKETING}', mkt_pct, impact_pct)
+       WHEN abs(price_pct) > 5 THEN printf('{K.NOTE_PRICE}', price_pct, impact_pct)
+       ELSE printf('{K.NOTE_PLAIN}', impact_pct) END AS note,
   CASE WHEN impact >= 0 THEN 'success' ELSE 'danger' END AS note_type"""
 
 
-def brand_impacts(spark, sf):
-    fc = brand_es_forecast(spark, sf)
-    return K.impact(K.simulate(fc, K.lever_grid(GRID_STEP), KEYS), KEYS)
+def brand_impacts(spark, sf, steps=GRID):
+    return K.impacts(brand_es_forecast(spark, sf), K.lever_grid(*steps), KEYS)
 
 
 @register("scenario_impacts", f"WITH {SCEN_CTE} SELECT *, {NOTE_SQL} FROM imp2", IMPACT_ROUND)
 def q_scenario_impacts(spark, sf):
-    """K-01…K-05: every lever setting on a 10-point grid, per brand."""
+    """K-01…K-05: every lever setting on a grid of 5, 5 and 10 points, per brand."""
     return brand_impacts(spark, sf)
 
 
@@ -249,10 +322,10 @@ r AS (SELECT *, {NOTE_SQL},
 SELECT * EXCLUDE (rk) FROM r WHERE rk = 1"""
 
 
-@register("scenario_best", f"WITH {SCEN_CTE}{BEST_SELECT}", IMPACT_ROUND)
+@register("scenario_best", f"WITH {scen_cte(FEAT, FINE)}{BEST_SELECT}", IMPACT_ROUND)
 def q_scenario_best(spark, sf):
     """K-07: best lever setting per brand."""
-    return K.best_scenario(brand_impacts(spark, sf), KEYS)
+    return K.best_of(brand_es_forecast(spark, sf), K.lever_grid(*FINE), KEYS)
 
 
 @register("scenario_detail", f"""WITH {SCEN_CTE}
@@ -262,10 +335,42 @@ FROM det WHERE scenario_id IN (SELECT scenario_id FROM grid WHERE price_pct = 10
                                AND mkt_pct = 20)""", {"diff": 2})
 def q_scenario_detail(spark, sf):
     """K-02, K-04: per-step scenario revenue for one saved lever setting."""
+    grid = F.filter(K.lever_grid(*GRID), lambda g: (g["price_pct"] == 10) & (g["units_pct"] == -10) & (g["mkt_pct"] == 20))
+    return K.simulate(brand_es_forecast(spark, sf), grid, KEYS).drop("date")
+
+
+SAVED_SQL = """
+saved AS (SELECT series_key, CAST(i AS INTEGER) AS scenario_id, CAST(i * 5 - 10 AS INTEGER) AS price_pct,
+                 CAST(10 - i * i AS INTEGER) AS units_pct, CAST(i * 10 AS INTEGER) AS mkt_pct
+          FROM (SELECT DISTINCT series_key FROM fc), range(1, 4) r(i))"""
+
+
+def saved_scenarios(spark, sf):
+    """Three settings per brand, as users save them: rows of a table."""
+    from panelcast.sources.tables import table
+    brands = table(spark, sf, "part").select(F.col("p_brand").alias("series_key")).distinct()
+    i = F.col("scenario_id")
+    return (brands.select("series_key", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("scenario_id"))
+            .select("series_key", "scenario_id", (i * 5 - 10).alias("price_pct"), (10 - i * i).alias("units_pct"),
+                    (i * 10).alias("mkt_pct")))
+
+
+@register("scenario_saved_by_brand", f"""WITH {FC_CTE}, {SAVED_SQL},
+det AS (
+  SELECT fc.series_key, g.scenario_id, g.price_pct, g.units_pct, g.mkt_pct, fc.forecast AS base,
+         CAST(round_even(fc.forecast * ((1 + g.price_pct / CAST(100.0 {D}) * (1 + g.units_pct / CAST(100.0 {D})
+              * (1 + g.mkt_pct / CAST(100.0 {D} * CAST(0.35 {D})), 0) AS BIGINT) AS scenario
+  FROM fc JOIN saved g USING (series_key)),
+imp2 AS (
+  SELECT *, impact / NULLIF(base_total, 0) * 100 AS impact_pct FROM (
+    SELECT series_key, scenario_id, price_pct, units_pct, mkt_pct, sum(base) AS base_total,
+           CAST(sum(scenario) AS BIGINT) AS scenario_total, sum(CAST(scenario AS DOUBLE) - base) AS impact
+    FROM det GROUP BY ALL))
+SELECT *, {NOTE_SQL} FROM imp2""", IMPACT_ROUND)
+def q_scenario_saved_by_brand(spark, sf):
+    """K-06 → K-01…K-05: saved settings, a table keyed by series, joined to the forecast."""
     fc = brand_es_forecast(spark, sf)
-    d = K.simulate(fc, K.lever_grid(GRID_STEP), KEYS)
-    return d.filter((F.col("price_pct") == 10) & (F.col("units_pct") == -10) &
-                    (F.col("mkt_pct") == 20)).drop("date")
+    return K.impact(K.simulate_saved(fc, saved_scenarios(spark, sf), KEYS), KEYS)
 
 
 # ── the same operators on the other panels ──────────────────────────────────
@@ -285,12 +390,11 @@ def _register_panel(suffix: str, panel_sql: str, build) -> None:
 
     register(f"es_state_{suffix}", f"WITH {es_cte(feat)} SELECT * FROM state", STATE_ROUND)(
         lambda spark, sf: es_fit(add_features(build(spark, sf), KEYS), KEYS))
-    register(f"es_forecast_{suffix}", f"WITH {fc_cte(feat)} SELECT * FROM fc")(forecast)
+    register(f"es_forecast_{suffix}", f"WITH {fc_cte(feat)} SELECT * FROM fc", {"last_actual": 4})(forecast)
     register(f"target_check_{suffix}", f"WITH {target_cte(feat)} {TARGET_SELECT}", TARGET_ROUND)(
         lambda spark, sf: T.check_default_targets(forecast(spark, sf), KEYS))
     register(f"scenario_best_{suffix}", f"WITH {scen_cte(feat)}{BEST_SELECT}", IMPACT_ROUND)(
-        lambda spark, sf: K.best_scenario(
-            K.impact(K.simulate(forecast(spark, sf), K.lever_grid(GRID_STEP), KEYS), KEYS), KEYS))
+        lambda spark, sf: K.best_of(forecast(spark, sf), K.lever_grid(*GRID), KEYS))
 
 
 for _suffix, (_sql, _build) in OTHER_PANELS.items():

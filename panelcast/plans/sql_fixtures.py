@@ -5,9 +5,8 @@ yields the same columns as the Spark builder of the same name.
 """
 
 def money_sum(expr: str) -> str:
-    """Fixed-point money sum: whole units plus a 4-place remainder, as in ``exact_sum``."""
-    return (f"(CAST(sum(floor({expr})) AS DOUBLE) + "
-            f"CAST(sum(round((({expr}) - floor({expr})) * 10000.0)) AS DOUBLE) / 10000.0)")
+    """Sum of amounts, which have four decimal places at most."""
+    return f"CAST(sum(CAST({expr} AS DECIMAL(18, 4))) AS DOUBLE)"
 
 
 SALES_BY_BRAND = """
@@ -120,8 +119,8 @@ SELECT {k}date, {x}revenue,
   coalesce(first_value(rm3 IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS rolling_mean_3,
   rs3 AS rolling_std_3,
   coalesce(first_value(rm6 IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS rolling_mean_6,
-  CASE WHEN row_idx = 0
-       THEN coalesce(first_value(gr IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0.0)
+  CASE WHEN gr IS NULL AND (row_idx = 0 OR (l1 = 0 AND revenue = 0))
+       THEN coalesce(first_value(gr IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0)
        ELSE gr END AS growth_rate,
   CASE WHEN max_price > 0 THEN
        coalesce(first_value(prr IGNORE NULLS) OVER (w2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0)
@@ -131,6 +130,14 @@ FROM f0 WINDOW w2 AS ({part} ORDER BY {order})
 """
 
 
+def features_drop_sql(panel_sql: str, keys: list[str]) -> str:
+    """Feature table without each series' first three rows, positions counted anew."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"""
+SELECT * REPLACE (CAST(row_number() OVER ({part}ORDER BY date) - 1 AS INTEGER) AS row_idx)
+FROM ({features_sql(panel_sql, keys)}) WHERE row_idx >= 3"""
+
+
 def quantile_sql(lst: str, q: float) -> str:
     """Linear-interpolated quantile of a sorted, null-free DuckDB list.
 

@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-LOCAL_DRIVER_MEMORY = "16g"
+#: Heap of a local session; ``PANELCAST_LOCAL_HEAP`` overrides it.
+LOCAL_DRIVER_MEMORY = os.environ.get("PANELCAST_LOCAL_HEAP", "8g")
 
 # Settings a local run needs; on a cluster the submitter's settings win
 # because ``getOrCreate`` keeps an existing session as it is.
@@ -45,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (a bare local test session) is a private folder created and set.
+    (a bare local test session) is a private folder created and set; any other
+    master needs the setting, as executors do not share local folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="panelcast-ckpt-")
         os.makedirs(conf_dir, exist_ok=True)
     sc.setCheckpointDir(conf_dir)

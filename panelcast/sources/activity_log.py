@@ -1,7 +1,8 @@
-"""A-03, A-04: the activity log as JSON lines with an explicit schema."""
+"""A-03, A-04: the activity log as JSON with an explicit schema."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -10,21 +11,28 @@ from panelcast.operators.activity import LOG_TIMESTAMP_FORMAT
 
 LOG_SCHEMA = StructType([StructField(n, StringType()) for n in
                          ("timestamp", "username", "name", "action", "role")])
+CORRUPT = "_malformed"
 
 
 def read_activity_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log entries with a parsed ``ts``; a missing path gives an empty table.
+    """Log entries with a parsed ``ts`` and their position ``pos``; a missing path gives an empty table.
 
-    Malformed lines are dropped (PERMISSIVE mode leaves them all-null).
+    Reads JSON lines and files that are one (indented) JSON array of entries.
+    Malformed entries are dropped. ``pos`` grows with the place in a file, which
+    orders entries of the same second.
     """
+    schema = StructType([*LOG_SCHEMA.fields, StructField(CORRUPT, StringType())])
     try:
-        raw = spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    except Exception as e:  # noqa: BLE001 - a missing path is an empty log
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            raw = spark.createDataFrame([], LOG_SCHEMA)
-        else:
+        head = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    return (raw.filter(F.col("action").isNotNull())
+        head, raw = None, spark.createDataFrame([], schema)
+    else:
+        raw = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+               .option("multiLine", head is not None and head[0] == "[").json(path))
+    return (raw.withColumn("pos", F.monotonically_increasing_id())
+            .where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             .withColumn("ts", F.try_to_timestamp(F.col("timestamp"), F.lit(LOG_TIMESTAMP_FORMAT))))
 
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from panelcast.operators.rollup import rollup_periods
 from panelcast.sources.tables import table
 
+#: Prices and discounts have two decimal places each, event values at most four.
+MONEY_SCALE = 4
+
+
 def net_revenue():
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
@@ -35,7 +39,7 @@ def sales_facts_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_by_brand(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
     """Flagship panel: lineitem ⨝ part, monthly net revenue per brand."""
-    return rollup_periods(sales_facts_by_brand(spark, sf_dir), ["series_key"], grain=grain)
+    return rollup_periods(sales_facts_by_brand(spark, sf_dir), ["series_key"], grain=grain, money_scale=MONEY_SCALE)
 
 
 def sales_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def sales_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lineitem(spark, sf_dir).select(F.col("l_shipdate").alias("date"),
                                          net_revenue().alias("revenue"),
                                          F.col("l_quantity").alias("units_sold"))
-    return rollup_periods(li, [])
+    return rollup_periods(li, [], money_scale=MONEY_SCALE)
 
 
 def sales_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,21 +61,21 @@ def sales_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(n, F.col("c_nationkey") == n.n_nationkey)
              .select(F.col("n_name").alias("series_key"), F.col("l_shipdate").alias("date"),
                      net_revenue().alias("revenue"), F.col("l_quantity").alias("units_sold")))
-    return rollup_periods(facts, ["series_key"])
+    return rollup_periods(facts, ["series_key"], money_scale=MONEY_SCALE)
 
 
 def orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("series_key"), F.col("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("revenue"), F.lit(1.0).alias("units_sold"))
-    return rollup_periods(o, ["series_key"])
+    return rollup_periods(o, ["series_key"], money_scale=MONEY_SCALE)
 
 
 def event_value_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("series_key"), F.col("ts").alias("date"),
         F.col("value").alias("revenue"), F.lit(1.0).alias("units_sold"))
-    return rollup_periods(e, ["series_key"], grain="day")
+    return rollup_periods(e, ["series_key"], grain="day", money_scale=MONEY_SCALE)
 
 
 def dirty_daily_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,7 @@ def dirty_daily_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlier and negative values, placed by the day number so the oracle
     SQL can mirror them. ``seq`` is the original row position.
     """
-    daily = rollup_periods(sales_facts_by_brand(spark, sf_dir), ["series_key"], grain="day")
+    daily = rollup_periods(sales_facts_by_brand(spark, sf_dir), ["series_key"], grain="day", money_scale=MONEY_SCALE)
     day_no = F.datediff(F.col("date"), F.lit("1992-01-01").cast("date"))
     rev = F.col("revenue")
     gross = (F.when(day_no % 17 == 0, F.lit(None).cast("double"))

@@ -14,8 +14,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Report title and section headings.
-TITLE = "=== REVENUE INTELLIGENCE REPORT ==="
+# Report title; fixed values: section headings.
+TITLE = "=== SALES PANEL REPORT ==="
+# What orders the rows of a section, as far as it has the columns.
+ORDER = ("series_key", "line_no", "step", "rank", "date", "seq")
 HEADINGS = {
     "summary": "--- SUMMARY STATISTICS ---",
     "models": "--- MODEL EVALUATION ---",
@@ -39,8 +41,9 @@ def write_report(path: str, sections: Mapping[str, DataFrame | None], mode: str
 def report_lines(sections: Mapping[str, DataFrame | None]) -> DataFrame:
     """H-02: ``(section_no, line_no, text)``; absent sections are skipped.
 
-    Each section's rows are rendered as comma-joined text (fields with a
-    comma quoted) under its heading. ``line_no`` orders lines within a
+    Each section's rows are rendered as CSV text (fields with a comma, quote
+    or line break are quoted) under its heading, in the order of the ``ORDER`` columns that
+    it has, else of all its columns. ``line_no`` orders lines within a
     section (increasing, not dense); write with
     ``orderBy("section_no", "line_no").write.text(path)``.
     """
@@ -57,8 +60,10 @@ def report_lines(sections: Mapping[str, DataFrame | None]) -> DataFrame:
             "section_no int, line_no bigint, text string")
         def field(c):
             v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-            return F.when(v.contains(","), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
-        body = df.select(F.lit(i).alias("section_no"),
+            quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+            return F.when(v.rlike('[,"\r\n]'), quoted).otherwise(v)
+        # A range sort: ids grow with the order, whatever the partitioning.
+        body = df.orderBy(*([c for c in ORDER if c in cols] or cols)).select(F.lit(i).alias("section_no"),
                          (F.monotonically_increasing_id() + 2).alias("line_no"),
                          F.concat_ws(",", *[field(c) for c in cols]).alias("text"))
         frames += [head, body]

@@ -85,3 +85,14 @@ def test_quantile_fallback_when_bracket_misses(spark, gappy, monkeypatch):
     want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for _, q, n in specs]) \
         .orderBy("k").toPandas()
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_null_series_and_a_hot_price(spark):
+    """A null key is a series of its own; half of one series shares a price."""
+    from panelcast.operators.clean import clean_sales
+    rows = [(None if i % 3 == 0 else "A", i, f"2024-01-{1 + i % 28:02d}", 99999.0 if i == 33 else 50.0 + i % 7,
+             None if i % 5 == 0 else 7.0, 2.0 if i % 2 else 1.0 + i) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, seq long, Date string, Revenue double, Units double, Price double")
+    cols = ["k", "date", "revenue", "units_sold", "price", "seq"]
+    plain, chunks = (clean_sales(df, ["k"], seq="seq", chunk_rows=n)[0].select(cols) for n in (None, 16))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, chunks.collect()))

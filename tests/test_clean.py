@@ -113,3 +113,18 @@ def test_nan_becomes_null(spark):
     clean, _ = clean_sales(df)
     assert clean.count() == 1
     assert clean.filter(F.isnan("revenue")).count() == 0
+
+
+@pytest.mark.parametrize("texts, want", [
+    (["1/5/2024", "12/31/2024"], ["2024-01-05 00:00:00", "2024-12-31 00:00:00"]),
+    (["13/5/2024", "1/12/2024"], ["2024-05-13 00:00:00", "2024-12-01 00:00:00"]),
+    (["2024-1-5", "2024-11-25"], ["2024-01-05 00:00:00", "2024-11-25 00:00:00"]),
+    (["2024-01-05T10:00:00Z", "2024-01-05T10:30:00+02:00"], ["2024-01-05 10:00:00", "2024-01-05 08:30:00"]),
+    (["2024-01-05 10:30:00.25", "2024-01-05 09:30"], ["2024-01-05 10:30:00.250000", "2024-01-05 09:30:00"]),
+    (["1/5/2024 9:05", "1/6/2024"], ["2024-01-05 09:05:00", "2024-01-06 00:00:00"]),
+    (["5 Jan 2024", "15 Feb 2024"], ["2024-01-05 00:00:00", "2024-02-15 00:00:00"]),
+])
+def test_date_layouts_keep_the_time(spark, texts, want):
+    df = spark.createDataFrame([(i, t, 1.0 + i) for i, t in enumerate(texts)], "seq long, Date string, Revenue double")
+    got = clean_sales(df, [], seq="seq")[0].orderBy("seq").collect()
+    assert [str(r["date"]) for r in got] == want

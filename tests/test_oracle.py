@@ -13,7 +13,7 @@ SQL = E.oracle_sql()
 
 
 def _norm(v):
-    if v is None or (isinstance(v, float) and pd.isna(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and pd.isna(v)):
         return None
     if isinstance(v, pd.Timestamp) or hasattr(v, "isoformat"):
         return str(pd.Timestamp(v))
