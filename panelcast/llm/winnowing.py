@@ -48,15 +48,21 @@ def hashed(gram: Column) -> Column:
     return F.xxhash64(gram).bitwiseAND(F.lit(~PLACES))
 
 
-def fingerprints(norm: Column, k: int, span: int) -> Column:
-    """Distinct least (hash, place) of the windows, packed into longs."""
-    low = F.transform(grams(norm, k), lambda g, i: hashed(g).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACES))))
+def fingerprints(rows: DataFrame, k: int, span: int) -> DataFrame:
+    """``rows(norm, …)`` exploded to ``f``: the distinct least (hash, place) of the windows, packed into longs.
+
+    Each halving of the windows is a projection of its own: as one expression the
+    arrays would be computed anew wherever they occur."""
+    keep = [c for c in rows.columns if c != "norm"]
+    packed = F.transform(grams(F.col("norm"), k), lambda g, i: hashed(g).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACES))))
+    rows = rows.select(*keep, packed.alias("low"))
     have, width = 1, span - k + 1
     while have < width:
         step = min(have, width - have)
-        low = F.zip_with(low, F.slice(low, step + 1, F.greatest(F.size(low), F.lit(1))), lambda x, y: F.least(x, y))
+        later = F.slice("low", step + 1, F.greatest(F.size("low"), F.lit(1)))
+        rows = rows.select(*keep, F.zip_with("low", later, lambda x, y: F.least(x, y)).alias("low"))
         have += step
-    return F.array_distinct(low)
+    return rows.select(*keep, F.explode(F.array_distinct("low")).alias("f"))
 
 
 def windows_of(items: DataFrame, span: int) -> DataFrame:
@@ -91,12 +97,12 @@ def covered_words(docs: DataFrame, items: DataFrame, span: int, k: int) -> tuple
     """(doc_id, mark, n_hit, items) of the rows with windows; the rows with their marks; how both join."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     windows = written(windows_of(items.select("item_id", "text"), span))
-    prints = written(items.where("text IS NOT NULL").select(F.explode(fingerprints(normal("text"), k, span)).alias("f"))
+    prints = written(fingerprints(items.where("text IS NOT NULL").select(normal("text").alias("norm")), k, span)
                      .select(F.shiftright("f", PLACE_BITS).alias("h")).distinct())
     norm = docs.where("text IS NOT NULL").select("doc_id", "mark", normal("text").alias("norm"))
 
     # Hits, each extended to the windows that hold it.
-    found = (norm.select("doc_id", "mark", F.explode(fingerprints(F.col("norm"), k, span)).alias("f"))
+    found = (fingerprints(norm, k, span)
              .select("doc_id", "mark", F.shiftright("f", PLACE_BITS).alias("h"), F.col("f").bitwiseAND(F.lit(PLACES)).alias("at"))
              .join(prints, "h").select("doc_id", "mark", "at", F.lit(span).alias("len")))
     hits = found
