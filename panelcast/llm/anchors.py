@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.vec import U, inside_rows, runs, sliding_min
+from panelcast.llm.vec import U, inside_rows, mix, runs, sliding_min
 
-FLUSH = 1 << 21
-BUCKETS_PER_PARTITION = 4
+FLUSH = 1 << 19
+BUCKETS_PER_PARTITION = 2
 
 
 def winnow(hashes: np.ndarray, off: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +38,8 @@ def winnow(hashes: np.ndarray, off: np.ndarray, k: int, length: int) -> tuple[np
     return windows, windows + ((low - local[windows]) & 63)
 
 
-def buckets(spark) -> int:
-    return BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(spark, per_partition: int = BUCKETS_PER_PARTITION) -> int:
+    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -102,20 +102,50 @@ def anchor_rows(find: Callable, n_buckets: int) -> Callable:
     return run
 
 
-PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.list_(pa.int64()))])
+ANSWER = pa.schema([("part", pa.int32()), ("told", pa.binary())])
+ANSWER_DDL = "part int, told binary"
 
 
-def by_doc(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Rows (doc, 32-bit columns…) in order of doc as compressed columns."""
+    n = len(columns[0])
+    raw = b"".join([planes(np.diff(columns[0], prepend=0), 8), *(planes(c, 4) for c in columns[1:])])
+    return n.to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, width: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=(4 + 4 * width) * n, codec="zstd", asbytes=True)
+    return [np.cumsum(unplanes(raw[:8 * n], 8).view(np.int64)),
+            *(unplanes(raw[(4 + 4 * i) * n:(8 + 4 * i) * n], 4).astype(np.int64) for i in range(1, width))]
+
+
+def deal(columns: list[np.ndarray], parts: int) -> pa.Table:
+    """Rows (doc, …) dealt by document: one packed row per part."""
+    part = (mix(columns[0].view(U)) % U(parts)).astype(np.int64)
+    order = np.lexsort((columns[-1], columns[0], part))
+    part, columns = part[order], [c[order] for c in columns]
+    at = runs(part)
+    rows = [(int(part[a]), pack([c[a:b] for c in columns])) for a, b in zip(at, np.r_[at[1:], len(part)])]
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ANSWER)], schema=ANSWER)
+
+
+def places_by_doc(table: pa.Table) -> pa.Table:
+    """One row per document with all its places."""
+    doc, place = map(np.concatenate, zip(*(unpack(x, 2) for x in table.column("told").to_pylist())))
     order = np.argsort(doc, kind="stable")
     doc, place = doc[order], place[order]
     at = runs(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[at]), pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)),
-                                                     pa.array(place.astype(np.int64)))], schema=PLACES)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), pa.array(place.astype(np.int32)))
+    return pa.table({"doc_id": pa.array(doc[at]), "places": lists})
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Places of a bucket's anchors that at least two documents hold."""
+def answer(parts: int):
+    return lambda table: deal(shared_of(table), parts)
+
+
+def shared_of(table: pa.Table) -> list[np.ndarray]:
+    """(doc, place) of a bucket's anchors that at least two documents hold."""
     h, doc, place, known, docs, places = [], [], [], [], [], []
     for row in table.to_pylist():
         h.append(unplanes(row["single"], 6))
@@ -137,15 +167,24 @@ def answer(table: pa.Table) -> pa.Table:
         hit = np.repeat(shared, np.diff(np.r_[at, len(h)]))
         docs.append(doc[hit])
         places.append(place[hit])
-    docs, places = np.concatenate(docs), np.concatenate(places)
-    if not len(docs):
-        return pa.Table.from_batches([], PLACES)
-    return pa.Table.from_batches([by_doc(docs, places)])
+    return [np.concatenate(docs).astype(np.int64), np.concatenate(places).astype(np.int64)]
 
 
 def shared_places(docs: DataFrame, find: Callable) -> DataFrame:
     """(doc_id, places): the anchors of each document that another document holds too."""
-    n = buckets(docs.sparkSession)
+    n, parts = buckets(docs.sparkSession), buckets(docs.sparkSession, 1)
     blobs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(anchor_rows(find, n), BLOB_DDL)
-    told = blobs.groupBy("bucket").applyInArrow(answer, "doc_id long, places array<long>")
-    return told.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    told = blobs.groupBy("bucket").applyInArrow(answer(parts), ANSWER_DDL)
+    return told.groupBy("part").applyInArrow(places_by_doc, "doc_id long, places array<int>")
+
+
+def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``docs`` with their places; the text only where there are any. The outer join shuffles
+    the same rows as the join that applies the result later, so Spark shuffles texts once."""
+    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col("places").isNotNull(), F.col("text")))
+
+
+def spots(batch: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
+    """The places of all rows, as offsets into the batch."""
+    found = [p.values.to_numpy() + off[i] for i, p in enumerate(batch.column("places")) if p.is_valid]
+    return np.concatenate(found) if found else np.empty(0, np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import anchors, vec
 from panelcast.llm.anchors import planes, unplanes
-from panelcast.llm.suffix_dedup import SPANS, TOLD, row_spans, spans_table
+from panelcast.llm.suffix_dedup import SPANS, TOLD, deal_told, pack_told, row_spans, spans_by_doc, unpack_told
 from panelcast.llm.vec import U
 
 WINDOWS = "bucket int, one binary, two binary, doc binary, mark binary, place binary, told binary"
@@ -54,7 +54,7 @@ def find_anchors(k: int, length: int):
             at = anchor[vec.runs(anchor)]
             if len(at):
                 row = np.searchsorted(off, at, "right") - 1
-                yield spans.at(at, at + k), batch.column("doc_id").to_numpy()[row], at - off[row]
+                yield spans.at(at, at + k), vec.ids(batch.column("doc_id"))[row], at - off[row]
     return find
 
 
@@ -77,10 +77,10 @@ def window_rows(k: int, length: int, n_buckets: int):
         rows = []
         for a, b in zip(at, np.r_[at[1:], len(keep)]):
             x = keep[a:b]
-            rows.append((int(bucket[x[0]]), one[x].tobytes(), two[x].tobytes(), planes(doc[x], 8),
+            rows.append((int(bucket[x[0]]), one[x].tobytes(), two[x].tobytes(), planes(np.diff(doc[x], prepend=0), 8),
                          planes(mark[x], 4), planes(place[x], 4), b""))
         told = joined(doc[late], mark[late], place[late], length)
-        rows.append((-1 - int(one[0] % U(n_buckets)), b"", b"", b"", b"", b"", told.tobytes()))
+        rows.append((-1 - int(one[0] % U(n_buckets)), b"", b"", b"", b"", b"", pack_told(told)))
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +90,14 @@ def window_rows(k: int, length: int, n_buckets: int):
             spans, windows, anchor = _seeds(data, start, end, off, k, length)
             if not len(windows):
                 continue
-            spots = [p.values.to_numpy() + off[i] for i, p in enumerate(batch.column("places"))]
-            hit = np.isin(anchor, np.concatenate(spots))
+            hit = np.isin(anchor, anchors.spots(batch, off))
             windows, anchor = windows[hit], anchor[hit]
             if not len(windows):
                 continue
             row = np.searchsorted(off, windows, "right") - 1
             second = vec.Spans(vec.byte_spans(data, 1).at(start, end), 1)
             held.append((spans.at(windows, windows + length), second.at(windows, windows + length),
-                         batch.column("doc_id").to_numpy()[row], batch.column("mark").to_numpy()[row],
+                         vec.ids(batch.column("doc_id"))[row], batch.column("mark").to_numpy()[row],
                          windows - off[row], spans.at(anchor, anchor + k)))
             count += len(windows)
             if count >= FLUSH_WINDOWS:
@@ -122,21 +121,21 @@ def joined(doc: np.ndarray, mark: np.ndarray, place: np.ndarray, length: int) ->
     return out
 
 
-def match_shard(length: int):
+def match_shard(length: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        told = [np.frombuffer(r["told"], TOLD) for r in rows]
+        told = [unpack_told(r["told"]) for r in rows if r["told"]]
         full = [r for r in rows if r["one"]]
         if full:
             one, two = (np.concatenate([np.frombuffer(r[c], "<u8") for r in full]) for c in ("one", "two"))
-            doc, mark, place = (np.concatenate([unplanes(r[c], w).astype(np.int64) for r in full])
-                                for c, w in (("doc", 8), ("mark", 4), ("place", 4)))
+            mark, place = (np.concatenate([unplanes(r[c], 4).astype(np.int64) for r in full]) for c in ("mark", "place"))
+            doc = np.concatenate([np.cumsum(unplanes(r["doc"], 8).view(np.int64)) for r in full])
             order = np.lexsort((doc, two, one))
             one, two, doc, mark, place = one[order], two[order], doc[order], mark[order], place[order]
             new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
             late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             told.append(joined(doc[late], mark[late], place[late], length))
-        return spans_table(np.concatenate(told))
+        return deal_told(np.concatenate(told), parts)
     return run
 
 
@@ -167,10 +166,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, k: int = 5, keep_text: boo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = anchors.shared_places(docs, find_anchors(k, length))
     marked = docs.withColumn("mark", F.crc32(F.coalesce("text", F.lit(""))))
-    n = anchors.buckets(docs.sparkSession)
-    told = (marked.join(places, "doc_id").mapInArrow(window_rows(k, length, n), WINDOWS)
-            .groupBy("bucket").applyInArrow(match_shard(length), SPANS)
-            .groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    n = anchors.buckets(docs.sparkSession, 1)
+    told = (anchors.with_places(marked, places).mapInArrow(window_rows(k, length, n), WINDOWS)
+            .groupBy("bucket").applyInArrow(match_shard(length, n), anchors.ANSWER_DDL)
+            .groupBy("part").applyInArrow(spans_by_doc, SPANS))
     done = marked.join(told, "doc_id", "left").mapInArrow(
         apply_spans(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if keep_text else done.drop("kept")

@@ -29,10 +29,34 @@ from panelcast.llm.anchors import planes, unplanes
 from panelcast.llm.suffix import repeated
 from panelcast.llm.vec import U
 
-SEGMENTS = "bucket int, text binary, size binary, doc binary, mark binary, place binary, told binary"
-SPANS = "doc_id long, spans array<struct<mark:long,start:long,stop:long>>"
+SEGMENTS = "bucket int, n_bytes int, text binary, shard binary, size binary, doc binary, mark binary, place binary, told binary"
 TOLD = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 FLUSH_BYTES = 1 << 25
+#: A suffix array takes some 60 bytes per byte of its shard, so a bucket is sorted in shards.
+SHARDS = 8
+
+
+def pack_told(told: np.ndarray) -> bytes:
+    """Spans as compressed columns, in order of document and start."""
+    told = told[np.lexsort((told["start"], told["doc"]))]
+    return anchors.pack(_columns(told))
+
+
+def unpack_told(data: bytes) -> np.ndarray:
+    columns = anchors.unpack(data, 4)
+    told = np.empty(len(columns[0]), TOLD)
+    for name, c in zip(("doc", "mark", "start", "stop"), columns):
+        told[name] = c
+    told["stop"] += told["start"]
+    return told
+
+
+def _columns(told: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(x) for x in (told["doc"], told["mark"], told["start"], told["stop"] - told["start"])]
+
+
+def deal_told(told: np.ndarray, parts: int) -> pa.Table:
+    return anchors.deal(_columns(told), parts)
 
 
 def _windows(batch: pa.RecordBatch, k: int, length: int):
@@ -49,16 +73,12 @@ def find_anchors(k: int, length: int):
             if len(at):
                 row = np.searchsorted(off, at, "right") - 1
                 h = vec.byte_spans(data).every(k)[at]
-                yield h, batch.column("doc_id").to_numpy()[row], at - off[row]
+                yield h, vec.ids(batch.column("doc_id"))[row], at - off[row]
     return find
 
 
-def told_rows(told: np.ndarray) -> Iterator[tuple]:
-    """(doc_id, spans) of covered spans."""
-    told = told[np.argsort(told["doc"], kind="stable")]
-    at = vec.runs(told["doc"])
-    for a, b in zip(at, np.r_[at[1:], len(told)]):
-        yield told["doc"][a], told[["mark", "start", "stop"]][a:b]
+SEGMENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("n_bytes", pa.int32()),
+                            *((c, pa.binary()) for c in ("text", "shard", "size", "doc", "mark", "place", "told"))])
 
 
 def segment_rows(k: int, length: int, n_buckets: int):
@@ -87,12 +107,11 @@ def segment_rows(k: int, length: int, n_buckets: int):
             x = keep[a:b]
             n = size[x]
             take = np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            rows.append((int(bucket[x[0]]), data[take].tobytes(), planes(n, 4), planes(doc[x], 8),
-                         planes(mark[x], 4), planes(place[x], 4), b""))
-        rows.append((-1 - int(h1[0] % U(n_buckets)), b"", b"", b"", b"", b"", told.tobytes()))
-        return pa.RecordBatch.from_pylist(
-            [dict(zip(("bucket", "text", "size", "doc", "mark", "place", "told"), r)) for r in rows],
-            pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("text", "size", "doc", "mark", "place", "told"))]))
+            shard = (anchor[x] >> U(40)) & U(SHARDS - 1)
+            rows.append((int(bucket[x[0]]), len(take), pa.compress(data[take].tobytes(), codec="zstd", asbytes=True), planes(shard, 1),
+                         planes(n, 4), planes(np.diff(doc[x], prepend=0), 8), planes(mark[x], 4), planes(place[x], 4), b""))
+        rows.append((-1 - int(h1[0] % U(n_buckets)), 0, *[b""] * 6, pack_told(told)))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), SEGMENT_SCHEMA)], schema=SEGMENT_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -105,10 +124,7 @@ def segment_rows(k: int, length: int, n_buckets: int):
             last = windows[np.r_[at[1:], len(windows)] - 1]
             anchor = anchor[at]
             row = np.searchsorted(off, anchor, "right") - 1
-            places, spot = batch.column("places"), []
-            for i, p in enumerate(places):
-                spot.append(p.values.to_numpy() + off[i])
-            hit = np.isin(anchor, np.concatenate(spot))
+            hit = np.isin(anchor, anchors.spots(batch, off))
             first, stop, anchor, row = first[hit], last[hit] + length, anchor[hit], row[hit]
             if not len(first):
                 continue
@@ -116,7 +132,7 @@ def segment_rows(k: int, length: int, n_buckets: int):
             one, two = vec.byte_spans(data), vec.byte_spans(data, 1)
             take = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             held.append((data[take], size, one.at(first, stop), two.at(first, stop),
-                         batch.column("doc_id").to_numpy()[row], batch.column("mark").to_numpy()[row],
+                         vec.ids(batch.column("doc_id"))[row], batch.column("mark").to_numpy()[row],
                          first - off[row], one.at(anchor, anchor + k)))
             count += len(take)
             if count >= FLUSH_BYTES:
@@ -127,55 +143,66 @@ def segment_rows(k: int, length: int, n_buckets: int):
     return run
 
 
-def sort_shard(length: int):
+def sort_shard(length: int, parts: int):
     """Covered spans of a shard's segments, from its suffix array."""
-    def shard(table: pa.Table) -> np.ndarray:
-        rows = table.to_pylist()
-        told = [np.frombuffer(r["told"], TOLD) for r in rows]
-        text = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
-        if len(text):
-            size, doc, mark, place = (np.concatenate([unplanes(r[c], w).astype(np.int64) for r in rows if r["size"]])
-                                      for c, w in (("size", 4), ("doc", 8), ("mark", 4), ("place", 4)))
-            off = np.r_[0, np.cumsum(size)]
-            one, two = (vec.byte_spans(text, i).at(off[:-1], off[1:]) for i in range(2))
-            order = np.lexsort((doc, two, one))
-            new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
-            group = np.cumsum(new) - 1
-            lead = order[np.flatnonzero(new)]  # of each distinct segment, one of the smallest document
-            late = doc[order] > doc[lead][group]
-            told.append(_told(doc, mark, place, size, order[late]))
-            n = size[lead]
-            take = np.repeat(off[lead] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            distinct = np.r_[0, np.cumsum(n)]
-            sa, classes = repeated(text[take], distinct, length)
-            if len(sa):
-                own = doc[lead][np.searchsorted(distinct, sa, "right") - 1]
-                least = np.minimum.reduceat(own, classes)
-                least = np.repeat(least, np.diff(np.r_[classes, len(sa)]))
-                hit = np.sort(sa[least < own])
-                if len(hit):
-                    # Neighbouring starts of one segment make one span.
-                    seg = np.searchsorted(distinct, hit, "right") - 1
-                    cut = np.r_[True, (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])]
-                    a = np.flatnonzero(cut)
-                    b = np.r_[a[1:], len(hit)] - 1
-                    seg = seg[a]
-                    begin, stop = hit[a] - distinct[seg], hit[b] + length - distinct[seg]
-                    # Every entry of the smallest document gets its segment's spans.
-                    entry = order[~late]
-                    of = group[~late]
-                    lo, hi = np.searchsorted(seg, of), np.searchsorted(seg, of, "right")
-                    many = hi - lo
-                    span = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                    entry = np.repeat(entry, many)
-                    more = np.empty(len(entry), TOLD)
-                    more["doc"], more["mark"] = doc[entry], mark[entry]
-                    more["start"], more["stop"] = place[entry] + begin[span], place[entry] + stop[span]
-                    told.append(more)
-        return np.concatenate(told)
+    def shard(text, size, doc, mark, place) -> list[np.ndarray]:
+        told = []
+        off = np.r_[0, np.cumsum(size)]
+        one, two = (vec.byte_spans(text, i).at(off[:-1], off[1:]) for i in range(2))
+        order = np.lexsort((doc, two, one))
+        new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+        group = np.cumsum(new) - 1
+        lead = order[np.flatnonzero(new)]  # of each distinct segment, one of the smallest document
+        late = doc[order] > doc[lead][group]
+        told.append(_told(doc, mark, place, size, order[late]))
+        n = size[lead]
+        take = np.repeat(off[lead] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        distinct = np.r_[0, np.cumsum(n)]
+        sa, classes = repeated(text[take], distinct, length)
+        if not len(sa):
+            return told
+        own = doc[lead][np.searchsorted(distinct, sa, "right") - 1]
+        least = np.minimum.reduceat(own, classes)
+        least = np.repeat(least, np.diff(np.r_[classes, len(sa)]))
+        hit = np.sort(sa[least < own])
+        if len(hit):
+            # Neighbouring starts of one segment make one span.
+            seg = np.searchsorted(distinct, hit, "right") - 1
+            cut = np.r_[True, (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])]
+            a = np.flatnonzero(cut)
+            b = np.r_[a[1:], len(hit)] - 1
+            seg = seg[a]
+            begin, stop = hit[a] - distinct[seg], hit[b] + length - distinct[seg]
+            # Every entry of the smallest document gets its segment's spans.
+            entry, of = order[~late], group[~late]
+            lo, hi = np.searchsorted(seg, of), np.searchsorted(seg, of, "right")
+            many = hi - lo
+            span = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            entry = np.repeat(entry, many)
+            more = np.empty(len(entry), TOLD)
+            more["doc"], more["mark"] = doc[entry], mark[entry]
+            more["start"], more["stop"] = place[entry] + begin[span], place[entry] + stop[span]
+            told.append(more)
+        return told
 
     def run(table: pa.Table) -> pa.Table:
-        return spans_table(shard(table))
+        rows = table.to_pylist()
+        told = [unpack_told(r["told"]) for r in rows if r["told"]]
+        full = [r for r in rows if r["n_bytes"]]
+        if full:
+            text = np.frombuffer(b"".join(pa.decompress(r["text"], decompressed_size=r["n_bytes"], codec="zstd", asbytes=True)
+                                          for r in full), np.uint8)
+            of, size, mark, place = (np.concatenate([unplanes(r[c], w).astype(np.int64) for r in full])
+                                     for c, w in (("shard", 1), ("size", 4), ("mark", 4), ("place", 4)))
+            doc = np.concatenate([np.cumsum(unplanes(r["doc"], 8).view(np.int64)) for r in full])
+            at = np.cumsum(size) - size
+            for i in range(SHARDS):
+                x = np.flatnonzero(of == i)
+                if len(x):
+                    n = size[x]
+                    take = np.repeat(at[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    told += shard(text[take], n, doc[x], mark[x], place[x])
+        return deal_told(np.concatenate(told), parts)
     return run
 
 
@@ -185,14 +212,17 @@ def _told(doc, mark, place, size, x) -> np.ndarray:
     return out
 
 
-def spans_table(told: np.ndarray) -> pa.Table:
+SPANS = "doc_id long, spans array<struct<mark:long,start:int,size:int>>"
+
+
+def spans_by_doc(table: pa.Table) -> pa.Table:
+    """One row per document with all its spans."""
+    told = np.concatenate([unpack_told(x) for x in table.column("told").to_pylist()])
     told = told[np.argsort(told["doc"], kind="stable")]
     at = vec.runs(told["doc"])
-    parts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(told[c])) for c in ("mark", "start", "stop")],
-                                       ["mark", "start", "stop"])
-    ends = pa.array(np.r_[at, len(told)].astype(np.int32))
-    return pa.table({"doc_id": pa.array(np.ascontiguousarray(told["doc"][at])),
-                     "spans": pa.ListArray.from_arrays(ends, parts)})
+    doc, mark, start, size = _columns(told)
+    parts = pa.StructArray.from_arrays([pa.array(mark), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["mark", "start", "size"])
+    return pa.table({"doc_id": pa.array(doc[at]), "spans": pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), parts)})
 
 
 def row_spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +235,8 @@ def row_spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield none, none
             continue
         ok = s.field("mark").to_numpy() == marks[i]
-        yield s.field("start").to_numpy()[ok], s.field("stop").to_numpy()[ok]
+        start = s.field("start").to_numpy()[ok].astype(np.int64)
+        yield start, start + s.field("size").to_numpy()[ok]
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
@@ -240,10 +271,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, keep_text: bo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = anchors.shared_places(docs, find_anchors(k, length))
     marked = docs.withColumn("mark", F.crc32(F.coalesce("text", F.lit(""))))
-    n = anchors.buckets(docs.sparkSession)
-    segments = marked.join(places, "doc_id").mapInArrow(segment_rows(k, length, n), SEGMENTS)
-    told = (segments.groupBy("bucket").applyInArrow(sort_shard(length), SPANS)
-            .groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    n = anchors.buckets(docs.sparkSession, 1)
+    segments = anchors.with_places(marked, places).mapInArrow(segment_rows(k, length, n), SEGMENTS)
+    told = (segments.groupBy("bucket").applyInArrow(sort_shard(length, n), anchors.ANSWER_DDL)
+            .groupBy("part").applyInArrow(spans_by_doc, SPANS))
     done = marked.join(told, "doc_id", "left").mapInArrow(
         apply_spans(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if keep_text else done.drop("kept")

@@ -162,3 +162,8 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:n]) > 0
+
+
+def ids(col: pa.Array) -> np.ndarray:
+    """Integer ids as an array; null as 0, for rows that aren't used."""
+    return pc.fill_null(col, 0).to_numpy(zero_copy_only=False)
