@@ -52,8 +52,8 @@ def simulate(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Dat
     """K-01, K-02, K-04: per-(series, scenario, step) revenue and flag."""
     keys = list(keys)
     x = forecast.select(*keys, "step", "date", F.col("forecast").alias("base"),
-                        F.explode(grid).alias("s"))
-    return _revenue(x.select(*keys, "s.scenario_id", "s.price_pct", "s.units_pct", "s.mkt_pct", "step", "date", "base"))
+                        F.explode(grid).alias("_set"))
+    return _revenue(x.select(*keys, "_set.*", "step", "date", "base"))
 
 
 def simulate_saved(forecast: DataFrame, scenarios: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,22 +82,22 @@ def _revenue(x: DataFrame) -> DataFrame:
 def impacts(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
     """K-03, K-05 of a whole grid: a series' steps become an array, then one row per setting."""
     keys = list(keys)
-    x = _bases(forecast, keys).select("*", F.explode(grid).alias("s"))
-    m = multiplier(F.col("s.price_pct"), F.col("s.units_pct"), F.col("s.mkt_pct"))
+    x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
+    m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
     total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
-    return _noted(x.select(*keys, "s.*", "base_total", total.alias("scenario_total"))
+    return _noted(x.select(*keys, "_set.*", "base_total", total.alias("scenario_total"))
                   .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
 
 
 def best_of(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
     """K-07 of a whole grid: a map-side combined maximum, whatever the grid's size (ties → lowest id)."""
     keys = list(keys)
-    x = _bases(forecast, keys).select("*", F.explode(grid).alias("s"))
-    m = multiplier(F.col("s.price_pct"), F.col("s.units_pct"), F.col("s.mkt_pct"))
+    x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
+    m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
     total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
-    best = F.max(F.struct(F.col("total"), (-F.col("s.scenario_id")).alias("_o"), F.col("s")))
-    top = x.select(*keys, "base_total", "s", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("b"))
-    return _noted(top.select(*keys, "b.s.*", "base_total", F.col("b.total").alias("scenario_total"))
+    best = F.max(F.struct(F.col("total"), (-F.col("_set.scenario_id")).alias("_o"), F.col("_set")))
+    top = x.select(*keys, "base_total", "_set", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("_best"))
+    return _noted(top.select(*keys, "_best._set.*", "base_total", F.col("_best.total").alias("scenario_total"))
                   .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
 
 

@@ -32,7 +32,8 @@ def read_activity_log(spark: SparkSession, path: str) -> DataFrame:
         raw = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
                .option("multiLine", head is not None and head[0] == "[").json(path))
     return (raw.withColumn("pos", F.monotonically_increasing_id())
-            .where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+            # Spark reads no malformed marker alone, so the filter names the fields as well.
+            .where(F.col(CORRUPT).isNull() & (F.concat_ws("", *LOG_SCHEMA.names) != F.lit("\0"))).drop(CORRUPT)
             .withColumn("ts", F.try_to_timestamp(F.col("timestamp"), F.lit(LOG_TIMESTAMP_FORMAT))))
 
 
