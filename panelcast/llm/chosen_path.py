@@ -15,7 +15,7 @@ row per document with the smallest ``doc_id`` of its component.
    in one child in the mean. Nodes whose members are one component already
    are dropped, nodes of up to ``LEAF`` sets are compared exhaustively, larger
    ones branch again. Nodes shrink geometrically; one that is still larger
-   after ``DEPTH`` levels is cut into random leaves, anew in each tree.
+   after ``DEPTH`` rounds of ``STRIDE`` levels is cut into random leaves, anew in each tree.
 4. Sketches only rule out pairs far below the threshold (over 4 standard
    deviations); every link is confirmed on the full sets.
 
@@ -43,8 +43,10 @@ from panelcast.llm.vec import U, mix
 T = 128
 STAR_TREES = 4
 TREES = 16
-DEPTH = 24
-LEAF = 64
+#: Rounds of branching after the roots, and levels of each: a round costs a few small jobs.
+DEPTH = 8
+STRIDE = 2
+LEAF = 256
 #: Standard deviations of a sketch's estimate left below the threshold.
 SLACK = 4.0
 
@@ -141,9 +143,11 @@ def branch(rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                node = part.column("node").to_numpy().view(U)
-                at, coord = _choice(node, rate)
-                child = _child(node, at, coord, _tokens(part))
+                node, tokens, at = part.column("node").to_numpy().view(U), _tokens(part), np.arange(part.num_rows)
+                for _ in range(STRIDE):
+                    up, coord = _choice(node, rate)
+                    node, at = _child(node, up, coord, tokens[at]), at[up]
+                child = node
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(child.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[at]),
                      pa.array(part.column("comp").to_numpy()[at])], schema=PATHS)
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
                         .withColumn("comp", F.coalesce("root", "doc_id")).drop("root", "h1", "h2"))
     light = comp.drop("tokens")
     paths = comp.select("doc_id", "comp", "tokens").mapInArrow(roots(STAR_TREES, TREES, rate), PATHS_DDL)
-    found = []
+    leaves = []
     for level in range(DEPTH + 1):
         sizes = (paths.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .where("c > 1 AND lo <> hi").select("node", "c"))
@@ -270,20 +274,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
             # Cut what is still large into random leaves, anew for every node.
             salt = F.pmod(F.xxhash64("node", "doc_id"), F.ceil(F.col("c") / LEAF).cast("long"))
             mixed = mixed.withColumn("node", F.when(F.col("c") > LEAF, F.xxhash64("node", salt)).otherwise(F.col("node")))
-            leaves = mixed
-        else:
-            leaves = mixed.where(F.col("c") <= LEAF)
-        ready = (leaves.select("node", "doc_id").join(light, "doc_id").select("node", "doc_id", "comp", "n_shingles", *SKETCH)
-                 .repartition("node").sortWithinPartitions("node"))
-        found.append(written(ready.mapInArrow(leaf_pairs(limit)(percent), "a long, b long").distinct()))
+            leaves.append(mixed.select("node", "doc_id"))
+            break
+        leaves.append(mixed.where(F.col("c") <= LEAF).select("node", "doc_id"))
         large = mixed.where(F.col("c") > LEAF).select("node", "doc_id", "comp")
-        if level == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
         paths = written(large.join(comp.select("doc_id", "tokens"), "doc_id").mapInArrow(branch(rate), PATHS_DDL))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = pairs.join(star, ["a", "b"], "left_anti").distinct()
+    ready = leaves[0]
+    for more in leaves[1:]:
+        ready = ready.unionByName(more)
+    ready = (ready.join(light, "doc_id").select("node", "doc_id", "comp", "n_shingles", *SKETCH)
+             .repartition("node").sortWithinPartitions("node"))
+    pairs = ready.mapInArrow(leaf_pairs(limit)(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     late = written(confirm(written(pairs), texts, words, percent))
     root = components(links.unionByName(late).unionByName(same)).withColumnRenamed("u", "doc_id")
     return (all_rows.select("doc_id", "n_shingles").join(root, "doc_id", "left")
