@@ -14,14 +14,19 @@ row per document with the smallest ``doc_id`` of its component.
    coordinate with probability 1/(lambda T), so a pair at the threshold meets
    in one child in the mean. Nodes whose members are one component already
    are dropped, nodes of up to ``LEAF`` sets are compared exhaustively, larger
-   ones branch again. Nodes shrink geometrically; one that is still larger
-   after ``DEPTH`` rounds of ``STRIDE`` levels is cut into random leaves, anew in each tree.
-4. Sketches only rule out pairs far below the threshold (over 4 standard
+   ones branch again, for ``DEPTH`` rounds of ``STRIDE`` levels.
+4. The sets of all nodes that are larger even then are joined exactly: two
+   similar sets share one of their first shingles in any common order (common
+   ones last), so each such shingle is one more node. Small ones are compared
+   as above, large ones block by block, but for pairs of the largest component.
+5. Sketches only rule out pairs far below the threshold (over 4 standard
    deviations); every link is confirmed on the full sets.
 
-A pair at the threshold meets in one tree with probability of at least about
-0.37 at depth 3 (0.63 at depth 1), so ``TREES = 16`` gives a recall over 0.999
-per pair, and more for a component, which needs no particular pair.
+Trees never go deeper than 3 levels, since the chance to meet falls with every
+level. A pair at the threshold meets in one tree with probability 0.376 at 3
+levels, and in one of ``TREES = 16`` with 0.9993 (all trees read the same
+``T`` tokens, of which a binomial number agrees; 0.94 at 9 levels, 0.79 at 17).
+A component needs no particular pair. What is left after that is exact.
 
 Null, empty and wordless texts have the empty set and link with nothing, as
 rows without a ``doc_id``. Rows that repeat a ``doc_id`` share its component.
@@ -44,9 +49,12 @@ T = 128
 STAR_TREES = 4
 TREES = 16
 #: Rounds of branching after the roots, and levels of each: a round costs a few small jobs.
-DEPTH = 8
+DEPTH = 1
 STRIDE = 2
 LEAF = 256
+#: About so many sets tell which shingles are common, and so many of those are put last.
+SAMPLE = 20_000
+COMMON = 1 << 16
 #: Standard deviations of a sketch's estimate left below the threshold.
 SLACK = 4.0
 
@@ -225,6 +233,77 @@ def sets_of(words: int):
     return run
 
 
+PREFIXES = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("active", pa.bool_())])
+PREFIXES_DDL = "node long, doc_id long, comp long, active boolean"
+
+
+def prefixes(words: int, percent: int, common: np.ndarray, count: np.ndarray):
+    """The first shingles of every set, by (count, hash); the sorted ``common`` have a count, others 0.
+
+    Of two similar sets, the first shingle they share is among the ``active`` of
+    the smaller set and among the given ones of the larger, whatever the order.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vec.slices(batches, "text"):
+            h, off = shingle_sets(batch, words)
+            size = np.diff(off)
+            row = np.repeat(np.arange(len(size)), size)
+            often = np.zeros(len(h), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                often = np.where(common[at] == h, count[at], 0)
+            h = h[np.lexsort((h, often, row))]
+            n, place = size[row], np.arange(len(h)) - off[row]
+            given = np.flatnonzero(place <= n + (-percent * n) // 100)
+            active = place <= n + (-2 * percent * n) // (100 + percent)
+            row = row[given]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[given].view(np.int64)), batch.column("doc_id").take(pa.array(row)),
+                 batch.column("comp").take(pa.array(row)), pa.array(active[given])], schema=PREFIXES)
+    return run
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """(node, doc_id) of leaves that hold every pair of a large node that may link.
+
+    Its sets are active or not, and of its largest component or not; pairs of two
+    sets that aren't active or of two of that component are left out. Each of the
+    four kinds is cut into blocks, and two blocks make a leaf.
+    """
+    by_comp = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if("active").alias("a"))
+    kinds = (by_comp.groupBy("node").agg(F.max(F.struct("n", "comp", "a")).alias("top"), F.sum("n").alias("n"), F.sum("a").alias("a"))
+             .select("node", F.col("top.comp").alias("main"), F.expr("a - top.a").alias("c0"), F.expr("top.a").alias("c1"),
+                     F.expr("n - a - (top.n - top.a)").alias("c2"), F.expr("top.n - top.a").alias("c3")))
+    for i in range(4):
+        kinds = kinds.withColumn(f"k{i}", F.ceil(F.col(f"c{i}") / LEAF).cast("int"))
+    rows = (large.join(kinds, "node").withColumn("kind", F.expr("IF(comp = main, 1, 0) + IF(active, 0, 2)"))
+            .withColumn("b", F.expr("CAST(pmod(xxhash64(doc_id, node), element_at(array(k0, k1, k2, k3), kind + 1)) AS INT)")))
+    def with_blocks(kind, key):
+        return f"transform(slice(sequence(0, k{kind}), 1, k{kind}), x -> xxhash64(node, {key}))"
+    mine = [["0, least(b, x), greatest(b, x)", "1, b, x", "2, b, x", "3, b, x"], ["1, x, b", None, "4, b, x"],
+            ["2, x, b", "4, x, b"], ["3, x, b"]]
+    keys = "CASE kind " + " ".join(
+        f"WHEN {i} THEN concat({', '.join(with_blocks(j, k) for j, k in enumerate(of) if k)})" for i, of in enumerate(mine)) + " END"
+    return rows.select(F.explode(F.expr(keys)).alias("node"), "doc_id")
+
+
+def exact_leaves(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, doc_id) of leaves in which all similar pairs of ``rest(doc_id, comp)`` meet."""
+    held = texts.join(rest, "doc_id")
+    share = max(1, rest.count() // SAMPLE)
+    seen = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(sets_of(words), "doc_id long, shingles array<long>")
+    often = (seen.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+             .orderBy(F.desc("n"), "h").limit(COMMON).toArrow())
+    common, count = often.column("h").to_numpy().view(U), often.column("n").to_numpy()
+    order = np.argsort(common)
+    paths = written(held.mapInArrow(prefixes(words, percent, common[order], count[order]), PREFIXES_DDL))
+    sizes = (paths.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                       F.max("active").alias("any"))
+             .where("c > 1 AND lo <> hi AND any").select("node", "c"))
+    mixed = written(paths.join(sizes, "node"))
+    return mixed.where(F.col("c") <= LEAF).select("node", "doc_id").unionByName(_blocks(mixed.where(F.col("c") > LEAF)))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -270,16 +349,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         sizes = (paths.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .where("c > 1 AND lo <> hi").select("node", "c"))
         mixed = written(paths.join(sizes, "node"))
-        if level == DEPTH:
-            # Cut what is still large into random leaves, anew for every node.
-            salt = F.pmod(F.xxhash64("node", "doc_id"), F.ceil(F.col("c") / LEAF).cast("long"))
-            mixed = mixed.withColumn("node", F.when(F.col("c") > LEAF, F.xxhash64("node", salt)).otherwise(F.col("node")))
-            leaves.append(mixed.select("node", "doc_id"))
-            break
         leaves.append(mixed.where(F.col("c") <= LEAF).select("node", "doc_id"))
         large = mixed.where(F.col("c") > LEAF).select("node", "doc_id", "comp")
         if large.isEmpty():
             break
+        if level == DEPTH:
+            leaves.append(exact_leaves(written(large.select("doc_id", "comp").distinct()), texts, words, percent))
+            break
         paths = written(large.join(comp.select("doc_id", "tokens"), "doc_id").mapInArrow(branch(rate), PATHS_DDL))
     ready = leaves[0]
     for more in leaves[1:]:

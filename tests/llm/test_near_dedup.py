@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from brute import near_components
 from test_dedup_exact import DDL, edge_rows, key, same
 
@@ -35,6 +36,26 @@ def test_planted(spark):
     same(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), near_components(rows))
 
 
+def crowd():
+    """Pairs just above the threshold among texts that all share most of their words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    core, rows = [word() for _ in range(90)], []
+    for i in range(60):
+        own = [word() for _ in range(40)]
+        rows.append((3 * i, " ".join(core + own)))
+        rows.append((3 * i + 1, " ".join(core + own[:-16] + [word() for _ in range(16)])))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [2, 4])
+def test_large_nodes_lose_no_pair(spark, monkeypatch, leaf):
+    monkeypatch.setattr(chosen_path, "LEAF", leaf)
+    for rows in (crowd(), planted()):
+        same(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), near_components(rows))
+
+
 def test_edges(spark):
     rows = edge_rows() + [(30, "A b"), (31, "a B"), (32, "a b c")]
     rows = [(r[0], r[1], i, "x", 1) for i, r in enumerate(rows)]
