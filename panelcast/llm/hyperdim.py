@@ -6,11 +6,13 @@ trigrams' vectors, and a language's prototype bundles its training texts. A
 text gets the language whose prototype has the largest cosine.
 
 Letters are lower-cased; any run of other characters is one separator, which
-also stands at both ends, so a text of one letter has a trigram. ``a``-``z``
-and the separator have symbols of their own, all other letters share
-``OTHERS`` symbols by a hash. Bundles are integer sums, so prototypes don't
-depend on partitioning or order. Prototypes cover all training texts; there are
-at most ``MAX_LANGS`` languages (checked), whence the driver holds little.
+also stands at both ends, so a text of one letter has a trigram. Every letter is
+a symbol of its own. The vectors of ``a``-``z`` and the separator are drawn and
+their trigrams kept in a table; those of all other letters are the bits of a
+hash of the letter, and their trigrams are bound as they occur. Bundles are
+integer sums, so prototypes don't depend on partitioning or order. Prototypes
+cover all training texts; there are at most ``MAX_LANGS`` languages (checked),
+whence the driver holds little.
 
 Null texts and texts without a letter are ``und`` with score 0, as is
 everything when there is nothing to learn from. Ties go to the language that
@@ -29,10 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import vec
+from panelcast.llm.vec import U
 
 DIMS = 1024
-OTHERS = 13
-SYMBOLS = 27 + OTHERS
+#: Symbols in the table of trigrams: the separator and a-z. Other letters follow by code point.
+SYMBOLS = 27
+#: Bits of a symbol in the code of a trigram that isn't in the table.
+WIDE = 21
+BLOCK = 4096
 MAX_LANGS = 2000
 UNKNOWN = "und"
 
@@ -40,19 +46,56 @@ UNKNOWN = "und"
 @lru_cache(1)
 def _symbols() -> np.ndarray:
     """Symbol of every code point: 0 for all that are no letters."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
             low = s.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % OTHERS
+            out[c] = ord(low) - 96 if "a" <= low <= "z" else SYMBOLS + ord(low)
+    return out
+
+
+@lru_cache(1)
+def _plain() -> np.ndarray:
+    return np.random.default_rng(2024).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMS))
+
+
+def letter_vectors(symbol: np.ndarray) -> np.ndarray:
+    """Vectors of the given symbols."""
+    words = vec.mix(symbol.astype(U)[:, None] * U(DIMS // 64) + np.arange(DIMS // 64, dtype=U), 2024)
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1).astype(np.int8)
+    out = 2 * bits - np.int8(1)
+    plain = np.flatnonzero(symbol < SYMBOLS)
+    out[plain] = _plain()[symbol[plain]]
+    return out
+
+
+def wide_sums(code: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Per group, the sum of the bound vectors of trigrams that aren't in the table."""
+    out = np.zeros((groups, DIMS), np.int64)
+    order = np.lexsort((code, group))
+    code, group = code[order], group[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (group[1:] != group[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.r_[at, len(code)])
+    code, group = code[at], group[at]
+    for a in range(0, len(code), BLOCK):
+        c, g = code[a:a + BLOCK], group[a:a + BLOCK]
+        places = [c >> (2 * WIDE), (c >> WIDE) & ((1 << WIDE) - 1), c & ((1 << WIDE) - 1)]
+        symbol, of = np.unique(np.concatenate(places), return_inverse=True)
+        letters = letter_vectors(symbol)
+        x, y, z = of.reshape(3, -1)
+        bound = np.roll(letters, 2, 1)[x] * np.roll(letters, 1, 1)[y] * letters[z]
+        first = vec.runs(g)
+        out[g[first]] += np.add.reduceat(bound * count[a:a + BLOCK, None].astype(np.int32), first, axis=0)
     return out
 
 
 @lru_cache(1)
 def trigram_vectors() -> np.ndarray:
-    """Bound vectors of all trigrams, by code."""
-    letters = np.random.default_rng(2024).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMS))
+    """Bound vectors of the trigrams in the table, by code."""
+    letters = _plain()
     two = np.roll(letters, 2, 1)[:, None, :] * np.roll(letters, 1, 1)[None, :, :]
     return (two.reshape(-1, 1, DIMS) * letters[None, :, :]).reshape(-1, DIMS)
 
@@ -65,14 +108,17 @@ def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     off = np.r_[0, np.cumsum(size)]
     rows = len(size)
     wide = off + 2 * np.arange(rows + 1)
-    s = np.zeros(wide[-1], np.uint8)
+    s = np.zeros(wide[-1], np.int32)
     s[np.arange(len(points)) + np.repeat(2 * np.arange(rows) + 1, size)] = _symbols()[points]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     keep[wide[:-1]] = True
     off = np.r_[0, np.cumsum(keep)][wide]
     s = s[keep].astype(np.int64)
-    code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) > 2 else s[:0]
+    x, y, z = s[:-2], s[1:-1], s[2:]
+    plain = np.maximum(np.maximum(x, y), z) < SYMBOLS
+    # No trigram within a row has two separators in front, so the others' codes are larger than the table's.
+    code = np.where(plain, (x * SYMBOLS + y) * SYMBOLS + z, (x << (2 * WIDE)) | (y << WIDE) | z) if len(s) > 2 else s[:0]
     at = vec.inside_rows(off, 3)
     letters = np.diff(np.r_[0, np.cumsum(s > 0)][off]) > 0
     return code[at], np.searchsorted(at, off), letters
@@ -81,21 +127,26 @@ def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language, the sum of its texts' vectors."""
     counts: dict[str, np.ndarray] = {}
+    others: dict[str, np.ndarray] = {}
     for batch in vec.slices(batches, "text"):
         code, off, _ = trigrams(batch.column("text"))
         langs = batch.column("lang").dictionary_encode()
         kind = np.repeat(langs.indices.to_numpy(), np.diff(off))
         n = SYMBOLS ** 3
+        wide = code >= n
+        sums = wide_sums(code[wide], kind[wide], len(langs.dictionary))
+        code, kind = code[~wide], kind[~wide]
         for i, lang in enumerate(langs.dictionary.to_pylist()):
             counts[lang] = counts.get(lang, 0) + np.bincount(code[kind == i], minlength=n)
+            others[lang] = others.get(lang, 0) + sums[i]
         if len(counts) > MAX_LANGS:
             raise ValueError(f"over {MAX_LANGS} languages")
     for lang, c in counts.items():
         used = np.flatnonzero(c)
-        total = np.zeros(DIMS, np.int64)
-        for a in range(0, len(used), 4096):
-            x = used[a:a + 4096]
-            total += c[x].astype(np.int64) @ trigram_vectors()[x].astype(np.int64)
+        total = others[lang]
+        for a in range(0, len(used), BLOCK):
+            x = used[a:a + BLOCK]
+            total = total + c[x].astype(np.int64) @ trigram_vectors()[x].astype(np.int64)
         yield pa.RecordBatch.from_pydict({"lang": [lang], "bundle": pa.array([total], pa.list_(pa.int64()))})
 
 
@@ -119,12 +170,15 @@ def predict(models: dict[str, np.ndarray], keep_text: bool = False):
         vectors = trigram_vectors()
         for batch in vec.slices(batches, "text"):
             code, off, letters = trigrams(batch.column("text"))
-            bundle = np.zeros((batch.num_rows, DIMS), np.float32)
+            wide = code >= len(vectors)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            bundle = wide_sums(code[wide], row[wide], batch.num_rows).astype(np.float32)
+            code, off = code[~wide], np.r_[0, np.cumsum(~wide)][off]
             for i in np.flatnonzero(letters).tolist():
                 c = np.bincount(code[off[i]:off[i + 1]])
                 used = np.flatnonzero(c)
-                for a in range(0, len(used), 4096):
-                    x = used[a:a + 4096]
+                for a in range(0, len(used), BLOCK):
+                    x = used[a:a + BLOCK]
                     bundle[i] += c[x].astype(np.float32) @ vectors[x].astype(np.float32)
             pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if langs:

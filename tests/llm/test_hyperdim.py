@@ -47,3 +47,28 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     v = hyperdim.trigram_vectors()
     letters = np.random.default_rng(2024).choice(np.array([-1, 1], np.int8), (s, hyperdim.DIMS))
     assert (v[(1 * s + 2) * s + 3] == np.roll(letters[1], 2) * np.roll(letters[2], 1) * letters[3]).all()
+
+
+def test_other_letters_are_told_apart(spark):
+    """Every letter is a symbol of its own, also where scripts or languages differ in few letters."""
+    import pyarrow as pa
+    code, off, _ = hyperdim.trigrams(pa.array(list("éöäñíúжшαβあいאב中文")))
+    assert len(set(code.tolist())) == off[-1] == 16
+    v = hyperdim.letter_vectors(code >> hyperdim.WIDE).astype(int)
+    assert np.abs(v @ v.T - hyperdim.DIMS * np.eye(16, dtype=int)).max() < 5 * hyperdim.DIMS ** 0.5
+    x, y, z = (hyperdim.letter_vectors(np.array([ord(c) + hyperdim.SYMBOLS]))[0] for c in "жшщ")
+    code, _, _ = hyperdim.trigrams(pa.array(["жшщ"]))
+    assert (hyperdim.wide_sums(np.r_[code[1:2], code[1:2]], np.array([1, 1]), 2)
+            == np.stack([x * 0, 2 * (np.roll(x, 2) * np.roll(y, 1) * z)])).all()
+    # Two languages of each script, whose letters lie 13 code points apart.
+    rng = np.random.default_rng(4)
+    rows, truth = [], {}
+    for base in (0x430, 0x3B1, 0x3041, 0x4E00):
+        for shift in (0, 13):
+            letters = [chr(base + shift + i) for i in range(5)]
+            for _ in range(40):
+                doc = len(rows)
+                truth[doc] = f"{base}-{shift}"
+                rows.append((doc, " ".join("".join(rng.choice(letters, 4)) for _ in range(12)), truth[doc], None, None))
+    got = [r for r in hyperdim.identify(spark.createDataFrame(rows, DDL)).collect() if r.held_out]
+    assert len(got) > 40 and all(r.lang_pred == truth[r.doc_id] for r in got)
