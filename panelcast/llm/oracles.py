@@ -136,3 +136,102 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both_.b F
 root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN root USING (doc_id)"""
+
+
+# ---------------------------------------------------------------- rounds of CRC-32, Feistel, trees
+
+_CRC = """t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc)"""
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values; the query has to name the table ``t``."""
+    return f"xor(4294967295, list_reduce({codes}, lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1]), 4294967295))"
+
+
+def _crc32_digits(number: str) -> str:
+    d = f"CAST({number} AS VARCHAR)"
+    return _crc32(f"list_transform(range(1, length({d}) + 1), lambda p: ascii(substr({d}, p, 1))::BIGINT)")
+
+
+TRIE = f"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k[:32]) AS r FROM (
+  SELECT conv_id AS c, turn, length(coalesce(text, '')) AS len,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL)),
+cs AS (SELECT c, c - c % 100 AS b, {_crc32_digits('c')} % 6 AS h FROM (SELECT DISTINCT c FROM o), t),
+heads AS (SELECT cs.c, o.r AS pos, o.k, o.len FROM cs JOIN o ON o.c = cs.b AND o.r <= cs.h),
+kept AS (SELECT c, count(*) AS m FROM heads GROUP BY c),
+seq AS (SELECT * FROM heads UNION ALL
+  SELECT o.c, coalesce(m, 0) + o.r - h, o.k, o.len FROM o JOIN cs USING (c) LEFT JOIN kept USING (c) WHERE o.r > h),
+path AS (SELECT c, pos, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS node, len FROM seq
+  UNION ALL SELECT c, 0, '', 0 FROM cs),
+size AS (SELECT c, max(pos) AS last FROM path GROUP BY c),
+node AS (SELECT node, any_value(pos) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len,
+                CASE WHEN any_value(pos) > 0 THEN node[:length(node) - 64] END AS parent FROM path GROUP BY node),
+fan AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN fan USING (node)),
+below AS (SELECT p.node, sum((w.n_convs - 1) * w.len) AS saved, count(*) FILTER (w.n_children = 0) AS leaves
+          FROM whole w JOIN path p ON p.c = w.conv_id AND p.pos <= w.depth GROUP BY p.node),
+ends AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM path JOIN size USING (c) WHERE pos = last GROUP BY node)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, leaves AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole w JOIN below USING (node) LEFT JOIN ends USING (node) LEFT JOIN node up ON up.node = w.parent"""
+
+
+def _permuted(source: str, keys: list[int], times: tuple[int, int]) -> str:
+    """A keyed Feistel network over column ``v`` of halves below ``m``."""
+    sql = f"SELECT *, v // m AS l, v % m AS r FROM ({source})"
+    for k in keys:
+        x = f"((r::HUGEINT * {times[0]} + {k}) % 18446744073709551616)"
+        f = f"((xor(({x} // 4294967296)::BIGINT, ({x} % 4294967296)::BIGINT)::HUGEINT * {times[1]}) % 18446744073709551616) // (18446744073709551616 // m)"
+        sql = f"SELECT * REPLACE (r AS l, xor(l, ({f})::BIGINT) AS r) FROM ({sql})"
+    return f"SELECT id, n, m, l * m + r AS v FROM ({sql})"
+
+
+def sharding(shards: int, keys: list[int], times: tuple[int, int]) -> str:
+    """Row numbers, permuted until they are row numbers again."""
+    return f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, {_crc32("list_transform(range(1, length(h), 2), lambda p: ('0x' || substr(h, p, 2))::BIGINT)")} AS text_crc32 FROM d, t),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id, count(*) OVER () AS n FROM c),
+s AS (SELECT id, n, 1::BIGINT << greatest(1, (CASE WHEN n > 1 THEN length(ltrim(bin(n - 1), '0')) ELSE 0 END + 1) // 2)::INT AS m, id AS v FROM o),
+w AS ({_permuted('SELECT * FROM s', keys, times)} UNION ALL {_permuted('SELECT * FROM w WHERE v >= n', keys, times)})
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (v % {shards})::INT AS shard, (v // {shards})::BIGINT AS slot,
+       NULL::INT AS grown_shard, o.id AS row, v AS place
+FROM o JOIN w ON o.id = w.id AND w.v < w.n"""
+
+
+def _hashed(text: str) -> str:
+    cols = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in cols) + ")"
+
+
+def _levels(name: str, bottom: str) -> str:
+    """Nodes (tree, l, i, d, n) of all levels, and (tree, l, i, a, z): the siblings before and after each node."""
+    return f"""
+{name} AS ({bottom} UNION ALL
+  SELECT tree, l + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, l, i // 3, n),
+{name}_side AS (SELECT x.tree, x.l, x.i, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS a,
+                       coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS z
+  FROM {name} x LEFT JOIN {name} y ON x.tree = y.tree AND x.l = y.l AND x.i // 3 = y.i // 3 AND x.i <> y.i
+  WHERE x.n > 1 GROUP BY x.tree, x.l, x.i)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE {_CRC},
+h AS (SELECT doc_id, source, {_hashed('text')} AS leaf, CASE WHEN {_crc32_digits('doc_id')} % 2 = 0 THEN
+        {_hashed("replace(text, chr(10), '')")} ELSE {_hashed('text')} END AS found FROM documents, t),
+leaf AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS i FROM h),
+{_levels('low', 'SELECT tree, 0 AS l, i, leaf AS d, n FROM leaf')},
+{_levels('top', 'SELECT 0 AS tree, 0 AS l, tree AS i, d, (SELECT max(tree) + 1 FROM leaf) AS n FROM low WHERE n = 1')},
+step AS (SELECT leaf.tree, leaf.i, s.l, s.a, s.z FROM leaf JOIN low_side s ON s.tree = leaf.tree AND s.i = leaf.i // (3 ** s.l)::BIGINT
+  UNION ALL SELECT leaf.tree, leaf.i, 1000 + s.l, s.a, s.z FROM leaf JOIN top_side s ON s.i = leaf.tree // (3 ** s.l)::BIGINT),
+way AS (SELECT tree, i, string_agg(a || z, '' ORDER BY l) AS proof, list(a || '|' || z ORDER BY l) AS steps FROM step GROUP BY tree, i),
+done AS (SELECT leaf.*, sub.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(coalesce(steps, []), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2)), found) AS folded_root
+  FROM leaf LEFT JOIN way USING (tree, i) JOIN low sub ON sub.tree = leaf.tree AND sub.n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import (block_topk, bloom_cascade, bootstrap_pii, chosen_path, hyperdim, mixing, oracles,
-                           substring_dedup, suffix_dedup, warc, winnowing)
+from panelcast.llm import (block_topk, bloom_cascade, bootstrap_pii, chosen_path, feistel_shards, hyperdim, merkle, mixing,
+                           oracles, prefix_trie, substring_dedup, suffix_dedup, warc, winnowing)
 from panelcast.llm.components import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets are similar to 0.75 or more."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+@query("op11_prefix_trie", oracles.TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_feistel_shards", oracles.sharding(16, feistel_shards.round_keys(oracles.SEED), feistel_shards.TIMES))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in a keyed shuffle of the row numbers."""
+    return feistel_shards.assign(table(spark, sf_dir, "documents"), shards=16, seed=oracles.SEED)
+
+
+@query("op13_merkle_manifest", oracles.MANIFEST)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether its tampered text still folds to the root."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.Manifest(docs, *merkle.without_newlines()).prove()
