@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.numbers import filled
 from panelcast.operators.common import order_cols
 
 # Columns of the correlation matrix, in display order (fixed values).
@@ -119,12 +120,12 @@ def observations(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     g, cv = F.col("avg_growth"), F.col("cv_pct")
     notes = F.array(
         F.struct(F.lit(1).alias("seq"), F.lit("info").alias("type"),
-                 F.format_string(NOTE_PEAK, F.col("peak_month")).alias("text")),
+                 filled(NOTE_PEAK, F.col("peak_month")).alias("text")),
         F.struct(F.lit(2).alias("seq"), F.when(g > 0, "success").otherwise("danger").alias("type"),
-                 F.format_string(NOTE_GROWTH, g,
+                 filled(NOTE_GROWTH, g,
                                  F.when(g > 0, TREND_UP).otherwise(TREND_DOWN)).alias("text")),
         F.struct(F.lit(3).alias("seq"), F.when(cv > 20, "warning").otherwise("success").alias("type"),
-                 F.format_string(NOTE_SPREAD, cv,
+                 filled(NOTE_SPREAD, cv,
                                  F.when(cv > 20, SPREAD_WIDE).otherwise(SPREAD_NARROW)).alias("text")),
     )
     return s.select(*keys, F.inline(notes))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.dates import add_periods
+from panelcast.functions.numbers import money
 
 # Band multiplier and its widening per step.
 Z_BAND = 1.28
@@ -96,11 +97,6 @@ def overlay(history: DataFrame, forecast: DataFrame, keys: Sequence[str] = ()) -
     return hist.unionByName(fc).unionByName(up).unionByName(down)
 
 
-def money(c: Column, places: int = 0) -> Column:
-    """``$#,##0`` text (half-even, like Python's format)."""
-    return F.concat(F.lit("$"), F.format_number(c, places))
-
-
 def forecast_table(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """G-12: display table with ``MMM yyyy`` months and whole-dollar amounts."""
     keys = list(keys)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.forecast import money
+from panelcast.functions.numbers import filled, money
 
 # Rule thresholds.
 PRICE_HIGH, PRICE_DANGER = 10.0, 15.0
@@ -75,21 +75,21 @@ def insights(importance: DataFrame, best: DataFrame, features: DataFrame) -> Dat
     pct_err = F.when(c("avg") > 0, c("rmse") / c("avg") * 100).otherwise(F.lit(0.0))
     quality = F.when(c("r2") > R2_EXCELLENT, "excellent").when(c("r2") > R2_GOOD, "good") \
         .otherwise("moderate")
-    cv_note = F.when(c("cv_rmse") > 0, F.format_string(T_CV, money(c("cv_rmse")), money(c("cv_std")))).otherwise("")
+    cv_note = F.when(c("cv_rmse") > 0, filled(T_CV, money(c("cv_rmse")), money(c("cv_std")))).otherwise("")
     entries = [
         (1, F.lit("warning"), F.lit(T_NONE), c("n") == 0),
-        (2, F.lit("info"), F.format_string(T_METHOD, c("method")),
+        (2, F.lit("info"), filled(T_METHOD, c("method")),
          (c("n") > 0) & c("method").isNotNull()),
-        (3, F.lit("info"), F.format_string(T_FIRST, c("f1"), c("i1")), c("n") > 0),
-        (4, F.lit("info"), F.format_string(T_SECOND, c("f2"), c("i2"), c("i1") + c("i2")),
+        (3, F.lit("info"), filled(T_FIRST, c("f1"), c("i1")), c("n") > 0),
+        (4, F.lit("info"), filled(T_SECOND, c("f2"), c("i2"), c("i1") + c("i2")),
          c("f2").isNotNull()),
-        (5, F.lit("warning"), F.format_string(T_SEASON, c("season")), c("season").isNotNull()),
-        (6, F.lit("success"), F.format_string(T_MOMENTUM, c("momentum")),
+        (5, F.lit("warning"), filled(T_SEASON, c("season")), c("season").isNotNull()),
+        (6, F.lit("success"), filled(T_MOMENTUM, c("momentum")),
          c("momentum").isNotNull()),
-        (7, F.when(c("price") > PRICE_DANGER, "danger").otherwise("info"), F.format_string(
+        (7, F.when(c("price") > PRICE_DANGER, "danger").otherwise("info"), filled(
             T_PRICE, c("price"), F.when(c("price") > PRICE_HIGH, T_PRICE_HIGH).otherwise(T_PRICE_LOW)),
          c("price").isNotNull()),
-        (8, F.when(c("r2") > R2_GOOD, "success").otherwise("warning"), F.format_string(
+        (8, F.when(c("r2") > R2_GOOD, "success").otherwise("warning"), filled(
             T_QUALITY, quality, c("r2"), pct_err, cv_note, F.when(pct_err < ERROR_CONFIDENT, T_SURE).otherwise(T_UNSURE)),
          c("n") > 0),
     ]

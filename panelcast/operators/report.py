@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.numbers import fixed
+
 
 
 def money2(c: Column) -> Column:
@@ -22,11 +24,6 @@ def money0(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(c, 0))
 
 
-def plain(c: Column, places: int) -> Column:
-    """``f"{x:.Nf}"``: fixed places, no thousands separator, half-even."""
-    return F.regexp_replace(F.format_number(c, places), ",", "")
-
-
 def iso_day(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -55,8 +52,8 @@ def summary_section(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def model_section(metrics: DataFrame) -> DataFrame:
     """H-03: name, RMSE/MAE (2 dp), R² (4 dp), CV RMSE, best-by-hold-out flag (M-16)."""
     return metrics.select(
-        F.col("name").alias("model"), plain(F.col("rmse"), 2).alias("rmse"),
-        plain(F.col("mae"), 2).alias("mae"), plain(F.col("r2"), 4).alias("r2"),
+        F.col("name").alias("model"), fixed(F.col("rmse"), 2).alias("rmse"),
+        fixed(F.col("mae"), 2).alias("mae"), fixed(F.col("r2"), 4).alias("r2"),
         money0(F.coalesce(F.col("cv_rmse_mean"), F.col("rmse"))).alias("cv_rmse"),
         (F.col("rank_holdout") == 1).alias("best_holdout"))
 
@@ -71,7 +68,7 @@ def forecast_section(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def importance_section(importance: DataFrame, top_k: int = 8) -> DataFrame:
     """Importance rows for the report (the first ``top_k`` drivers), % to 1 dp."""
     return importance.filter(F.col("rank") <= top_k).select(
-        "rank", "feature", F.format_string("%s%%", plain(F.col("importance"), 1)).alias("importance"))
+        "rank", "feature", F.format_string("%s%%", fixed(F.col("importance"), 1)).alias("importance"))
 
 
 def target_section(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +79,7 @@ def target_section(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
               ("Forecast Upper CI", money0(F.col("upper"))),
               ("Forecast Lower CI", money0(F.col("lower"))),
               ("Growth Required", F.concat(F.when(F.col("required_growth") >= 0, "+").otherwise(""),
-                                           plain(F.col("required_growth"), 1), F.lit("%"))),
+                                           fixed(F.col("required_growth"), 1), F.lit("%"))),
               ("Check Period", F.col("period"))]
     rows = F.array(*[F.struct(F.lit(i + 1).alias("line_no"), F.lit(lbl).alias("label"),
                               v.alias("value")) for i, (lbl, v) in enumerate(fields)])
@@ -108,6 +105,6 @@ def run_summary(data: DataFrame, metrics: DataFrame, forecast: DataFrame) -> Dat
               F.max(F.when(F.col("k") == "total", F.col("v"))).alias("forecast_total"))
     return r.withColumns({
         "data_points_text": F.format_number(F.col("data_points"), 0),
-        "model_r2_text": plain(F.col("model_r2"), 3),
-        "forecast_total_text": F.concat(F.lit("$"), plain(F.col("forecast_total") / 1000, 1),
+        "model_r2_text": fixed(F.col("model_r2"), 3),
+        "forecast_total_text": F.concat(F.lit("$"), fixed(F.col("forecast_total") / 1000, 1),
                                         F.lit("k"))})

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.numbers import filled
+
 # Marketing return on spend, lever ranges and narrative cut-offs.
 MARKETING_ROMI = 0.35
 PRICE_RANGE = (-50, 50)
@@ -85,7 +87,7 @@ def impacts(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Data
     x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
     m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
     total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
-    return _noted(x.select(*keys, "_set.*", "base_total", total.alias("scenario_total"))
+    return noted(x.select(*keys, "_set.*", "base_total", total.alias("scenario_total"))
                   .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
 
 
@@ -97,7 +99,7 @@ def best_of(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Data
     total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
     best = F.max(F.struct(F.col("total"), (-F.col("_set.scenario_id")).alias("_o"), F.col("_set")))
     top = x.select(*keys, "base_total", "_set", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("_best"))
-    return _noted(top.select(*keys, "_best._set.*", "base_total", F.col("_best.total").alias("scenario_total"))
+    return noted(top.select(*keys, "_best._set.*", "base_total", F.col("_best.total").alias("scenario_total"))
                   .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
 
 
@@ -115,16 +117,17 @@ def impact(detail: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.sum("base").alias("base_total"),
         F.sum("scenario").alias("scenario_total"),
         F.sum("diff").alias("impact"))
-    return _noted(a)
+    return noted(a)
 
 
-def _noted(a: DataFrame) -> DataFrame:
+def noted(a: DataFrame) -> DataFrame:
+    """K-05: impact %, note and its type for rows with base_total, impact and the three levers."""
     a = a.withColumn("impact_pct", F.try_divide(F.col("impact"), F.col("base_total")) * 100)
     p, u, m, pct = F.col("price_pct"), F.col("units_pct"), F.col("mkt_pct"), F.col("impact_pct")
-    text = (F.when((F.abs(p) > LEVER_NOTE_CUT) & (F.abs(u) > LEVER_NOTE_CUT), F.format_string(NOTE_BOTH, p, u, pct))
-            .when(m > MKT_NOTE_CUT, F.format_string(NOTE_MARKETING, m, pct))
-            .when(F.abs(p) > LEVER_NOTE_CUT, F.format_string(NOTE_PRICE, p, pct))
-            .otherwise(F.format_string(NOTE_PLAIN, pct)))
+    text = (F.when((F.abs(p) > LEVER_NOTE_CUT) & (F.abs(u) > LEVER_NOTE_CUT), filled(NOTE_BOTH, p, u, pct))
+            .when(m > MKT_NOTE_CUT, filled(NOTE_MARKETING, m, pct))
+            .when(F.abs(p) > LEVER_NOTE_CUT, filled(NOTE_PRICE, p, pct))
+            .otherwise(filled(NOTE_PLAIN, pct)))
     return a.withColumns({"note": text,
                           "note_type": F.when(F.col("impact") >= 0, "success").otherwise("danger")})
 

@@ -12,21 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.forecast import money
+from panelcast.functions.numbers import filled, money
 
-# Default target factor; verdict labels, notes, recommendations.
+# Default target factor and verdict labels.
 DEFAULT_TARGET_FACTOR = 1.1
 VERDICT_YES = "YES - Easily Achievable"
 VERDICT_MAYBE = "MAYBE - Achievable with Effort"
 VERDICT_NO = "NO - Beyond Forecast Range"
-NOTE_YES = "The forecast of %s already exceeds your target by %.1f%%. High confidence - no extra effort needed."
-NOTE_MAYBE = ("Your target falls within the upper bound of the forecast band (%s). Achievable but "
-              "requires strong execution and favourable market conditions.")
-NOTE_NO = ("Your target exceeds even the optimistic upper bound by %s. This would require major "
-           "intervention beyond normal operations.")
-REC_YES = "Maintain current pricing and volume strategy."
-REC_MAYBE = "Increase marketing spend or improve conversion rates."
-REC_NO = "Reconsider the target or plan significant pricing/volume changes."
+# Texts of the verdict; the oracle reads them too.
+NOTE_YES = "Forecast revenue of %s is %.1f%% above the target."
+NOTE_MAYBE = "The target lies between the forecast and the top of its band, %s."
+NOTE_NO = "The target is %s higher than the top of the band."
+REC_YES = "Stay on the current course."
+REC_MAYBE = "Look for extra demand before the period starts."
+REC_NO = "Lower the target, or change price or volume."
 
 
 def with_default_target(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,9 +64,9 @@ def _verdicts(j: DataFrame, keys: list[str]) -> DataFrame:
         F.try_divide(t - F.col("last_actual"), F.col("last_actual")).alias("_g"),
         F.when(v == "YES", F.try_divide(fv - t, t) * 100).alias("margin_pct"),
         F.when(v == "NO", t - uv).alias("shortfall"),
-        F.when(v == "YES", F.format_string(NOTE_YES, money(fv), F.try_divide(fv - t, t) * 100))
-        .when(v == "MAYBE", F.format_string(NOTE_MAYBE, money(uv)))
-        .otherwise(F.format_string(NOTE_NO, money(t - uv))).alias("note"),
+        F.when(v == "YES", filled(NOTE_YES, money(fv), F.try_divide(fv - t, t) * 100))
+        .when(v == "MAYBE", filled(NOTE_MAYBE, money(uv)))
+        .otherwise(filled(NOTE_NO, money(t - uv))).alias("note"),
         F.when(v == "YES", REC_YES).when(v == "MAYBE", REC_MAYBE)
         .otherwise(REC_NO).alias("recommendation"),
     ).withColumn("required_growth", F.col("_g") * 100).drop("_g")

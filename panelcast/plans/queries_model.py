@@ -373,6 +373,42 @@ def q_scenario_saved_by_brand(spark, sf):
     return K.impact(K.simulate_saved(fc, saved_scenarios(spark, sf), KEYS), KEYS)
 
 
+NUMBERS_SQL = """
+SELECT DISTINCT unnest([l_quantity / 8, -l_quantity / 8, l_quantity + 0.675::DOUBLE, l_quantity * 1.125::DOUBLE, 0.005::DOUBLE * l_quantity,
+                        l_extendedprice / 1000]) AS x FROM lineitem"""
+
+
+@register("number_texts", f"""SELECT x, printf('%.1f', x) AS one, printf('%+.1f', x) AS signed, printf('%.2f', x) AS two,
+  printf('%.3f', x) AS three, '$' || format('{{:,.0f}}', x) AS dollars, format('{{:,.2f}}', x) AS cents FROM ({NUMBERS_SQL})""")
+def q_number_texts(spark, sf):
+    """K-05, E-10, T-05, J-03…J-07: exact texts, ties among them (56.25, 0.125, 2.675)."""
+    from panelcast.functions.numbers import filled, fixed, money
+    from panelcast.sources.tables import table
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    x = table(spark, sf, "lineitem").select(F.explode(F.array(
+        q / 8, -q / 8, q + 0.675, q * 1.125, 0.005 * q, p / 1000)).alias("x")).distinct()
+    return x.select("x", filled("%.1f", F.col("x")).alias("one"), filled("%+.1f", F.col("x")).alias("signed"),
+                    fixed(F.col("x"), 2).alias("two"), fixed(F.col("x"), 3).alias("three"), money(F.col("x")).alias("dollars"),
+                    filled("%,.2f", F.col("x")).alias("cents"))
+
+
+TIED_SQL = """
+tied AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 10 AS DOUBLE) AS base_total, l_quantity / 8 AS impact,
+                CAST(l_linenumber * 5 - 10 AS INTEGER) AS price_pct, CAST(10 - l_linenumber AS INTEGER) AS units_pct,
+                CAST(l_quantity AS INTEGER) AS mkt_pct FROM lineitem),
+imp2 AS (SELECT *, impact / NULLIF(base_total, 0) * 100 AS impact_pct FROM tied)"""
+
+
+@register("scenario_notes_tied", f"WITH {TIED_SQL} SELECT *, {NOTE_SQL} FROM imp2", {"impact_pct": 6})
+def q_scenario_notes_tied(spark, sf):
+    """K-05: impact notes over rows whose percentages often end in exactly half a tenth."""
+    from panelcast.sources.tables import table
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    return K.noted(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (n * 10).cast("double").alias("base_total"), (q / 8).alias("impact"), (n * 5 - 10).cast("int").alias("price_pct"),
+        (10 - n).cast("int").alias("units_pct"), q.cast("int").alias("mkt_pct")))
+
+
 # ── the same operators on the other panels ──────────────────────────────────
 
 OTHER_PANELS = {
@@ -393,8 +429,8 @@ def _register_panel(suffix: str, panel_sql: str, build) -> None:
     register(f"es_forecast_{suffix}", f"WITH {fc_cte(feat)} SELECT * FROM fc", {"last_actual": 4})(forecast)
     register(f"target_check_{suffix}", f"WITH {target_cte(feat)} {TARGET_SELECT}", TARGET_ROUND)(
         lambda spark, sf: T.check_default_targets(forecast(spark, sf), KEYS))
-    register(f"scenario_best_{suffix}", f"WITH {scen_cte(feat)}{BEST_SELECT}", IMPACT_ROUND)(
-        lambda spark, sf: K.best_of(forecast(spark, sf), K.lever_grid(*GRID), KEYS))
+    register(f"scenario_best_{suffix}", f"WITH {scen_cte(feat, FINE)}{BEST_SELECT}", IMPACT_ROUND)(
+        lambda spark, sf: K.best_of(forecast(spark, sf), K.lever_grid(*FINE), KEYS))
 
 
 for _suffix, (_sql, _build) in OTHER_PANELS.items():
