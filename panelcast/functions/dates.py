@@ -1,63 +1,157 @@
-"""Date parsing with one format per column (C-01) and month arithmetic."""
+"""Dates from text: one layout per column (C-01), read off the texts themselves, and month arithmetic.
+
+A text is cut once into its parts: up to three date fields, what separates them, and an
+optional time with AM/PM and zone. The parts' kinds give the text's shape
+(``n/n/Y``, ``n-b-Y``, …), and the shape leaves few readings, i.e. which field is the
+year, the month and the day. Shapes and readings are summed up over a column with plain
+aggregates (least and greatest shape, failures per reading), so the column's one layout
+comes out of a single pass, whatever its texts look like:
+
+- all texts have one shape, and the layout is the first reading that fails for none;
+- readings are tried month first, then day first, then year first;
+- years of two digits are 1969 to 2068; a missing day is the first of the month, so
+  ``Jan-24`` is January 2024; the time may be missing in some rows;
+- a zone shifts the instant to the session's zone, of which the local time is kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Formats tried, in order, for string date columns (month-first before
-# day-first, as pandas defaults to dayfirst=False), each with the text shape
-# it can parse. One letter per field takes one digit or two; parts in brackets
-# may be missing. The shape test is a cheap guard: the parser, which is slow on
-# text it rejects, only runs on rows of the right shape.
-_D = r"\d"
-_DAY = rf"{_D}{{4}}-{_D}{{1,2}}-{_D}{{1,2}}"
-_TIME = rf"{_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}}(\.{_D}{{1,6}})?)?"
-_ZONE = r"(Z|[+-]\d{2}:\d{2})?"
-_SLASH = rf"{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{4}}"
-FORMAT_SHAPES = {
-    "yyyy-M-d": rf"^{_DAY}$",
-    "yyyy-M-d H:mm[:ss][.SSSSSS][XXX]": rf"^{_DAY} {_TIME}{_ZONE}$",
-    "yyyy-M-d'T'H:mm[:ss][.SSSSSS][XXX]": rf"^{_DAY}T{_TIME}{_ZONE}$",
-    "yyyy/M/d[ H:mm[:ss]]": rf"^{_D}{{4}}/{_D}{{1,2}}/{_D}{{1,2}}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
-    "M/d/yyyy[ H:mm[:ss]]": rf"^{_SLASH}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
-    "d/M/yyyy[ H:mm[:ss]]": rf"^{_SLASH}( {_D}{{1,2}}:{_D}{{2}}(:{_D}{{2}})?)?$",
-    "M-d-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
-    "d-M-yyyy": rf"^{_D}{{1,2}}-{_D}{{1,2}}-{_D}{{4}}$",
-    "yyyyMMdd": rf"^{_D}{{8}}$",
-    "yyyy-M": rf"^{_D}{{4}}-{_D}{{1,2}}$",
-    "MMM yyyy": rf"^[A-Za-z]{{3}} {_D}{{4}}$",
-    "MMMM yyyy": rf"^[A-Za-z]+ {_D}{{4}}$",
-    "d MMM yyyy": rf"^{_D}{{1,2}} [A-Za-z]{{3}} {_D}{{4}}$",
-    "MMM d, yyyy": rf"^[A-Za-z]{{3}} {_D}{{1,2}}, {_D}{{4}}$",
+# English names of months and days.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+MONTH_NUMBERS = {name: i + 1 for i, m in enumerate(MONTHS) for name in {m, m[:3]}} | {"sept": 9}
+
+_FIELD = r"(\d{1,2}|\d{4}|\d{8}|[A-Za-z]{3,9})\.?"
+_GAP = r"( ?[-/.,] ?| )"
+_WEEKDAY = r"(?:(?:" + "|".join(f"{d}|{d[:3]}" for d in DAYS) + r"),? )?"
+_TIME = r"(\d{1,2}):([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,9}))?)?"
+_ZONE = r"(?: ?(Z|UTC|GMT|[+-](?:0\d|1[0-7]):?[0-5]\d))?"
+PATTERN = (rf"(?i)^{_WEEKDAY}{_FIELD}(?:{_GAP}{_FIELD}(?:{_GAP}{_FIELD})?)?"
+           rf"(?:(?:T| |, ){_TIME}(?: ?([AP])\.?M\.?)?{_ZONE})?$")
+_PARTS = ("f1", "g1", "f2", "g2", "f3", "hour", "minute", "second", "fraction", "half", "zone")
+_MARK = "\u0001"
+
+# Which field is (year, month, day), and which shapes may be read so; n is a number of
+# one or two digits, Y one of four, D one of eight, b a name.
+READINGS = {
+    "month first": ((3, 1, 2), ("nnY", "nnn", "bnY", "bnn")),
+    "day first": ((3, 2, 1), ("nnY", "nnn", "nbY", "nbn")),
+    "year first": ((1, 2, 3), ("Ynn", "nnn", "Ybn")),
+    "month and year": ((2, 1, 0), ("nY", "bY", "bn")),
+    "year and month": ((1, 2, 0), ("Yn", "Yb")),
+    "year": ((1, 0, 0), ("Y",)),
+    "digits": ((0, 0, 0), ("D",)),
 }
-DATE_FORMATS = list(FORMAT_SHAPES)
 
 
-def parse_with(col: Column, fmt: str) -> Column:
-    """Parse text with one format to a zone-free timestamp (in the session's zone)."""
-    return F.try_to_timestamp(F.trim(col.cast("string")), F.lit(fmt)).cast("timestamp_ntz")
+def date_parts(col: Column) -> Column:
+    """The parts of a text as an array, or null where the text is no date. One regular expression."""
+    text = F.trim(F.regexp_replace(col.cast("string"), r"\s+", " "))
+    groups = _MARK.join(f"${i + 1}" for i in range(len(_PARTS)))
+    found = F.split(F.regexp_replace(text, PATTERN, groups), _MARK, -1)
+    return F.when(F.size(found) == len(_PARTS), found)
+
+
+def _part(parts: Column, name: str) -> Column:
+    return F.get(parts, F.lit(_PARTS.index(name)))
+
+
+def _kind(field: Column) -> Column:
+    size = F.length(field)
+    return (F.when(size == 0, "").when(field.rlike("^[A-Za-z]"), "b")
+            .when(size <= 2, "n").when(size == 4, "Y").otherwise("D"))
+
+
+def _gap(gap: Column) -> Column:
+    bare = F.trim(gap)
+    return F.when((bare == "") | (bare == ","), F.when(gap == "", "").otherwise(" ")).otherwise(bare)
+
+
+def kinds(parts: Column) -> Column:
+    return F.concat(*[_kind(_part(parts, f"f{i}")) for i in (1, 2, 3)])
+
+
+def shape(parts: Column) -> Column:
+    """Kinds of the fields and what separates them."""
+    return F.concat(_kind(_part(parts, "f1")), _gap(_part(parts, "g1")), _kind(_part(parts, "f2")),
+                    _gap(_part(parts, "g2")), _kind(_part(parts, "f3")))
 
 
-def failures_per_format(col: Column, formats: Sequence[str] = DATE_FORMATS) -> list[Column]:
-    """Per format: rows whose raw value is present but does not parse.
+def _month(field: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in MONTH_NUMBERS.items() for x in kv])
+    return F.coalesce(F.element_at(names, F.lower(field)), field.try_cast("int"))
 
-    ``Or`` evaluates left to right, so a row of the wrong shape counts as a
-    failure without reaching the parser.
+
+def _year(field: Column) -> Column:
+    y = field.try_cast("int")
+    return F.when(F.length(field) > 2, y).otherwise(y + F.when(y >= 69, 1900).otherwise(2000))
+
+
+def read(parts: Column, reading: str) -> Column:
+    """The parts read one way, as a zone-free timestamp; null where that isn't a date."""
+    (y, m, d), shapes = READINGS[reading]
+
+    def field(i: int) -> Column:
+        return _part(parts, f"f{i}")
+    if reading == "digits":
+        year, month, day = (F.substring(field(1), *p).try_cast("int") for p in ((1, 4), (5, 2), (7, 2)))
+    else:
+        year = _year(field(y))
+        month = _month(field(m)) if m else F.lit(1)
+        day = field(d).try_cast("int") if d else F.lit(1)
+    half, hour = F.upper(_part(parts, "half")), F.coalesce(_part(parts, "hour").try_cast("int"), F.lit(0))
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
+    minute = F.coalesce(_part(parts, "minute").try_cast("int"), F.lit(0))
+    fraction = F.rpad(F.substring(_part(parts, "fraction"), 1, 6), 6, "0")
+    second = F.concat(F.lpad(_part(parts, "second"), 2, "0"), F.lit("."), fraction).try_cast("decimal(8,6)")
+    zone = F.upper(_part(parts, "zone"))
+    zone = F.when(zone.isin("Z", "GMT"), "UTC").otherwise(F.regexp_replace(zone, "^([+-]..):?", "$1:"))
+    local = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
+    at_zone = F.try_make_timestamp(year, month, day, hour, minute, second, zone).cast("timestamp_ntz")
+    when = F.when(zone == "", local).otherwise(at_zone)
+    return F.when(kinds(parts).isin(*shapes), when)
+
+
+def layout(df: DataFrame, parts: str, raw: str) -> Column:
+    """Place of the column's reading in ``READINGS`` as a lazy scalar subquery; null if no one layout fits.
+
+    One aggregate over the column ``parts``; rows without a ``raw`` text don't count, and
+    a column of such rows alone has the first layout.
     """
-    text = F.trim(col.cast("string"))
-    out = []
-    for i, f in enumerate(formats):
-        shape = FORMAT_SHAPES.get(f)
-        bad = parse_with(col, f).isNull()
-        if shape:
-            bad = ~text.rlike(shape) | bad
-        out.append(F.count_if(col.isNotNull() & bad).alias(f"_bad_{i}"))
+    present = F.col(raw).isNotNull()
+    p = F.col(parts)
+    got = df.agg(F.min(shape(p)).alias("least"), F.max(shape(p)).alias("most"),
+                 *[F.count_if(present & (p.isNull() | read(p, r).isNull())).alias(f"bad_{i}") for i, r in enumerate(READINGS)])
+    first = F.coalesce(*[F.when(F.col(f"bad_{i}") == 0, F.lit(i)) for i in range(len(READINGS))])
+    return got.select(F.when(F.col("least").eqNullSafe(F.col("most")), first).alias("layout")).scalar()
+
+
+def parsed(parts: Column, index: Column, otherwise: Column) -> Column:
+    """The parts read as ``layout`` says; ``otherwise`` where it says nothing."""
+    out = otherwise
+    for i, r in reversed(list(enumerate(READINGS))):
+        out = F.when(index == i, read(parts, r)).otherwise(out)
     return out
 
 
+def parse_with(col: Column, fmt: str) -> Column:
+    """Parse text with one given format to a zone-free timestamp (in the session's zone)."""
+    return F.try_to_timestamp(F.trim(col.cast("string")), F.lit(fmt)).cast("timestamp_ntz")
+
+
+def format_index(df: DataFrame, col: str, formats: Sequence[str]) -> Column:
+    """Index of the first given format that parses every present value, as a lazy
+    scalar subquery (null when none does)."""
+    bad = [F.count_if(F.col(col).isNotNull() & parse_with(F.col(col), f).isNull()).alias(f"bad_{i}") for i, f in enumerate(formats)]
+    first = F.coalesce(*[F.when(F.col(f"bad_{i}") == 0, F.lit(i)) for i in range(len(formats))], F.lit(None).cast("int"))
+    return df.agg(*bad).select(first.alias("fmt")).scalar()
+
+
 def add_months(date: Column, n: Column | int) -> Column:
     """date + n months with end-of-month clamping (Jan 31 + 1 → Feb 28/29)."""
     return F.add_months(date, n if isinstance(n, Column) else F.lit(n)).cast("timestamp_ntz")

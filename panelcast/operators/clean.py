@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from panelcast.functions.dates import DATE_FORMATS, add_months, failures_per_format, parse_with
+from panelcast.functions import dates
+from panelcast.functions.dates import add_months
 from panelcast.functions.roles import resolve_roles
 from panelcast.operators import chunked
 from panelcast.operators.common import nan_to_null
@@ -50,18 +51,9 @@ def _numeric(df: DataFrame, name: str | None) -> Column:
     return nan_to_null(F.col(name).try_cast("double"))
 
 
-def date_format_index(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Index of the first format that parses every present value, as a lazy
-    scalar subquery (NULL when none does). Spark runs it once per query."""
-    counts = df.agg(*failures_per_format(F.col(col), formats))
-    first_ok = F.coalesce(*[F.when(F.col(f"_bad_{i}") == 0, F.lit(i)) for i in range(len(formats))],
-                          F.lit(None).cast("int"))
-    return counts.select(first_ok.alias("fmt")).scalar()
-
-
 def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None = None,
                 seq: str | None = None, on_bad_dates: str = "regenerate",
-                formats: Sequence[str] = DATE_FORMATS,
+                formats: Sequence[str] | None = None,
                 chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(clean, log)``.
 
@@ -100,8 +92,8 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     by_seq = Window.partitionBy(*keys).orderBy(seq)
     whole = Window.partitionBy(*keys)
 
-    # Date (C-01, C-02). A text column is parsed with the first format that
-    # parses all of it (a lazy scalar subquery); otherwise dates are regenerated.
+    # Date (C-01, C-02). A text column is read by its one layout (a lazy scalar
+    # subquery); without one, dates are regenerated.
     dcol = roles["date"]
     if roles["date_how"] == "fallback":
         msgs.append((MSG_NO_DATE, F.lit(dcol), true))
@@ -118,11 +110,15 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         date_expr, date_ok = F.col(dcol).cast("timestamp_ntz"), F.lit(True)
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
         # The subquery is referenced once, as a column; the CASE reads the column.
-        df = df.withColumn("_fmt", date_format_index(df, dcol, formats))
-        date_expr = fallback
-        for i in reversed(range(len(formats))):
-            date_expr = F.when(F.col("_fmt") == i, parse_with(F.col(dcol), formats[i])) \
-                .otherwise(date_expr)
+        if formats is None:
+            df = df.withColumn("_parts", dates.date_parts(F.col(dcol)))
+            df = df.withColumn("_fmt", dates.layout(df, "_parts", dcol))
+            date_expr = dates.parsed(F.col("_parts"), F.col("_fmt"), fallback)
+        else:
+            df = df.withColumn("_fmt", dates.format_index(df, dcol, formats))
+            date_expr = fallback
+            for i in reversed(range(len(formats))):
+                date_expr = F.when(F.col("_fmt") == i, dates.parse_with(F.col(dcol), formats[i])).otherwise(date_expr)
         date_ok = None
     else:
         date_expr, date_ok = fallback, F.lit(False)

@@ -75,7 +75,7 @@ def simulate_saved(forecast: DataFrame, scenarios: DataFrame, keys: Sequence[str
 
 def _revenue(x: DataFrame) -> DataFrame:
     mult = multiplier(F.col("price_pct"), F.col("units_pct"), F.col("mkt_pct"))
-    rev = F.bround(F.col("base") * mult, 0).cast("bigint")
+    rev = F.rint(F.col("base") * mult).cast("bigint")
     return x.withColumns({"scenario": rev}).withColumns({
         "diff": F.col("scenario").cast("double") - F.col("base"),
         "better": F.col("scenario") >= F.col("base")})
@@ -86,7 +86,7 @@ def impacts(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Data
     keys = list(keys)
     x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
     m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
-    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
+    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.rint(b * m).cast("long"))
     return noted(x.select(*keys, "_set.*", "base_total", total.alias("scenario_total"))
                   .withColumn("impact", F.col("scenario_total").cast("double") - F.col("base_total")))
 
@@ -96,7 +96,7 @@ def best_of(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Data
     keys = list(keys)
     x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
     m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
-    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.bround(b * m, 0).cast("long"))
+    total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.rint(b * m).cast("long"))
     best = F.max(F.struct(F.col("total"), (-F.col("_set.scenario_id")).alias("_o"), F.col("_set")))
     top = x.select(*keys, "base_total", "_set", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("_best"))
     return noted(top.select(*keys, "_best._set.*", "base_total", F.col("_best.total").alias("scenario_total"))

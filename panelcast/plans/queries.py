@@ -135,6 +135,24 @@ def q_clean_dates_timed(spark, sf):
     return _cleaned_with_dates(spark, sf, "yyyy-M-d H:mm:ss", True)
 
 
+@register("clean_dates_named_month", S.CLEAN_DIRTY_DAILY, CLEAN_ROUND)
+def q_clean_dates_named_month(spark, sf):
+    """Dates as 05-Jan-2024."""
+    return _cleaned_with_dates(spark, sf, "dd-MMM-yyyy", False)
+
+
+@register("clean_dates_short_half_day", CLEAN_TIMED, CLEAN_ROUND)
+def q_clean_dates_short_half_day(spark, sf):
+    """Dates as 1/5/24 10:30 PM, with years of two digits."""
+    return _cleaned_with_dates(spark, sf, "M/d/yy h:mm a", True)
+
+
+@register("clean_dates_mail", CLEAN_TIMED, CLEAN_ROUND)
+def q_clean_dates_mail(spark, sf):
+    """Dates as Fri, 05 Jan 2024 10:00:00 +0000."""
+    return _cleaned_with_dates(spark, sf, "EEE, dd MMM yyyy HH:mm:ss Z", True)
+
+
 # ── previews (A-06, A-07) ───────────────────────────────────────────────────
 
 
