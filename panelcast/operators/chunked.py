@@ -1,23 +1,20 @@
-"""Per-series scans split over many tasks, for raw series too long for one task.
-
-A window partitioned by the series key puts a whole series into one task.
-For raw inputs where one series may hold a large share of all rows, these
-operators cut each series into chunks of ``chunk_rows`` consecutive
-positions of the order column and combine per-chunk results through a
-small table (one row per chunk):
-
-- ``forward_fill``: fill within the chunk, then carry the last non-null value
-  of earlier chunks (an exact parallel prefix).
-- ``row_numbers``: position within the chunk plus the row count of earlier
-  chunks.
-- ``quantiles``: exact linear-interpolated quantiles with bounded memory:
-  an approximate sketch brackets the target ranks, only values inside the
-  bracket are ranked exactly, and the result uses the same interpolation as
-  Spark's ``percentile``. A series whose bracket misses (not expected from
-  the sketch's error bound) falls back to the exact aggregate, for that
-  series only.
-
-The order column must hold integer positions, unique within a series.
+"""Per-series scans over chunks of a series, so that no task holds a whole one.
+
+A series is cut into chunks of its order column. One exchange on (series, chunk)
+serves everything a chunk can tell by itself; what passes from chunk to chunk goes
+through a table of one row per chunk:
+
+- ``local``: last value so far, position in the chunk, and the chunk's last row, in
+  one pass over the exchanged rows, written once;
+- ``carried``: what a chunk gets from the ones before it (values to fill from, rows
+  before it), a window over the chunk table alone;
+- ``quantiles``: exact quantiles by refined histograms. Values are counted in bins of
+  their logarithm; the bins that hold the wanted ranks are cut into equal widths and
+  counted again, until each holds one value. Every step is a map-side combined count
+  and a window over at most ``BINS`` + 1 bins, whatever a series' size or ties.
+
+Series are told apart by a struct of the keys (``KEY``), in which null equals null,
+so plain equi-joins serve null keys and the one series without keys alike.
 """
 
 from __future__ import annotations
@@ -26,117 +23,139 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-SKETCH_ACCURACY = 10_000
-BRACKET_MARGIN = 4          # bracket half-width in units of the sketch's rank error
+from panelcast.sources.scratch import written
 
+#: Positions of the order column in a chunk, and bins of a refined histogram.
+CHUNK_ROWS = 1 << 16
+BINS = 1 << 14
+#: Bins per e-fold of the first histogram.
+FOLD = 64
+KEY, CHUNK = "_key", "_chunk"
 
-def join_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where a null key is a series like any other; keys come from the left."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
-    more = [F.col(f"_r.{c}") for c in right.columns if c not in set(keys)] if how != "left_semi" else []
-    out = left.alias("_l").join(right.alias("_r"), same, how)
-    return out.select(*[F.col(f"_l.{c}") for c in left.columns], *more)
 
+def series_key(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
-def chunk_of(order: str, chunk_rows: int) -> Column:
-    return F.floor(F.col(order) / F.lit(chunk_rows)).cast("long")
+
+def in_order(df: DataFrame, order: str) -> DataFrame:
+    """Rows whose ``order`` is an integer; another type is replaced by a position in a sorted layout.
+
+    Integers may have gaps; they should be unique within a series."""
+    if isinstance(df.schema[order].dataType, IntegralType):
+        return df
+    return written(df.repartitionByRange(F.col(KEY), F.col(order)).sortWithinPartitions(KEY, order)
+                   .withColumn(order, F.monotonically_increasing_id()))
+
+
+def local(df: DataFrame, cols: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds per chunk: ``_last_i`` (last non-null value of column i so far), ``_nth`` (position
+    from 1) and ``_end`` (true on the last row)."""
+    d = in_order(df, order).withColumn(CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)).cast("long"))
+    w = Window.partitionBy(KEY, CHUNK).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return written(d.withColumns({
+        **{f"_last_{i}": F.last(c, ignorenulls=True).over(so_far) for i, c in enumerate(cols)},
+        "_nth": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()}))
+
+
+def carried(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per chunk: ``_carry_i`` (last value of column i in earlier chunks) and ``_before`` (rows in them)."""
+    past = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.where("_end").select(
+        KEY, CHUNK, *[F.last(f"_last_{i}", ignorenulls=True).over(past).alias(f"_carry_{i}") for i in range(len(cols))],
+        F.coalesce(F.sum("_nth").over(past), F.lit(0)).cast("long").alias("_before"))
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: str,
-                 chunk_rows: int) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Last non-null value at or before each row, along ``order``, per series."""
-    keys, cols = list(keys), list(cols)
-    d = df.withColumn("_chunk", chunk_of(order, chunk_rows))
-    tails = d.groupBy(*keys, "_chunk").agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_tail{i}")
-        for i, c in enumerate(cols)])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, "_chunk", *[
-        F.last(f"_tail{i}", ignorenulls=True).over(before).alias(f"_carry{i}")
-        for i in range(len(cols))])
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = join_series(d, carry, [*keys, "_chunk"], "left")
-    out = out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(local), F.col(f"_carry{i}"))
-                           for i, c in enumerate(cols)})
-    return out.drop("_chunk", *[f"_carry{i}" for i in range(len(cols))])
-
-
-def row_numbers(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int,
+    rows = local(df.withColumn(KEY, series_key(keys)), cols, order, chunk_rows)
+    out = rows.join(carried(rows, cols), [KEY, CHUNK])
+    return out.select(*[F.coalesce(f"_last_{list(cols).index(c)}", f"_carry_{list(cols).index(c)}").alias(c) if c in cols else c
+                        for c in df.columns])
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS,
                 name: str = "_rn") -> DataFrame:
     """1-based position along ``order`` per series."""
-    keys = list(keys)
-    d = df.withColumn("_chunk", chunk_of(order, chunk_rows))
-    counts = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_chunk",
-                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    return join_series(d, offsets, [*keys, "_chunk"], "left") \
-        .withColumn(name, F.col("_off") + local).drop("_chunk", "_off")
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, float, str]],
-              accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """One row per series with one column per ``(column, q, name)`` spec.
-
-    Equal to ``percentile(column, q)`` per series (NULL for no values).
+    rows = local(df.withColumn(KEY, series_key(keys)), [], order, chunk_rows)
+    return rows.join(carried(rows, []), [KEY, CHUNK]).select(*df.columns, (F.col("_before") + F.col("_nth")).alias(name))
+
+
+# ---------------------------------------------------------------- quantiles
+
+def _log_bin(v: Column) -> Column:
+    """Bin by logarithm on either side of zero; never decreases with the value."""
+    size = F.floor(F.least(F.log1p(F.abs(v)) * FOLD, F.lit(1e6))).cast("long") + 1
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def _width_bin(v: Column, low: Column, high: Column) -> Column:
+    """Equal widths between two unequal bounds; the bounds fall into different bins."""
+    return F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * BINS).cast("long")
+
+
+def _steps(values: DataFrame, node: list[str], bin_: Column) -> DataFrame:
+    """Histogram of ``v`` per node: each bin's bounds and the number of values before it and in it."""
+    hist = values.groupBy(*node, bin_.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    past = Window.partitionBy(*node).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_past", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+
+
+def quantiles(df: DataFrame, specs: Sequence[tuple[str, float, str]]) -> DataFrame:
+    """One row per series (``KEY``) with a value, one column per ``(column, q, name)`` spec.
+
+    Equal to ``percentile(column, q)`` per series. Reads ``df`` twice, so it should be a
+    written table.
     """
-    keys = list(keys)
-    margin = BRACKET_MARGIN / accuracy
-    aggs = []
-    for i, (c, q, _) in enumerate(specs):
-        aggs += [F.count(c).alias(f"_n{i}"),
-                 F.percentile_approx(c, F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))),
-                                     accuracy).alias(f"_br{i}")]
-    stats = df.groupBy(*keys).agg(*aggs)
-    joined = join_series(df, stats, keys)
-    # One long row per (row, spec) that is below its bracket or inside it.
-    tagged = F.array(*[F.struct(
-        F.lit(i).alias("spec"), F.col(c).cast("double").alias("v"),
-        (F.col(c) < F.col(f"_br{i}")[0]).alias("below"),
-        ((F.col(c) >= F.col(f"_br{i}")[0]) & (F.col(c) <= F.col(f"_br{i}")[1])).alias("cand"))
-        for i, (c, _, _) in enumerate(specs)])
-    long = joined.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.*") \
-        .filter(F.col("v").isNotNull() & (F.col("below") | F.col("cand")))
-    below = long.groupBy(*keys, "spec").agg(F.count_if("below").alias("_below"))
-    # Equal values are counted first, so a value that half a series shares is one row here.
-    kinds = long.filter("cand").groupBy(*keys, "spec", "v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys, "spec").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = kinds.withColumn("_last", F.sum("_c").over(upto) - 1)
-    n_of = F.element_at(F.array(*[F.col(f"_n{i}") for i in range(len(specs))]), F.col("spec") + 1)
-    q_of = F.element_at(F.array(*[F.lit(float(q)) for _, q, _ in specs]), F.col("spec") + 1)
-    ranked = join_series(join_series(cand, below, [*keys, "spec"], "left"),
-                         stats.select(*keys, *[f"_n{i}" for i in range(len(specs))]), keys)
-    ranked = ranked.withColumns({"_top": F.col("_last") + F.coalesce(F.col("_below"), F.lit(0)),
-                                 "_pos": (n_of - 1).cast("double") * q_of})
-    ranked = ranked.withColumn("_low", F.col("_top") - F.col("_c") + 1)
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
-    picked = ranked.groupBy(*keys, "spec").agg(
-        F.max(F.when((F.col("_low") <= lo) & (lo <= F.col("_top")), F.col("v"))).alias("_a"),
-        F.max(F.when((F.col("_low") <= hi) & (hi <= F.col("_top")), F.col("v"))).alias("_b"),
-        F.first("_pos").alias("_pos"))
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
-    a, b = F.col("_a"), F.col("_b")
-    value = F.when((lo == hi) | (a == b), a).otherwise((hi - F.col("_pos")) * a + (F.col("_pos") - lo) * b)
-    ok = F.when(lo == hi, a.isNotNull()).otherwise(a.isNotNull() & b.isNotNull())
-    picked = picked.select(*keys, "spec", F.when(ok, value).alias("_val"), ok.alias("_ok"))
-    wide = join_series(stats.select(*keys),
-        picked.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("spec") == i, F.col("_val"))).alias(name)
-            for i, (_, _, name) in enumerate(specs)],
-            *[F.max(F.when(F.col("spec") == i, F.col("_ok"))).alias(f"_ok{i}")
-              for i in range(len(specs))]), keys, "left")
-    # Exact fallback, only for series whose bracket missed a target rank.
-    missed = F.lit(False)
-    for i in range(len(specs)):
-        missed = missed | (F.col(f"_n{i}") > 0) & ~F.coalesce(F.col(f"_ok{i}"), F.lit(False))
-    need = join_series(wide, stats, keys).filter(missed).select(*keys)
-    exact = join_series(df, need, keys, "left_semi").groupBy(*keys).agg(*[
-        F.percentile(c, F.lit(q)).alias(f"_x{i}") for i, (c, q, _) in enumerate(specs)])
-    out = join_series(wide, exact, keys, "left")
-    return out.select(*keys, *[F.coalesce(F.col(name), F.col(f"_x{i}")).alias(name)
-                               for i, (_, _, name) in enumerate(specs)])
+    cols = list(dict.fromkeys(c for c, _, _ in specs))
+    long = df.select(KEY, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                                              for i, c in enumerate(cols)])).alias("t")).select(KEY, "t.*").where("v IS NOT NULL")
+    first = written(_steps(long, [KEY, "c"], _log_bin(F.col("v"))))
+    total = F.sum("_n").over(Window.partitionBy(KEY, "c"))
+    pos = [(cols.index(c), i, (F.col("_total") - 1).cast("double") * F.lit(float(q))) for i, (c, q, _) in enumerate(specs)]
+    ranks = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("spec"), F.lit(up).alias("up"), p.alias("pos"),
+                                        (F.ceil(p) if up else F.floor(p)).cast("long").alias("rank"))
+                               for c, i, p in pos for up in (False, True)]), lambda r: r["c"] == F.col("c"))
+    wanted = (first.withColumn("_total", total).select(KEY, "c", "_bin", "_lo", "_hi", "_past", "_n", F.explode(ranks).alias("r"))
+              .where("r.rank >= _past AND r.rank < _past + _n")
+              .select(KEY, "c", "_bin", "_lo", "_hi", "r.spec", "r.up", "r.pos", (F.col("r.rank") - F.col("_past")).alias("rank")))
+    wanted = written(wanted)
+    found, rest = [wanted.where("_lo = _hi")], wanted.where("_lo < _hi")
+    values = long.withColumn("_bin", _log_bin(F.col("v")))
+    while rest.limit(1).count():
+        nodes = rest.select(KEY, "c", "_bin", F.col("_lo").alias("low"), F.col("_hi").alias("high")).distinct()
+        # A bin is known by its least value, so bins of all levels have names of one type.
+        values = written(values.join(nodes, [KEY, "c", "_bin"]).select(
+            KEY, "c", F.col("low").alias("node"), "high", "v", _width_bin(F.col("v"), F.col("low"), F.col("high")).alias("_bin")))
+        steps = _steps(values, [KEY, "c", "node"], F.col("_bin"))
+        wanted = written(steps.join(rest.select(KEY, "c", F.col("_lo").alias("node"), "spec", "up", "pos", "rank"), [KEY, "c", "node"])
+                         .where("rank >= _past AND rank < _past + _n")
+                         .select(KEY, "c", "node", "_bin", "_lo", "_hi", "spec", "up", "pos", (F.col("rank") - F.col("_past")).alias("rank")))
+        found.append(wanted.where("_lo = _hi"))
+        rest = wanted.where("_lo < _hi")
+        # The next round's bins lie within this round's nodes.
+        values, rest = _below(values, rest)
+    got = found[0].select(KEY, "spec", "up", "pos", "_lo")
+    for f in found[1:]:
+        got = got.unionByName(f.select(KEY, "spec", "up", "pos", "_lo"))
+    out = got.groupBy(KEY).agg(*[e for i in range(len(specs)) for e in (
+        F.max(F.when((F.col("spec") == i) & ~F.col("up"), F.col("_lo"))).alias(f"_a{i}"),
+        F.max(F.when((F.col("spec") == i) & F.col("up"), F.col("_lo"))).alias(f"_b{i}"),
+        F.max(F.when(F.col("spec") == i, F.col("pos"))).alias(f"_p{i}"))])
+    return out.select(KEY, *[_between(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_p{i}")).alias(name)
+                             for i, (_, _, name) in enumerate(specs)])
+
+
+def _below(values: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values and wanted ranks with one name per bin: the node's and the bin's within it."""
+    name = F.struct(F.col("node").alias("n"), F.col("_bin").alias("b")).alias("_bin")
+    return (values.select(KEY, "c", "v", name), rest.select(KEY, "c", name, "_lo", "_hi", "spec", "up", "pos", "rank"))
+
+
+def _between(a: Column, b: Column, pos: Column) -> Column:
+    low, high = F.floor(pos), F.ceil(pos)
+    return F.when((low == high) | (a == b), a).otherwise((high - pos) * a + (pos - low) * b)

@@ -1,12 +1,9 @@
 """C-01…C-13: coerce a raw sales table to the canonical panel, with a log.
 
-One Exchange on the series keys serves every window here (regenerated
-dates, forward fill, medians, IQR fences). Rows dropped for a missing date
-or revenue stay in the staged frame behind a flag and are masked out of the
-windows, so the validation log is a single aggregate over the same stage.
-A series is a window partition of *period rows*; raw fact rows with
-repeated periods should go through ``rollup_periods`` first, whose partial
-aggregation absorbs hot keys before any shuffle.
+Rows dropped for a missing date or revenue stay in the staged rows behind a flag
+and are masked out of fills and quantiles, so the validation log is a single
+aggregate over the same stage. A series may be of any length and may be most of
+the table: see ``panelcast.operators.chunked``.
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ from panelcast.functions.dates import add_months
 from panelcast.functions.roles import resolve_roles
 from panelcast.operators import chunked
 from panelcast.operators.common import nan_to_null
-from panelcast.session import ensure_checkpoint_dir
+from panelcast.sources.scratch import written
 
 REGENERATED_START = "2022-01-01"
 IQR_MULTIPLIER = 3.0
@@ -54,7 +51,7 @@ def _numeric(df: DataFrame, name: str | None) -> Column:
 def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None = None,
                 seq: str | None = None, on_bad_dates: str = "regenerate",
                 formats: Sequence[str] | None = None,
-                chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                chunk_rows: int = chunked.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Return ``(clean, log)``.
 
     ``clean``: ``keys…, date TIMESTAMP_NTZ, revenue, units_sold, price DOUBLE, seq``.
@@ -63,13 +60,11 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     absent, ``monotonically_increasing_id`` is used, which follows file order
     only as far as the input partitions do.
 
-    ``chunk_rows`` switches the per-series scans (forward fill, regenerated
-    positions, medians, IQR quantiles) to the chunked operators of
-    ``panelcast.operators.chunked``: a series is then split over tasks in
-    chunks of that many ``seq`` positions instead of being one window
-    partition. Results are identical; use it for raw series too long for
-    one task. In this mode the projected rows are checkpointed once (an eager
-    write to the shared checkpoint folder) because several passes read them.
+    Nothing is computed per whole series: rows are exchanged once on (series, chunk of
+    ``chunk_rows`` positions of ``seq``) and written to the shared folder; fills, positions
+    and exact quantiles come from ``panelcast.operators.chunked``. So a call runs these
+    passes at once, and ``clean`` reads the written rows. ``seq`` may be of any ordered
+    type; integers are the cheapest.
     """
     if on_bad_dates not in ("regenerate", "null"):
         raise ValueError("on_bad_dates must be 'regenerate' or 'null'")
@@ -82,30 +77,15 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
             df = df.withColumn("seq", F.monotonically_increasing_id())
             seq = "seq"
     roles = resolve_roles(df, overrides, exclude=keys + [seq])
-    user_keys = list(keys)
-    if chunk_rows and not keys:   # one series: a constant key for the per-series tables
-        df = df.withColumn("_series", F.lit(0))
-        keys = ["_series"]
     msgs: list[tuple[tuple[str, str], Column | None, Column]] = []  # (msg, arg, keep)
     true = F.lit(True)
 
-    by_seq = Window.partitionBy(*keys).orderBy(seq)
-    whole = Window.partitionBy(*keys)
-
     # Date (C-01, C-02). A text column is read by its one layout (a lazy scalar
     # subquery); without one, dates are regenerated.
     dcol = roles["date"]
     if roles["date_how"] == "fallback":
         msgs.append((MSG_NO_DATE, F.lit(dcol), true))
-    if on_bad_dates == "regenerate":
-        if chunk_rows:
-            df = chunked.row_numbers(df, keys, seq, chunk_rows, name="_rn")
-            position = F.col("_rn")
-        else:
-            position = F.row_number().over(by_seq)
-        fallback = add_months(F.lit(REGENERATED_START).cast("date"), (position - 1).cast("int"))
-    else:
-        fallback = F.lit(None).cast("timestamp_ntz")
+    unknown = F.lit(None).cast("timestamp_ntz")
     if dcol is not None and isinstance(df.schema[dcol].dataType, _DATE_TYPES):
         date_expr, date_ok = F.col(dcol).cast("timestamp_ntz"), F.lit(True)
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
@@ -113,15 +93,15 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         if formats is None:
             df = df.withColumn("_parts", dates.date_parts(F.col(dcol)))
             df = df.withColumn("_fmt", dates.layout(df, "_parts", dcol))
-            date_expr = dates.parsed(F.col("_parts"), F.col("_fmt"), fallback)
+            date_expr = dates.parsed(F.col("_parts"), F.col("_fmt"), unknown)
         else:
             df = df.withColumn("_fmt", dates.format_index(df, dcol, formats))
-            date_expr = fallback
+            date_expr = unknown
             for i in reversed(range(len(formats))):
                 date_expr = F.when(F.col("_fmt") == i, dates.parse_with(F.col(dcol), formats[i])).otherwise(date_expr)
         date_ok = None
     else:
-        date_expr, date_ok = fallback, F.lit(False)
+        date_expr, date_ok = unknown, F.lit(False)
     dynamic_date = date_ok is None
     if dynamic_date:  # decided by the scalar, read back in the log aggregate
         date_ok = F.col("date_ok")
@@ -146,31 +126,29 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         msgs.append((MSG_PRICE_DERIVED, None, true))
         price = F.when(units > 0, revenue / units)
 
-    # Canonical projection (C-06); dropped rows flagged, not removed (C-07).
-    proj = df.select(*keys, date_expr.alias("date"), revenue.alias("revenue"),
-                     units.alias("units_sold"), price.alias("price"), F.col(seq).alias("seq"),
-                     (F.col("_fmt") if dynamic_date else F.lit(None).cast("int")).alias("_fmt"))
-    proj = proj.withColumn("_dropped", F.col("date").isNull() | F.col("revenue").isNull())
+    # Canonical projection (C-06); dropped rows flagged, not removed (C-07). Dates that
+    # are made from positions are never missing.
+    made = F.col("_made") & F.lit(on_bad_dates == "regenerate")
+    proj = df.select(chunked.series_key(keys).alias(chunked.KEY), date_expr.alias("date"), revenue.alias("revenue"),
+                     units.alias("_u"), price.alias("_p"), F.col(seq).alias("seq"), F.col(seq).alias("_order"),
+                     (F.col("_fmt") if dynamic_date else F.lit(None).cast("int")).alias("_fmt"),
+                     (F.col("_fmt").isNull() if dynamic_date else ~date_ok).alias("_made"))
+    proj = proj.withColumn("_dropped", F.col("revenue").isNull() | (F.col("date").isNull() & ~made))
     kept = ~F.col("_dropped")
-
-    def masked(c: str) -> Column:
-        return F.when(kept, F.col(c))
-
-    if chunk_rows:
-        # The chunked scans read the projected rows several times: write them
-        # once to the shared checkpoint folder instead of recomputing the input.
-        ensure_checkpoint_dir(proj.sparkSession)
-        proj = proj.checkpoint(eager=True)
-        stage = _chunked_fills(proj, keys, chunk_rows, kept)
-    else:
-        # Forward fill in original order, then the series median (C-08, C-09).
-        ffill_w = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        filled = {c: F.coalesce(F.last(masked(c), ignorenulls=True).over(ffill_w),
-                                F.median(masked(c)).over(whole))
-                  for c in ("units_sold", "price")}
-        # IQR fences (C-10).
-        q = F.percentile(masked("revenue"), F.array(F.lit(0.25), F.lit(0.75))).over(whole)
-        stage = proj.withColumns({**filled, "_q": q})
+    proj = proj.withColumns({"_u": F.when(kept, F.col("_u")), "_p": F.when(kept, F.col("_p")), "_r": F.when(kept, F.col("revenue"))})
+
+    # Last value and position within a chunk, then what earlier chunks carry over (C-02, C-08);
+    # medians and the IQR's quantiles (C-09, C-10).
+    rows = chunked.local(proj, ["_u", "_p"], "_order", chunk_rows)
+    stats = chunked.quantiles(rows, [("_u", 0.5, "_mid_u"), ("_p", 0.5, "_mid_p"), ("_r", 0.25, "_q1"), ("_r", 0.75, "_q3")])
+    per_chunk = written(chunked.carried(rows, ["_u", "_p"]).join(stats, chunked.KEY, "left"))
+    stage = rows.join(per_chunk, [chunked.KEY, chunked.CHUNK])
+    position = (F.col("_before") + F.col("_nth") - 1).cast("int")
+    stage = stage.withColumns({
+        "date": F.when(made, add_months(F.lit(REGENERATED_START).cast("date"), position)).otherwise(F.col("date")),
+        "units_sold": F.coalesce("_last_0", "_carry_0", "_mid_u"),
+        "price": F.coalesce("_last_1", "_carry_1", "_mid_p"),
+        "_q": F.array("_q1", "_q3")})
     # Cap (C-11).
     iqr = F.col("_q")[1] - F.col("_q")[0]
     hi = F.col("_q")[1] + IQR_MULTIPLIER * iqr
@@ -180,7 +158,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
         "_outlier": kept & ((rev < lo) | (rev > hi)),
         "revenue": F.greatest(lo, F.least(hi, rev)),
     })
-    clean = stage.filter(kept).select(*user_keys, "date", "revenue", "units_sold", "price", "seq")
+    clean = stage.filter(kept).select(*[F.col(chunked.KEY)[k].alias(k) for k in keys], "date", "revenue", "units_sold", "price", "seq")
 
     # Validation log (C-12): one aggregate, then one row per message.
     counts = stage.agg(F.count(F.lit(1)).alias("n_raw"),
@@ -203,19 +181,3 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
            .filter("_keep").drop("_keep")
            .withColumn("seq", F.row_number().over(Window.orderBy("seq")).cast("int")))
     return clean, log
-
-
-def _chunked_fills(proj: DataFrame, keys: list[str], chunk_rows: int, kept: Column) -> DataFrame:
-    """C-08…C-10 with the chunked operators: exact, no series in one task."""
-    m = proj.withColumns({"_mu": F.when(kept, F.col("units_sold")),
-                          "_mp": F.when(kept, F.col("price")),
-                          "_mr": F.when(kept, F.col("revenue"))})
-    ff = chunked.forward_fill(m, ["_mu", "_mp"], keys, "seq", chunk_rows)
-    stats = chunked.quantiles(m, keys, [("_mu", 0.5, "_med_u"), ("_mp", 0.5, "_med_p"),
-                                        ("_mr", 0.25, "_q1"), ("_mr", 0.75, "_q3")])
-    out = chunked.join_series(ff, stats, keys, "left")
-    return out.withColumns({
-        "units_sold": F.coalesce(F.col("_mu"), F.col("_med_u")),
-        "price": F.coalesce(F.col("_mp"), F.col("_med_p")),
-        "_q": F.array(F.col("_q1"), F.col("_q3")),
-    }).drop("_mu", "_mp", "_mr", "_med_u", "_med_p", "_q1", "_q3")

@@ -103,6 +103,18 @@ def q_features_clean_daily(spark, sf):
     return add_features(cleaned_daily(spark, sf)[0], ["series_key"])
 
 
+@register("clean_skewed_lines", S.clean_sql(S.SKEWED_RAW, "series_key"), CLEAN_ROUND)
+def q_clean_skewed_lines(spark, sf):
+    """Raw lines with a hot series, a hot price and missing keys."""
+    return clean_sales(fx.skewed_lines(spark, sf), ["series_key"], fx.SKEWED_ROLES, seq="seq")[0]
+
+
+@register("clean_skewed_total", S.clean_sql(S.SKEWED_RAW, None), CLEAN_ROUND)
+def q_clean_skewed_total(spark, sf):
+    """The same lines as one series."""
+    return clean_sales(fx.skewed_lines(spark, sf).drop("series_key"), [], fx.SKEWED_ROLES, seq="seq")[0]
+
+
 # ── date layouts (C-01) ─────────────────────────────────────────────────────
 
 

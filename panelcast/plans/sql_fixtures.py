@@ -206,3 +206,34 @@ m AS (
   UNION ALL SELECT 6, 'success', printf('Cleaning complete. %d clean rows ready.', n_raw - n_removed), true FROM c)
 SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS seq, type, msg FROM m WHERE keep
 """
+
+
+def clean_sql(raw: str, key: str | None) -> str:
+    """The cleaned table of ``raw(k, seq, date, revenue, units_raw, price_raw)`` in which dates all parse."""
+    part = "PARTITION BY k " if key else ""
+    group = "k" if key else "()"
+    on = "p2.k IS NOT DISTINCT FROM stats.k" if key else "true"
+    return f"""
+WITH raw AS ({raw}),
+p2 AS (SELECT *, (date IS NULL OR revenue IS NULL) AS dropped FROM raw),
+lists AS (SELECT {'k, ' if key else ''}{sorted_list_sql("revenue", "NOT dropped")} AS rl, {sorted_list_sql("units_raw", "NOT dropped")} AS ul,
+                 {sorted_list_sql("price_raw", "NOT dropped")} AS pl FROM p2 GROUP BY {group}),
+stats AS (SELECT {'k, ' if key else ''}{quantile_sql("rl", 0.25)} AS q1, {quantile_sql("rl", 0.75)} AS q3,
+                 {quantile_sql("ul", 0.5)} AS u_med, {quantile_sql("pl", 0.5)} AS p_med FROM lists),
+s AS (SELECT p2.*, q3 + 3.0 * (q3 - q1) AS hi, greatest(0.0, q1 - 3.0 * (q3 - q1)) AS lo,
+        coalesce(last_value(CASE WHEN NOT dropped THEN units_raw END IGNORE NULLS) OVER ws, u_med) AS units_sold,
+        coalesce(last_value(CASE WHEN NOT dropped THEN price_raw END IGNORE NULLS) OVER ws, p_med) AS price
+      FROM p2 JOIN stats ON {on}
+      WINDOW ws AS ({part.replace('BY k', 'BY p2.k')}ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT {f'k AS {key}, ' if key else ''}date, greatest(lo, least(hi, revenue)) AS revenue, units_sold, price, seq FROM s WHERE NOT dropped"""
+
+
+#: Raw order lines: one series holds half of the rows, half of its prices are one price,
+#: and the key is missing in some rows.
+SKEWED_RAW = """
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'hot' WHEN l_partkey % 5 = 0 THEN NULL ELSE l_returnflag END AS k,
+       l_orderkey * 8 + l_linenumber AS seq, CAST(l_shipdate AS TIMESTAMP) AS date,
+       CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 97 = 1 THEN l_extendedprice * 50 ELSE l_extendedprice END AS revenue,
+       CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity END AS units_raw,
+       CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_orderkey % 4 = 0 THEN 99.0::DOUBLE ELSE l_extendedprice / l_quantity END AS price_raw
+FROM lineitem"""

@@ -104,6 +104,25 @@ def dirty_daily_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
         day_no.cast("bigint").alias("seq"))
 
 
+def skewed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw order lines as a user file: half of the rows in one series, half of its prices
+    one price, missing keys, revenues, units and prices, and a few revenues times 50."""
+    li = table(spark, sf_dir, "lineitem")
+    c = F.col
+    key = (F.when(c("l_orderkey") % 2 == 0, "hot").when(c("l_partkey") % 5 == 0, F.lit(None).cast("string")).otherwise(c("l_returnflag")))
+    amount = (F.when(c("l_suppkey") % 11 == 0, F.lit(None).cast("double")).when(c("l_suppkey") % 97 == 1, c("l_extendedprice") * 50)
+              .otherwise(c("l_extendedprice")))
+    price = (F.when(c("l_partkey") % 7 == 0, F.lit(None).cast("double")).when(c("l_orderkey") % 4 == 0, 99.0)
+             .otherwise(c("l_extendedprice") / c("l_quantity")))
+    return li.select(key.alias("series_key"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("seq"),
+                     F.date_format("l_shipdate", "dd-MMM-yyyy").alias("ship_day"), amount.alias("amount"),
+                     F.when(c("l_partkey") % 3 != 0, c("l_quantity")).alias("quantity"), price.alias("unit_price"))
+
+
+#: ``unit_price`` also reads as units, so the roles are named.
+SKEWED_ROLES = {"date": "ship_day", "revenue": "amount", "units": "quantity", "price": "unit_price"}
+
+
 def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity log shape over ``events``: action = event_type, role from user_id % 3."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")

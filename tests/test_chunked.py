@@ -1,4 +1,4 @@
-"""Chunked per-series scans equal the one-partition-per-series versions."""
+"""Chunked per-series scans and cleaning against pandas and whole-series aggregates."""
 
 import numpy as np
 import pandas as pd
@@ -14,31 +14,58 @@ from panelcast.sources import fixtures as fx
 def gappy(spark):
     rng = np.random.default_rng(7)
     rows = []
-    for k, n in [("A", 600), ("B", 37), ("C", 1)]:
+    for k, n in [("A", 600), ("B", 37), ("C", 1), (None, 50)]:
         for i in range(n):
             v = None if rng.random() < 0.3 else float(rng.integers(0, 50))
             rows.append((k, i * 3, v))
     return rows, spark.createDataFrame(rows, "k string, s long, v double")
 
 
-def test_forward_fill_and_row_numbers(spark, gappy):
+@pytest.mark.parametrize("chunk", [1, 16, 1 << 16])
+def test_forward_fill_and_row_numbers(spark, gappy, chunk):
     rows, df = gappy
-    pdf = pd.DataFrame(rows, columns=["k", "s", "v"]).sort_values(["k", "s"])
-    ff = C.forward_fill(df, ["v"], ["k"], "s", 16).orderBy("k", "s").toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "s", "v"]).fillna({"k": "~"}).sort_values(["k", "s"])
+    named = [F.coalesce("k", F.lit("~")), "s"]
+    ff = C.forward_fill(df, ["v"], ["k"], "s", chunk).orderBy(*named).toPandas()
     want = pdf.groupby("k")["v"].ffill()
     np.testing.assert_array_equal(ff["v"].fillna(-1).to_numpy(), want.fillna(-1).to_numpy())
-    rn = C.row_numbers(df, ["k"], "s", 16).orderBy("k", "s").toPandas()
+    rn = C.row_numbers(df, ["k"], "s", chunk).orderBy(*named).toPandas()
     assert (rn["_rn"].to_numpy() == pdf.groupby("k").cumcount().to_numpy() + 1).all()
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_quantiles_equal_percentile(spark, gappy, accuracy):
-    _, df = gappy
-    specs = [("v", 0.5, "med"), ("v", 0.25, "q1"), ("v", 0.75, "q3"), ("v", 0.0, "mn"), ("v", 1.0, "mx")]
-    got = C.quantiles(df, ["k"], specs, accuracy=accuracy).orderBy("k").toPandas()
-    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for _, q, n in specs]) \
-        .orderBy("k").toPandas()
-    pd.testing.assert_frame_equal(got, want)
+def test_order_of_another_type(spark, gappy):
+    rows, df = gappy
+    text = df.withColumn("s", F.format_string("%08d", "s"))
+    a = C.row_numbers(text, ["k"], "s", 16).select("k", "_rn", "v")
+    b = C.row_numbers(df, ["k"], "s", 16).select("k", "_rn", "v")
+    assert a.exceptAll(b).count() == 0
+
+
+def same_as_percentile(spark, df, specs):
+    got = C.quantiles(df.withColumn(C.KEY, C.series_key(["k"])), specs).select(f"{C.KEY}.k", *[n for _, _, n in specs])
+    want = df.groupBy("k").agg(*[F.percentile(c, F.lit(q)).alias(n) for c, q, n in specs])
+    have = {r["k"]: r for r in got.collect()}
+    for r in want.collect():
+        values = [r[n] for _, _, n in specs]
+        assert [have[r["k"]][n] for _, _, n in specs] == values if r["k"] in have else values == [None] * len(specs)
+
+
+QS = [("v", 0.5, "med"), ("v", 0.25, "q1"), ("v", 0.75, "q3"), ("v", 0.0, "mn"), ("v", 1.0, "mx")]
+
+
+def test_quantiles_equal_percentile(spark, gappy):
+    same_as_percentile(spark, gappy[1], QS)
+
+
+def test_quantiles_of_odd_values(spark):
+    """Values of all magnitudes, close neighbours, one huge tie, no values at all."""
+    rng = np.random.default_rng(3)
+    rows = [("mixed", float(x)) for x in np.r_[rng.normal(size=300), 10.0 ** rng.uniform(-300, 300, 300), -10.0 ** rng.uniform(-9, 9, 300), 0.0, -0.0]]
+    rows += [("near", float(np.nextafter(1e5, 2e5) + i * 2e-11)) for i in range(400)] + [("near", 1e5 + i) for i in range(3)]
+    rows += [("tie", 7.25)] * 500 + [("tie", 7.5)] * 3 + [("none", None)] * 4 + [("one", 3.0)] + [(None, float(i)) for i in range(9)]
+    rows += [("ends", x) for x in (1.7e308, -1.7e308, 1.0, float("inf"), 5e-324)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    same_as_percentile(spark, df, [(c, q, n) for c, q, n in QS if n != "mx"] + [("v", 0.9, "high")])
 
 
 def _both(spark, pdf, schema, **kw):
@@ -49,7 +76,7 @@ def _both(spark, pdf, schema, **kw):
         [x.orderBy("seq").toPandas() for x in (a[1], b[1])]
 
 
-def test_single_series_chunked_equals_plain(spark):
+def test_single_series_in_chunks(spark):
     rev = [100.0 + (i % 7) for i in range(30)]
     rev[5], rev[9] = 10_000.0, -50.0
     units = [None if i % 4 == 0 else float(i) for i in range(30)]
@@ -58,17 +85,21 @@ def test_single_series_chunked_equals_plain(spark):
     (a, b), (la, lb) = _both(spark, pdf, "Date string, Revenue double, Units_Sold double, seq long")
     pd.testing.assert_frame_equal(a, b)
     pd.testing.assert_frame_equal(la, lb)
+    want = pd.Series(units).ffill().fillna(pd.Series(units).median())
+    assert a["units_sold"].tolist() == want.tolist()
 
 
-def test_regenerated_dates_chunked(spark):
+def test_regenerated_dates_in_chunks(spark):
     pdf = pd.DataFrame({"Date": ["2020-01-01", "bad", "2020-03-01", "x", "2020-05-01"],
-                        "Revenue": [1.0, 2.0, 3.0, 4.0, 5.0], "seq": [0, 1, 2, 3, 4]})
+                        "Revenue": [1.0, None, 3.0, 4.0, 5.0], "seq": [0, 1, 2, 3, 4]})
     (a, b), _ = _both(spark, pdf, "Date string, Revenue double, seq long")
     pd.testing.assert_frame_equal(a, b)
-    assert str(b["date"].iloc[4].date()) == "2022-05-01"
+    assert [str(d.date()) for d in b["date"]] == ["2022-01-01", "2022-03-01", "2022-04-01", "2022-05-01"]
+    (a, b), (la, _) = _both(spark, pdf, "Date string, Revenue double, seq long", on_bad_dates="null")
+    assert len(a) == len(b) == 0 and any("Removed 5 rows" in m for m in la["msg"])
 
 
-def test_panel_chunked_equals_plain(spark, sf_small):
+def test_panel_in_chunks(spark, sf_small):
     raw = fx.dirty_daily_by_brand(spark, sf_small)
     a, la = clean_sales(raw, ["series_key"], seq="seq")
     b, lb = clean_sales(raw, ["series_key"], seq="seq", chunk_rows=32)
@@ -77,22 +108,23 @@ def test_panel_chunked_equals_plain(spark, sf_small):
     pd.testing.assert_frame_equal(la.orderBy("seq").toPandas(), lb.orderBy("seq").toPandas())
 
 
-def test_quantile_fallback_when_bracket_misses(spark, gappy, monkeypatch):
-    _, df = gappy
-    monkeypatch.setattr(C, "BRACKET_MARGIN", 0)      # no margin: brackets can miss the ranks
-    specs = [("v", 0.5, "med"), ("v", 0.25, "q1"), ("v", 0.75, "q3")]
-    got = C.quantiles(df, ["k"], specs, accuracy=5).orderBy("k").toPandas()
-    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for _, q, n in specs]) \
-        .orderBy("k").toPandas()
-    pd.testing.assert_frame_equal(got, want)
-
-
 def test_null_series_and_a_hot_price(spark):
     """A null key is a series of its own; half of one series shares a price."""
-    from panelcast.operators.clean import clean_sales
     rows = [(None if i % 3 == 0 else "A", i, f"2024-01-{1 + i % 28:02d}", 99999.0 if i == 33 else 50.0 + i % 7,
              None if i % 5 == 0 else 7.0, 2.0 if i % 2 else 1.0 + i) for i in range(120)]
     df = spark.createDataFrame(rows, "k string, seq long, Date string, Revenue double, Units double, Price double")
-    cols = ["k", "date", "revenue", "units_sold", "price", "seq"]
-    plain, chunks = (clean_sales(df, ["k"], seq="seq", chunk_rows=n)[0].select(cols) for n in (None, 16))
-    assert sorted(map(repr, plain.collect())) == sorted(map(repr, chunks.collect()))
+    got = clean_sales(df, ["k"], seq="seq", chunk_rows=16)[0].toPandas()
+    for k, part in df.toPandas().fillna({"k": "~"}).groupby("k"):
+        part = part.sort_values("seq")
+        own = got[got["k"].fillna("~") == k].sort_values("seq")
+        q1, q3 = part["Revenue"].quantile([0.25, 0.75])
+        np.testing.assert_allclose(own["revenue"], part["Revenue"].clip(max(0, q1 - 3 * (q3 - q1)), q3 + 3 * (q3 - q1)))
+        np.testing.assert_array_equal(own["units_sold"], part["Units"].ffill().fillna(part["Units"].median()))
+
+
+def test_no_task_holds_a_series(spark, sf_small):
+    """No window of the plan is dealt by the series alone, but for the table of chunks."""
+    raw = fx.dirty_daily_by_brand(spark, sf_small)
+    clean, _ = clean_sales(raw, ["series_key"], seq="seq")
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
