@@ -49,16 +49,39 @@ READINGS = {
 }
 
 
-def date_parts(col: Column) -> Column:
-    """The parts of a text as an array, or null where the text is no date. One regular expression."""
-    text = F.trim(F.regexp_replace(col.cast("string"), r"\s+", " "))
-    groups = _MARK.join(f"${i + 1}" for i in range(len(_PARTS)))
-    found = F.split(F.regexp_replace(text, PATTERN, groups), _MARK, -1)
-    return F.when(F.size(found) == len(_PARTS), found)
-
+def with_readings(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Adds a struct of a text's shape (null where it is no date) and its value in each reading.
 
-def _part(parts: Column, name: str) -> Column:
-    return F.get(parts, F.lit(_PARTS.index(name)))
+    One regular expression cuts a text, and all readings work on its numbers. The steps are
+    bound by ``transform``, so each is computed once, and ``explode`` keeps the optimizer from
+    merging them into the many expressions that read the struct.
+    """
+    text = F.trim(F.regexp_replace(F.col(raw).cast("string"), r"\s+", " "))
+    groups = _MARK.join(f"${i + 1}" for i in range(len(_PARTS)))
+    cut = F.split(F.regexp_replace(text, PATTERN, groups), _MARK, -1)
+    read_all = F.transform(F.transform(F.array(cut), _numbers), lambda p: F.struct(
+        p["shape"].alias("shape"), F.array(*[read(p, r) for r in READINGS]).alias("values")))
+    return df.select("*", F.explode(read_all).alias(name))
+
+
+def _numbers(cut: Column) -> Column:
+    known = F.size(cut) == len(_PARTS)
+    part = {n: F.when(known, F.get(cut, F.lit(i))) for i, n in enumerate(_PARTS)}
+    fields = [part[f] for f in ("f1", "f2", "f3")]
+    kinds = [_kind(f) for f in fields]
+    # No cast ever fails: a failed try_cast costs an exception.
+    hour = F.when(part["hour"] == "", 0).otherwise(part["hour"].cast("int"))
+    half = F.upper(part["half"])
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
+    second = F.concat(F.lpad(part["second"], 2, "0"), F.lit("."), F.rpad(F.substring(part["fraction"], 1, 6), 6, "0"))
+    zone = F.upper(part["zone"])
+    return F.struct(
+        F.when(known, F.concat(kinds[0], _gap(part["g1"]), kinds[1], _gap(part["g2"]), kinds[2])).alias("shape"),
+        F.when(known, F.concat(*kinds)).alias("kinds"), part["f1"].alias("text"),
+        F.array(*[_number(f, k) for f, k in zip(fields, kinds)]).alias("n"),
+        hour.alias("hour"), F.when(part["minute"] == "", 0).otherwise(part["minute"].cast("int")).alias("minute"),
+        second.cast("decimal(8,6)").alias("second"),
+        F.when(zone == "", "").when(zone.isin("Z", "GMT"), "UTC").otherwise(F.regexp_replace(zone, "^([+-]..):?", "$1:")).alias("zone"))
 
 
 def _kind(field: Column) -> Column:
@@ -72,71 +95,44 @@ def _gap(gap: Column) -> Column:
     return F.when((bare == "") | (bare == ","), F.when(gap == "", "").otherwise(" ")).otherwise(bare)
 
 
-def kinds(parts: Column) -> Column:
-    return F.concat(*[_kind(_part(parts, f"f{i}")) for i in (1, 2, 3)])
-
-
-def shape(parts: Column) -> Column:
-    """Kinds of the fields and what separates them."""
-    return F.concat(_kind(_part(parts, "f1")), _gap(_part(parts, "g1")), _kind(_part(parts, "f2")),
-                    _gap(_part(parts, "g2")), _kind(_part(parts, "f3")))
-
-
-def _month(field: Column) -> Column:
+def _number(field: Column, kind: Column) -> Column:
+    """A field's number, or that of the month it names."""
     names = F.create_map(*[F.lit(x) for kv in MONTH_NUMBERS.items() for x in kv])
-    return F.coalesce(F.element_at(names, F.lower(field)), field.try_cast("int"))
-
-
-def _year(field: Column) -> Column:
-    y = field.try_cast("int")
-    return F.when(F.length(field) > 2, y).otherwise(y + F.when(y >= 69, 1900).otherwise(2000))
+    return F.when(kind.isin("n", "Y", "D"), field.cast("int")).when(kind == "b", F.element_at(names, F.lower(field)))
 
 
 def read(parts: Column, reading: str) -> Column:
     """The parts read one way, as a zone-free timestamp; null where that isn't a date."""
     (y, m, d), shapes = READINGS[reading]
-
-    def field(i: int) -> Column:
-        return _part(parts, f"f{i}")
+    kinds = parts["kinds"]
     if reading == "digits":
-        year, month, day = (F.substring(field(1), *p).try_cast("int") for p in ((1, 4), (5, 2), (7, 2)))
+        year, month, day = (F.substring(parts["text"], *p).cast("int") for p in ((1, 4), (5, 2), (7, 2)))
     else:
-        year = _year(field(y))
-        month = _month(field(m)) if m else F.lit(1)
-        day = field(d).try_cast("int") if d else F.lit(1)
-    half, hour = F.upper(_part(parts, "half")), F.coalesce(_part(parts, "hour").try_cast("int"), F.lit(0))
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
-    minute = F.coalesce(_part(parts, "minute").try_cast("int"), F.lit(0))
-    fraction = F.rpad(F.substring(_part(parts, "fraction"), 1, 6), 6, "0")
-    second = F.concat(F.lpad(_part(parts, "second"), 2, "0"), F.lit("."), fraction).try_cast("decimal(8,6)")
-    zone = F.upper(_part(parts, "zone"))
-    zone = F.when(zone.isin("Z", "GMT"), "UTC").otherwise(F.regexp_replace(zone, "^([+-]..):?", "$1:"))
-    local = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-    at_zone = F.try_make_timestamp(year, month, day, hour, minute, second, zone).cast("timestamp_ntz")
-    when = F.when(zone == "", local).otherwise(at_zone)
-    return F.when(kinds(parts).isin(*shapes), when)
-
-
-def layout(df: DataFrame, parts: str, raw: str) -> Column:
+        n = parts["n"]
+        year = n[y - 1]
+        year = F.when(F.substring(kinds, y, 1) == "Y", year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))
+        month, day = (n[i - 1] if i else F.lit(1) for i in (m, d))
+    when = [year, month, day, parts["hour"], parts["minute"], parts["second"]]
+    return F.when(kinds.isin(*shapes), F.when(parts["zone"] == "", F.try_make_timestamp_ntz(*when))
+                  .otherwise(F.try_make_timestamp(*when, parts["zone"]).cast("timestamp_ntz")))
+
+
+def layout(df: DataFrame, readings: str, raw: str) -> Column:
     """Place of the column's reading in ``READINGS`` as a lazy scalar subquery; null if no one layout fits.
 
-    One aggregate over the column ``parts``; rows without a ``raw`` text don't count, and
-    a column of such rows alone has the first layout.
+    One aggregate over the column ``readings`` of ``with_readings``; rows without a ``raw``
+    text don't count, and a column of such rows alone has the first layout.
     """
-    present = F.col(raw).isNotNull()
-    p = F.col(parts)
-    got = df.agg(F.min(shape(p)).alias("least"), F.max(shape(p)).alias("most"),
-                 *[F.count_if(present & (p.isNull() | read(p, r).isNull())).alias(f"bad_{i}") for i, r in enumerate(READINGS)])
+    present, r = F.col(raw).isNotNull(), F.col(readings)
+    got = df.agg(F.min(r["shape"]).alias("least"), F.max(r["shape"]).alias("most"),
+                 *[F.count_if(present & r["values"][i].isNull()).alias(f"bad_{i}") for i in range(len(READINGS))])
     first = F.coalesce(*[F.when(F.col(f"bad_{i}") == 0, F.lit(i)) for i in range(len(READINGS))])
     return got.select(F.when(F.col("least").eqNullSafe(F.col("most")), first).alias("layout")).scalar()
 
 
-def parsed(parts: Column, index: Column, otherwise: Column) -> Column:
-    """The parts read as ``layout`` says; ``otherwise`` where it says nothing."""
-    out = otherwise
-    for i, r in reversed(list(enumerate(READINGS))):
-        out = F.when(index == i, read(parts, r)).otherwise(out)
-    return out
+def parsed(readings: Column, index: Column) -> Column:
+    """The reading that ``layout`` names; null where it names none."""
+    return F.get(readings["values"], index)
 
 
 def parse_with(col: Column, fmt: str) -> Column:

@@ -91,9 +91,9 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     elif dcol is not None and not isinstance(df.schema[dcol].dataType, NumericType):
         # The subquery is referenced once, as a column; the CASE reads the column.
         if formats is None:
-            df = df.withColumn("_parts", dates.date_parts(F.col(dcol)))
-            df = df.withColumn("_fmt", dates.layout(df, "_parts", dcol))
-            date_expr = dates.parsed(F.col("_parts"), F.col("_fmt"), unknown)
+            df = dates.with_readings(df, dcol, "_read")
+            df = df.withColumn("_fmt", dates.layout(df, "_read", dcol))
+            date_expr = dates.parsed(F.col("_read"), F.col("_fmt"))
         else:
             df = df.withColumn("_fmt", dates.format_index(df, dcol, formats))
             date_expr = unknown

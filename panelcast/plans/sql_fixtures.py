@@ -232,7 +232,7 @@ SELECT {f'k AS {key}, ' if key else ''}date, greatest(lo, least(hi, revenue)) AS
 #: and the key is missing in some rows.
 SKEWED_RAW = """
 SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'hot' WHEN l_partkey % 5 = 0 THEN NULL ELSE l_returnflag END AS k,
-       l_orderkey * 8 + l_linenumber AS seq, CAST(l_shipdate AS TIMESTAMP) AS date,
+       l_orderkey * 10000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS seq, CAST(l_shipdate AS TIMESTAMP) AS date,
        CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 97 = 1 THEN l_extendedprice * 50 ELSE l_extendedprice END AS revenue,
        CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity END AS units_raw,
        CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_orderkey % 4 = 0 THEN 99.0::DOUBLE ELSE l_extendedprice / l_quantity END AS price_raw

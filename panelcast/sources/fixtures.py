@@ -114,7 +114,7 @@ def skewed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(c("l_extendedprice")))
     price = (F.when(c("l_partkey") % 7 == 0, F.lit(None).cast("double")).when(c("l_orderkey") % 4 == 0, 99.0)
              .otherwise(c("l_extendedprice") / c("l_quantity")))
-    return li.select(key.alias("series_key"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("seq"),
+    return li.select(key.alias("series_key"), (c("l_orderkey") * 10_000_000_000 + c("l_partkey") * 10_000 + c("l_suppkey") * 10 + c("l_linenumber")).alias("seq"),
                      F.date_format("l_shipdate", "dd-MMM-yyyy").alias("ship_day"), amount.alias("amount"),
                      F.when(c("l_partkey") % 3 != 0, c("l_quantity")).alias("quantity"), price.alias("unit_price"))
 

@@ -44,10 +44,10 @@ NONE = [["2024-01-05", "1/5/2024"], ["1/5/2024", "13/25/2024"], ["2024-02-30"],
 
 def read(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    df = df.withColumn("p", dates.date_parts(F.col("t")))
+    df = dates.with_readings(df, "t", "p")
     df = df.withColumn("at", dates.layout(df, "p", "t"))
     return [(r[0], r[1]) for r in df.orderBy("i").select(
-        "at", dates.parsed(F.col("p"), F.col("at"), F.lit(None).cast("timestamp_ntz"))).collect()]
+        "at", dates.parsed(F.col("p"), F.col("at"))).collect()]
 
 
 @pytest.mark.parametrize("texts,want", LAYOUTS, ids=[t[0][0] + "|" + t[0][1] for t in LAYOUTS])
