@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.clean import clean_sales
 from panelcast.operators.features import add_features
+from panelcast.operators.long_features import add_long_features
 from panelcast.plans import sql_fixtures as S
 from panelcast.plans.catalog import register
 from panelcast.sources import fixtures as fx
@@ -100,7 +101,7 @@ def q_clean_log_dirty_daily(spark, sf):
           {**FEATURE_ROUND, "rolling_mean_3": 7, "rolling_mean_6": 7})
 def q_features_clean_daily(spark, sf):
     """Cleaned daily panel → features (the reference's step 1 end to end)."""
-    return add_features(cleaned_daily(spark, sf)[0], ["series_key"])
+    return add_long_features(cleaned_daily(spark, sf)[0], ["series_key"])
 
 
 @register("clean_skewed_lines", S.clean_sql(S.SKEWED_RAW, "series_key"), CLEAN_ROUND)
@@ -115,6 +116,13 @@ def q_clean_skewed_total(spark, sf):
     return clean_sales(fx.skewed_lines(spark, sf).drop("series_key"), [], fx.SKEWED_ROLES, seq="seq")[0]
 
 
+@register("features_skewed_total", S.features_sql(S.clean_sql(S.SKEWED_RAW, None), [], ("seq",)),
+          {**FEATURE_ROUND, "rolling_mean_3": 7, "rolling_mean_6": 7, "growth_rate": 6})
+def q_features_skewed_total(spark, sf):
+    """Features of raw lines as one series, many of one day."""
+    return add_long_features(clean_sales(fx.skewed_lines(spark, sf).drop("series_key"), [], fx.SKEWED_ROLES, seq="seq")[0], [])
+
+
 # ── date layouts (C-01) ─────────────────────────────────────────────────────
 
 
