@@ -13,7 +13,8 @@ equi-join on the group, so a task holds one group and one query block at a time.
 Vectors that are null or hold null or non-finite components take no part, and
 neither do null ids. Shorter vectors count as 0 in the terms they lack. Rows that
 repeat id and vector count once; a query never gets a row with its own id.
-Weights are cut off at 2**40 in size.
+Scores are exact as far as a long reaches: weights beyond 2**62 in size count as 2**62,
+and a score beyond a long is the nearest long, so such scores tie and smaller ids win.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 BLOCK = 256
 GROUP = 8 * BLOCK
 QUERIES = 256
-#: Weights beyond this are cut off to it.
-CLAMP = 1 << 40
+#: Greatest weight; every weight is a whole double, so it is exact as a long and as a double.
+CLAMP = 1 << 62
+#: Greatest score; the least long stands for no score.
+MOST = (1 << 63) - 1
 #: Sums below this are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -84,7 +87,8 @@ def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     reach = np.abs(q).sum(axis=1).max(initial=0) * np.abs(v).max(initial=0)
     if reach < EXACT:
         return (q @ v.T).astype(np.int64)
-    return (q.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T).astype(np.int64)
+    exact = q.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T
+    return np.clip(exact, -MOST, MOST).astype(np.int64)
 
 
 def best(qid, q, ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
