@@ -34,9 +34,9 @@ PLACES = (1 << PLACE_BITS) - 1
 
 
 def normal(text: str | Column) -> Column:
-    """Words joined by one space. All letters are lower-cased, not only A-Z: equal
-    windows stay equal, and hits are compared under the exact rule later."""
-    return F.trim(F.regexp_replace(F.lower(text), GAP, " "))
+    """Words joined by one space, A-Z lower-cased letter by letter: full lower-casing looks at a
+    letter's neighbours, which would make equal windows differ."""
+    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " "))
 
 
 def grams(norm: Column, n: int) -> Column:
@@ -108,7 +108,7 @@ def covered_words(docs: DataFrame, items: DataFrame, span: int, k: int) -> tuple
     hits = found
     lengths = [r.len for r in windows.where(F.col("len") < span).select("len").distinct().limit(span).collect()]
     for n in sorted(lengths):
-        short = windows.where(F.col("len") == n).select(F.shiftright(hashed(F.lower("gram")), PLACE_BITS).alias("h")).distinct()
+        short = windows.where(F.col("len") == n).select(F.shiftright(hashed(F.col("gram")), PLACE_BITS).alias("h")).distinct()
         hits = hits.unionByName(
             norm.select("doc_id", "mark", F.posexplode(grams(F.col("norm"), n)).alias("at", "g"))
             .select("doc_id", "mark", F.col("at").cast("long").bitwiseAND(F.lit(PLACES)).alias("at"),

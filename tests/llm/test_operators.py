@@ -114,6 +114,7 @@ def test_top_k(spark):
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.uniform(-1, 1)]) for _ in range(rng.choice([8, 8, 8, 3]))], 1) for i in rng.sample(range(6000), 3000)]
     rows += [(50 * i, rows[0][1], 2) for i in range(130, 135)] + [(None, rows[0][1], 0), (7001, None, 0), (7050, None, 0), (7100, [], 1)]
     rows += [(7002, [1.0, None], 0), (7003, [float("nan")], 0), (7004, [float("inf")], 0), (7005, [1e300] * 8, 0), rows[5], rows[5]]
+    rows += [(7006, [5e9], 0), (7007, [6e9], 0), (7150, [1.0], 0), (7200, [1e300, -1e300], 0), (7008, [-1e300], 0), (7250, [3e15, 1.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(4)
     top = float(block_topk.CLAMP)
     whole = {}
@@ -123,7 +124,7 @@ def test_top_k(spark):
     want = []
     for (q, e), a in whole.items():
         if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for (i, _), b in whole.items() if i != q)[:5]
+            scored = sorted((-max(-block_topk.MOST, min(block_topk.MOST, sum(x * y for x, y in zip(a, b)))), i) for (i, _), b in whole.items() if i != q)[:5]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     same(block_topk.top_k(frame), want)
     assert block_topk.top_k(spark.createDataFrame([], frame.schema)).count() == 0
@@ -132,6 +133,17 @@ def test_top_k(spark):
 
 # -- decontamination --------------------------------------------------------
 
+@pytest.mark.parametrize("mark", ["'", ".", ":", "^", "-", "'́"])
+def test_letters_beside_marks(spark, mark):
+    """Windows whose letters lower-case differently beside other letters."""
+    ten = " ".join(f"w{i}" for i in range(9)) + " ΑΣ"
+    items = [(1, ten), (2, " ".join(["ΑΣ"] * 10)), (3, "ΟΔΟΣ"), (4, "İİ I" + " x" * 9)]
+    docs = [(1, ten + mark + "Β rest", "en", "s", 1), (2, mark.join(["ΑΣ"] * 10), "en", "s", 1), (3, f"a ΟΔΟΣ{mark}Α b", "en", "s", 1),
+            (4, "İİ i" + " X" * 9, "en", "s", 1), (5, ten.lower(), "en", "s", 1)]
+    items, kept = spark.createDataFrame(items, "item_id long, text string"), []
+    got = winnowing.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), items)
+    same(got, decontaminated([d[:2] for d in docs], [tuple(r) for r in items.collect()]))
+
 def test_decontamination(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["alpha", "BETA", "gamma", "É", "x9", "7", "delta-e", "zeta"]) + str(rng.randrange(60))
