@@ -17,6 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators import attribution as A
 from panelcast.operators import forecast as G
 from panelcast.operators import importance as I
 from panelcast.operators import report as H
@@ -24,7 +25,7 @@ from panelcast.operators import scenarios as K
 from panelcast.operators import targets as T
 from panelcast.operators.features import add_features
 from panelcast.operators.insights import insights
-from panelcast.operators.models import BOOST_ITERS, FOREST_TREES, LINEAR, MODEL_NAMES, RIDGE
+from panelcast.operators.models import BOOST_ITERS, BOOSTING, FOREST, FOREST_TREES, LINEAR, MODEL_NAMES, RIDGE
 from panelcast.operators.recursive import recursive_forecast
 from panelcast.operators.smoothing import ES_NAME, es_fit
 from panelcast.session import ensure_checkpoint_dir
@@ -60,8 +61,11 @@ def best_forecast(features: DataFrame, training: TrainResult, keys: Sequence[str
 def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[str] = (),
                     model: str | None = None, method: str = "permutation",
                     samples: int = I.SHAPLEY_SAMPLES) -> DataFrame:
-    """I-01/I-04/I-06 → I-08: normalised top-10 importance of the chosen model; uniform
-    weights (I-07) if the model can't be scored."""
+    """I-01…I-06 → I-08: normalised top-10 importance of the chosen model; uniform
+    weights (I-07) if the model can't be scored.
+
+    ``method="model"`` is what suits the model: path-dependent values for trees, values
+    for dependent features for linear models, kernel values for others."""
     keys = list(keys)
     name = model or training.best_name()
     spark = features.sparkSession
@@ -70,16 +74,24 @@ def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[s
     else:
         data = assemble(features, keys, training.feature_cols).filter(~F.col("is_test"))
         fitted = training.fitted[name]
+        ids = [*keys, "date"]
+        if method == "model":
+            method = "tree" if name in (FOREST, BOOSTING) else "dependent" if name in (LINEAR, RIDGE) else "kernel"
         try:
             if method == "linear" and name in (LINEAR, RIDGE):
                 raw = I.linear_attribution(fitted.coefficients.toArray().tolist(), data,
                                            training.feature_cols)
+            elif method == "tree" and name in (FOREST, BOOSTING):
+                raw = A.mean_size(A.tree_rows(A.node_table(fitted), data, training.feature_cols, ids), A.METHOD_TREE)
+            elif method == "dependent" and name in (LINEAR, RIDGE):
+                raw = A.mean_size(A.dependent_linear_rows(fitted.coefficients.toArray().tolist(), data, training.feature_cols, ids), A.METHOD_DEPENDENT)
+            elif method == "kernel":
+                raw = A.mean_size(A.kernel_rows(fitted, data, training.feature_cols, ids, samples=samples), A.METHOD_KERNEL)
             elif method == "shapley":
                 raw = I.shapley_importance(I.shapley_sampling(
-                    fitted, data, training.feature_cols, id_cols=[*keys, "date"], samples=samples))
+                    fitted, data, training.feature_cols, id_cols=ids, samples=samples))
             else:
-                raw = I.permutation_importance(fitted, data, training.feature_cols,
-                                               id_cols=[*keys, "date"])
+                raw = I.permutation_importance(fitted, data, training.feature_cols, id_cols=ids)
             raw = raw.checkpoint(eager=True)  # one row per feature; a model that can't score fails here
         except (PySparkException, Py4JJavaError) as e:
             warnings.warn(f"{name} could not be scored, all features count alike: {e}", stacklevel=2)

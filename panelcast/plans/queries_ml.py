@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
+from panelcast.operators import attribution as A
 from panelcast.operators import importance as I
 from panelcast.operators import insights as J
 from panelcast.operators import report as H
@@ -82,6 +83,24 @@ def q_importance_shapley_by_brand(spark, sf):
                                     model="Random Forest", method="shapley")
 
 
+@register("importance_tree_by_brand")
+def q_importance_tree_by_brand(spark, sf):
+    """I-03 → I-08: path-dependent tree values of the forest over all training rows."""
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Random Forest", method="model")
+
+
+@register("importance_dependent_linear_by_brand")
+def q_importance_dependent_linear_by_brand(spark, sf):
+    """I-04 → I-08: values of the OLS model with features that depend on each other."""
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Linear Regression", method="model")
+
+
+@register("importance_kernel_by_brand")
+def q_importance_kernel_by_brand(spark, sf):
+    """I-05 → I-08: kernel values of the RBF pipeline over all training rows."""
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="RBF Ridge (RFF)", method="model")
+
+
 @register("insights_by_brand")
 def q_insights_by_brand(spark, sf):
     """J-01…J-07 for the best model."""
@@ -131,6 +150,58 @@ def q_importance_fixed_by_brand(spark, sf):
     return I.normalise(I.linear_attribution(list(FIXED_COEFFICIENTS.values()), _train_rows(spark, sf), list(FIXED_COEFFICIENTS)))
 
 
+# Two trees and two coefficients as stand-ins for fitted ones. A node is (id, cover, value, left, right, feature, threshold).
+FIXED_TREE_FEATURES = ["lag_1", "month", "units_sold"]
+FIXED_TREES = [[(0, 100.0, 0.0, 1, 2, 0, 150000.0), (1, 60.0, 0.0, 3, 4, 1, 6.0), (2, 40.0, 0.0, 5, 6, 2, 300.0), (3, 36.0, 90000.0, -1, -1, -1, 0.0),
+                (4, 24.0, 130000.0, -1, -1, -1, 0.0), (5, 10.0, 170000.0, -1, -1, -1, 0.0), (6, 30.0, 260000.0, -1, -1, -1, 0.0)],
+               [(0, 80.0, 0.0, 1, 2, 2, 250.0), (1, 20.0, -4000.0, -1, -1, -1, 0.0), (2, 60.0, 7000.0, -1, -1, -1, 0.0)]]
+
+
+def _tree_sql() -> str:
+    """Every leaf's values by the definition: of one feature v (o - z), of two v (o - z) (z' + o') / 2."""
+    leaves = []
+    for tree in FIXED_TREES:
+        nodes = {n[0]: n for n in tree}
+
+        def walk(i, path, nodes=nodes, leaves=leaves):
+            _, cover, value, left, right, f, t = nodes[i]
+            if left < 0:
+                for j, (name, test, z) in enumerate(path):
+                    own = f"{value}::DOUBLE * (({test})::INT - {z}::DOUBLE)"
+                    other = "".join(f" * ({z2}::DOUBLE + ({test2})::INT) / 2" for k, (_, test2, z2) in enumerate(path) if k != j)
+                    leaves.append(f"SELECT series_key, date, '{name}' AS feature, {own}{other} AS shap FROM tr")
+                return
+            name = FIXED_TREE_FEATURES[f]
+            walk(left, [*path, (name, f"{name} <= {t}", nodes[left][1] / cover)])
+            walk(right, [*path, (name, f"{name} > {t}", nodes[right][1] / cover)])
+        walk(0, [])
+    return " UNION ALL ".join(leaves)
+
+
+@register("row_attributions_fixed_trees", f"""WITH {ES_CTE}, tr AS (SELECT * FROM es2 WHERE NOT is_test)
+SELECT series_key, date, feature, sum(shap) AS shap FROM ({_tree_sql()}) GROUP BY ALL""", {"shap": 4})
+def q_row_attributions_fixed_trees(spark, sf):
+    """I-03, I-10: tree values of every training row, for two fixed trees."""
+    nodes = spark.createDataFrame([(t, *n) for t, tree in enumerate(FIXED_TREES) for n in tree],
+                                  "tree int, id int, cover double, value double, left int, right int, feature int, threshold double")
+    rows = assemble(brand_features(spark, sf), KEYS, FIXED_TREE_FEATURES).where(~F.col("is_test"))
+    return A.tree_rows(nodes, rows, FIXED_TREE_FEATURES, [*KEYS, "date"])
+
+
+DEPENDENT = {"lag_1": 0.4, "units_sold": 25.0}
+
+
+@register("row_attributions_dependent", f"""WITH {ES_CTE}, tr AS (SELECT * FROM es2 WHERE NOT is_test),
+m AS (SELECT avg(lag_1) AS ma, avg(units_sold) AS mb, covar_pop(lag_1, units_sold) AS c, var_pop(lag_1) AS va, var_pop(units_sold) AS vb FROM tr),
+g AS (SELECT series_key, date, lag_1 - ma AS a, units_sold - mb AS b, 0.4::DOUBLE + 25.0::DOUBLE * c / va AS ka, 25.0::DOUBLE + 0.4::DOUBLE * c / vb AS kb FROM tr, m)
+SELECT series_key, date, 'lag_1' AS feature, (ka * a + (0.4::DOUBLE * a + 25.0::DOUBLE * b - kb * b)) / 2 AS shap FROM g
+UNION ALL SELECT series_key, date, 'units_sold', (kb * b + (0.4::DOUBLE * a + 25.0::DOUBLE * b - ka * a)) / 2 FROM g""", {"shap": 3})
+def q_row_attributions_dependent(spark, sf):
+    """I-04, I-10: values of two dependent features under fixed coefficients."""
+    rows = assemble(brand_features(spark, sf), KEYS, list(DEPENDENT)).where(~F.col("is_test"))
+    return A.dependent_linear_rows(list(DEPENDENT.values()), rows, list(DEPENDENT), [*KEYS, "date"])
+
+
 @register("top_drivers_by_brand", f"""WITH {_TRAIN_SQL}
 SELECT {_friendly_sql('feature')} AS feature, importance, '{I.METHOD_LINEAR}' AS method, rank FROM nrm WHERE rank <= 3""")
 def q_top_drivers_by_brand(spark, sf):
