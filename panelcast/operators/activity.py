@@ -33,8 +33,9 @@ def activity_counts(log: DataFrame, actions: Sequence[str] = LOG_ACTIONS) -> Dat
 
 
 def activity_view(log: DataFrame, action: str = ALL, role: str = ALL) -> DataFrame:
-    """F-02, F-03: conjunctive filter (pushed to the scan), most recent first."""
-    order = [F.col("ts").desc()] + [F.col(c).desc() for c in ("event_id", "pos") if c in log.columns]
+    """F-02, F-03: conjunctive filter (pushed to the scan), most recent first: the log's own
+    order from behind where its rows have a place, else by time."""
+    order = [F.col(c).desc() for c in ("pos", "ts", "event_id") if c in log.columns]
     return log.filter(_predicate(action, role)).orderBy(*order)
 
 

@@ -206,6 +206,27 @@ def q_html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", T.clean_text("html").alias("text"))
 
 
+@register("activity_log_positions", f"""
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, strftime(ts, '%d %b %Y  %H:%M:%S') AS timestamp, username, action FROM ({ACT})""")
+def q_activity_log_positions(spark, sf):
+    """A-04, A-03, F-03: the log appended in three jobs of several files each, read back; its
+    places are those of the appended entries."""
+    import os
+    import uuid
+
+    from panelcast.operators.chunked import KEY, series_key
+    from panelcast.operators.long_features import positions
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources.activity_log import append_activity, read_activity_log
+    path = os.path.join(ensure_checkpoint_dir(spark), "activity_log", uuid.uuid4().hex)
+    events = fx.activity_events(spark, sf)
+    low, high = events.agg(F.percentile_approx("event_id", [0.3, 0.7])).first()[0]
+    for part in ("event_id < %d" % low, "event_id >= %d AND event_id < %d" % (low, high), "event_id >= %d" % high):
+        append_activity(events.where(part).orderBy("event_id"), path)
+    log = positions(read_activity_log(spark, path).withColumn(KEY, series_key([])), ["pos"])
+    return log.select(F.col("_pos").alias("place"), "timestamp", "username", "action")
+
+
 @register("activity_log_roundtrip", f"""
 SELECT strftime(ts, '%d %b %Y  %H:%M:%S') AS timestamp, username, name, action, role,
        strptime(strftime(ts, '%d %b %Y  %H:%M:%S'), '%d %b %Y  %H:%M:%S') AS ts

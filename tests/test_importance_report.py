@@ -181,6 +181,25 @@ def test_log_as_an_indented_array(spark, tmp_path):
     assert [r.username for r in read_activity_log(spark, str(tmp_path / "lines.json")).orderBy("pos").collect()] == ["u0", "u1"]
 
 
+def test_log_of_several_layouts(spark, tmp_path):
+    """An array, lines appended behind it in the same file, and appended files, all in order."""
+    import json
+    def entry(i):
+        return {"timestamp": "05 Jan 2024  10:00:00", "username": f"u{i}", "name": 'a "{b}" c', "action": "Login", "role": "admin"}
+    path = tmp_path / "log"
+    path.mkdir()
+    (path / "activity_log.json").write_text(json.dumps([entry(i) for i in range(4)], indent=2) + "\n" + json.dumps(entry(4)) + "\nbroken {\n")
+    os.utime(path / "activity_log.json", (1_600_000_000, 1_600_000_000))
+    for i in (5, 8):
+        rows = [(e["timestamp"], e["username"], e["name"], e["action"], e["role"]) for e in map(entry, range(i, i + 3))]
+        append_activity(spark.createDataFrame(rows, "timestamp string, username string, name string, action string, role string").repartitionByRange(3, "username"), str(path))
+    (path / "other.json").write_text("[" + json.dumps(entry(11)) + "]")
+    log = read_activity_log(spark, str(path))
+    assert [r.username for r in log.orderBy("pos").collect()] == ["u0", "u1", "u2", "u3", "u4", "u5", "u6", "u7", *["u10", "u8", "u9"], "u11"]
+    assert {r.name for r in log.collect()} == {'a "{b}" c'} and log.where("ts IS NULL").count() == 0
+    assert [r.username for r in activity_view(log).collect()][0] == "u11"
+
+
 def test_report_lines_are_ordered_and_escaped(spark):
     df = spark.createDataFrame([(3, 'a "b"'), (1, "x,y"), (2, "l1\nl2")], "step int, note string").repartition(3)
     got = report_lines({"forecast": df}).orderBy("section_no", "line_no").toPandas()["text"].tolist()
