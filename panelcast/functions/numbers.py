@@ -90,6 +90,15 @@ def fixed(c: Column, places: int, plus: bool = False, grouped: bool = False) ->
     return F.when(x.isNotNull(), F.concat(sign, body))
 
 
+def plain(c: Column) -> Column:
+    """The shortest text of a double, without an exponent from 0.0001 to 10**16, as Python prints it."""
+    x = c.cast("double")
+    text = F.rtrim(x.cast("decimal(38,20)").cast("string"), F.lit("0"))
+    text = F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    a = F.abs(x)
+    return F.when((a >= 1e-4) & (a < 1e16), text).otherwise(x.cast("string"))
+
+
 def filled(template: str, *args: Column) -> Column:
     """``format_string`` with exact numbers: ``%.Nf``, ``%+.Nf`` and ``%,.Nf`` take the text of ``fixed``."""
     out, rest, given = [], "", list(args)

@@ -51,7 +51,7 @@ def _numeric(df: DataFrame, name: str | None) -> Column:
 def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None = None,
                 seq: str | None = None, on_bad_dates: str = "regenerate",
                 formats: Sequence[str] | None = None,
-                chunk_rows: int = chunked.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+                chunk_rows: int = chunked.CHUNK_ROWS, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Return ``(clean, log)``.
 
     ``clean``: ``keys…, date TIMESTAMP_NTZ, revenue, units_sold, price DOUBLE, seq``.
@@ -64,7 +64,8 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     ``chunk_rows`` positions of ``seq``) and written to the shared folder; fills, positions
     and exact quantiles come from ``panelcast.operators.chunked``. So a call runs these
     passes at once, and ``clean`` reads the written rows. ``seq`` may be of any ordered
-    type; integers are the cheapest.
+    type; integers are the cheapest. ``ordered`` sorts ``clean`` by keys, date and ``seq``
+    (C-13, a range sort); operators on series order their own windows and don't need it.
     """
     if on_bad_dates not in ("regenerate", "null"):
         raise ValueError("on_bad_dates must be 'regenerate' or 'null'")
@@ -160,6 +161,9 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     })
     clean = stage.filter(kept).select(*[F.col(chunked.KEY)[k].alias(k) for k in keys], "date", "revenue", "units_sold", "price", "seq")
 
+    if ordered:
+        clean = clean.orderBy(*keys, "date", "seq")
+
     # Validation log (C-12): one aggregate, then one row per message.
     counts = stage.agg(F.count(F.lit(1)).alias("n_raw"),
                        F.count_if(F.col("_dropped")).alias("n_removed"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
+from panelcast.functions.numbers import fixed
 from panelcast.operators import attribution as A
 from panelcast.operators import importance as I
 from panelcast.operators import insights as J
@@ -22,10 +23,11 @@ from panelcast.operators.smoothing import es_fit, es_metrics, leaderboard
 from panelcast.operators.training import assemble, train_models
 from panelcast.plans import analysis
 from panelcast.plans import sql_fixtures as S
-from panelcast.plans.catalog import register
+from panelcast.plans.catalog import ORACLE, register
 from panelcast.plans.queries_model import (ES_CTE, FC_CTE, KEYS, TARGET_CTE, brand_es_forecast,
                                            brand_features)
 from panelcast.sources import fixtures as fx
+from panelcast.sources import sinks as SK
 
 _TRAINED: dict = {}
 
@@ -360,10 +362,9 @@ def q_run_summary_es(spark, sf):
 @register("report_lines_by_brand")
 def q_report_lines_by_brand(spark, sf):
     """H-02: the text report (summary, models, cleaned data, forecast, importance) as ordered lines."""
-    from panelcast.sources.sinks import report_lines
     t = trained(spark, sf)
     feats = brand_features(spark, sf)
-    return report_lines({
+    return SK.report_lines({
         "summary": H.summary_section(fx.sales_by_brand(spark, sf), KEYS),
         "models": H.model_section(t.metrics),
         "cleaned": fx.sales_by_brand(spark, sf),
@@ -372,6 +373,40 @@ def q_report_lines_by_brand(spark, sf):
     })
 
 
+def _lines_sql(no: int, heading: str, source: str, columns: dict[str, str], order: str) -> str:
+    """Lines of one section: heading, column names, rows; ``columns`` gives each column's text."""
+    texts = ", ".join("CASE WHEN regexp_matches({v}, '[,\"\r\n]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END".format(
+        v=f"coalesce({e}, '')") for e in columns.values())
+    return f"""SELECT {no} AS section_no, 0::BIGINT AS line_no, '{heading}' AS text
+UNION ALL SELECT {no}, 1, '{",".join(columns)}'
+UNION ALL SELECT {no}, row_number() OVER (ORDER BY {order}) + 1, concat_ws(',', {texts}) FROM ({source})"""
+
+
+def _varchar(*names):
+    return {n: f"CAST({n} AS VARCHAR)" for n in names}
+
+
+_CLEAN_2 = f"""SELECT * REPLACE (printf('%.2f', revenue) AS revenue, printf('%.2f', units_sold) AS units_sold, printf('%.2f', price) AS price)
+FROM ({S.CLEAN_DIRTY_DAILY})"""
+
+
+@register("report_lines_es_by_brand", f"""
+SELECT 0 AS section_no, 0::BIGINT AS line_no, '{SK.TITLE}' AS text UNION ALL
+{_lines_sql(1, SK.HEADINGS['summary'], ORACLE['report_summary_by_brand'], _varchar('series_key', 'line_no', 'label', 'value'), 'series_key, line_no')} UNION ALL
+{_lines_sql(2, SK.HEADINGS['cleaned'], _CLEAN_2, _varchar('series_key', 'date', 'revenue', 'units_sold', 'price', 'seq'), 'series_key, date, seq')} UNION ALL
+{_lines_sql(3, SK.HEADINGS['forecast'], ORACLE['report_forecast_section'], _varchar('series_key', 'step', 'date', 'forecast', 'lower', 'upper'), 'series_key, step')}""")
+def q_report_lines_es_by_brand(spark, sf):
+    """H-02, C-13: report lines of the smoothing path, the cleaned rows in order, numbered without gaps."""
+    from panelcast.operators.clean import clean_sales
+    clean = clean_sales(fx.dirty_daily_by_brand(spark, sf), KEYS, seq="seq")[0]
+    return SK.report_lines({
+        "summary": H.summary_section(fx.sales_by_brand(spark, sf), KEYS),
+        "models": None,
+        "cleaned": clean.withColumns({c: fixed(F.col(c), 2) for c in ("revenue", "units_sold", "price")}),
+        "forecast": H.forecast_section(brand_es_forecast(spark, sf), KEYS),
+    })
+
+
 @register("model_series_metrics")
 def q_model_series_metrics(spark, sf):
     """M-12 per (model, brand): the hold-out errors that set each forecast band."""

@@ -128,3 +128,11 @@ def test_date_layouts_keep_the_time(spark, texts, want):
     df = spark.createDataFrame([(i, t, 1.0 + i) for i, t in enumerate(texts)], "seq long, Date string, Revenue double")
     got = clean_sales(df, [], seq="seq")[0].orderBy("seq").collect()
     assert [str(r["date"]) for r in got] == want
+
+
+def test_ordered_output(spark):
+    """C-13: rows sorted by series, date and position, as read back."""
+    rows = [(k, i, f"2024-01-{1 + (i * 7) % 28:02d}", float(i)) for k in ("b", "a", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, seq long, Date string, Revenue double").repartition(5)
+    got = [(r["k"] or "", r["date"], r["seq"]) for r in clean_sales(df, ["k"], seq="seq", ordered=True)[0].collect()]
+    assert got == sorted(got) and len(got) == 180

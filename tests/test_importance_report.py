@@ -203,6 +203,7 @@ def test_log_of_several_layouts(spark, tmp_path):
 def test_report_lines_are_ordered_and_escaped(spark):
     df = spark.createDataFrame([(3, 'a "b"'), (1, "x,y"), (2, "l1\nl2")], "step int, note string").repartition(3)
     got = report_lines({"forecast": df}).orderBy("section_no", "line_no").toPandas()["text"].tolist()
+    assert report_lines({"forecast": df}).where("section_no = 1").orderBy("line_no").toPandas()["line_no"].tolist() == [0, 1, 2, 3, 4]
     assert got[2:] == ["step,note", '1,"x,y"', '2,"l1\nl2"', '3,"a ""b"""']
 
 
