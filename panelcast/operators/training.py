@@ -3,7 +3,8 @@
 All series are pooled into one training set; hold-out rows and CV folds are
 assigned by position *within* each series (``with_splits``), so every
 series contributes to every fit and no series' future leaks into its own
-hold-out. Fits are independent Spark jobs and run from a small driver
+hold-out. The folds of linear models are solved from sums (``gram``); other
+fits are independent Spark jobs and run from a small driver
 thread pool (MLlib parallelises inside each fit). Fold statistics, metrics
 and predictions are DataFrame aggregates; nothing is collected but a
 handful of per-fold counts.
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import FEATURE_COLUMNS
-from panelcast.operators.models import BOOST_ITERS, FOREST_TREES, MODEL_NAMES, build
+from panelcast.operators.gram import fold_fits, fold_moments, fold_predictions
+from panelcast.operators.models import BOOST_ITERS, FOREST_TREES, LINEAR, MODEL_NAMES, RIDGE, RIDGE_ALPHA, build
 from panelcast.operators.smoothing import ES_NAME, es_predictions, leaderboard, pooled_metrics
 from panelcast.operators.splits import with_splits
 from panelcast.session import ensure_checkpoint_dir
@@ -109,7 +111,10 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
         folds = [f for f in folds if f >= 1]
     expanding = cv_mode == "expanding"
 
-    tasks = [(m, f) for m in models for f in folds] + [(m, None) for m in models]
+    # Linear folds come from sums that one pass takes (``gram``); other models are fitted per fold.
+    summed = {m: alpha for m, alpha in ((LINEAR, 0.0), (RIDGE, RIDGE_ALPHA)) if m in models} if folds else {}
+    fitted_folds = [m for m in models if m not in summed]
+    tasks = [(m, f) for m in fitted_folds for f in folds] + [(m, None) for m in models]
 
     def fit(task):
         name, fold = task
@@ -142,7 +147,11 @@ def train_models(features: DataFrame, keys: Sequence[str] = (), models: Sequence
         cv_preds = [fitted_all[(m, f)].transform(data.filter(F.col("fold") == f)).select(
             F.lit(m).alias("model"), F.lit(f).alias("fold"),
             F.col("revenue").alias("actual"), F.col("prediction").alias("predicted"))
-            for m in models for f in folds]
+            for m in fitted_folds for f in folds]
+        if summed:
+            moments = fold_moments(data, len(cols))
+            fits = {m: fold_fits(moments, folds, alpha, expanding) for m, alpha in summed.items()}
+            cv_preds.append(fold_predictions(data, fits).select("model", "fold", "actual", "predicted"))
         per_fold = pooled_metrics(_union(cv_preds), by=["model", "fold"])
         cv_summary = per_fold.groupBy("model").agg(
             F.avg("rmse").alias("cv_rmse_mean"), F.stddev_pop("rmse").alias("cv_rmse_std"),

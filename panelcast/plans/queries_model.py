@@ -134,6 +134,27 @@ def q_es_leaderboard(spark, sf):
     return leaderboard(es_metrics(brand_features(spark, sf), KEYS))
 
 
+@register("linear_cv_by_brand", f"""WITH {SPLITS_CTE},
+t AS (SELECT fold, revenue AS y, month_sin AS x FROM s3 WHERE fold IS NOT NULL),
+g AS (SELECT f.fold, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx, avg(y) AS my, avg(x) AS mx
+      FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY f.fold),
+c AS (SELECT 'Linear Regression' AS model, fold, sxy / sxx AS b, my - sxy / sxx * mx AS a FROM g
+      UNION ALL SELECT 'Ridge Regression', fold, sxy / (sxx + 1), my - sxy / (sxx + 1) * mx FROM g),
+p AS (SELECT model, fold, y AS actual, a + b * x AS predicted, avg(y) OVER (PARTITION BY model, fold) AS m FROM c JOIN t USING (fold))
+SELECT model, fold, sqrt(avg(pow(actual - predicted, 2))) AS rmse, avg(abs(actual - predicted)) AS mae,
+       1 - sum(pow(actual - predicted, 2)) / NULLIF(sum(pow(actual - m, 2)), 0) AS r2, count(*) AS n_test FROM p GROUP BY model, fold""",
+          {"rmse": 4, "mae": 4, "r2": 6})
+def q_linear_cv_by_brand(spark, sf):
+    """M-04, M-05, M-06: cross-validated linear and ridge models of one feature, from sums per fold."""
+    from panelcast.operators.gram import fold_fits, fold_moments, fold_predictions
+    from panelcast.operators.models import LINEAR, RIDGE, RIDGE_ALPHA
+    from panelcast.operators.training import assemble
+    data = assemble(brand_features(spark, sf), KEYS, ["month_sin"])
+    moments = fold_moments(data, 1)
+    fits = {LINEAR: fold_fits(moments, moments, 0.0), RIDGE: fold_fits(moments, moments, RIDGE_ALPHA)}
+    return pooled_metrics(fold_predictions(data, fits), by=["model", "fold"])
+
+
 BASELINES_SQL = f"""{ES_CTE},
 tail AS (SELECT series_key, last(revenue ORDER BY date) AS last_value, avg(revenue) AS mean_value
          FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date DESC) AS back FROM es2 WHERE NOT is_test)
