@@ -25,6 +25,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,8 +184,8 @@ def find_private(docs: DataFrame) -> DataFrame:
     return private_spans(docs).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(text, ",").alias("spans"))
 
 
-def private_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), counts, base_sha256 and the sorted spans (start, kind, stop) of every row."""
+def _bootstrapped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts, digest and mentions of every row; (doc_id, mark, more) of the rows in which the method found spans."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.mapInArrow(extract, f"doc_id {kind}, mark long, " + ", ".join(f"n_{k} long" for k in KINDS)
@@ -194,6 +196,12 @@ def private_spans(docs: DataFrame) -> DataFrame:
     open_near = near.where("kind < 0").drop("kind").withColumn("pattern", F.explode("patterns"))
     more = (open_near.join(patterns.select("pattern", "kind"), "pattern").join(found.select("value", "kind"), ["value", "kind"])
             .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")))
+    return rows, more
+
+
+def private_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), counts, base_sha256 and the sorted spans (start, kind, stop) of every row."""
+    rows, more = _bootstrapped(docs)
     same = F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("r.mark").eqNullSafe(F.col("x.mark"))
     base = F.transform(F.filter("mentions", lambda m: m["kind"] >= 0),
                        lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
@@ -203,21 +211,58 @@ def private_spans(docs: DataFrame) -> DataFrame:
                     F.sort_array(F.array_union(base, F.coalesce("more", none))).alias("spans")))
 
 
+#: Bits that tell which rows may hold spans beyond the base ones: a fixed size, whatever the corpus.
+ROW_BITS = 1 << 23
+
+
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span (start, kind, stop) replaced by its kind in brackets; of overlapping ones the first counts."""
+    out, at = [], 0
+    for start, kind, stop in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs(doc_id, text, ...)``, each span replaced by its kind in brackets."""
-    spans = written(private_spans(docs.select("doc_id", F.col(text).alias("text"))).where(F.size("spans") > 0)
-                    .select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"]))
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.xxhash64(f"d.{text}").eqNullSafe(F.col("s.mark"))
-    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, s):
-        between = F.substr(F.col(f"d.{text}"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(F.concat(acc["out"], between, F.get(tags, s["kind"])).alias("out"), s["stop"].alias("at"))
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
-
-    clean = F.aggregate(F.col("s.spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(f"d.{text}"), (acc["at"] + 1).cast("int"))))
-    columns = [F.when(F.col("s.spans").isNotNull(), clean).otherwise(F.col(f"d.{c}")).alias(c) if c == text else F.col(f"d.`{c}`")
-               for c in docs.columns]
-    return docs.alias("d").join(spans.alias("s"), same, "left").select(*columns)
+    """All rows and columns of ``docs(doc_id, text, ...)``, each span replaced by its kind in brackets.
+
+    Base spans are found anew and masked in one map pass, without a join. Rows that may
+    hold more, by a bitmap of their hashes, keep their text in that pass; they alone meet
+    the found spans in a join, so texts aren't shuffled for the few that need it.
+    """
+    _, more = _bootstrapped(docs.select("doc_id", F.col(text).alias("text")))
+    more = written(more)
+    place = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(ROW_BITS))
+    words = (more.select(F.shiftright(place, 5).alias("w"), F.expr("1L").alias("one"), (place % 32).cast("int").alias("b"))
+             .groupBy("w").agg(F.bit_or(F.call_function("shiftleft", "one", F.col("b"))).alias("v")).collect())  # at most ROW_BITS / 32 rows
+    bits = np.zeros(ROW_BITS // 32, np.uint32)
+    for w, v in words:
+        bits[w] = v
+    table, names = docs.sparkSession.sparkContext.broadcast(bits), docs.columns
+    # Names that no column of the caller's has.
+    own = next(p for p in ("_", "__", "___", "____") if not {f"{p}{n}".lower() for n in ("at", "open")} & {c.lower() for c in names})
+    at, is_open = f"{own}at", f"{own}open"
+    mark = F.xxhash64(F.col(f"`{text}`"))
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vec.slices(batches, text, 1 << 23):
+            p = batch.column(at).to_numpy(zero_copy_only=False)
+            may = (table.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
+            texts = [t if t is None or m else masked(t, base_spans(t)) for t, m in zip(batch.column(text).to_pylist(), may.tolist())]
+            columns = [pa.array(texts, batch.schema.field(text).type) if n == text else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(may)], names=[*names, is_open])
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{is_open}` boolean"])
+    done = written(docs.withColumn(at, F.pmod(F.xxhash64("doc_id", mark), F.lit(ROW_BITS))).mapInArrow(mask, ddl))
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & F.xxhash64(F.col(f"d.`{text}`")).eqNullSafe(F.col("x.mark"))
+
+    @F.pandas_udf("string")
+    def mask_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, [*base_spans(t), *((r["start"], r["kind"], r["stop"]) for r in (m if m is not None else []))])
+                          for t, m in zip(texts, spans)], dtype=object)
+
+    rest = done.where(F.col(f"`{is_open}`")).alias("d").join(more.alias("x"), same, "left")
+    rest = rest.select(*[mask_all(F.col(f"d.`{c}`"), F.col("x.more")).alias(c) if c == text else F.col(f"d.`{c}`") for c in names])
+    return done.where(~F.col(f"`{is_open}`")).select(*[F.col(f"`{c}`") for c in names]).unionByName(rest)
