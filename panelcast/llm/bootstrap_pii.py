@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,11 +257,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     done = written(docs.withColumn(at, F.pmod(F.xxhash64("doc_id", mark), F.lit(ROW_BITS))).mapInArrow(mask, ddl))
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & F.xxhash64(F.col(f"d.`{text}`")).eqNullSafe(F.col("x.mark"))
 
-    @F.pandas_udf("string")
-    def mask_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, [*base_spans(t), *((r["start"], r["kind"], r["stop"]) for r in (m if m is not None else []))])
-                          for t, m in zip(texts, spans)], dtype=object)
+    def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vec.slices(batches, text, 1 << 23):
+            more_spans = batch.column(is_open).to_pylist()
+            texts = [t if t is None else masked(t, [*base_spans(t), *((r["start"], r["kind"], r["stop"]) for r in m or ())])
+                     for t, m in zip(batch.column(text).to_pylist(), more_spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(text).type) if n == text else batch.column(n) for n in names], names=names)
 
     rest = done.where(F.col(f"`{is_open}`")).alias("d").join(more.alias("x"), same, "left")
-    rest = rest.select(*[mask_all(F.col(f"d.`{c}`"), F.col("x.more")).alias(c) if c == text else F.col(f"d.`{c}`") for c in names])
+    rest = rest.select(*[F.col(f"d.`{c}`") for c in names], F.col("x.more").alias(is_open)).mapInArrow(
+        mask_all, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     return done.where(~F.col(f"`{is_open}`")).select(*[F.col(f"`{c}`") for c in names]).unionByName(rest)
