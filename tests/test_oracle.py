@@ -20,7 +20,8 @@ def _norm(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return round(v, 6) + 0.0
+        # Whole numbers beside nulls are doubles in one frame and integers in the other.
+        return int(v) if v.is_integer() else round(v, 6) + 0.0
     return v
 
 
