@@ -92,10 +92,21 @@ def impacts(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> Data
 
 
 def best_of(forecast: DataFrame, grid: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """K-07 of a whole grid: a map-side combined maximum, whatever the grid's size (ties → lowest id)."""
+    """K-07 of a whole grid: a map-side combined maximum, whatever the grid's size (ties → lowest id).
+
+    No step of a forecast that is nowhere negative loses by a larger multiplier, so the largest
+    one has the best total, and a setting can tie with it only if its multiplier keeps
+    every step's rounded value. Settings below that bound aren't totalled; a series with a
+    negative step has all of its settings totalled.
+    """
     keys = list(keys)
-    x = _bases(forecast, keys).select("*", F.explode(grid).alias("_set"))
     m = multiplier(F.col("_set.price_pct"), F.col("_set.units_pct"), F.col("_set.mkt_pct"))
+    top = forecast.sparkSession.range(1).select(F.explode(grid).alias("_set")).agg(F.max(m)).first()[0]
+    # A little below the exact bound, as the division rounds.
+    least = F.array_max(F.transform("bases", lambda b: F.when(b > 0, (F.rint(b * top) - 0.5) / b * (1 - 1e-9))))
+    some_negative = F.exists("bases", lambda b: b < 0)
+    x = _bases(forecast, keys).withColumn("_least", F.when(~some_negative, least)).select("*", F.explode(grid).alias("_set"))
+    x = x.where(F.coalesce(m >= F.col("_least"), F.lit(True)))
     total = F.aggregate("bases", F.lit(0).cast("long"), lambda acc, b: acc + F.rint(b * m).cast("long"))
     best = F.max(F.struct(F.col("total"), (-F.col("_set.scenario_id")).alias("_o"), F.col("_set")))
     top = x.select(*keys, "base_total", "_set", total.alias("total")).groupBy(*keys, "base_total").agg(best.alias("_best"))

@@ -198,3 +198,18 @@ def test_grid_totals_equal_the_rows(spark):
     assert sorted(map(tuple, K.impacts(fc, grid, ["k"]).select(cols).collect())) == sorted(map(tuple, rows.select(cols).collect()))
     best = K.best_scenario(rows, ["k"]).select(cols)
     assert sorted(map(tuple, K.best_of(fc, grid, ["k"]).select(cols).collect())) == sorted(map(tuple, best.collect()))
+
+
+def test_best_setting_of_odd_forecasts(spark):
+    """Zeros (all settings tie), tiny values, a negative step, a null step: as by trying all settings."""
+    from panelcast.operators import scenarios as K
+    rows = [(k, i + 1, v) for k, vs in {"zero": [0.0, 0.0], "tiny": [0.4, 0.3], "plain": [1234.5, 99.0], "minus": [-50.0, 20.0],
+                                        "down": [-50.0, -3.0], "half": [2.5, 1e9]}.items() for i, v in enumerate(vs)]
+    fc = spark.createDataFrame(rows, "k string, step int, forecast double")
+    grid = K.lever_grid(10, 10, 26)
+    got = {r["k"]: (r["scenario_id"], r["scenario_total"]) for r in K.best_of(fc, grid, ["k"]).collect()}
+    all_of = K.impacts(fc, grid, ["k"]).collect()
+    for k in got:
+        mine = [r for r in all_of if r["k"] == k]
+        most = max(r["scenario_total"] for r in mine)
+        assert got[k] == (min(r["scenario_id"] for r in mine if r["scenario_total"] == most), most)
