@@ -1,8 +1,9 @@
 """Per-series scans over chunks of a series, so that no task holds a whole one.
 
-A series is cut into chunks of its order column. One exchange on (series, chunk)
-serves everything a chunk can tell by itself; what passes from chunk to chunk goes
-through a table of one row per chunk:
+Rows are laid out in sorted ranges of (series, order column) and cut into chunks by their
+place in the layout, so a chunk is full whatever gaps the order column has. One exchange
+on (series, chunk) serves everything a chunk can tell by itself; what passes from chunk
+to chunk goes through a table of one row per chunk, a small share of the rows:
 
 - ``local``: last value so far, position in the chunk, and the chunk's last row, in
   one pass over the exchanged rows, written once;
@@ -27,7 +28,7 @@ from pyspark.sql.types import IntegralType
 
 from panelcast.sources.scratch import written
 
-#: Positions of the order column in a chunk, and bins of a refined histogram.
+#: Places of the sorted layout in a chunk, and bins of a refined histogram.
 CHUNK_ROWS = 1 << 16
 BINS = 1 << 14
 #: Bins per e-fold of the first histogram.
@@ -40,24 +41,29 @@ def series_key(keys: Sequence[str]) -> Column:
 
 
 def in_order(df: DataFrame, order: str) -> DataFrame:
-    """Rows whose ``order`` is an integer; another type is replaced by a position in a sorted layout.
+    """Adds ``_at``, which ascends along (series, ``order``): a place in a layout of sorted ranges.
 
-    Integers may have gaps; they should be unique within a series."""
-    if isinstance(df.schema[order].dataType, IntegralType):
-        return df
-    return written(df.repartitionByRange(F.col(KEY), F.col(order)).sortWithinPartitions(KEY, order)
-                   .withColumn(order, F.monotonically_increasing_id()))
+    ``order`` may have gaps and be of any ordered type; rows of one series that are equal in it
+    follow a hash of the whole row."""
+    cols = [F.col(KEY), F.col(order), F.xxhash64(*df.columns)]
+    # Written before it is sorted, as the bounds of the ranges take a pass of their own.
+    return written(df).repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
 
 
 def local(df: DataFrame, cols: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds per chunk: ``_last_i`` (last non-null value of column i so far), ``_nth`` (position
     from 1) and ``_end`` (true on the last row)."""
-    d = in_order(df, order).withColumn(CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)).cast("long"))
-    w = Window.partitionBy(KEY, CHUNK).orderBy(order)
+    d = in_order(df, order).withColumn(CHUNK, F.floor(F.col("_at") / F.lit(chunk_rows)).cast("long"))
+    w = Window.partitionBy(KEY, CHUNK).orderBy("_at")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return written(d.withColumns({
         **{f"_last_{i}": F.last(c, ignorenulls=True).over(so_far) for i, c in enumerate(cols)},
-        "_nth": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()}))
+        "_nth": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()}).drop("_at"))
+
+
+def ordered_rows(rows: DataFrame, order: str) -> DataFrame:
+    """The rows that have a place: those without a value in an integer ``order`` have none."""
+    return rows.where(F.col(order).isNotNull()) if isinstance(rows.schema[order].dataType, IntegralType) else rows
 
 
 def carried(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -72,7 +78,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order:
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Last non-null value at or before each row, along ``order``, per series."""
     rows = local(df.withColumn(KEY, series_key(keys)), cols, order, chunk_rows)
-    out = rows.join(carried(rows, cols), [KEY, CHUNK])
+    out = ordered_rows(rows, order).join(carried(rows, cols), [KEY, CHUNK])
     return out.select(*[F.coalesce(f"_last_{list(cols).index(c)}", f"_carry_{list(cols).index(c)}").alias(c) if c in cols else c
                         for c in df.columns])
 
@@ -81,7 +87,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int
                 name: str = "_rn") -> DataFrame:
     """1-based position along ``order`` per series."""
     rows = local(df.withColumn(KEY, series_key(keys)), [], order, chunk_rows)
-    return rows.join(carried(rows, []), [KEY, CHUNK]).select(*df.columns, (F.col("_before") + F.col("_nth")).alias(name))
+    return ordered_rows(rows, order).join(carried(rows, []), [KEY, CHUNK]).select(*df.columns, (F.col("_before") + F.col("_nth")).alias(name))
 
 
 # ---------------------------------------------------------------- quantiles

@@ -60,11 +60,11 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     absent, ``monotonically_increasing_id`` is used, which follows file order
     only as far as the input partitions do.
 
-    Nothing is computed per whole series: rows are exchanged once on (series, chunk of
-    ``chunk_rows`` positions of ``seq``) and written to the shared folder; fills, positions
-    and exact quantiles come from ``panelcast.operators.chunked``. So a call runs these
-    passes at once, and ``clean`` reads the written rows. ``seq`` may be of any ordered
-    type; integers are the cheapest. ``ordered`` sorts ``clean`` by keys, date and ``seq``
+    Nothing is computed per whole series: rows are sorted in ranges of (series, ``seq``),
+    exchanged on (series, chunk of at most ``chunk_rows`` rows) and written to the shared
+    folder; fills, positions and exact quantiles come from ``panelcast.operators.chunked``.
+    So a call runs these passes at once, and ``clean`` reads the written rows. ``seq`` may
+    be of any ordered type and have any gaps. ``ordered`` sorts ``clean`` by keys, date and ``seq``
     (C-13, a range sort); operators on series order their own windows and don't need it.
     """
     if on_bad_dates not in ("regenerate", "null"):
@@ -143,7 +143,7 @@ def clean_sales(df: DataFrame, keys: Sequence[str] = (), overrides: dict | None
     rows = chunked.local(proj, ["_u", "_p"], "_order", chunk_rows)
     stats = chunked.quantiles(rows, [("_u", 0.5, "_mid_u"), ("_p", 0.5, "_mid_p"), ("_r", 0.25, "_q1"), ("_r", 0.75, "_q3")])
     per_chunk = written(chunked.carried(rows, ["_u", "_p"]).join(stats, chunked.KEY, "left"))
-    stage = rows.join(per_chunk, [chunked.KEY, chunked.CHUNK])
+    stage = chunked.ordered_rows(rows, "_order").join(per_chunk, [chunked.KEY, chunked.CHUNK])
     position = (F.col("_before") + F.col("_nth") - 1).cast("int")
     stage = stage.withColumns({
         "date": F.when(made, add_months(F.lit(REGENERATED_START).cast("date"), position)).otherwise(F.col("date")),

@@ -128,3 +128,17 @@ def test_no_task_holds_a_series(spark, sf_small):
     clean, _ = clean_sales(raw, ["series_key"], seq="seq")
     plan = clean._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_wide_gaps_make_no_small_chunks(spark):
+    """The table of chunks stays small when the order column has gaps wider than a chunk."""
+    rows = [("A", i * 10_000_000_000, float(i) if i % 7 == 0 else None) for i in range(1000)] + [("B", None, 1.0), ("B", 5, None), ("B", 5, None)]
+    df = spark.createDataFrame(rows, "k string, s long, v double").repartition(3)
+    placed = C.local(df.withColumn(C.KEY, C.series_key(["k"])), ["v"], "s", 16)
+    assert C.carried(placed, ["v"]).count() < 100
+    filled = C.forward_fill(df, ["v"], ["k"], "s", 16).where("k = 'A'").orderBy("s").collect()
+    assert [(r["s"], r["v"]) for r in filled] == [(i * 10_000_000_000, float(i - i % 7)) for i in range(1000)]
+    numbers = {r["s"]: r["_rn"] for r in C.row_numbers(df.where("k = 'A'"), ["k"], "s", 16).collect()}
+    assert numbers == {i * 10_000_000_000: i + 1 for i in range(1000)}
+    # Rows without a place come first, carry on, and go.
+    assert [r["v"] for r in C.forward_fill(df, ["v"], ["k"], "s", 16).where("k = 'B'").collect()] == [1.0, 1.0]
