@@ -44,10 +44,11 @@ def in_order(df: DataFrame, order: str) -> DataFrame:
     """Adds ``_at``, which ascends along (series, ``order``): a place in a layout of sorted ranges.
 
     ``order`` may have gaps and be of any ordered type; rows of one series that are equal in it
-    follow a hash of the whole row."""
-    cols = [F.col(KEY), F.col(order), F.xxhash64(*df.columns)]
+    keep the order they come in."""
+    cols = [F.col(KEY), F.col(order), F.col("_tie")]
     # Written before it is sorted, as the bounds of the ranges take a pass of their own.
-    return written(df).repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(df.withColumn("_tie", F.monotonically_increasing_id()))
+    return rows.repartitionByRange(*cols).sortWithinPartitions(*cols).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
 
 
 def local(df: DataFrame, cols: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
