@@ -20,7 +20,12 @@ row per document with the smallest ``doc_id`` of its component.
    ones last), so each such shingle is one more node. Small ones are compared
    as above, large ones block by block, but for pairs of the largest component.
 5. Sketches only rule out pairs far below the threshold (over 4 standard
-   deviations); every link is confirmed on the full sets.
+   deviations). A bitmap of the set, each shingle flipping one of ``BITS`` bits,
+   rules out more, and without error: two bitmaps never differ in more bits than
+   their sets in shingles. Every link is confirmed on the full sets.
+6. Pairs are never rows. A node gives the members that still have a possible
+   partner in it, these meet once more with their full sets, and each group that
+   links within the node gives one link per further member.
 
 Trees never go deeper than 3 levels, since the chance to meet falls with every
 level. A pair at the threshold meets in one tree with probability 0.376 at 3
@@ -57,11 +62,14 @@ SAMPLE = 20_000
 COMMON = 1 << 16
 #: Standard deviations of a sketch's estimate left below the threshold.
 SLACK = 4.0
+#: Bits of a set's bitmap (a power of two), and shared shingles of a leaf that are counted at a time.
+BITS = 1024
+COLUMNS = 4096
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                       ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
-                      ("tokens", pa.binary())])
-FEATURES_DDL = ("doc_id long, n_shingles long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, tokens binary")
+                      ("bits", pa.binary()), ("tokens", pa.binary())])
+FEATURES_DDL = ("doc_id long, n_shingles long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, bits binary, tokens binary")
 _FACTOR = mix(np.arange(T, dtype=U), 77) | U(1)
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -86,6 +94,17 @@ def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(of, np.arange(len(n) + 1))
 
 
+def bitmaps(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Per row, bits that are set where an odd number of the row's shingles fall."""
+    rows = len(off) - 1
+    place = np.repeat(np.arange(rows), np.diff(off)) * BITS + (mix(h, 9) & U(BITS - 1)).astype(np.int64)
+    odd = np.zeros(rows * BITS, np.uint8)
+    place.sort()
+    at = vec.runs(place)
+    odd[place[at]] = np.diff(np.r_[at, len(place)]) & 1
+    return np.packbits(odd.reshape(rows, BITS), axis=1)
+
+
 def features(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vec.slices(batches, "text"):
@@ -106,6 +125,7 @@ def features(words: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
                  *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(4)),
+                 pa.array([b.tobytes() for b in bitmaps(h, off)], pa.binary()),
                  pa.array([t.tobytes() if n else None for t, n in zip(tokens, size)], pa.binary())], schema=FEATURES)
     return run
 
@@ -179,47 +199,101 @@ def _differ(p: str, q: str):
     return total
 
 
-LEAF_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def leaf_pairs(limit: int):
-    """Compare the sets of each leaf exhaustively by sketch; rows come sorted by leaf."""
-    def compare(doc, comp, size, sketch, percent):
-        i, j = np.triu_indices(len(doc), 1)
-        apart = comp[i] != comp[j]
-        i, j = i[apart], j[apart]
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        fit = 100 * low >= percent * high
-        i, j = i[fit], j[fit]
-        x = sketch[i] ^ sketch[j]
-        near = np.bitwise_count((x | (x >> U(1))) & U(0x5555555555555555)).sum(axis=1) <= limit
-        return np.minimum(doc[i], doc[j])[near], np.maximum(doc[i], doc[j])[near]
-
-    def run(percent: int):
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest = None
-            def leaves(table):
-                leaf = table[0]
-                at = vec.runs(leaf)
-                found = [compare(table[1][x:y], table[2][x:y], table[3][x:y], table[4][x:y], percent)
-                         for x, y in zip(at.tolist(), np.r_[at[1:], len(leaf)].tolist()) if y - x > 1]
-                a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-                b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-                one = np.unique(np.stack([a, b], 1), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(one[:, i])) for i in range(2)], schema=LEAF_PAIRS)
-            for batch in batches:
-                got = [batch.column(c).to_numpy() for c in ("node", "doc_id", "comp", "n_shingles")]
-                got.append(np.stack([batch.column(s).to_numpy().view(U) for s in SKETCH], 1))
-                if rest is not None:
-                    got = [np.concatenate(x) for x in zip(rest, got)]
-                before = np.flatnonzero(got[0] != got[0][-1])
-                last = int(before[-1]) + 1 if len(before) else 0  # the last leaf may go on
-                rest = [x[last:] for x in got]
-                if last:
-                    yield leaves([x[:last] for x in got])
-            if rest is not None and len(rest[0]):
-                yield leaves(rest)
-        return pairs
+def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come sorted by ``node``, in tables of whole leaves, and where each leaf starts and the last ends."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        node = table.column("node").to_numpy()
+        before = np.flatnonzero(node != node[-1])
+        last = int(before[-1]) + 1 if len(before) else 0  # the last leaf may go on
+        rest = table.slice(last)
+        if last:
+            yield table.slice(0, last).combine_chunks(), np.r_[vec.runs(node[:last]), last]
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+MEMBERS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("comp", pa.int64())])
+MEMBERS_DDL = "node long, doc_id long, comp long"
+
+
+def partnered(limit: int, percent: int):
+    """The members of each leaf that may link with one of another component, by size, sketch and bitmap; rows come sorted by leaf."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in by_leaf(batches):
+            comp, size = table.column("comp").to_numpy(), table.column("n_shingles").to_numpy()
+            sketch = np.stack([table.column(c).to_numpy().view(U) for c in SKETCH], 1)
+            bits = np.frombuffer(vec.text_bytes(table.column("bits").chunk(0))[0].tobytes(), U).reshape(len(size), -1)
+            used = np.zeros(len(size), bool)
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                if y - x < 2:
+                    continue
+                i, j = np.triu_indices(y - x, 1)
+                i, j = i + x, j + x
+                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                fit = (comp[i] != comp[j]) & (100 * low >= percent * high)
+                i, j = i[fit], j[fit]
+                z = sketch[i] ^ sketch[j]
+                fit = np.bitwise_count((z | (z >> U(1))) & U(0x5555555555555555)).sum(axis=1) <= limit
+                i, j = i[fit], j[fit]
+                # Similar sets share p (x + y) / (100 + p) shingles or more, so they differ in few.
+                fit = (100 + percent) * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (size[i] + size[j])
+                used[i[fit]] = used[j[fit]] = True
+            at = np.flatnonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[at]) for c in MEMBERS.names], schema=MEMBERS)
+    return run
+
+
+def shared(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many shingles every two of the sets share."""
+    rows = len(off) - 1
+    both = np.zeros((rows, rows), np.int64)
+    row = np.repeat(np.arange(rows), np.diff(off))
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    at = vec.runs(h)
+    often = np.diff(np.r_[at, len(h)])
+    keep = np.repeat(often > 1, often)
+    row, column = row[keep], np.repeat(np.arange((often > 1).sum()), often[often > 1])
+    cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        part = np.zeros((rows, column[y - 1] - k * COLUMNS + 1), np.float32)  # sums of up to COLUMNS ones are exact
+        part[row[x:y], column[x:y] - k * COLUMNS] = 1
+        both += (part @ part.T).astype(np.int64)
+    return both
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def linked(percent: int):
+    """(least, other) of every group of a leaf's sets that links, over full sets; rows come sorted by leaf."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in by_leaf(batches):
+            doc, comp = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
+            sets = table.column("shingles").chunk(0)
+            off, h = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy().view(U)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                if y - x < 2:
+                    continue
+                both = shared(h[off[x]:off[y]], off[x:y + 1] - off[x])
+                size = np.diff(off[x:y + 1])
+                near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+                i, j = np.nonzero(np.triu(near & (comp[x:y, None] != comp[None, x:y]), 1))
+                least, was = doc[x:y].copy(), None
+                while was is None or (least != was).any():
+                    was = least.copy()
+                    np.minimum.at(least, i, was[j])
+                    np.minimum.at(least, j, was[i])
+                other = least != doc[x:y]
+                a.append(least[other])
+                b.append(doc[x:y][other])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], schema=LINKS)
     return run
 
 
@@ -328,7 +402,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     texts = docs.where("doc_id IS NOT NULL")
     rate = 100 / (percent * T)
     limit = _limit(percent)
-    slim = nodes.drop("tokens", "h1", "h2")
+    slim = nodes.drop("tokens", "bits", "h1", "h2")
 
     # Stars: each member of a node against its least member.
     paths = (nodes.select("doc_id", F.col("doc_id").alias("comp"), "tokens")
@@ -360,10 +434,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     ready = leaves[0]
     for more in leaves[1:]:
         ready = ready.unionByName(more)
-    ready = (ready.join(light, "doc_id").select("node", "doc_id", "comp", "n_shingles", *SKETCH)
+    ready = (ready.join(light, "doc_id").select("node", "doc_id", "comp", "n_shingles", *SKETCH, "bits")
              .repartition("node").sortWithinPartitions("node"))
-    pairs = ready.mapInArrow(leaf_pairs(limit)(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    late = written(confirm(written(pairs), texts, words, percent))
+    near = written(ready.mapInArrow(partnered(limit, percent), MEMBERS_DDL).distinct())
+    sets = texts.join(near.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(sets_of(words), "doc_id long, shingles array<long>")
+    meet = near.join(sets, "doc_id").select("node", "doc_id", "comp", "shingles").repartition("node").sortWithinPartitions("node")
+    late = meet.mapInArrow(linked(percent), "a long, b long").distinct()
     root = components(links.unionByName(late).unionByName(same)).withColumnRenamed("u", "doc_id")
     return (all_rows.select("doc_id", "n_shingles").join(root, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
