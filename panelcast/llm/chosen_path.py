@@ -65,6 +65,8 @@ SLACK = 4.0
 #: Bits of a set's bitmap (a power of two), and shared shingles of a leaf that are counted at a time.
 BITS = 1024
 COLUMNS = 4096
+#: Bytes of text whose shingles a task holds at a time.
+SLICE_BYTES = 1 << 18
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                       ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
@@ -107,7 +109,7 @@ def bitmaps(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def features(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vec.slices(batches, "text"):
+        for batch in vec.slices(batches, "text", SLICE_BYTES):
             h, off = shingle_sets(batch, words)
             size = np.diff(off)
             full = np.flatnonzero(size)
@@ -299,7 +301,7 @@ def linked(percent: int):
 
 def sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vec.slices(batches, "text"):
+        for batch in vec.slices(batches, "text", SLICE_BYTES):
             h, off = shingle_sets(batch, words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))],
@@ -318,7 +320,7 @@ def prefixes(words: int, percent: int, common: np.ndarray, count: np.ndarray):
     the smaller set and among the given ones of the larger, whatever the order.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vec.slices(batches, "text"):
+        for batch in vec.slices(batches, "text", SLICE_BYTES):
             h, off = shingle_sets(batch, words)
             size = np.diff(off)
             row = np.repeat(np.arange(len(size)), size)

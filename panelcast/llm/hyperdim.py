@@ -38,7 +38,10 @@ DIMS = 1024
 SYMBOLS = 27
 #: Bits of a symbol in the code of a trigram that isn't in the table.
 WIDE = 21
-BLOCK = 4096
+#: Trigrams whose vectors are held at a time, and bytes and rows of text: a row holds ``DIMS`` sums.
+BLOCK = 512
+SLICE_BYTES = 1 << 17
+ROWS = 512
 MAX_LANGS = 2000
 UNKNOWN = "und"
 
@@ -100,6 +103,13 @@ def trigram_vectors() -> np.ndarray:
     return (two.reshape(-1, 1, DIMS) * letters[None, :, :]).reshape(-1, DIMS)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``SLICE_BYTES`` of text and at most ``ROWS`` rows, so that a task's memory doesn't follow from how short texts are."""
+    for batch in vec.slices(batches, "text", SLICE_BYTES):
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram codes of all rows, row offsets, and whether a row has a letter."""
     data, _ = vec.text_bytes(col)
@@ -128,7 +138,7 @@ def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language, the sum of its texts' vectors."""
     counts: dict[str, np.ndarray] = {}
     others: dict[str, np.ndarray] = {}
-    for batch in vec.slices(batches, "text"):
+    for batch in slices(batches):
         code, off, _ = trigrams(batch.column("text"))
         langs = batch.column("lang").dictionary_encode()
         kind = np.repeat(langs.indices.to_numpy(), np.diff(off))
@@ -168,7 +178,7 @@ def predict(models: dict[str, np.ndarray], keep_text: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = trigram_vectors()
-        for batch in vec.slices(batches, "text"):
+        for batch in slices(batches):
             code, off, letters = trigrams(batch.column("text"))
             wide = code >= len(vectors)
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))

@@ -1,8 +1,10 @@
 """Language profiles: held-out accuracy, independence of labels, edge cases."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from panelcast.llm import hyperdim
 from panelcast.llm.queries import QUERIES
@@ -72,3 +74,17 @@ def test_other_letters_are_told_apart(spark):
                 rows.append((doc, " ".join("".join(rng.choice(letters, 4)) for _ in range(12)), truth[doc], None, None))
     got = [r for r in hyperdim.identify(spark.createDataFrame(rows, DDL)).collect() if r.held_out]
     assert len(got) > 40 and all(r.lang_pred == truth[r.doc_id] for r in got)
+
+
+def test_memory_does_not_follow_from_the_number_of_rows():
+    texts = [f"a short text of number {chr(97 + i % 26)} é" for i in range(10_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    hyperdim.trigram_vectors(), hyperdim._symbols()
+    run = hyperdim.predict({"de": np.ones(hyperdim.DIMS), "en": -np.ones(hyperdim.DIMS)})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64e6
