@@ -5,10 +5,16 @@ columns of ``documents``; the last adds what the mixture takes of each row. Stag
 work on all rows their predecessor kept. A row is told apart by ``doc_id`` and
 text, so null ids, repeated rows and extra columns pass as the operators say;
 null and wordless texts leave in the first stage.
+
+Each stage sets ``BATCHES`` for its session, as a stage's passes may run after it
+has returned; Python workers then hold few texts at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,20 @@ from panelcast.llm import bootstrap_pii, chosen_path, hyperdim, mixing, oracles,
 from panelcast.llm.components import written
 from panelcast.llm.queries import mixing_weights, table, with_domain
 
+#: Rows and bytes that a Python worker gets at a time. Spark's 10,000 rows are some 20 MB of texts, which
+#: the executor holds beside its heap, in vectors that double as they grow, and the worker once more.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+
+
+def in_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, in a session whose Python workers get ``BATCHES``."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+    return run
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; a null label is filled in."""
@@ -48,8 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.where("n_taken > 0")
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate),
-          ("private_data", private_data), ("mixture", mixture)]
+STAGES = [(stage.__name__, in_batches(stage)) for stage in (language_id, near_dedup, decontaminate, private_data, mixture)]
 
 #: The language model and the graph of patterns are no SQL; tests hold the run against brute force.
 ORACLE_SQL = None

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline as P
+import pyarrow as pa
 from brute import decontaminated, mixture, near_components, private
 from test_dedup_exact import key
 
@@ -67,3 +68,27 @@ def test_edge_rows(spark, sf_small):
     assert sorted((r.doc_id for r in stages[3].collect()), key=lambda x: key((x,))) == [None, 4, 6, 7]
     assert {r.text for r in stages[3].where("doc_id = 6").collect()} == {"mail <EMAIL> now"}
     assert stage_rows(spark, sf_small, docs.limit(0), 5)[-1].count() == 0
+
+
+def test_workers_get_few_texts_at_a_time(spark, sf_small):
+    """Neither many short texts nor a few long ones meet in one batch, whatever the session said."""
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.column("text").nbytes]})
+
+    wide = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
+    was = {key: spark.conf.get(key) for key in wide}
+    docs = spark.range(0, 1, numPartitions=1).selectExpr("id AS doc_id", "'plain words' AS text", "'en' AS lang", "'src1' AS source", "11L AS n_chars")
+    short = spark.range(0, 9000, 1, 1).selectExpr("concat('text ', id) AS text")
+    long = spark.range(0, 60, 1, 1).selectExpr("repeat(concat('text ', id, ' '), 20000) AS text")
+    try:
+        for _, stage in P.STAGES:
+            for key, value in wide.items():
+                spark.conf.set(key, value)
+            stage(spark, docs, sf_small)
+            got = [r for df in (short, long) for r in df.mapInArrow(seen, "n long, size long").collect()]
+            assert sum(r.n for r in got) == 9060
+            assert max(r.n for r in got) <= 2000 and max(r["size"] for r in got) <= 1 << 22
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
