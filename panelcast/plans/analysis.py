@@ -60,9 +60,11 @@ def best_forecast(features: DataFrame, training: TrainResult, keys: Sequence[str
 
 def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[str] = (),
                     model: str | None = None, method: str = "permutation",
-                    samples: int = I.SHAPLEY_SAMPLES) -> DataFrame:
-    """I-01…I-06 → I-08: normalised top-10 importance of the chosen model; uniform
-    weights (I-07) if the model can't be scored.
+                    samples: int = I.SHAPLEY_SAMPLES, fallback: bool = True) -> DataFrame:
+    """I-01…I-06 → I-08: normalised top-10 importance of the chosen model.
+
+    If scoring fails, ``fallback`` warns and gives uniform weights (I-07). Without it the
+    failure is raised: queries and ``run`` never show weights that nothing was scored for.
 
     ``method="model"`` is what suits the model: path-dependent values for trees, values
     for dependent features for linear models, kernel values for others."""
@@ -94,6 +96,8 @@ def best_importance(features: DataFrame, training: TrainResult, keys: Sequence[s
                 raw = I.permutation_importance(fitted, data, training.feature_cols, id_cols=ids)
             raw = raw.checkpoint(eager=True)  # one row per feature; a model that can't score fails here
         except (PySparkException, Py4JJavaError) as e:
+            if not fallback:
+                raise
             warnings.warn(f"{name} could not be scored, all features count alike: {e}", stacklevel=2)
             raw = I.uniform_importance(spark, training.feature_cols)
     return I.normalise(raw)
@@ -111,7 +115,7 @@ def run(panel: DataFrame, keys: Sequence[str] = (), horizon: int = G.DEFAULT_HOR
     fc = best_forecast(features, training, keys, horizon)
     tg = T.check_default_targets(fc, keys)
     sc = K.impacts(fc, K.lever_grid(*scenario_steps), keys)
-    imp = best_importance(features, training, keys)
+    imp = best_importance(features, training, keys, fallback=False)
     ins = insights(imp, training.metrics.filter("is_best"), features)
     sections = {
         "summary": H.summary_section(panel, keys),

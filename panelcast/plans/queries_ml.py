@@ -68,14 +68,14 @@ def q_ml_forecast_forest_by_brand(spark, sf):
 @register("importance_by_brand")
 def q_importance_by_brand(spark, sf):
     """I-06 → I-08, I-09: permutation importance of the best model, top 10."""
-    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS)
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, fallback=False)
 
 
 @register("importance_linear_by_brand")
 def q_importance_linear_by_brand(spark, sf):
     """I-04 → I-08: linear attribution of the OLS model."""
     return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS,
-                                    model="Linear Regression", method="linear")
+                                    model="Linear Regression", method="linear", fallback=False)
 
 
 @register("importance_shapley_by_brand")
@@ -94,13 +94,13 @@ def q_importance_tree_by_brand(spark, sf):
 @register("importance_dependent_linear_by_brand")
 def q_importance_dependent_linear_by_brand(spark, sf):
     """I-04 → I-08: values of the OLS model with features that depend on each other."""
-    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Linear Regression", method="model")
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Linear Regression", method="model", fallback=False)
 
 
 @register("importance_kernel_by_brand")
 def q_importance_kernel_by_brand(spark, sf):
     """I-05 → I-08: kernel values of the RBF pipeline over all training rows."""
-    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="RBF Ridge (RFF)", method="model")
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="RBF Ridge (RFF)", method="model", fallback=False)
 
 
 @register("insights_by_brand")
