@@ -82,7 +82,7 @@ def q_importance_linear_by_brand(spark, sf):
 def q_importance_shapley_by_brand(spark, sf):
     """I-03 → I-08: Shapley-sampling importance of the forest over all training rows."""
     return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS,
-                                    model="Random Forest", method="shapley")
+                                    model="Random Forest", method="shapley", fallback=False)
 
 
 @register("importance_tree_by_brand")

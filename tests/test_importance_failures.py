@@ -18,6 +18,7 @@ SCORED = [
     ("importance_by_brand", LINEAR, I, "permutation_importance"),
     ("importance_linear_by_brand", LINEAR, I, "linear_attribution"),
     ("importance_dependent_linear_by_brand", LINEAR, A, "mean_size"),
+    ("importance_shapley_by_brand", FOREST, I, "shapley_importance"),
 ]
 
 
