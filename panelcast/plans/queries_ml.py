@@ -88,7 +88,7 @@ def q_importance_shapley_by_brand(spark, sf):
 @register("importance_tree_by_brand")
 def q_importance_tree_by_brand(spark, sf):
     """I-03 → I-08: path-dependent tree values of the forest over all training rows."""
-    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Random Forest", method="model")
+    return analysis.best_importance(brand_features(spark, sf), trained(spark, sf), KEYS, model="Random Forest", method="model", fallback=False)
 
 
 @register("importance_dependent_linear_by_brand")
