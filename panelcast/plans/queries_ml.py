@@ -108,7 +108,7 @@ def q_insights_by_brand(spark, sf):
     """J-01…J-07 for the best model."""
     t = trained(spark, sf)
     feats = brand_features(spark, sf)
-    imp = analysis.best_importance(feats, t, KEYS)
+    imp = analysis.best_importance(feats, t, KEYS, fallback=False)
     return insights(imp, t.metrics.filter("is_best"), feats)
 
 

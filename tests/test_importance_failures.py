@@ -20,6 +20,7 @@ SCORED = [
     ("importance_dependent_linear_by_brand", LINEAR, A, "mean_size"),
     ("importance_shapley_by_brand", FOREST, I, "shapley_importance"),
     ("importance_tree_by_brand", FOREST, A, "mean_size"),
+    ("insights_by_brand", LINEAR, I, "permutation_importance"),
 ]
 
 
