@@ -369,7 +369,7 @@ def q_report_lines_by_brand(spark, sf):
         "models": H.model_section(t.metrics),
         "cleaned": fx.sales_by_brand(spark, sf),
         "forecast": H.forecast_section(analysis.best_forecast(feats, t, KEYS), KEYS),
-        "importance": H.importance_section(analysis.best_importance(feats, t, KEYS)),
+        "importance": H.importance_section(analysis.best_importance(feats, t, KEYS, fallback=False)),
     })
 
 

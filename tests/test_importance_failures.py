@@ -21,6 +21,7 @@ SCORED = [
     ("importance_shapley_by_brand", FOREST, I, "shapley_importance"),
     ("importance_tree_by_brand", FOREST, A, "mean_size"),
     ("insights_by_brand", LINEAR, I, "permutation_importance"),
+    ("report_lines_by_brand", LINEAR, I, "permutation_importance"),
 ]
 
 
