@@ -114,12 +114,22 @@ def best(qid, q, ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = ids[starts[b]:starts[b] + BLOCK]
             s = _dot(q[rows], v[starts[b]:starts[b] + BLOCK])
             s = np.where(own[None, :] == qid[rows, None], none, s)
-            all_s = np.concatenate([score[rows], s], axis=1)
-            all_i = np.concatenate([found[rows], np.broadcast_to(own, s.shape)], axis=1)
-            all_i = np.where(all_s == none, np.iinfo(np.int64).max, all_i)
-            pick = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
-            score[rows] = np.take_along_axis(all_s, pick, 1)
-            found[rows] = np.take_along_axis(all_i, pick, 1)
+            # Only scores from the k-th so far (at first: of this block) on are sorted, ties among them.
+            least = score[rows, -1]
+            if s.shape[1] > k and len(new := np.flatnonzero(least == none)):
+                least[new] = np.partition(s[new], -k, axis=1)[:, -k]
+            at, column = np.nonzero((s >= least[:, None]) & (s != none))
+            if not len(at):
+                continue
+            hit, at = np.unique(at, return_inverse=True)
+            of, rows = rows[hit[at]], rows[hit]
+            all_s = np.concatenate([score[rows].ravel(), s[hit[at], column]])
+            all_i = np.concatenate([found[rows].ravel(), own[column]])
+            all_r = np.concatenate([np.repeat(rows, k), of])
+            order_r = np.lexsort((all_i, ~all_s, all_r))
+            first = np.searchsorted(all_r[order_r], rows)
+            pick = order_r[first[:, None] + np.arange(k)]
+            score[rows], found[rows] = all_s[pick], all_i[pick]
     real = score != none
     return np.repeat(qid, real.sum(axis=1)), found[real], score[real]
 
@@ -160,7 +170,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
              .mapInArrow(pack(QUERIES, groups), PACK_DDL)
              .select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("ids").alias("q_ids"),
                      F.col("dims").alias("q_dims"), F.col("weights").alias("q_weights")))
-    found = blocks.join(asked, "g").drop("g").mapInArrow(search(k), "query_id long, vec_id long, score long")
+    # Spark's estimate of ``asked`` is that before the copies for each group, so it may be far below the
+    # broadcast threshold when its true size is not: both sides are shuffled, whatever their estimates.
+    found = blocks.join(asked.hint("merge"), "g").drop("g").mapInArrow(search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from brute import decontaminated, luhn, mixture, private
 from pyspark.sql import functions as F
@@ -131,6 +132,26 @@ def test_top_k(spark):
     assert block_topk.top_k(frame.where("vec_id = 50 * 130")).count() == 0
 
 
+def test_top_k_broadcasts_no_query_packs(spark):
+    """The packs are copied for each group, which Spark's estimate of their size leaves out."""
+    got = block_topk.top_k(spark.createDataFrame([(i, [i / 7, 1.0]) for i in range(120)], "vec_id long, embedding array<double>"))
+    assert len(got.collect()) == 15
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_best_of_many_ties():
+    rng = np.random.default_rng(3)
+    ids, qid = rng.permutation(900).astype(np.int64), np.arange(0, 900, 50)
+    v, q = rng.integers(-2, 3, (900, 3)).astype(float), rng.integers(-1, 2, (18, 3)).astype(float)
+    for n in (900, 257, 4, 1):
+        got = {}
+        for a, i, s in zip(*(x.tolist() for x in block_topk.best(qid, q, ids[:n], v[:n], 5))):
+            got.setdefault(a, []).append((-s, i))
+        for a, x in zip(qid.tolist(), q):
+            assert got.get(a, []) == sorted((-int(x @ y), i) for i, y in zip(ids[:n].tolist(), v[:n]) if i != a)[:5]
+
+
 # -- decontamination --------------------------------------------------------
 
 @pytest.mark.parametrize("mark", ["'", ".", ":", "^", "-", "'́"])
