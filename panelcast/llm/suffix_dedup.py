@@ -32,8 +32,11 @@ from panelcast.llm.vec import U
 SEGMENTS = "bucket int, n_bytes int, text binary, shard binary, size binary, doc binary, mark binary, place binary, told binary"
 TOLD = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 FLUSH_BYTES = 1 << 25
-#: A suffix array takes some 60 bytes per byte of its shard, so a bucket is sorted in shards.
-SHARDS = 8
+#: A suffix array takes some 60 bytes per byte of its shard, so a bucket is sorted in shards of
+#: about so many bytes at most, as many as its size asks for.
+SHARD_BYTES = 1 << 21
+#: Kinds of anchors that shards are made of; a power of two that fits a byte.
+SHARDS = 256
 
 
 def pack_told(told: np.ndarray) -> bytes:
@@ -186,17 +189,24 @@ def sort_shard(length: int, parts: int):
         return told
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        told = [unpack_told(r["told"]) for r in rows if r["told"]]
-        full = [r for r in rows if r["n_bytes"]]
+        told = [unpack_told(x.as_py()) for x in table.column("told") if x.as_buffer().size]
+        n_bytes = table.column("n_bytes").to_numpy()
+        full = np.flatnonzero(n_bytes).tolist()
         if full:
-            text = np.frombuffer(b"".join(pa.decompress(r["text"], decompressed_size=r["n_bytes"], codec="zstd", asbytes=True)
-                                          for r in full), np.uint8)
-            of, size, mark, place = (np.concatenate([unplanes(r[c], w).astype(np.int64) for r in full])
-                                     for c, w in (("shard", 1), ("size", 4), ("mark", 4), ("place", 4)))
-            doc = np.concatenate([np.cumsum(unplanes(r["doc"], 8).view(np.int64)) for r in full])
+            # Row by row into one array: a bucket's texts are never held twice.
+            text, end = np.empty(int(n_bytes.sum()), np.uint8), np.cumsum(n_bytes, dtype=np.int64).tolist()
+            for i in full:
+                text[end[i] - int(n_bytes[i]):end[i]] = np.frombuffer(
+                    pa.decompress(table.column("text")[i].as_buffer(), decompressed_size=int(n_bytes[i]), codec="zstd"), np.uint8)
+            of, size, mark, place = (np.concatenate([unplanes(table.column(c)[i].as_buffer(), w).astype(kind) for i in full])
+                                     for c, w, kind in (("shard", 1, np.uint8), ("size", 4, np.int64), ("mark", 4, np.int64), ("place", 4, np.int64)))
+            doc = np.concatenate([np.cumsum(unplanes(table.column("doc")[i].as_buffer(), 8).view(np.int64)) for i in full])
             at = np.cumsum(size) - size
-            for i in range(SHARDS):
+            shards = 1
+            while shards < SHARDS and len(text) > shards * SHARD_BYTES:
+                shards *= 2
+            of &= np.uint8(shards - 1)
+            for i in range(shards):
                 x = np.flatnonzero(of == i)
                 if len(x):
                     n = size[x]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import byte_dedup, word_dedup
 
@@ -71,3 +72,43 @@ def test_queries(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()]
     same(QUERIES["op7_suffix_array_dedup"](spark, sf_small), byte_dedup(rows))
     same(QUERIES["op8_substring_dedup"](spark, sf_small), word_dedup(rows))
+
+
+def bucket(sizes, anchors, texts):
+    """One bucket's table of segments of document 1, 2, …, as ``segment_rows`` packs them."""
+    planes = suffix_dedup.planes
+    text = b"".join(texts)
+    row = (0, len(text), pa.compress(text, codec="zstd", asbytes=True), planes(anchors, 1), planes(sizes, 4),
+           planes(np.ones(len(sizes), np.int64), 8), planes(np.zeros(len(sizes)), 4), planes(np.zeros(len(sizes)), 4), b"")
+    return pa.table([pa.array([v], f.type) for v, f in zip(row, suffix_dedup.SEGMENT_SCHEMA)], schema=suffix_dedup.SEGMENT_SCHEMA)
+
+
+def test_shards_follow_the_size_of_a_bucket(monkeypatch):
+    """A suffix array is never built over a fixed share of a bucket, however large that is."""
+    rng, n, width = np.random.default_rng(1), 100_000, 400
+    texts = rng.integers(97, 123, n * width, np.uint8)
+    built = []
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda data, off, length: built.append(len(data)) or (np.empty(0, np.int64),) * 2)
+    suffix_dedup.sort_shard(50, 2)(bucket(np.full(n, width), rng.integers(0, 256, n), [texts.tobytes()]))
+    assert sum(built) == n * width and max(built) < 3 << 20
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 21, 300, 1])
+def test_spans_are_the_same_in_any_number_of_shards(monkeypatch, shard_bytes):
+    rng = random.Random(4)
+    passages = ["".join(rng.choice("abc") for _ in range(90)) for _ in range(20)]
+    held = [(i, p) for i, p in enumerate(passages) for _ in range(4)]
+    rng.shuffle(held)
+    texts = [("".join(rng.choice("xyz") for _ in range(rng.randrange(9))) + p[rng.randrange(20):]).encode() for _, p in held]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    table = bucket(np.array([len(t) for t in texts]), np.array([i for i, _ in held]), texts)
+    got = set()
+    for part in suffix_dedup.sort_shard(50, 1)(table).column("told").to_pylist():
+        for doc, _, start, stop in suffix_dedup.unpack_told(part).tolist():
+            got |= {(doc, i) for i in range(start, stop)}
+    want, seen = set(), set()
+    for doc, t in enumerate(texts, 1):
+        now = {t[i:i + 50]: None for i in range(len(t) - 49)}
+        want |= {(doc, i + j) for i in range(len(t) - 49) if t[i:i + 50] in seen for j in range(50)}
+        seen |= now.keys()
+    assert got == want and want
